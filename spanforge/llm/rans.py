@@ -206,6 +206,7 @@ def token_counts(table: DataFrame) -> np.ndarray:
     """How often each id occurs in a token_table; at most the vocabulary's size reaches the driver."""
 
     def counted(batches):
+        tokens.release()
         total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
             for ids in _unpacked(batch.column(0), unpack):
@@ -229,6 +230,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
     freq = frequencies(token_counts(table))
 
     def coded(batches):
+        tokens.release()
         coder, unpack = Coder(freq), zstandard.ZstdDecompressor()
         names, sizes, held, n, begun = [], [], [], 0, False
 
@@ -259,6 +261,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the decoded ids of all files."""
 
     def read(batches):
+        tokens.release()
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 at, k = 0, 0
