@@ -35,6 +35,8 @@ LEAST = 1000
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 LEVEL = 3
+#: Bytes given to a decompressor at once; what it leaves over is copied, so not the whole file.
+STRIDE = 1 << 13
 CRLF = b"\r\n"
 #: The moment that archives written here name, since a table of pages has none.
 CAPTURED = "20200101000000"
@@ -53,14 +55,17 @@ def members(content) -> "iter":
         if len(view):
             yield bytes(view)
         return
-    while len(view):
-        z = zlib.decompressobj(31)
-        data = z.decompress(view)
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        view = view[len(view) - len(z.unused_data) :] if z.unused_data else view[:0]
-        if data:
-            yield data
+    at, end = 0, len(view)
+    while at < end:
+        z, parts = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= end:
+                raise ValueError("a gzip member is cut short")
+            parts.append(z.decompress(view[at : at + STRIDE]))
+            at = min(end, at + STRIDE)
+        at -= len(z.unused_data)
+        if any(parts):
+            yield b"".join(parts)
 
 
 def safe_url(url: str | None, page_id) -> str:
