@@ -99,6 +99,24 @@ def legacy_sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"[.!?]+|\n"), strip), lambda s: F.length(s) > 5)
 
 
+#: Elements in a block of the two-level prefix sums of array lengths.
+_BLOCK = 128
+
+
+def offsets(lengths: Column) -> Column:
+    """Sum of the lengths before each element; by blocks, so that long arrays don't cost the square of their size."""
+    add = lambda a, y: a + y
+    total = lambda x: F.aggregate(x, F.lit(0), add)
+
+    def placed(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))))
+        before = bound(blocks, lambda s: F.transform(s, lambda y, b: total(F.slice(s, F.lit(1), b))))
+        block = lambda k: F.floor(k / _BLOCK).cast("int")
+        return bound(before, lambda s: F.transform(n, lambda y, k: F.get(s, block(k)) + total(F.slice(n, block(k) * _BLOCK + 1, k % _BLOCK))))
+
+    return bound(lengths, lambda n: F.when(F.size(n) > 0, placed(n)).otherwise(F.array().cast("array<int>")))
+
+
 def sentence_spans(x: Column, quotes: bool = True) -> Column:
     """array<struct<s, e>>: a boundary is white space after . ! ? or an ellipsis (and closing quotes), before
     an opening quote or a capital, digit or letter of the class. quotes=False is the plainer variant."""
@@ -110,12 +128,14 @@ def sentence_spans(x: Column, quotes: bool = True) -> Column:
     pieces = F.split(F.regexp_replace(x, cut, mark + "$1"), mark)
 
     def spans(p: Column) -> Column:
-        before = lambda k: F.aggregate(F.slice(p, 1, k), F.lit(0), lambda a, y: a + F.length(y))
-        one = lambda y, k: F.struct(
-            (before(k) + F.when(k > 0, F.length(y) - F.length(F.regexp_replace(y, r"(?U)^[\s\x1c-\x1f]+", ""))).otherwise(0)).alias("s"),
-            (before(k) + F.length(F.regexp_replace(y, r"(?U)[\s\x1c-\x1f]+$", ""))).alias("e"),
-        )
-        return F.filter(F.transform(p, one), lambda s: s["e"] > s["s"])
+        def placed(before: Column) -> Column:
+            one = lambda y, k: F.struct(
+                (F.get(before, k) + F.when(k > 0, F.length(y) - F.length(F.regexp_replace(y, r"(?U)^[\s\x1c-\x1f]+", ""))).otherwise(0)).alias("s"),
+                (F.get(before, k) + F.length(F.regexp_replace(y, r"(?U)[\s\x1c-\x1f]+$", ""))).alias("e"),
+            )
+            return F.filter(F.transform(p, one), lambda s: s["e"] > s["s"])
+
+        return bound(offsets(F.transform(p, F.length)), placed)
 
     return bound(pieces, spans)
 

@@ -70,7 +70,7 @@ def bootstrap_ci(cells: DataFrame, resamples: int = 2000, seed: int = 42, level:
         every = np.arange(resamples, dtype=np.uint64)
         for batch in batches:
             for h, x, n in zip(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), strict=True):
-                v = np.uint64(h & 0xFFFFFFFFFFFFFFFF if h >= 0 else (int(h) + (1 << 64))) ^ (every * np.uint64(0x9E3779B97F4A7C15))
+                v = np.uint64(int(h) & 0xFFFFFFFFFFFFFFFF) ^ (every * np.uint64(0x9E3779B97F4A7C15))
                 for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
                     v = (v ^ (v >> np.uint64(33))) * np.uint64(m)
                 w = np.searchsorted(tail, (v >> np.uint64(11)) * 2.0**-53)

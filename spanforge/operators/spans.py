@@ -27,17 +27,21 @@ def scored(windows: DataFrame, first: int = 8, longest: int = 12, top: int = 3)
     top holds top + 1 spans with distinct ends, out of the 4 * top + 4 best pairs. The probability is
     a softmax over all valid pairs and null, with the maximum taken out first.
     """
-    c = windows.withColumn("c", candidates(F.col("starts"), F.col("ends"), first, longest))
-    c = c.withColumn("null_score", F.get("starts", F.lit(0)) + F.get("ends", F.lit(0))).withColumn("best", F.array_max("c"))
-    high = F.greatest(F.col("best.score"), F.col("null_score"))
-    total = F.aggregate("c", F.exp(F.col("null_score") - high), lambda a, x: a + F.exp(x["score"] - high))
-    heap = F.slice(F.sort_array("c", asc=False), 1, 4 * top + 4)
+    null = F.get("starts", F.lit(0)) + F.get("ends", F.lit(0))
     same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
-    kept = X.bound(heap, lambda h: F.filter(h, lambda x, k: ~F.exists(F.slice(h, 1, k), lambda y: same(x, y))))
-    spans = F.transform(F.slice(kept, 1, top + 1), lambda x: F.struct((-x["s"]).alias("s"), (-x["e"]).alias("e"), x["score"].alias("score"), (F.exp(x["score"] - F.col("high")) / F.col("total")).alias("prob")))
-    c = c.withColumns({"high": high}).withColumn("total", total).withColumn("spans", spans)
-    c = c.withColumns({"delta": F.col("null_score") - F.col("best.score"), "s": -F.col("best.s"), "e": -F.col("best.e"), "score": F.col("best.score")})
-    return c.drop("c", "high", "total", "best")
+
+    def chosen(c: Column) -> Column:
+        def with_best(best: Column) -> Column:
+            high = F.greatest(best["score"], null)
+            heap = F.slice(F.sort_array(c, asc=False), 1, 4 * top + 4)
+            kept = X.bound(heap, lambda h: F.filter(h, lambda x, k: ~F.exists(F.slice(h, F.lit(1), k), lambda y: same(x, y))))
+            mass = F.struct(high.alias("high"), F.aggregate(c, F.exp(null - high), lambda a, x: a + F.exp(x["score"] - high)).alias("total"))
+            spans = X.bound(mass, lambda m: F.transform(F.slice(kept, 1, top + 1), lambda x: F.struct((-x["s"]).alias("s"), (-x["e"]).alias("e"), x["score"].alias("score"), (F.exp(x["score"] - m["high"]) / m["total"]).alias("prob"))))
+            return F.struct(null.alias("null_score"), (null - best["score"]).alias("delta"), (-best["s"]).alias("s"), (-best["e"]).alias("e"), best["score"].alias("score"), spans.alias("spans"))
+
+        return X.bound(F.array_max(c), with_best)
+
+    return windows.withColumn("x", X.bound(candidates(F.col("starts"), F.col("ends"), first, longest), chosen)).select("*", "x.*").drop("x")
 
 
 def endpoint_softmax(windows: DataFrame, first: int = 8) -> DataFrame:
@@ -81,7 +85,7 @@ def legacy_spans(windows: DataFrame, top: int = 20, longest: int = 12, first: in
 def words_of(context: Column) -> Column:
     """array<struct<tok, s, e>>: white-space separated pieces with their places."""
     pieces = F.regexp_extract_all(context, F.lit(r"(?U)(\S+|\s+)"))
-    placed = X.bound(pieces, lambda p: F.transform(p, lambda w, k: F.struct(w.alias("tok"), F.aggregate(F.slice(p, 1, k), F.lit(0), lambda a, y: a + F.length(y)).alias("s"))))
+    placed = X.bound(pieces, lambda p: X.bound(X.offsets(F.transform(p, F.length)), lambda at: F.transform(p, lambda w, k: F.struct(w.alias("tok"), F.get(at, k).alias("s")))))
     return F.transform(F.filter(placed, lambda w: ~w["tok"].rlike(r"(?U)^\s")), lambda w: F.struct(w["tok"].alias("tok"), w["s"].alias("s"), (w["s"] + F.length(w["tok"])).alias("e")))
 
 

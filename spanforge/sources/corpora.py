@@ -36,7 +36,9 @@ def nest(examples: DataFrame, version: str = "1.0") -> DataFrame:
     """One row (version, data): articles and contexts in the order of their first question."""
     n = F.size("answers")
     found = F.struct(F.col("answers").alias("text"), F.when(n > 0, F.array_repeat(F.col("answer_start").cast("int"), n)).otherwise(F.array().cast("array<int>")).alias("answer_start"))
-    qa = F.struct("ord", F.struct(F.col("qid").alias("id"), "question", "is_impossible", found.alias("answers")).alias("qa"))
+    # an absent list of plausible answers stays absent
+    plausible = F.when(F.size("plausible") > 0, F.struct(F.col("plausible").alias("text"), F.array().cast("array<int>").alias("answer_start"))) if "plausible" in examples.columns else F.lit(None).cast("struct<text: array<string>, answer_start: array<int>>")
+    qa = F.struct("ord", F.struct(F.col("qid").alias("id"), "question", "is_impossible", found.alias("answers"), plausible.alias("plausible_answers")).alias("qa"))
     inner = lambda x, f: F.transform(F.array_sort(x), lambda e: e[f])
     paragraphs = examples.groupBy("title", "context").agg(F.min("ord").alias("ord"), inner(F.collect_list(qa), "qa").alias("qas"))
     articles = paragraphs.groupBy("title").agg(F.min("ord").alias("ord"), inner(F.collect_list(F.struct("ord", F.struct("context", "qas").alias("p"))), "p").alias("paragraphs"))
