@@ -129,12 +129,13 @@ def _with(rows: DataFrame, est: DataFrame) -> DataFrame:
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(group sizes, estimates) from rows of (lang, source, q); only rows that pass the base rules count."""
     rows = stats.where(~F.col("q.base_failed")).select("lang", "source", *[y.alias(f"y{i}") for i, y in enumerate(transformed(F.col("q")))])
-    sizes = common.cut(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")))
+    # tables of one row per group are files, so that their sizes are known and joins with small ones don't shuffle texts
+    sizes = common.saved(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")), "groups")
     rows = _grouped(rows, sizes)
     key = ["g_lang", "g_source", "pooled"]
     y = [F.col(f"y{i}") for i in range(P)]
     est = rows.groupBy(*key).agg(*[F.percentile_approx(y[i], 0.5, 1000).alias(f"m{i}") for i in range(P)])
-    est = common.cut(_factored(est.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i + 1)})))
+    est = common.saved(_factored(est.withColumns({f"c{i}{j}": F.lit(0.0) for i in range(P) for j in range(i + 1)})), "estimate")
     alpha_point = chi2_quantile(SHARE)
     consistent = SHARE / _chi2(alpha_point, P + 2)
     for _ in range(STEPS):
@@ -145,7 +146,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = bins.withColumn("use", below < SHARE * F.sum("n").over(group)).where("use")
         t = near.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(P)], *[f"q{i}{j}" for i in range(P) for j in range(i + 1)])])
         est = t.select(*key, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(P)], *[((F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("n") * F.col("n"))) * consistent).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-        est = common.cut(_factored(est))
+        est = common.saved(_factored(est), "estimate")
     return sizes, est
 
 
