@@ -13,6 +13,8 @@ import ctypes
 import gc
 import os
 import zlib
+from itertools import islice
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import public_tokenizers
@@ -22,6 +24,8 @@ import regex
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct pieces that a worker keeps before it starts anew, and text bytes it takes at once.
 KEEP, TAKE = 550_000, 2 << 20
+#: Pieces that are encoded in one string.
+GROUP = 200
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -29,12 +33,18 @@ def default_path() -> str:
     return public_tokenizers.path(WORD_BPE)
 
 
+def _letters(word: str) -> bool:
+    """Whether a piece is letters only, and stays so when it is composed and lower-cased."""
+    return word.isalpha() and (word.isascii() or is_normalized("NFC", word) and "\u0130" not in word)
+
+
 def _pretokens(word: str) -> int:
-    if word.isalpha():
+    """How many units the tokenizer cuts a piece into, after its normalisation."""
+    if _letters(word):
         return 1
-    if word[-1] in ".," and word[:-1].isalpha():
+    if word[-1] in ".," and _letters(word[:-1]):
         return 2
-    return len(_PRETOKEN.findall(word))
+    return len(_PRETOKEN.findall(normalize("NFC", word).lower()))
 
 
 def _folded(text: bytes) -> bytes:
@@ -74,41 +84,32 @@ class WordEncoder:
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self) -> None:
-        from itertools import islice
-
+        """Encodes the pieces that the index has new, in groups whose boundaries are checked."""
         words = [w.decode("utf-8", "replace") for w in islice(self.index, self.known, None)]
-        plain, odd = [], []
-        for k, w in enumerate(words):
-            (odd if any(s in w for s in self.special) else plain).append(k)
-        counts = np.fromiter((_pretokens(words[k]) for k in plain), np.int64, len(plain))
-        sizes = np.zeros(len(words), np.int64)
-        joined = " ".join([words[k] for k in plain])
-        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32) if joined else np.empty(0, np.uint32)
-        last = np.flatnonzero(self.ends[ids]) + 1
-        if len(last) != counts.sum():  # a normalisation changed the pieces: word by word then
-            plain, odd, ids = [], range(len(words)), np.empty(0, np.uint32)
-        else:
-            bounds = np.concatenate(([0], last))[np.concatenate(([0], np.cumsum(counts)))]
-            sizes[plain] = np.diff(bounds)
-        parts = [ids]
-        order = list(plain)
-        if len(odd):
-            for k, e in zip(odd, self.tokenizer.encode_batch([words[k] for k in odd], add_special_tokens=False), strict=True):
-                sizes[k] = len(e.ids)
-                parts.append(np.array(e.ids, np.uint32))
-                order.append(k)
-        flat = np.concatenate(parts)
-        need = self.used + len(flat)
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        flat, sizes = [], []
+        for group, e in zip(groups, found, strict=True):
+            ids = np.array(e.ids, np.uint32)
+            counts = np.fromiter(map(_pretokens, group), np.int64, len(group))
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == counts.sum() and not any(s in w for s in self.special for w in group if "<" in w):
+                sizes.append(np.diff(np.concatenate(([0], last))[np.concatenate(([0], np.cumsum(counts)))]))
+            else:  # a special token, or units that were counted otherwise: word by word then
+                each = self.tokenizer.encode_batch_fast(group, add_special_tokens=False)
+                sizes.append(np.array([len(x.ids) for x in each], np.int64))
+                ids = np.array([i for x in each for i in x.ids], np.uint32)
+            flat.append(ids)
+        ids, size = np.concatenate(flat), np.concatenate(sizes)
+        need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.empty(max(need, 2 * self.used) - self.used, np.uint32)))
         if len(self.index) > len(self.sizes):
             grow = np.empty(2 * len(self.index), np.int64)
             self.sizes, self.starts = (np.concatenate((x[: self.known], grow[self.known :])) for x in (self.sizes, self.starts))
-        self.flat[self.used : need] = flat
-        at = self.known + np.array(order, np.int64)
-        self.sizes[self.known : len(self.index)] = sizes
-        ordered = sizes[order] if len(order) else sizes
-        self.starts[at] = self.used + np.concatenate(([0], np.cumsum(ordered)))[:-1] if len(order) else 0
+        self.flat[self.used : need] = ids
+        self.sizes[self.known : len(self.index)] = size
+        self.starts[self.known : len(self.index)] = self.used + np.cumsum(size) - size
         self.used, self.known = need, len(self.index)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
