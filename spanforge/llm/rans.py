@@ -199,7 +199,7 @@ def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None)
 
 
 def _unpacked(values, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
-    return [np.frombuffer(unpack.decompress(v[1:]), f"<u{v[0]}").astype(np.uint32) for v in (x.as_buffer().to_pybytes() for x in values)]
+    return [np.frombuffer(unpack.decompress(v[1:]), "<u2" if v[0] == 2 else "<u4") for v in values.to_pylist()]
 
 
 def token_counts(table: DataFrame) -> np.ndarray:
@@ -209,11 +209,17 @@ def token_counts(table: DataFrame) -> np.ndarray:
         tokens.release()
         total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
         for batch in batches:
-            for ids in _unpacked(batch.column(0), unpack):
-                more = np.bincount(ids)
-                if len(more) > len(total):
-                    total = np.pad(total, (0, len(more) - len(total)))
-                total[: len(more)] += more
+            held, n = [], 0
+            arrays = _unpacked(batch.column(0), unpack)
+            for k, ids in enumerate(arrays):
+                held.append(ids)
+                n += len(ids)
+                if n >= BLOCK or k == len(arrays) - 1:  # a count costs the vocabulary's size, so not one per text
+                    more = np.bincount(np.concatenate(held))
+                    if len(more) > len(total):
+                        total = np.pad(total, (0, len(more) - len(total)))
+                    total[: len(more)] += more
+                    held, n = [], 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
 
@@ -247,10 +253,10 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
                 held.append(ids)
                 n += len(ids)
                 if n >= block:
-                    yield record(coder.block(names, np.array(sizes), np.concatenate(held)))
+                    yield record(coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32)))
                     names, sizes, held, n = [], [], [], 0
         if names:
-            yield record(coder.block(names, np.array(sizes), np.concatenate(held)))
+            yield record(coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32)))
 
     ordered = table.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     common.write_blobs(common.map_arrow(ordered, coded, "data binary"), "data", path, RECORD_END)
