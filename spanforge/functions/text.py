@@ -308,3 +308,28 @@ def interval_text(low: Column, high: Column, digits: int = 2, missing: str = "??
 def heat(v: Column) -> Column:
     """Class 4 to 0 of a percentage; null has none."""
     return F.when(v >= 85, 4).when(v >= 60, 3).when(v >= 40, 2).when(v >= 20, 1).when(v.isNotNull(), 0)
+
+
+def nfkc_md5(x: Column) -> Column:
+    """md5 of the text in compatibility form, lower case, stripped; no built-in function normalises, so texts go by Arrow."""
+    import hashlib
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: hashlib.md5(unicodedata.normalize("NFKC", t).lower().strip().encode()).hexdigest(), na_action="ignore")
+
+    return digest(x)
+
+
+def ascii_fold(x: Column) -> Column:
+    """Base letters only: marks go, and so does what has no ASCII form; unlike the older rule d with a stroke becomes d."""
+    return F.regexp_replace(strip_diacritics(x), r"[^\x00-\x7F]", "")
+
+
+def dig(row: Column, *path: str) -> Column:
+    """A nested field; null where any part is."""
+    for name in path:
+        row = row[name]
+    return row

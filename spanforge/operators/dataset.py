@@ -86,6 +86,12 @@ def three_way_split(rows: DataFrame, key: str, fractions: tuple[float, float] =
     return first.where("split = 'train'").unionByName(split_by_key(rest, key, 1 - fractions[1] / (1 - fractions[0]), f"{seed}-2", ("validation", "test")))
 
 
+def rotating_split(rows: DataFrame, key: str, names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Splits by groups in turn: a group's place in the seeded order, modulo the number of splits, by hash."""
+    place = F.pmod(F.conv(F.substring(draw(F.col(key)), 1, 8), 16, 10).cast("bigint"), F.lit(len(names)))
+    return rows.withColumn("split", F.get(F.array(*[F.lit(n) for n in names]), place.cast("int")))
+
+
 def shared_contexts(rows: DataFrame) -> DataFrame:
     """Distinct contexts that stand in more than one split, as their md5 and the splits."""
     seen = rows.groupBy(F.md5("context").alias("context_md5")).agg(F.sort_array(F.collect_set("split")).alias("s"))

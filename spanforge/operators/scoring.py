@@ -93,6 +93,27 @@ def evaluate(examples: DataFrame, predictions: DataFrame) -> dict[str, DataFrame
     }
 
 
+def checkpoint_scores(examples: DataFrame, predictions: DataFrame, n: int | None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(scores, question ids used) on a seeded subset."""
+    from spanforge.operators import dataset
+
+    used = dataset.seeded_sample(examples, "qid", n, seed)
+    items = per_item(predictions, dataset.references(used), strict=False)
+    return corpus_scores(items), used.select("qid")
+
+
+def legacy_scores(items: DataFrame) -> DataFrame:
+    """The older means: two empty sides have F1 0, and rows without gold stay in the denominator."""
+    empty = (F.size("golds") <= 0) & M.abstained(F.col("prediction"))
+    return items.groupBy("system").agg(F.count(F.lit(1)).alias("n"), percent(F.when(empty, 0.0).otherwise(F.col("em"))).alias("em"), percent(F.when(empty, 0.0).otherwise(F.col("f1"))).alias("f1"))
+
+
+def source_scores(items: DataFrame, stress: DataFrame) -> DataFrame:
+    """Scores of stress slices from the predictions of their source questions."""
+    rows = stress.where("role = 'slice'").select("subset", F.col("source_qid").alias("qid")).join(items, "qid")
+    return rows.groupBy("system", "subset").agg(F.count(F.lit(1)).alias("n"), percent(F.col("em"), 4).alias("em"), percent(F.col("f1"), 4).alias("f1"))
+
+
 def tags(examples: DataFrame) -> DataFrame:
     """(qid, question_type, length_bucket, context_words); impossible questions have no question type."""
     n = F.size(F.filter(F.split("context", X.SPACE), lambda t: t != ""))

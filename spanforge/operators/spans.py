@@ -6,12 +6,20 @@ tokens, both context tokens; they are listed inside the row, so nothing is shuff
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spanforge.functions import metrics as M
 from spanforge.functions import text as X
+from spanforge.runtime import ready
+
+
+_BLANK = re.compile(r"\s*")
 
 
 def candidates(starts: Column, ends: Column, first: int, longest: int) -> Column:
@@ -91,8 +99,11 @@ def words_of(context: Column) -> Column:
 
 def joined_words(words: Column) -> Column:
     """Words joined in pairs by _, a stand-in for a segmenter's compounds."""
-    even = F.filter(F.transform(words, lambda w, k: F.struct(k.alias("k"), w.alias("w"), F.get(words, k + 1).alias("n"))), lambda x: x["k"] % 2 == 0)
-    return F.transform(even, lambda x: F.struct(F.concat_ws("_", x["w"]["tok"], x["n"]["tok"]).alias("tok"), x["w"]["s"].alias("s"), F.coalesce(x["n"]["e"], x["w"]["e"]).alias("e")))
+    def pairs(x: Column) -> Column:
+        even = F.filter(F.transform(x, lambda w, k: F.struct(k.alias("k"), w.alias("w"), F.get(x, k + 1).alias("n"))), lambda y: y["k"] % 2 == 0)
+        return F.transform(even, lambda y: F.struct(F.concat_ws("_", y["w"]["tok"], y["n"]["tok"]).alias("tok"), y["w"]["s"].alias("s"), F.coalesce(y["n"]["e"], y["w"]["e"]).alias("e")))
+
+    return X.bound(words, pairs)
 
 
 def windows_over(n: Column, budget: int, stride: int) -> Column:
@@ -170,29 +181,90 @@ def char_coverage(context: Column, words: Column) -> Column:
     return F.when(solid(context) == 0, F.lit(1.0)).otherwise(inside / solid(context))
 
 
-def segment_offsets(rows: DataFrame, pieces: str = "pieces") -> DataFrame:
-    """Places a segmenter's pieces (_ for a space inside a compound) in the context: array<struct<tok, s, e>>.
+#: Characters after the cursor in which a piece is looked for.
+AHEAD = 50
+
 
-    A cursor goes through the context; each part of a piece is looked for at the cursor or up to 50
-    characters on; pieces that are not found are left out. The state is one row's, so an array fold does it.
+def place_pieces(context: str, pieces: list[str]) -> list[tuple[str, int, int]]:
+    """(piece, start, end) of a segmenter's pieces in the text they were made from, in order.
+
+    A piece with _ may stand for a compound of several parts or for the text itself; parts that are
+    not found near the cursor are passed over, and so is a piece without any part.
     """
-    parts = lambda p: F.filter(F.split(p, "_"), lambda t: t != "")
+    out, cursor = [], 0
+    solid = lambda at: _BLANK.match(context, at).end()
+    for piece in pieces:
+        parts = [piece] if context.startswith(piece, solid(cursor)) else piece.split("_")
+        ends = []
+        for part in filter(None, parts):
+            at = solid(cursor)
+            hit = context.find(part, at, at + AHEAD + len(part))
+            if hit >= 0:
+                cursor = hit + len(part)
+                ends += [hit, cursor]
+        if ends:
+            out.append((piece, ends[0], ends[-1]))
+    return out
+
+
+def segment_offsets(rows: DataFrame, pieces: str = "pieces") -> DataFrame:
+    """Adds words: the places of a segmenter's pieces in the context. The cursor is state, so Arrow batches go through Python."""
+    names = rows.columns
+    c, p = names.index("context"), names.index(pieces)
+
+    def placed(batches):
+        for batch in batches:
+            words = [[{"tok": t, "s": a, "e": e} for t, a, e in place_pieces(x or "", y or [])] for x, y in zip(batch.column(c).to_pylist(), batch.column(p).to_pylist(), strict=True)]
+            kind = pa.list_(pa.struct([("tok", pa.string()), ("s", pa.int32()), ("e", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, kind)], [*names, "words"])
 
-    def step(acc: Column, piece: Column) -> Column:
-        ahead = F.substring(F.col("context"), acc["at"] + 1, F.lit(50) + F.length(piece) + 1)
+    word = T.StructType([T.StructField("tok", T.StringType()), T.StructField("s", T.IntegerType()), T.StructField("e", T.IntegerType())])
+    ready(rows.sparkSession)
+    return rows.mapInArrow(placed, T.StructType([*rows.schema.fields, T.StructField("words", T.ArrayType(word))]))
 
-        def place(x: Column) -> Column:
-            first = F.coalesce(F.get(x, F.lit(0)), F.lit(""))
-            pos = F.instr(ahead, F.when(F.instr(ahead, piece) == 1, piece).otherwise(first))
-            size = F.aggregate(x, F.lit(0), lambda a, t: a + F.length(t)) + F.greatest(F.size(x) - 1, F.lit(0))
-            s = acc["at"] + pos - 1
-            found = F.struct(F.concat(acc["out"], F.array(F.struct(piece.alias("tok"), s.alias("s"), (s + size).alias("e")))).alias("out"), (s + size).alias("at"))
-            return F.when((pos > 0) & (first != ""), found).otherwise(acc)
 
-        return X.bound(parts(piece), place)
+def encode_pairs(rows: DataFrame, ids_of, max_length: int = 256, pad: int = 1, begin: int = 0, end: int = 2) -> DataFrame:
+    """(qid, input_ids, attention_mask, offsets) of question and words: <s> A </s> </s> B </s>, B cut to what fits, padded.
 
-    start = F.struct(F.array().cast("array<struct<tok: string, s: int, e: int>>").alias("out"), F.lit(0).alias("at"))
-    return rows.withColumn("words", F.aggregate(F.col(pieces), start, step, lambda a: a["out"]))
+    ids_of(token) gives a word's ids; all of a word's ids share its place. Offsets are null but for
+    context tokens. A worker keeps the ids of the words it has seen.
+    """
+    from functools import lru_cache
+
+    def encoded(batches):
+        ids = lru_cache(200_000)(lambda t: tuple(ids_of(t)))
+        for batch in batches:
+            out = []
+            for qid, question, words in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                a = [i for t in (question or "").split() for i in ids(t)]
+                b = [(i, (w["s"], w["e"])) for w in words or [] for i in ids(w["tok"])][: max(0, max_length - len(a) - 4)]
+                x = [begin, *a, end, end, *[i for i, _ in b], end]
+                places = [None] * (len(a) + 3) + [{"s": s, "e": e} for _, (s, e) in b] + [None]
+                fill = max_length - len(x)
+                out.append((qid, x + [pad] * fill, [1] * len(x) + [0] * fill, places + [None] * fill))
+            span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
+            kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int8()), pa.list_(span)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], ["qid", "input_ids", "attention_mask", "offsets"])
+
+    table = rows.select(F.col("qid").cast("string").alias("qid"), "question", "words")
+    ready(rows.sparkSession)
+    return table.mapInArrow(encoded, "qid string, input_ids array<int>, attention_mask array<tinyint>, offsets array<struct<s: int, e: int>>")
+
+
+def timed_predictions(rows: DataFrame, predict) -> DataFrame:
+    """(qid, prediction, seconds): a Python predictor (question, context) -> answer, timed per question."""
+    from time import perf_counter
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for qid, question, context in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                began = perf_counter()
+                out.append((qid, predict(question, context), perf_counter() - began))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, [pa.string(), pa.string(), pa.float64()], strict=True)], ["qid", "prediction", "seconds"])
+
+    return rows.select(F.col("qid").cast("string"), "question", "context").mapInArrow(run, "qid string, prediction string, seconds double")
 
 
 def windows_per_question(windows: DataFrame) -> DataFrame:

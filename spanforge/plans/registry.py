@@ -552,7 +552,12 @@ def segment_offsets(s, d):
 # stress
 
 
-@query()
+_SENT = f"string_split({S.boundary_marks('context')},chr(1))"
+_GAP = f"""{S.WITH_EX}, g0 AS (SELECT qid, {_SENT} AS ss, list_distinct({S.tok('question')}) AS q, len(string_split({S.boundary_marks('substr(context,1,(answer_start+1)::BIGINT)')},chr(1))) AS i FROM ex WHERE len(answers)>0 AND answer_start>=0),
+g1 AS (SELECT *, list_transform(ss, lambda z: len(list_intersect(q,list_distinct({S.tok('z')})))) AS n FROM g0)"""
+
+
+@query(f"{_GAP} SELECT qid, len(ss)>=2 AND list_max(n)>n[i] AS gap FROM g1")
 def lexical_gap(s, d):
     return stress.lexical_gap(stress.answerable(fx.examples(s, d))).select("qid", "gap")
 
@@ -574,7 +579,11 @@ def e2b_number_rich(s, d):
     return stress.number_rich(fx.examples(s, d)).select("qid")
 
 
-@query()
+_CUT = rf"""{S.WITH_EX}, c0 AS (SELECT qid, answers[1] AS a, {_SENT} AS ss, len(string_split({S.boundary_marks('substr(context,1,(answer_start+1)::BIGINT)')},chr(1))) AS i, len(string_split({S.boundary_marks('substr(context,1,(answer_start+length(answers[1]))::BIGINT)')},chr(1))) AS j FROM ex WHERE len(answers)>0 AND answer_start>=0),
+c1 AS (SELECT qid, a, regexp_replace(ss[i],'^\s+','') AS removed, {S.trim("array_to_string(ss[1:i-1],'')||regexp_replace(array_to_string(ss[i+1:],''),'^\s+','')")} AS new_context FROM c0 WHERE len(ss)>=3 AND i=j)"""
+
+
+@query(f"{_CUT} SELECT qid, removed, md5(new_context) AS digest FROM c1 WHERE strpos(new_context,a)=0 AND ({S.norm('a')}='' OR strpos(' '||{S.norm('new_context')}||' ',' '||{S.norm('a')}||' ')=0)")
 def e3b_removed(s, d):
     return stress.removed_sentence(fx.examples(s, d)).select("qid", "removed", F.md5("new_context").alias("digest"))
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from spanforge.runtime import ready
+
 OUT = "run string, n_steps bigint, max_rise double, first_violation bigint"
 STATE = "recent array<double>, total double, least double, n bigint, max_rise double, first bigint"
 
@@ -50,7 +52,7 @@ def run_to_end(steps: DataFrame, window: int = 200, tolerance: float = 0.2) -> D
     import tempfile
     import uuid
 
-    spark = steps.sparkSession
+    spark = ready(steps.sparkSession)
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-")
     path = f"{base.rstrip('/')}/stability-{uuid.uuid4().hex}"
     one = steps.select("run", "step", "loss")
