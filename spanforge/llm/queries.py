@@ -22,7 +22,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_arc(pages, arc)
     warc.convert(spark, arc, out)
     common.remove(spark, arc)
-    return warc.read_warc(spark, out)
+    return warc.read_warc(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_warc, op3_embedding_dedup, op4_simhash, op5_langid, op6_quality, op7_rans, op8_mixing, op9_pii, op10_packing)}
 
-#: None of the ten has a form in SQL that DuckDB could run over whole tables: they encode, compress,
-#: permute under keys, train or iterate. tests/llm compares each with brute force or a round trip.
-ORACLE: dict[str, str] = {}
+#: The queries that DuckDB can say in SQL over whole tables; the others encode, compress, permute under
+#: keys, train or iterate, and tests/llm compares them with brute force or a round trip.
+ORACLE: dict[str, str] = {
+    "op2_warc": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html,''))) AS payload_bytes, sha1(coalesce(html,'')) AS payload_digest FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN payload_bytes>=1000 AND page_id<>best THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN payload_bytes>=1000 AND page_id<>best THEN best END AS refers_to FROM m""",
+    "op3_embedding_dedup": """WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+g AS (SELECT vec_id, x, sqrt(list_dot_product(x,x)) AS n FROM e WHERE x IS NOT NULL AND len(x)>0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v)))=0 AND list_dot_product(x,x)>0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id<>b.vec_id AND len(a.x)=len(b.x) AND list_dot_product(a.x,b.x)/(a.n*b.n)>=0.95),
+r(node, root) AS (SELECT vec_id, vec_id FROM e UNION SELECT l.b, r.root FROM r JOIN l ON l.a=r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a=vec_id) AS n_links, component_id, vec_id=component_id AS kept FROM e JOIN c ON node=vec_id""",
+}

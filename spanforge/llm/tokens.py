@@ -13,7 +13,7 @@ import ctypes
 import gc
 import os
 import zlib
-from itertools import islice
+from itertools import chain, islice
 from unicodedata import is_normalized, normalize
 
 import numpy as np
@@ -23,7 +23,7 @@ import regex
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct pieces that a worker keeps before it starts anew, and text bytes it takes at once.
-KEEP, TAKE = 550_000, 2 << 20
+KEEP, TAKE = 700_000, 2 << 20
 #: Pieces that are encoded in one string.
 GROUP = 200
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -119,7 +119,7 @@ class WordEncoder:
         pieces = [_folded(t).split() for t in texts]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         get = self.index.__getitem__
-        codes = np.fromiter((c for p in pieces for c in map(get, p)), np.int64, int(n.sum()))
+        codes = np.fromiter(map(get, chain.from_iterable(pieces)), np.int64, int(n.sum()))
         if len(self.index) > self.known:
             self._learn()
         size = self.sizes[codes]
