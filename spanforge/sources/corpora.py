@@ -106,3 +106,20 @@ def keep_first(examples: DataFrame) -> DataFrame:
     """First row of each (context, stripped lower-case question), by ord."""
     key = Window.partitionBy(F.xxhash64("context"), "context", F.lower(F.trim("question"))).orderBy("ord")
     return examples.withColumn("k", F.row_number().over(key)).where("k = 1").drop("k")
+
+
+def read_config(spark: SparkSession, path: str) -> dict:
+    """A small JSON document beside a model; {} where there is none."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return {}
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def write_config(spark: SparkSession, config: dict, path: str) -> None:
+    import json
+
+    spark.createDataFrame([(json.dumps(config, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
