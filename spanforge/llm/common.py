@@ -35,6 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
 
 
+def clean(spark: SparkSession) -> None:
+    """Deletes all scratch tables and files of the shared folder, once no result that reads them is in use."""
+    remove(spark, f"{shared_dir(spark).rstrip('/')}/spanforge")
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: the lineage ends there and survives lost executors."""
     spark = df.sparkSession

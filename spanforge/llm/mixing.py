@@ -178,13 +178,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST)
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The documents, all columns kept, each as often as the mix takes it.
 
-    A doc_id names a document: of rows that share doc_id, source and size one stands for all, and is
-    repeated as often as they were taken together.
+    A doc_id names a document, and a text does where it is null: of rows that share it, source and size
+    one stands for all, and is repeated as often as they were taken together.
     """
     size = n_words(F.col("text").cast("string"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
     key = lambda i, n: F.to_json(F.struct(i.cast("long").alias("i"), F.col("source").cast("string").alias("s"), n.alias("n")))
-    fate = balanced_mix(docs.select(F.col("doc_id").alias("id"), "source", size.alias("size")), weights, most)
+    fate = balanced_mix(docs.select(own.alias("id"), "source", size.alias("size")), weights, most)
     fate = fate.groupBy(key(F.col("id"), F.col("size")).alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(F.col("doc_id"), size).alias("key"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(own, size).alias("key"))
     one = rows.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("k = 1")
     return one.join(fate, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

@@ -106,8 +106,11 @@ def _phone(s: str, key: bytes) -> str | None:
     d = _only_digits(s)
     national = lambda x: x[0] > "1" and x[3] > "1"
     if len(d) == 10 and not s.startswith("+") or len(d) == 11 and d[0] == "1" and s.startswith("+1"):
-        own = d[-10:]
-        return _refill(s, d[:-10] + _walk(own, key, "phone", national)) if national(own) else None
+        own, good = d[-10:], national(d[-10:])
+        if not good and s[0] not in "+(":
+            return None  # bare digits are a telephone number only if their prefixes exist
+        # numbers with existing prefixes change among themselves, and so do the others
+        return _refill(s, d[:-10] + _walk(own, key, "phone", lambda x: national(x) == good))
     if not s.startswith("+") or not 8 <= len(d) <= 15:
         return None
     code = len(re.match(r"\+(\d{1,3})", s)[1]) if re.match(r"\+\d{1,3}[^\d]", s) else 2
