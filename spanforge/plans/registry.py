@@ -580,7 +580,7 @@ def e2b_number_rich(s, d):
 
 
 _CUT = rf"""{S.WITH_EX}, c0 AS (SELECT qid, answers[1] AS a, {_SENT} AS ss, len(string_split({S.boundary_marks('substr(context,1,(answer_start+1)::BIGINT)')},chr(1))) AS i, len(string_split({S.boundary_marks('substr(context,1,(answer_start+length(answers[1]))::BIGINT)')},chr(1))) AS j FROM ex WHERE len(answers)>0 AND answer_start>=0),
-c1 AS (SELECT qid, a, regexp_replace(ss[i],'^\s+','') AS removed, {S.trim("array_to_string(ss[1:i-1],'')||regexp_replace(array_to_string(ss[i+1:],''),'^\s+','')")} AS new_context FROM c0 WHERE len(ss)>=3 AND i=j)"""
+c1 AS (SELECT qid, a, regexp_replace(ss[i],'^\s+','') AS removed, {S.trim(r"array_to_string(ss[1:i-1],'')||regexp_replace(array_to_string(ss[i+1:],''),'^\s+','')")} AS new_context FROM c0 WHERE len(ss)>=3 AND i=j)"""
 
 
 @query(f"{_CUT} SELECT qid, removed, md5(new_context) AS digest FROM c1 WHERE strpos(new_context,a)=0 AND ({S.norm('a')}='' OR strpos(' '||{S.norm('new_context')}||' ',' '||{S.norm('a')}||' ')=0)")
