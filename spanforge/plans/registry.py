@@ -12,6 +12,7 @@ from spanforge.functions import text as X
 from spanforge.operators import dataset, diagnosis, eda, report, retrieval, scoring, spans, stress, threshold, training
 from spanforge.plans import fixtures as fx
 from spanforge.plans import sql as S
+from spanforge.runtime import saved
 from spanforge.sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -397,6 +398,7 @@ def _tau_windows(s, d):
     none = F.col("qid") % 2 == 1
     w = w.withColumn("em", F.when(none, 0.0).otherwise(((F.col("s") == F.col("gs")) & (F.col("e") == F.col("ge"))).cast("double")))
     w = w.withColumn("f1", F.when(none | (over <= 0), 0.0).otherwise(2.0 * over / ((F.col("e") - F.col("s") + 1) + (F.col("ge") - F.col("gs") + 1))))
+    w = saved(w, "windows")  # each window is searched once, whatever is asked of its scores
     a = w.select("qid").distinct().select("qid", none.cast("double").alias("em0"), none.cast("double").alias("f1_0"))
     return w, a
 
@@ -615,12 +617,12 @@ def stress_items(s, d):
 
 @query("SELECT NULL::VARCHAR AS qid, NULL::VARCHAR AS reason WHERE false")
 def stress_audit(s, d):
-    return stress.audit(stress.build(fx.examples(s, d)))
+    return stress.audit(saved(stress.build(fx.examples(s, d)), "stress"))
 
 
 @query()
 def stress_subsets(s, d):
-    return stress.subset_stats(stress.build(fx.examples(s, d)))
+    return stress.subset_stats(saved(stress.build(fx.examples(s, d)), "stress"))
 
 
 @query(f"""{S.SCORED}, t AS (SELECT system, qid, em, f1, 'pair'||(ord//1000) AS pair_id, turn, row_number() OVER (PARTITION BY system, ord//1000 ORDER BY turn) AS k FROM items),

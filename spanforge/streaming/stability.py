@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from spanforge.runtime import ready
+from spanforge.runtime import new_path, ready
 
 OUT = "run string, n_steps bigint, max_rise double, first_violation bigint"
 STATE = "recent array<double>, total double, least double, n bigint, max_rise double, first bigint"
@@ -49,12 +49,8 @@ def run_to_end(steps: DataFrame, window: int = 200, tolerance: float = 0.2) -> D
     The table goes through a shared folder as a file stream; every update is written there too, and
     the last one of a run is that with the most steps.
     """
-    import tempfile
-    import uuid
-
     spark = ready(steps.sparkSession)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanforge-")
-    path = f"{base.rstrip('/')}/stability-{uuid.uuid4().hex}"
+    path = new_path(spark, "stability")
     one = steps.select("run", "step", "loss")
     one.write.parquet(f"{path}/in")
     stream = spark.readStream.schema(one.schema).parquet(f"{path}/in")
