@@ -2,65 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.runtime import ready
+from spanforge.runtime import cut, new_path, ready, remove, saved, shared_dir
 
 #: ASCII white space as the contracts define it; everything else belongs to a word.
 WORD_SPACE = " \\t\\n\\x0B\\f\\r"
 WORD = f"[^{WORD_SPACE}]+"
 
+
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     """mapInArrow; Spark bounds its batches in rows and in bytes."""
     ready(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spanforge-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
-
-
 def clean(spark: SparkSession) -> None:
     """Deletes all scratch tables and files of the shared folder, once no result that reads them is in use."""
     remove(spark, f"{shared_dir(spark).rstrip('/')}/spanforge")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() for small tables; its files go when the table is out of use."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a scratch folder of our own in whatever file system holds it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def write_blobs(df: DataFrame, column: str, path: str, separator: bytes) -> None:
     """Writes binary values, each followed by `separator`, as raw files through Spark's own committer.
 
