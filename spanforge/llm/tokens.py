@@ -64,11 +64,18 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(0)  # our own index takes its place
+        if getattr(self.tokenizer.model, "end_of_word_suffix", None) != "</w>":
+            raise ValueError(f"{path} doesn't mark the ends of words, so its ids can't be put together from pieces")
+        unchanged, letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        unchanged.normalizer = letters.normalizer = None
+        letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.variants = (letters, unchanged, self.tokenizer)
+        for t in self.variants:
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # our own index takes its place
         size = self.tokenizer.get_vocab_size()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(size, 1 + max(vocabulary.values(), default=0)), bool)
@@ -84,12 +91,41 @@ class WordEncoder:
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self) -> None:
-        """Encodes the pieces that the index has new, in groups whose boundaries are checked."""
+        """Encodes the pieces that the index has new, in groups whose boundaries are checked.
+
+        Pieces that normalisation leaves alone go to copies of the tokenizer without it, and of these
+        the ones of letters alone, which are one unit each, to a copy that only splits at spaces.
+        """
         words = [w.decode("utf-8", "replace") for w in islice(self.index, self.known, None)]
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            own = w == w.lower() and "<" not in w and (w.isascii() or is_normalized("NFC", w))
+            kinds[2 if not own else 0 if w.isalpha() else 1].append(k)
+        flat, size, start = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        at = self.used
+        for tokenizer, order in zip(self.variants, kinds, strict=True):
+            ids, sizes = self._grouped(tokenizer, [words[k] for k in order])
+            flat.append(ids)
+            size[order] = sizes
+            start[order] = at + np.cumsum(sizes) - sizes
+            at += len(ids)
+        if at > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(at, 2 * self.used) - self.used, np.uint32)))
+        if len(self.index) > len(self.sizes):
+            grow = np.empty(2 * len(self.index), np.int64)
+            self.sizes, self.starts = (np.concatenate((x[: self.known], grow[self.known :])) for x in (self.sizes, self.starts))
+        self.flat[self.used : at] = np.concatenate(flat)
+        self.sizes[self.known : len(self.index)] = size
+        self.starts[self.known : len(self.index)] = start
+        self.used, self.known = at, len(self.index)
+
+    def _grouped(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each one's number of ids)."""
+        if not words:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
-        found = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         flat, sizes = [], []
-        for group, e in zip(groups, found, strict=True):
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
             counts = np.fromiter(map(_pretokens, group), np.int64, len(group))
             last = np.flatnonzero(self.ends[ids]) + 1
@@ -100,17 +136,7 @@ class WordEncoder:
                 sizes.append(np.array([len(x.ids) for x in each], np.int64))
                 ids = np.array([i for x in each for i in x.ids], np.uint32)
             flat.append(ids)
-        ids, size = np.concatenate(flat), np.concatenate(sizes)
-        need = self.used + len(ids)
-        if need > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.used], np.empty(max(need, 2 * self.used) - self.used, np.uint32)))
-        if len(self.index) > len(self.sizes):
-            grow = np.empty(2 * len(self.index), np.int64)
-            self.sizes, self.starts = (np.concatenate((x[: self.known], grow[self.known :])) for x in (self.sizes, self.starts))
-        self.flat[self.used : need] = ids
-        self.sizes[self.known : len(self.index)] = size
-        self.starts[self.known : len(self.index)] = self.used + np.cumsum(size) - size
-        self.used, self.known = need, len(self.index)
+        return np.concatenate(flat), np.concatenate(sizes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """texts: at most a few MB together, but for single long ones."""
