@@ -178,57 +178,57 @@ def _checked(view: memoryview, at: int, end: int) -> None:
 
 
 def token_table(docs: DataFrame, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text and the end id, as zstandard-packed integers."""
+    """(doc_id, ids, counts): the ids of each whole text and the end id, as zstandard-packed integers.
+
+    counts is null but in one more row per task, without ids, that has the task's id counts; so the
+    frequency table needs no second pass over the ids.
+    """
     path = tokenizer or tokens.default_path()
 
     def made(batches):
         pack = zstandard.ZstdCompressor(level=1, write_content_size=True)
+        total, docs_seen = np.zeros(end_id + 1, np.int64), 0
         for batch in batches:
             ids_of = batch.column(0)
             for first, flat, sizes in tokens.encoded(batch.column(1), path):
-                flat = flat.astype("<u4") if len(flat) and int(flat.max()) > 0xFFFF else flat.astype("<u2")
+                more = np.bincount(flat, minlength=len(total))
+                more[: len(total)] += total
+                total, docs_seen = more, docs_seen + len(sizes)
+                flat = flat.astype("<u4") if len(more) > 1 << 16 else flat.astype("<u2")
                 end, at, out = np.array([end_id], flat.dtype), 0, []
                 mark = bytes([flat.dtype.itemsize])
                 for n in sizes.tolist():
                     out.append(mark + pack.compress(np.concatenate((flat[at : at + n], end)).tobytes()))
                     at += n
-                yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(sizes)), pa.array(out, pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids_of.slice(first, len(sizes)), pa.array(out, pa.binary()), pa.nulls(len(sizes), pa.binary())], ["doc_id", "ids", "counts"])
+        if docs_seen:
+            total[end_id] += docs_seen
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], ["doc_id", "ids", "counts"])
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return common.map_arrow(table, made, "doc_id long, ids binary")
-
-
-def _unpacked(values, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
-    return [np.frombuffer(unpack.decompress(v[1:]), "<u2" if v[0] == 2 else "<u4") for v in values.to_pylist()]
+    return common.map_arrow(table, made, "doc_id long, ids binary, counts binary")
 
 
 def token_counts(table: DataFrame) -> np.ndarray:
-    """How often each id occurs in a token_table; at most the vocabulary's size reaches the driver."""
+    """How often each id occurs, from a token_table's count rows; at most the vocabulary's size reaches the driver."""
 
-    def counted(batches):
-        tokens.release()
-        total, unpack = np.zeros(0, np.int64), zstandard.ZstdDecompressor()
+    def spread(batches):
         for batch in batches:
-            held, n = [], 0
-            arrays = _unpacked(batch.column(0), unpack)
-            for k, ids in enumerate(arrays):
-                held.append(ids)
-                n += len(ids)
-                if n >= BLOCK or k == len(arrays) - 1:  # a count costs the vocabulary's size, so not one per text
-                    more = np.bincount(np.concatenate(held))
-                    if len(more) > len(total):
-                        total = np.pad(total, (0, len(more) - len(total)))
-                    total[: len(more)] += more
-                    held, n = [], 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-    rows = common.map_arrow(table.select("ids"), counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+            for packed in batch.column(0).to_pylist():
+                total = np.frombuffer(zlib.decompress(packed), "<i8")
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], ["id", "n"])
+
+    rows = common.map_arrow(table.where("counts is not null").select("counts"), spread, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     counts[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return counts
 
 
+def _unpacked(values, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
+    return [np.frombuffer(unpack.decompress(v[1:]), "<u2" if v[0] == 2 else "<u4") for v in values.to_pylist()]
+
+
 def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, block: int = BLOCK) -> None:
     """Writes the documents' ids to files of this format, in ascending doc_id order over all files (null first)."""
     spark = docs.sparkSession
@@ -258,7 +258,7 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
         if names:
             yield record(coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32)))
 
-    ordered = table.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    ordered = table.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     common.write_blobs(common.map_arrow(ordered, coded, "data binary"), "data", path, RECORD_END)
     common.remove(spark, table.inputFiles()[0].rsplit("/", 1)[0])
 

@@ -23,7 +23,7 @@ import regex
 
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct pieces that a worker keeps before it starts anew, and text bytes it takes at once.
-KEEP, TAKE = 700_000, 2 << 20
+KEEP, TAKE = 700_000, 4 << 20
 #: Pieces that are encoded in one string.
 GROUP = 200
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -88,7 +88,7 @@ class WordEncoder:
         self.index = _Index()
         self.known = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.starts, self.sizes = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     def _learn(self) -> None:
         """Encodes the pieces that the index has new, in groups whose boundaries are checked.
@@ -112,7 +112,7 @@ class WordEncoder:
         if at > len(self.flat):
             self.flat = np.concatenate((self.flat[: self.used], np.empty(max(at, 2 * self.used) - self.used, np.uint32)))
         if len(self.index) > len(self.sizes):
-            grow = np.empty(2 * len(self.index), np.int64)
+            grow = np.empty(2 * len(self.index), np.int32)
             self.sizes, self.starts = (np.concatenate((x[: self.known], grow[self.known :])) for x in (self.sizes, self.starts))
         self.flat[self.used : at] = np.concatenate(flat)
         self.sizes[self.known : len(self.index)] = size
@@ -145,13 +145,17 @@ class WordEncoder:
         pieces = [_folded(t).split() for t in texts]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         get = self.index.__getitem__
-        codes = np.fromiter(map(get, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        codes = np.fromiter(map(get, chain.from_iterable(pieces)), np.int32, int(n.sum()))
         if len(self.index) > self.known:
             self._learn()
         size = self.sizes[codes]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.starts[codes] - total[:-1], size) + np.arange(total[-1])]
-        return ids, np.diff(total[np.concatenate(([0], np.cumsum(n)))])
+        total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        if total[-1] < 1 << 31:  # 32-bit positions, which halves what is moved
+            at = np.repeat(self.starts[codes] - total[:-1].astype(np.int32), size)
+            at += np.arange(len(at), dtype=np.int32)
+        else:
+            at = np.repeat(self.starts[codes] - total[:-1], size) + np.arange(total[-1])
+        return self.flat[at], np.diff(total[np.concatenate(([0], np.cumsum(n)))])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
