@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 from spanforge.llm import common, tokens
 
 RECORD_END = b"\r\nSFR."
-SCALE, LANES, STEPS, BLOCK = 20, 1024, 256, 1 << 19
+SCALE, LANES, STEPS, BLOCK = 20, 4096, 64, 1 << 19
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<BHII")
 _BLOCK = struct.Struct("<IQIII")

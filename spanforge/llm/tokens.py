@@ -88,6 +88,7 @@ class WordEncoder:
         self.index = _Index()
         self.known = 0
         self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.uses = np.zeros(1 << 14, np.int64)
         self.starts, self.sizes = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32)
 
     def _learn(self) -> None:
@@ -104,7 +105,7 @@ class WordEncoder:
         flat, size, start = [], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         at = self.used
         for tokenizer, order in zip(self.variants, kinds, strict=True):
-            ids, sizes = self._grouped(tokenizer, [words[k] for k in order])
+            ids, sizes = self._grouped(tokenizer, [words[k] for k in order], tokenizer is self.variants[0])
             flat.append(ids)
             size[order] = sizes
             start[order] = at + np.cumsum(sizes) - sizes
@@ -119,16 +120,16 @@ class WordEncoder:
         self.starts[self.known : len(self.index)] = start
         self.used, self.known = at, len(self.index)
 
-    def _grouped(self, tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words, each one's number of ids)."""
+    def _grouped(self, tokenizer, words: list[str], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, each one's number of ids); letters: the words are one unit each."""
         if not words:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
         flat, sizes = [], []
         for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.uint32)
-            counts = np.fromiter(map(_pretokens, group), np.int64, len(group))
             last = np.flatnonzero(self.ends[ids]) + 1
+            counts = np.ones(len(group), np.int64) if letters else np.fromiter(map(_pretokens, group), np.int64, len(group))
             if len(last) == counts.sum() and not any(s in w for s in self.special for w in group if "<" in w):
                 sizes.append(np.diff(np.concatenate(([0], last))[np.concatenate(([0], np.cumsum(counts)))]))
             else:  # a special token, or units that were counted otherwise: word by word then
@@ -138,16 +139,37 @@ class WordEncoder:
             flat.append(ids)
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def _trim(self) -> None:
+        """Starts anew with the pieces that occurred again, the most frequent half at most."""
+        uses = self.uses[: self.known]
+        keep = np.flatnonzero(uses > 1)
+        if len(keep) > KEEP // 2:
+            keep = np.sort(keep[np.argpartition(-uses[keep], KEEP // 2)[: KEEP // 2]])
+        words = list(self.index)
+        size, start = self.sizes[keep], self.starts[keep]
+        end = np.cumsum(size, dtype=np.int64)
+        total = int(end[-1]) if len(end) else 0
+        flat = self.flat[np.repeat(start - (end - size), size) + np.arange(total)]
+        self._clear()
+        self.index.update(zip((words[k] for k in keep.tolist()), range(len(keep))))
+        self.flat, self.used, self.known = np.concatenate((flat, self.flat)), total, len(keep)
+        self.sizes = np.concatenate((size, self.sizes)).astype(np.int32)
+        self.starts = np.concatenate((end - size, self.starts)).astype(np.int32)
+        self.uses = np.concatenate((np.zeros(len(keep), np.int64), self.uses))
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """texts: at most a few MB together, but for single long ones."""
         if len(self.index) > KEEP:
-            self._clear()
+            self._trim()
         pieces = [_folded(t).split() for t in texts]
         n = np.fromiter(map(len, pieces), np.int64, len(pieces))
         get = self.index.__getitem__
         codes = np.fromiter(map(get, chain.from_iterable(pieces)), np.int32, int(n.sum()))
         if len(self.index) > self.known:
             self._learn()
+        if self.known > len(self.uses):
+            self.uses = np.concatenate((self.uses, np.zeros(2 * self.known - len(self.uses), np.int64)))
+        self.uses[: self.known] += np.bincount(codes, minlength=self.known)
         size = self.sizes[codes]
         total = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         if total[-1] < 1 << 31:  # 32-bit positions, which halves what is moved

@@ -66,7 +66,7 @@ def test_word_encoder_equals_the_tokenizer(tokenizer):
 def test_encoder_starts_anew_beyond_its_bound(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", 3)
     enc = tokens.WordEncoder(tokens.default_path())
-    for t in ("a b c d e f", "g h a", "a b c"):
+    for t in ("a b c d e f b", "g h a b", "a b c b b", "bb aa b c", "b bb"):
         assert enc.encode([t.encode()])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
