@@ -25,8 +25,9 @@ from spanforge.llm import common
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Spread that the estimate adds to each transformed statistic, in its order: a clean group without
-#: symbols or repeats must not make the first one an outlier.
-FLOORS = (0.06, 0.2, 0.25, 0.2)
+#: symbols or repeats must not make the first one an outlier. The base rules leave roots of shares up to
+#: about 0.71, so those of the repeats must be under 0.71 / sqrt(23.51) for one of them alone to reject.
+FLOORS = (0.06, 0.2, 0.12, 0.12)
 SHARE, STEPS, MIN_GROUP, CUTOFF = 0.7, 3, 30, 0.9999
 P = len(FLOORS)
 _MEANS = [f"m{i}" for i in range(P)]

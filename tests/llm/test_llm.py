@@ -371,6 +371,24 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert quality.screen(df.limit(0)).count() == 0 and quality.rate(documents(spark, [None])).first().kept is False
 
 
+def test_each_repeat_share_rejects_alone(spark):
+    """45 % repeated words, or half of the lines repeated, in a group without repeats; both pass the base rules."""
+    rng = random.Random(4)
+    good = [prose(rng, rng.randint(60, 600)) for _ in range(160)]
+    words, lines = [], []
+    for _ in range(5):
+        a = prose(rng, 45)
+        words.append(" ".join([a, prose(rng, 110), a]))
+        x = list(dict.fromkeys(prose(rng, 100).split()))[:60] * 2
+        rng.shuffle(x)
+        lines.append("\n".join(x))
+    got = {r.doc_id: r for r in quality.rate(documents(spark, good + words + lines)).collect()}
+    for k, name, least in [(k, "n_repeat_words", 90) for k in range(160, 165)] + [(k, "n_dup_lines", 60) for k in range(165, 170)]:
+        assert got[k][name] >= least and not got[k].base_failed and not got[k].kept
+    assert all(got[k].n_repeat_words < 20 for k in range(165, 170)) and all(got[k].n_dup_lines == 0 for k in range(160, 165))
+    assert all(got[k].kept for k in range(160))
+
+
 def test_quality_plan_is_native(spark, corpus):
     plan = quality.rate(corpus)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
