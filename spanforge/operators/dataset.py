@@ -55,8 +55,8 @@ def split_by_key(rows: DataFrame, key: str, fraction: float = 0.2, seed: object
     return out.withColumn("split", F.when(F.col("second"), names[1]).otherwise(names[0])).drop("draw", "second")
 
 
-def first_by_draw(keys: DataFrame, most: Column) -> DataFrame:
-    """Rows of (draw, ...) that are among the first `most` by draw; `most` may name the total n.
+def first_by_draw(keys: DataFrame, most: Column, place: str | None = None) -> DataFrame:
+    """Rows of (draw, ...) that are among the first `most` by draw; `most` may name the total n. place: a column for the rank, from 1.
 
     Counts per leading four hex digits (65536 at most) place each bucket; ranks are taken inside
     buckets alone.
@@ -69,7 +69,8 @@ def first_by_draw(keys: DataFrame, most: Column) -> DataFrame:
     sizes = sizes.withColumn("most", most).where("before < most").select("bucket", "before", "most")
     inside = Window.partitionBy("bucket").orderBy("draw")
     ranked = rows.join(sizes, "bucket").withColumn("rank", F.col("before") + F.row_number().over(inside))
-    return ranked.where("rank <= most").drop("bucket", "before", "most", "rank")
+    ranked = ranked.where("rank <= most").drop("bucket", "before", "most")
+    return ranked.withColumnRenamed("rank", place) if place else ranked.drop("rank")
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int | None, seed: object = 42) -> DataFrame:

@@ -157,8 +157,9 @@ def capped_sample(pool: DataFrame, n: int | None, subset: str, seed: int = 42, p
     order = dataset.draw(F.col("qid"), f"{seed}-{subset}")
     r = pool.withColumn("draw", order)
     r = r.withColumn("c", F.row_number().over(Window.partitionBy(F.xxhash64("context"), "context").orderBy("draw", "qid"))).where(F.col("c") <= per_context).drop("c")
-    if n is not None:
-        r = dataset.first_by_draw(r, F.lit(n))  # then n rows are left to number
+    if n is None:
+        return dataset.first_by_draw(r, F.col("n"), "k").withColumn("k", F.col("k") - 1).drop("draw")
+    r = dataset.first_by_draw(r, F.lit(n))  # then n rows are left to number
     return r.withColumn("k", F.row_number().over(Window.orderBy("draw", "qid")) - 1).drop("draw")
 
 
@@ -166,13 +167,14 @@ def items(pool: DataFrame, subset: str, role: str = "slice", twins: bool = False
     """Stress items s2-<subset>-<k> of a capped pool, with their originals (-orig) if twins.
 
     Perturbed pools bring new_question, new_context, new_answers or note as columns; what is missing is taken as it is.
+    new_starts are the answers' places, where they aren't the first ones in the context.
     """
     have = set(pool.columns)
     col = lambda new, old: F.col(new) if new in have else F.col(old)
     qid = F.format_string(f"s2-{subset}-%04d", "k")
     shared = [F.col("title"), F.lit(subset[:2]).alias("category"), F.lit(subset).alias("subset")]
     starts = lambda c, a: F.transform(a, lambda x: F.instr(c, x) - 1)
-    main = pool.select(qid.alias("qid"), col("new_question", "question").alias("question"), col("new_context", "context").alias("context"), *shared, col("new_answers", "answers").alias("answers"), starts(col("new_context", "context"), col("new_answers", "answers")).alias("answer_starts"), F.lit(role).alias("role"), F.col("qid").alias("source_qid"), (qid if twins else F.lit(None).cast("string")).alias("pair_id"), (F.col("note") if "note" in have else F.lit("")).alias("note"))
+    main = pool.select(qid.alias("qid"), col("new_question", "question").alias("question"), col("new_context", "context").alias("context"), *shared, col("new_answers", "answers").alias("answers"), (F.col("new_starts") if "new_starts" in have else starts(col("new_context", "context"), col("new_answers", "answers"))).alias("answer_starts"), F.lit(role).alias("role"), F.col("qid").alias("source_qid"), (qid if twins else F.lit(None).cast("string")).alias("pair_id"), (F.col("note") if "note" in have else F.lit("")).alias("note"))
     if not twins:
         return main
     twin = pool.select(F.concat(qid, F.lit("-orig")).alias("qid"), "question", "context", *shared, "answers", starts(F.col("context"), F.col("answers")).alias("answer_starts"), F.lit("original").alias("role"), F.col("qid").alias("source_qid"), qid.alias("pair_id"), F.lit("").alias("note"))
@@ -180,12 +182,16 @@ def items(pool: DataFrame, subset: str, role: str = "slice", twins: bool = False
 
 
 def build(examples: DataFrame, sizes: dict[str, int | None] | None = None, seed: int = 42) -> DataFrame:
-    """The subsets that need no segmenter: E2a, E2b, E2c, E3a, E3b, E4 and E5."""
+    """All subsets: E1a, E1b, E2a, E2b, E2c, E3a, E3b, E4 and E5. Examples bring the words of their contexts too, for E1."""
     size = SIZES | (sizes or {})
+    at = {"texts": F.col("answers"), "new_starts": X.locate_all(F.col("context"), F.col("answers"), F.col("answer_start")), "answers": X.located(F.col("context"), F.col("answers"), F.col("answer_start"))}
+    aligned = spans.boundary_alignment(answerable(examples).withColumns(at))
+    words_off = lambda pool: pool.select("qid", "question", "context", "title", F.col("texts").alias("answers"), "new_starts")
+    examples = examples.drop("words")
     good = answerable(examples)
     none = F.array().cast("array<string>")
     cap = lambda pool, s: capped_sample(pool, size[s], s, seed)
-    slices = {"E2a": late_answers(examples), "E2b": number_rich(examples), "E3a": examples.where("is_impossible"), "E4": lexical_gap(good).where("gap")}
+    slices = {"E1a": words_off(misaligned(aligned)), "E1b": words_off(compound_edges(aligned)), "E2a": late_answers(examples), "E2b": number_rich(examples), "E3a": examples.where("is_impossible"), "E4": lexical_gap(good).where("gap")}
     e3b = removed_sentence(examples).withColumns({"new_answers": none, "note": F.concat(F.lit("câu đã xoá: "), "removed")})
     e2c = distractors(examples, seed=seed).withColumn("note", F.concat(F.lit("câu nhiễu: "), "fake"))
     usable = good.select("qid").unionByName(examples.where("is_impossible").select("qid"))

@@ -610,19 +610,23 @@ def capped_sample(s, d):
     return stress.capped_sample(pool, 100, "E3a").select("qid", F.col("k").cast("long").alias("k"))
 
 
+def _stress_set(s, d):
+    return stress.build(saved(stress.with_words(fx.examples(s, d)), "words"))  # words are long expressions that each subset would repeat
+
+
 @query()
 def stress_items(s, d):
-    return stress.build(fx.examples(s, d)).select("qid", "category", "subset", "role", "source_qid", "pair_id", F.size("answers").cast("long").alias("n_answers"))
+    return _stress_set(s, d).select("qid", "category", "subset", "role", "source_qid", "pair_id", F.size("answers").cast("long").alias("n_answers"))
 
 
 @query("SELECT NULL::VARCHAR AS qid, NULL::VARCHAR AS reason WHERE false")
 def stress_audit(s, d):
-    return stress.audit(saved(stress.build(fx.examples(s, d)), "stress"))
+    return stress.audit(saved(_stress_set(s, d), "stress"))
 
 
 @query()
 def stress_subsets(s, d):
-    return stress.subset_stats(saved(stress.build(fx.examples(s, d)), "stress"))
+    return stress.subset_stats(saved(_stress_set(s, d), "stress"))
 
 
 @query(f"""{S.SCORED}, t AS (SELECT system, qid, em, f1, 'pair'||(ord//1000) AS pair_id, turn, row_number() OVER (PARTITION BY system, ord//1000 ORDER BY turn) AS k FROM items),

@@ -169,6 +169,26 @@ def test_removed_sentence_is_safe(spark, small):
     assert [(x.qid, x.removed, x.new_context) for x in r] == [("q1", "Hà Nội là thủ đô.", "Huế đẹp. Sông dài.")]
 
 
+def test_build_takes_misaligned_answers_and_compound_edges(spark):
+    rows = [
+        (0, "cut", "?", "Nội. Ở Hà Nội có", "t", ["Nội"], 10, False), (1, "edge", "?", "Ở Hà Nội có mưa", "t", ["Hà Nội có"], 2, False),
+        (2, "low", "?", "Một con mèo", "t", ["con mèo"], 4, False), (3, "some", "?", "Ở Hà Nội, Huế", "t", ["Nội", "Huế"], 5, False),
+        (4, "none", "?", "Ở Hà Nội có", "t", [], -1, True),
+    ] + [(5 + k, f"c{k}", "?", "Ra Hà Nội", "t", ["Nội"], 6, False) for k in range(3)]
+    words = {"Nội. Ở Hà Nội có": [("Nội.", 0, 4), ("Ở", 5, 6), ("Hà_Nội", 7, 13), ("có", 14, 16)], "Ở Hà Nội có mưa": [("Ở", 0, 1), ("Hà_Nội", 2, 8), ("có", 9, 11), ("mưa", 12, 15)], "Một con mèo": [("Một", 0, 3), ("con_mèo", 4, 11)], "Ở Hà Nội, Huế": [("Ở", 0, 1), ("Hà_Nội", 2, 8), (",", 8, 9), ("Huế", 10, 13)], "Ra Hà Nội": [("Ra", 0, 2), ("Hà_Nội", 3, 9)]}
+    w = spark.createDataFrame(list(words.items()), "context string, words array<struct<tok:string,s:int,e:int>>")
+    ex = examples(spark, rows).join(w, "context", "left")
+    built = stress.build(ex)
+    got = [r for r in built.collect() if r.category == "E1"]
+    e1a = [r for r in got if r.subset == "E1a"]
+    assert sorted(r.qid for r in e1a) == ["s2-E1a-0000", "s2-E1a-0001", "s2-E1a-0002"] and {r.source_qid for r in e1a} > {"cut"}
+    assert sum(r.source_qid.startswith("c") and r.source_qid != "cut" for r in e1a) == stress.PER_CONTEXT
+    assert [(r.source_qid, r.answers, r.answer_starts) for r in e1a if r.source_qid == "cut"] == [("cut", ["Nội"], [10])]
+    assert {r.source_qid: r.answer_starts for r in got if r.subset == "E1b"} == {"edge": [2], "some": [5, 10]} and all(r.role == "slice" for r in got)
+    assert stress.audit(built).where("qid like 's2-E1%'").count() == 0
+    assert stress.build(ex, {"E1b": 1}).where("subset = 'E1b'").count() == 1
+
+
 def test_distractor_keeps_the_answer(spark):
     ex = examples(spark, [(0, "q", "Paris năm nào?", "Paris có hội chợ năm 1889. Ngày 5 tháng 3 vui.", "Paris", ["1889"], 21, False)])
     r = stress.distractors(ex).first()
