@@ -169,6 +169,28 @@ def test_removed_sentence_is_safe(spark, small):
     assert [(x.qid, x.removed, x.new_context) for x in r] == [("q1", "Hà Nội là thủ đô.", "Huế đẹp. Sông dài.")]
 
 
+def test_profile_of_answers(spark):
+    c = "Ab cd. Ef gh. Ij kl."
+    rows = [(0, "a", "Ab là gì?", c, "t", ["Ab", "Ab", "cd"], 0, False), (1, "b", "Ở đâu?", c, "t", ["gh"], 10, False), (2, "c", "Ai?", c, "u", ["kl"], 17, False), (3, "d", "Ab là ai?", c, "t", [], -1, True)]
+    ex = examples(spark, rows)
+    r = eda.split_profile(ex).first()
+    assert (r.answer_q1, r.answer_median, r.answer_q3) == (0.0, 0.5, 0.85) and r.answer_mostly_in_question_pct == 33.33
+    assert r.answer_deciles == [1, 0, 0, 0, 0, 1, 0, 0, 1, 0] and r.answer_sentence_index == [1, 1, 1, 0, 0, 0, 0]
+    assert {(x.n_golds, x.n) for x in eda.gold_variants(ex).collect()} == {(2, 1), (1, 2)}
+    assert {(x.title, x.n, x.impossible_pct) for x in eda.impossible_share(ex, F.col("title"), "title").collect()} == {("t", 3, 33.3), ("u", 1, 0.0)}
+    pairs = spark.createDataFrame([(f"q{k}", 0.9 if k else 0.5, "x y z", "x y w") for k in range(5)], "qid string, jaccard double, question string, sibling string")
+    order = spark.createDataFrame([(f"q{k}", k) for k in range(5)], "qid string, ord bigint")
+    assert [x.qid for x in eda.edit_examples(pairs, order).orderBy("k").collect()] == ["q1", "q2", "q3"]
+    noise = eda.label_noise(examples(spark, [(0, "a", "?", "xyz", "t", ["y"], 1, False), (1, "b", "?", "x y", "t", ["x"], 0, False)])).first()
+    assert (noise.cut_start, noise.cut_end, noise.cut_any_pct) == (1, 1, 100.0)
+
+
+def test_plausible_answers_that_are_siblings_golds(spark):
+    ex = examples(spark, [(0, "a", "?", "c", "t", ["Hà Nội.", "!"], 0, False), (1, "b", "?", "c", "t", [], -1, True), (2, "c", "?", "other", "t", [], -1, True), (3, "d", "?", "c", "t", [], -1, True)])
+    p = spark.createDataFrame([("b", ["hà nội", "x"]), ("c", ["Hà Nội"]), ("d", ["!"])], "qid string, plausible array<string>")
+    assert {(r.qid, r.is_gold) for r in eda.plausible_golds(ex.join(p, "qid", "left")).collect()} == {("b", True), ("c", False), ("d", False)}
+
+
 def test_build_takes_misaligned_answers_and_compound_edges(spark):
     rows = [
         (0, "cut", "?", "Nội. Ở Hà Nội có", "t", ["Nội"], 10, False), (1, "edge", "?", "Ở Hà Nội có mưa", "t", ["Hà Nội có"], 2, False),
