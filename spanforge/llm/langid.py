@@ -2,10 +2,12 @@
 
 Training counts the n-grams of each labelled text in hashed buckets, per language, inside the
 Python workers; what is shuffled and collected is bounded by languages times buckets. The matrix
-of log-probabilities is broadcast, and texts are scored in batches by gathering its columns.
+of log-probabilities is broadcast. Texts are scored in batches: the buckets of many texts in one array,
+a language's row gathered at them, and the parts of each text summed by np.add.reduceat.
 
 Edge cases: a null text or one without a letter is `und` with score 0; without any labelled row
-every text is `und` with score 0; a text too short for an n-gram is scored by the priors; repeated
+every text is `und` with score 0; a text too short for an n-gram is scored by the priors; of languages
+with equal scores the first in code-point order is taken; repeated
 rows count and are scored each; texts are read whole, in slices that overlap; a null doc_id has
 no remainder and is held out. Other columns are not read.
 """
@@ -83,6 +85,16 @@ def train(labelled: DataFrame, orders: tuple[int, ...] = ORDERS, n: int = BUCKET
     return langs, prior, matrix.astype(np.float32)
 
 
+def _add(total: np.ndarray, rows: np.ndarray, held: list[np.ndarray], owner: list[int]) -> None:
+    """Adds to total[owner] the log-probabilities of the buckets held, for all languages; texts may own several parts."""
+    if not held:
+        return
+    flat = np.concatenate(held)
+    starts = np.concatenate(([0], np.cumsum([len(b) for b in held])[:-1]))
+    for lang, row in enumerate(rows):
+        np.add.at(total[:, lang], owner, np.add.reduceat(row.take(flat), starts, dtype=np.float64))
+
+
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], orders: tuple[int, ...] = ORDERS) -> DataFrame:
     """(doc_id, lang_pred, score): the likeliest language and its posterior probability."""
     langs, prior, matrix = model
@@ -91,18 +103,24 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], or
     def scored(batches):
         rows = shared.value
         for batch in batches:
-            best, score = [], []
-            for text in batch.column(1).to_pylist():
-                if not langs or text is None or not any(map(str.isalpha, text)):
-                    best.append("und")
-                    score.append(0.0)
-                    continue
-                s = prior.copy()
-                for b in buckets(text, orders, rows.shape[1]):
-                    s += np.array([r.take(b).sum(dtype=np.float64) for r in rows])
-                k = int(s.argmax())
-                best.append(langs[k])
-                score.append(float(1 / np.exp(s - s[k]).sum()))
+            texts = batch.column(1).to_pylist()
+            known = [k for k, t in enumerate(texts) if langs and t is not None and any(map(str.isalpha, t))]
+            total = np.tile(prior, (len(texts), 1)) if langs else np.zeros((len(texts), 1))
+            held, owner, n = [], [], 0
+            for k in known:
+                for b in buckets(texts[k], orders, rows.shape[1]):
+                    held.append(b)
+                    owner.append(k)
+                    n += len(b)
+                    if n >= SLICE:
+                        _add(total, rows, held, owner)
+                        held, owner, n = [], [], 0
+            _add(total, rows, held, owner)
+            top = total.argmax(1)
+            share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+            best, score = ["und"] * len(texts), np.zeros(len(texts))
+            for k in known:
+                best[k], score[k] = langs[top[k]], share[k]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     table = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -9,7 +9,8 @@ block per source lands the rest.
 
 Edge cases: null text has size 0; a null source is a source of its own, the last; sources without
 words have target 0 and nothing is taken from them; repeated rows are documents of their own (the
-k-th of equal rows draws its own lot); an empty table gives no rows; other columns are not read.
+k-th of equal rows draws its own lot, so however many there are, they fly in blocks of bounded size);
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -121,20 +122,30 @@ def landing(p: np.ndarray, size: np.ndarray, words: float) -> None:
         p[out[k]], p[rest[near[side, k]]] = 0, 1
 
 
-ROWS = "id long, source string, size long, source_size long, target double, whole long, p double, h long"
+ROWS = "id long, tag long, source string, size long, source_size long, target double, whole long, p double, h long"
+
+
+def _numbered(rows: DataFrame, block: int) -> DataFrame:
+    """Adds k, 0 to n - 1 over n equal rows. They are counted and made again, so a hot one needs no sort; many come from several tasks."""
+    n = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = n.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
+    parts = parts.where("n <= 1").unionByName(parts.where("n > 1").repartition(F.xxhash64(*parts.columns)))
+    last = F.least(F.col("n") - F.col("part") * block, F.lit(block)) - 1
+    return parts.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("k", F.col("part") * block + F.col("k")).drop("n", "part")
 
 
 def balanced_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """(id, source, size, source_size, target, copies) for rows of (id, source, size): how often the mix takes each.
+    """(id, tag, source, size, source_size, target, copies) for rows of (id, source, size) and maybe tag: how often the mix takes each.
 
     Documents fly in the order of falling size, so the undecided ones at a block's end are small.
     """
-    rows = rows.select(F.col("id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
-    rows = common.saved(rows, "sizes")  # a whole scan made them
-    targets = common.cut(source_targets(rows, weights, most))
+    tag = F.col("tag") if "tag" in rows.columns else F.lit(None)
+    rows = rows.select(F.col("id").cast("long").alias("id"), tag.cast("long").alias("tag"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
+    rows = common.saved(_numbered(rows, block), "sizes")  # a whole scan made them
+    targets = common.saved(source_targets(rows, weights, most), "targets")
     t = targets.withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    now = rows.join(t, rows["source"].eqNullSafe(t["s"])).select("id", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), F.xxhash64("id", "source", "size").alias("h"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).alias("blocks"))
+    now = rows.join(t, rows["source"].eqNullSafe(t["s"])).select("id", "tag", "source", "size", "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("p"), F.xxhash64("id", "tag", "source", "size", "k").alias("h"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / block)).alias("blocks"))
     sure = now.where("p <= 1e-9 or p >= 1 - 1e-9").withColumn("p", F.round("p"))
     names = [x.split()[0] for x in ROWS.split(", ")]
     done = [sure.select(*names)]
@@ -166,7 +177,7 @@ def balanced_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: floa
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
+    return out.select("id", "tag", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -178,14 +189,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST)
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """The documents, all columns kept, each as often as the mix takes it.
 
-    A doc_id names a document, and a text does where it is null: of rows that share it, source and size
-    one stands for all, and is repeated as often as they were taken together.
+    Documents meet their fate by doc_id and a hash of their text, two longs; texts are shuffled only if that
+    table is large. Of rows equal in both, source and size, one stands for all, and is repeated as often as they were taken together.
     """
     size = n_words(F.col("text").cast("string"))
-    own = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
-    key = lambda i, n: F.to_json(F.struct(i.cast("long").alias("i"), F.col("source").cast("string").alias("s"), n.alias("n")))
-    fate = balanced_mix(docs.select(own.alias("id"), "source", size.alias("size")), weights, most)
-    fate = fate.groupBy(key(F.col("id"), F.col("size")).alias("key")).agg(F.sum("copies").alias("copies")).where("copies > 0")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(own, size).alias("key"))
-    one = rows.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("key"))).where("k = 1")
-    return one.join(fate, "key").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
+    text = F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
+    fate = balanced_mix(docs.select(F.col("doc_id").alias("id"), text.alias("tag"), "source", size.alias("size")), weights, most)
+    fate = fate.groupBy("id", "tag", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
+    fate = common.saved(fate, "fate").withColumnsRenamed({"id": "f_id", "tag": "f_tag", "source": "f_source", "size": "f_size"})
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(row, docs["doc_id"].cast("long").alias("k_id"), text.alias("k_tag"), docs["source"].cast("string").alias("k_source"))
+    # null ids and texts are keys too: 0 beside a mark
+    key = lambda c: [F.coalesce(F.col(c), F.lit(0).cast("long")), F.col(c).isNull()]
+    pairs = [a == b for x in ("id", "tag") for a, b in zip(key(f"k_{x}"), key(f"f_{x}"), strict=True)]
+    met = rows.join(fate, pairs + [F.col("k_source").eqNullSafe(F.col("f_source"))])
+    once = met.where("n = 1")
+    many = met.where("n > 1")
+    if not fate.where("n > 1").isEmpty():
+        once = once.unionByName(many.dropDuplicates(["k_id", "k_tag", "k_source"]))
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")

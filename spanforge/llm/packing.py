@@ -1,9 +1,11 @@
 """Operator 10: packs documents into sequences of a fixed length by the sum-of-squares rule.
 
 Each document is encoded once, an end id is added, and only a document longer than a sequence is
-cut, into full pieces and a last shorter one. The pieces (not their ids) are dealt by a hash into
-groups of bounded size; each group packs its pieces, longest first, by the sum-of-squares rule:
-a piece goes where the sum over gaps of (number of open bins with that gap) squared grows least.
+cut, into full pieces and a last shorter one. The pieces (not their ids) are dealt by a hash of their
+rows into groups of bounded size, equal pieces apart from each other; each group packs by the
+sum-of-squares rule: a piece goes where the sum over gaps of (number of open bins with that gap)
+squared grows least. The longer quarter goes in random order, as the rule wants, the shorter pieces
+then fall in size, and open a bin only where none has room.
 
 Edge cases: a null text is an empty document of the end id alone; repeated rows are packed each;
 an empty table gives no rows; a very long text becomes many pieces, which are dealt apart. A null
@@ -21,6 +23,8 @@ from spanforge.llm import common, tokens
 
 #: Pieces that one group holds on average; a group's open bins at its end are the only loss.
 GROUP = 65_536
+#: Share of the pieces, the shorter ones, that come last and in the order of their length.
+SHORT = 0.75
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
@@ -50,18 +54,20 @@ def pieces(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: st
     return common.map_arrow(table, cut, PIECES + (", ids binary" if with_ids else ""))
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, fill_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece, taken in the given order; lengths are 1 to capacity.
 
     N[g] is the number of open bins with gap g. Moving a bin from gap g to g - s changes the sum
     of squares by 2 (N[g - s] - N[g] + 1), without the first part if it fills up; a new bin has
-    the change 2 N[capacity - s] + 1. Ties go to the smallest gap, a new bin last.
+    the change 2 N[capacity - s] + 1. Ties go to the smallest gap, a new bin last. From the piece
+    `fill_from` on, a bin is opened only where no open one has room.
     """
     lengths = np.asarray(lengths, np.int64)
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     count = np.zeros(capacity + 1, np.int64)
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     opened = 0
+    full_up = len(lengths) if fill_from is None else fill_from
     never = np.iinfo(np.int64).max
     for k, s in enumerate(lengths.tolist()):
         if s == capacity:
@@ -73,7 +79,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         change[0] = 1 - 2 * here[0]  # a full bin is open no more
         change[here == 0] = never
         j = int(change.argmin()) if len(change) else 0
-        if len(change) and change[j] <= 2 * count[capacity - s] + 1:
+        if len(change) and here[j] and (k >= full_up or change[j] <= 2 * count[capacity - s] + 1):
             g = s + j
             b = stacks[g].pop()
             count[g] -= 1
@@ -92,16 +98,17 @@ def place(table: DataFrame, capacity: int = 4096, group: int = GROUP) -> DataFra
     # the pieces cost an encoding of all texts, so they are written once
     table = common.saved(table, "pieces")
     groups = max(1, -(-table.count() // group))
-    dealt = table.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32", "length")).withColumn("g", F.pmod("h", F.lit(groups)))
+    # the number of the row keeps equal pieces apart; the written table gives it again if a task is run again
+    dealt = table.withColumn("h", F.xxhash64("doc_id", "piece", "ids_crc32", "length", F.monotonically_increasing_id())).withColumn("g", F.pmod("h", F.lit(groups)))
 
     def packed(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         lengths = t.column("length").to_numpy()
         order = np.lexsort((lengths, t.column("h").to_numpy()))
         short = np.zeros(len(order), bool)
-        short[np.argsort(lengths[order], kind="stable")[: len(order) // 10]] = True
+        short[np.argsort(lengths[order], kind="stable")[: int(len(order) * SHORT)]] = True
         late = order[short]
         t = t.take(np.concatenate((order[~short], late[np.argsort(-lengths[late], kind="stable")])))
-        bins, offsets = sum_of_squares(t.column("length").to_numpy(), capacity)
+        bins, offsets = sum_of_squares(t.column("length").to_numpy(), capacity, int((~short).sum()))
         first = key[0].as_py() << 32
         return t.drop_columns(["h", "g"]).append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 

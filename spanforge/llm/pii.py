@@ -2,20 +2,25 @@
 
 A found value is validated (checksums, ranges, calendars), read as a number of its format's domain,
 permuted there under a key, and written back in the same format: card numbers keep a valid check
-digit, telephone numbers their country code and punctuation, dates their notation. A permutation
-keeps equal values equal, so they stay linked across documents, and different ones different.
-Names before @ in mail addresses and hexadecimal secrets are permuted as digits of their alphabet.
-
-Edge cases: a null text stays null; numbers that fail their check stay as they are; texts are read
-whole; overlapping finds take the first kind in KINDS order; repeated rows change alike; an empty
-table gives no rows; all other columns pass through untouched, whatever their names.
+digit, telephone numbers their country code and punctuation, dates their notation and field widths.
+A permutation keeps equal values equal in whatever notation, so they stay linked across documents, and
+different ones different. Dates move among those whose day and month have as many digits and whose day
+is as clearly no month (above 12 or not), so every notation can express the image of every day. Names
+before @ in mail addresses (capitals fall where they were, so spellings of a name stay linked) and
+hexadecimal secrets are permuted as digits of their alphabet. The key is an argument; nothing here has one.
+
+Edge cases: a null text stays null; numbers that fail their check stay as they are; an IBAN that
+swallowed the words after it is tried without them; texts, names and secrets of any length are read
+whole; of overlapping finds the one that begins first wins, then the first kind in KINDS order; repeated
+rows change alike; an empty table gives no rows; all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from datetime import date, timedelta
+from bisect import bisect_left
+from datetime import date
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,24 +30,30 @@ from pyspark.sql import types as T
 from spanforge.llm import common
 
 KINDS = ("email", "ip", "date", "phone", "ssn", "card", "iban", "secret")
-DEFAULT_KEY = b"spanforge pseudonyms"
 ROUNDS = 8
-_FIRST, _LAST = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+#: The country codes of one and two digits; all others have three.
+ONE_DIGIT = ("1", "7")
+TWO_DIGITS = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+              "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: Characters of a name or secret that are permuted together.
+PART = 64
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
+_END = r"(?![^\W_])"
 NUMBERS = re.compile(
     r"(?<![\w@])(?:"
-    r"(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?!\.?\d)"
-    r"|(?P<date>\d{4}(?P<d1>[-/.])\d{2}(?P=d1)\d{2}|\d{1,2}(?P<d2>[-/.])\d{1,2}(?P=d2)\d{4})(?![-/.]?\d)"
-    r"|(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\d{2,4}){3,5})(?![-.]?\d)"
-    r"|(?P<ssn>\d{3}-\d{2}-\d{4})(?![-.]?\d)"
-    r"|(?P<card>\d{13,19}|\d{4}(?P<c1>[ -])\d{4}(?P=c1)\d{4}(?P=c1)\d{1,7}|\d{4}(?P<c2>[ -])\d{6}(?P=c2)\d{5})(?![-.]?\d)"
-    r")(?![^\W_])"
-    r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
+    rf"(?P<ip>\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}})(?!\.?\d){_END}"
+    rf"|(?P<date>\d{{4}}(?P<d1>[-/.])\d{{2}}(?P=d1)\d{{2}}|\d{{1,2}}(?P<d2>[-/.])\d{{1,2}}(?P=d2)\d{{4}})(?![-/.]?\d)(?:(?=T\d)|{_END})"
+    rf"|(?P<phone>(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|\+\d{{8,15}}|\+\d{{1,5}}(?:[ .-](?:\(\d{{1,4}}\) ?)?\d{{1,4}}){{1,5}})(?![-./]?\d)(?:(?=(?i:x|ext)\.?\d)|{_END})"
+    rf"|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![-.]?\d){_END}"
+    rf"|(?P<card>\d{{13,19}}|\d{{4}}(?P<c1>[ -])\d{{4}}(?P=c1)\d{{4}}(?P=c1)\d{{1,7}}|\d{{4}}(?P<c2>[ -])\d{{6}}(?P=c2)\d{{5}})(?![-.]?\d){_END}"
+    r")|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
 )
-SECRET = re.compile(r"(?i)(?:token|secret|key|password|passwd)[\"']?\s*[:=]\s*[\"']?(?P<v>[0-9a-f]{16,128})(?![0-9a-z])")
+_KIND = {NUMBERS.groupindex[k]: k for k in KINDS if k in NUMBERS.groupindex}
+SECRET = re.compile(r"(?i)(?:token|secret|key|password|passwd)[\"']?\s*[:=]\s*[\"']?(?P<v>[0-9a-f]{16,})(?![0-9a-z])")
 _DIGIT = re.compile(r"\d")
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 
 
@@ -65,7 +76,7 @@ def permute(x: int, n: int, key: bytes, use: str) -> int:
 
 
 def _mixed(key: bytes, use: str, n: int, r: int, v: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{use}|{n}|{r}|{v}".encode(), key=key[:64], digest_size=32).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(f"{use}|{n:x}|{r}|{v:x}".encode(), key=key[:64], digest_size=32).digest(), "big")
 
 
 def _walk(digits: str, key: bytes, use: str, valid) -> str:
@@ -111,10 +122,17 @@ def _phone(s: str, key: bytes) -> str | None:
             return None  # bare digits are a telephone number only if their prefixes exist
         # numbers with existing prefixes change among themselves, and so do the others
         return _refill(s, d[:-10] + _walk(own, key, "phone", lambda x: national(x) == good))
+    trunk = "(0)" in s  # written, never dialled after a country code
+    d = _only_digits(s.replace("(0)", "", 1))
     if not s.startswith("+") or not 8 <= len(d) <= 15:
         return None
-    code = len(re.match(r"\+(\d{1,3})", s)[1]) if re.match(r"\+\d{1,3}[^\d]", s) else 2
-    return _refill(s, d[:code] + _walk(d[code:], key, f"phone+{d[:code]}", lambda x: True))
+    code = 1 if d[0] in ONE_DIGIT else 2 if d[:2] in TWO_DIGITS else 3
+    own = d[:code] + _walk(d[code:], key, f"phone+{d[:code]}", lambda x: True)
+    if not trunk:
+        return _refill(s, own)
+    at = s.index("(0)")
+    before = len(_only_digits(s[:at]))
+    return _refill(s[:at], own[:before]) + "(0)" + _refill(s[at + 3 :], own[before:])
 
 
 def _ssn(s: str, key: bytes) -> str | None:
@@ -134,28 +152,43 @@ def _ip(s: str, key: bytes) -> str | None:
             return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+def _class(day: date) -> tuple[bool, int]:
+    return day.month > 9, (day.day > 9) + (day.day > 12)
+
+
+@lru_cache(1)
+def _days() -> dict[tuple[bool, int], list[date]]:
+    """All days by the digits of their month and day, and whether the day could be a month."""
+    out: dict[tuple[bool, int], list[date]] = {}
+    for n in range(date(FIRST_YEAR, 1, 1).toordinal(), date(LAST_YEAR, 12, 31).toordinal() + 1):
+        day = date.fromordinal(n)
+        out.setdefault(_class(day), []).append(day)
+    return out
+
+
+def moved_day(day: date, key: bytes) -> date:
+    """The day's image, of its own class."""
+    own = _days()[_class(day)]
+    return own[permute(bisect_left(own, day), len(own), key, f"date|{_class(day)}")]
+
+
 def _date(s: str, key: bytes) -> str | None:
     mark = next(c for c in s if not c.isdigit())
-    a, b, c = (p for p in s.split(mark))
-    year_first = len(a) == 4
-    order = (a, b, c) if year_first else (c, b, a)
-    swapped = False
+    fields = s.split(mark)
+    if len(fields[0]) == 4:
+        order = (0, 1, 2)
+    else:  # day first, unless only month first makes a date
+        order = (2, 0, 1) if int(fields[1]) > 12 >= int(fields[0]) else (2, 1, 0)
     try:
-        if not year_first and int(b) > 12 >= int(a):
-            order, swapped = (c, a, b), True
-        day = date(*map(int, order)).toordinal()
+        day = date(*(int(fields[k]) for k in order))
     except ValueError:
         return None
-    if not _FIRST <= day <= _LAST:
+    if not FIRST_YEAR <= day.year <= LAST_YEAR:
         return None
-    # inside dates whose notation is as clear: a swapped one keeps a day above 12
-    while True:
-        day = _FIRST + permute(day - _FIRST, _LAST - _FIRST + 1, key, "date")
-        new = date.fromordinal(day)
-        if not swapped or new.day > 12:
-            break
-    y, m, d = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
-    return mark.join((y, m, d) if year_first else (m, d, y) if swapped else (d, m, y))
+    new = moved_day(day, key)
+    for k, v in zip(order, (new.year, new.month, new.day), strict=True):
+        fields[k] = f"{v:0{len(fields[k])}d}"
+    return mark.join(fields)
 
 
 def _iban(s: str, key: bytes) -> str | None:
@@ -163,32 +196,54 @@ def _iban(s: str, key: bytes) -> str | None:
     number = lambda x: int("".join(str(int(c, 36)) for c in x))
     if not 15 <= len(flat) <= 34 or number(flat[4:] + flat[:4]) % 97 != 1:
         return None
-    body = _alphabets(flat[4:], key, "iban")
+    body = _alphabets(flat[4:], key, f"iban|{flat[:2]}")
     check = 98 - number(body + flat[:2] + "00") % 97
     it = iter(f"{flat[:2]}{check:02d}{body}")
     return "".join(c if c == " " else next(it) for c in s)
 
 
 def _alphabets(s: str, key: bytes, use: str) -> str:
-    """Permutes a string among those with digits, small and capital letters in the same places."""
-    kinds = [_DIGITS if c in _DIGITS else _LETTERS if c in _LETTERS else _LETTERS.upper() if c in _LETTERS.upper() else "" for c in s]
+    """Permutes a string among those with digits and letters in the same places; capitals stay where they are."""
+    kinds = [_DIGITS if c in _DIGITS else _LETTERS if c.lower() in _LETTERS else "" for c in s]
     x, n = 0, 1
     for c, k in zip(s, kinds, strict=True):
         if k:
-            x, n = x * len(k) + k.index(c), n * len(k)
+            x, n = x * len(k) + k.index(c.lower()), n * len(k)
     x = permute(x, n, key, f"{use}|{''.join(k[:1] or c for c, k in zip(s, kinds, strict=True))}")
     out = []
     for c, k in zip(reversed(s), reversed(kinds), strict=True):
         if k:
             x, i = divmod(x, len(k))
-            c = k[i]
+            c = k[i].upper() if c.isupper() else k[i]
         out.append(c)
     return "".join(reversed(out))
 
 
+def _by_parts(s: str, key: bytes, use: str) -> str:
+    """Permutes strings of any length, at a cost that grows with it: the first part under a digest of the others,
+    each later one under a digest of the new ones before it. Each step can be undone, so it is a permutation."""
+    parts = [s[k : k + PART] for k in range(0, len(s), PART)] or [""]
+    if len(parts) == 1:
+        return _alphabets(s, key, use)
+    rest = hashlib.blake2b("".join(parts[1:]).lower().encode(), key=key[:64], digest_size=16).hexdigest()
+    out = [_alphabets(parts[0], key, f"{use}|{len(s)}|{rest}")]
+    seen = hashlib.blake2b(out[0].lower().encode(), key=key[:64], digest_size=16)
+    for p in parts[1:]:
+        out.append(_alphabets(p, key, f"{use}|{len(s)}|{seen.hexdigest()}"))
+        seen.update(out[-1].lower().encode())
+    return "".join(out)
+
+
 def _secret(s: str, key: bytes) -> str:
-    x = permute(int(s, 16), 16 ** len(s), key, f"secret|{len(s)}")
-    new = f"{x:0{len(s)}x}"
+    # hexadecimal digits, as numbers of one alphabet
+    parts = [s[k : k + PART] for k in range(0, len(s), PART)]
+    rest = hashlib.blake2b("".join(parts[1:]).lower().encode(), key=key[:64], digest_size=16).hexdigest() if len(parts) > 1 else ""
+    out, seen = [], hashlib.blake2b(key=key[:64], digest_size=16)
+    for k, p in enumerate(parts):
+        x = permute(int(p, 16), 16 ** len(p), key, f"secret|{len(s)}|{rest if k == 0 else seen.hexdigest()}")
+        out.append(f"{x:0{len(p)}x}")
+        seen.update(out[-1].encode())
+    new = "".join(out)
     return new.upper() if s.isupper() else new
 
 
@@ -198,32 +253,52 @@ _CHANGE = {"card": _card, "phone": _phone, "ssn": _ssn, "ip": _ip, "date": _date
 @lru_cache(100_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The value's pseudonym, or None if it isn't valid."""
-    return _alphabets(value, key, "email") if kind == "email" else _CHANGE[kind](value, key)
+    return _by_parts(value, key, "email") if kind == "email" else _CHANGE[kind](value, key)
 
 
-def find(text: str):
-    """(start, end, kind) of each candidate, in no order."""
+def _mails(text: str):
     at = text.find("@")
     while at >= 0:
-        local, domain = _LOCAL.search(text, max(0, at - 64), at), _DOMAIN.match(text, at + 1)
-        if local and domain:
-            yield local.start(), at, "email"
+        first = at
+        while first and text[first - 1] in _NAME:
+            first -= 1
+        if first < at and _DOMAIN.match(text, at + 1):
+            yield first, at, "email"
         at = text.find("@", at + 1)
+
+
+def _numbers(text: str, key: bytes):
+    m = NUMBERS.search(text)
+    while m:
+        kind = _KIND[m.lastindex] if m.lastindex in _KIND else next(k for k in KINDS if m.groupdict().get(k))
+        start, end = m.span(kind)
+        value = text[start:end]
+        new = pseudonym(kind, value, key)
+        while kind == "iban" and new is None and " " in value:
+            value = value[: value.rindex(" ")]
+            new = pseudonym(kind, value, key)
+        if new is not None:
+            end = start + len(value)
+            yield start, end, kind, new
+        m = NUMBERS.search(text, end)
+
+
+def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, pseudonym) of each valid value, overlapping ones too, in the order in which they win."""
+    found = [(a, b, k, pseudonym(k, text[a:b], key)) for a, b, k in _mails(text)]
     if _DIGIT.search(text):  # every number has one
-        for m in NUMBERS.finditer(text):
-            kind = next(k for k in KINDS if k in m.groupdict() and m[k] is not None)
-            yield m.start(kind), m.end(kind), kind
+        found += _numbers(text, key)
     if "=" in text or ":" in text:  # every secret follows one
-        for m in SECRET.finditer(text):
-            yield m.start("v"), m.end("v"), "secret"
+        found += [(m.start("v"), m.end("v"), "secret", pseudonym("secret", m["v"], key)) for m in SECRET.finditer(text)]
+    return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def pseudonymised(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, dict[str, int]]:
+def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """(text with pseudonyms, how many of each kind)."""
     counts = dict.fromkeys(KINDS, 0)
     out, end = [], 0
-    for a, b, kind in sorted(find(text), key=lambda x: (x[0], KINDS.index(x[2]))):
-        if a < end or (new := pseudonym(kind, text[a:b], key)) is None:
+    for a, b, kind, new in find(text, key):
+        if a < end:
             continue
         out += [text[end:a], new]
         end = b
@@ -231,8 +306,10 @@ def pseudonymised(text: str, key: bytes = DEFAULT_KEY) -> tuple[str, dict[str, i
     return ("".join([*out, text[end:]]) if out else text), counts
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY, counted: bool = False, column: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, counted: bool = False, column: str = "text") -> DataFrame:
     """The documents with pseudonyms in their text column; counted adds one long column n_<kind> per kind."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     at = docs.columns.index(column)
     fields = docs.schema[at].dataType.simpleString()
     if fields != "string":

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from spanforge.llm import common, embeddings, langid, mixing, packing, pii, quality, rans, simhash, token_counts, warc
 
 
+#: The key of the registered query and, where spark.spanforge.key is unset, of the pipeline; not for use on real data.
+TEST_KEY = b"a key for tests"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return common.ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -53,7 +57,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, counted=True).withColumn("n_found", sum((F.col(f"n_{k}") for k in pii.KINDS[1:]), F.col(f"n_{pii.KINDS[0]}")))
+    return pii.pseudonymise(docs, TEST_KEY, counted=True).withColumn("n_found", sum((F.col(f"n_{k}") for k in pii.KINDS[1:]), F.col(f"n_{pii.KINDS[0]}")))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

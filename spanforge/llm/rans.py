@@ -2,14 +2,14 @@
 
 File layout (all integers little-endian; each record is followed by RECORD_END):
 
-* header: b"SFRH", u32 length of the rest, u8 scale bits, u16 lanes, u32 steps of a segment,
-  u32 number of symbols, then the zlib-packed u32 frequency table; u32 crc32 of what precedes it.
+* header: b"SFRH", u32 length of the rest, u32 part and u32 number of the file in it (files in this
+  order hold the documents in theirs), u8 scale bits, u16 lanes, u32 steps of a segment, u32 number of symbols, then the zlib-packed u32 frequency table; u32 crc32 of what precedes it.
 * block: b"SFRB", u64 length of the rest, u32 documents, u64 ids, u32 segments, u32 words,
   u32 length of the zlib-packed index (i64 doc ids, u8 null marks, u64 lengths), the index; for each
   segment u32 first word, u32 crc32 of its ids and one u64 state per lane; the u32 words;
   u32 crc32 of all that precedes it.
 
-All blocks share the frequency table. A block's ids go round robin to its lanes, which write to one
+A file ends after about FILE_BYTES, so that readers can hold one. All blocks share the frequency table. A block's ids go round robin to its lanes, which write to one
 word stream. Each segment's checkpoint has the lanes' states and the place in the stream, so any
 segment of any block can be decoded by itself, and its checksum proves it.
 """
@@ -31,7 +31,7 @@ from spanforge.llm import common, tokens
 RECORD_END = b"\r\nSFR."
 SCALE, LANES, STEPS, BLOCK = 20, 4096, 64, 1 << 19
 _LOW = np.uint64(1 << 31)
-_HEAD = struct.Struct("<BHII")
+_HEAD = struct.Struct("<IIBHII")
 _BLOCK = struct.Struct("<IQIII")
 
 
@@ -116,8 +116,8 @@ class Coder:
             raise ValueError("a segment's checksum differs")
         return ids
 
-    def header(self) -> bytes:
-        body = _HEAD.pack(self.scale, self.lanes, self.steps, len(self.f)) + zlib.compress(self.freq.astype("<u4").tobytes(), 6)
+    def header(self, part: int = 0, number: int = 0) -> bytes:
+        body = _HEAD.pack(part, number, self.scale, self.lanes, self.steps, len(self.f)) + zlib.compress(self.freq.astype("<u4").tobytes(), 6)
         head = b"SFRH" + struct.pack("<I", len(body) + 4) + body
         return head + struct.pack("<I", zlib.crc32(head))
 
@@ -134,7 +134,7 @@ class Coder:
 
 
 def read_file(content: bytes):
-    """Each block of a file: (doc ids, lengths, ids)."""
+    """Each block of a file: ((part, number of the file), doc ids, lengths, ids)."""
     view, at, coder = memoryview(content), 0, None
     while at < len(view):
         kind = bytes(view[at : at + 4])
@@ -142,7 +142,7 @@ def read_file(content: bytes):
             (length,) = struct.unpack_from("<I", view, at + 4)
             start, end = at + 8, at + 8 + length
             _checked(view, at, end)
-            scale, lanes, steps, n = _HEAD.unpack_from(view, start)
+            part, number, scale, lanes, steps, n = _HEAD.unpack_from(view, start)
             freq = np.frombuffer(zlib.decompress(view[start + _HEAD.size : end - 4]), "<u4")
             if len(freq) != n:
                 raise ValueError("the frequency table is cut short")
@@ -163,7 +163,7 @@ def read_file(content: bytes):
             words = np.frombuffer(view, "<u4", n_words, start + n_points * size)
             span = coder.steps * coder.lanes
             parts = [coder.decode_segment(words, p, min(span, n_ids - k * span)) for k, p in enumerate(points)]
-            yield [None if z else int(d) for d, z in zip(doc_ids, nulls, strict=True)], sizes, np.concatenate(parts) if parts else np.empty(0, np.uint32)
+            yield (part, number), [None if z else int(d) for d, z in zip(doc_ids, nulls, strict=True)], sizes, np.concatenate(parts) if parts else np.empty(0, np.uint32)
         else:
             raise ValueError("not a record of this format")
         at = end
@@ -229,38 +229,45 @@ def _unpacked(values, unpack: zstandard.ZstdDecompressor) -> list[np.ndarray]:
     return [np.frombuffer(unpack.decompress(v[1:]), "<u2" if v[0] == 2 else "<u4") for v in values.to_pylist()]
 
 
-def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, block: int = BLOCK) -> None:
+#: Bytes of packed ids that one task of the writer sorts and codes, at most on average.
+PART_BYTES = 256 << 20
+
+
+def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = None, block: int = BLOCK, size: int = common.FILE_BYTES) -> None:
     """Writes the documents' ids to files of this format, in ascending doc_id order over all files (null first)."""
     spark = docs.sparkSession
-    table = common.saved(token_table(docs, end_id, tokenizer), "ids")
+    held_at = common.new_path(spark, "ids")
+    token_table(docs, end_id, tokenizer).write.parquet(held_at)
+    table = spark.read.schema("doc_id long, ids binary, counts binary").parquet(held_at)
     freq = frequencies(token_counts(table))
 
     def coded(batches):
-        tokens.release()
-        coder, unpack = Coder(freq), zstandard.ZstdDecompressor()
-        names, sizes, held, n, begun = [], [], [], 0, False
+        from pyspark import TaskContext
 
-        def record(data: bytes):
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
-
-        for batch in batches:
-            for name, ids in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1), unpack), strict=True):
-                if not begun:
-                    begun = True
-                    yield record(coder.header())
-                names.append(name)
-                sizes.append(len(ids))
-                held.append(ids)
-                n += len(ids)
-                if n >= block:
-                    yield record(coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32)))
-                    names, sizes, held, n = [], [], [], 0
-        if names:
-            yield record(coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32)))
-
-    ordered = table.where("ids is not null").select("doc_id", "ids").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    common.write_blobs(common.map_arrow(ordered, coded, "data binary"), "data", path, RECORD_END)
-    common.remove(spark, table.inputFiles()[0].rsplit("/", 1)[0])
+        tokens.release()
+        part, coder, unpack = TaskContext.get().partitionId(), Coder(freq), zstandard.ZstdDecompressor()
+
+        def blocks():
+            names, sizes, held, n = [], [], [], 0
+            for batch in batches:
+                for name, ids in zip(batch.column(0).to_pylist(), _unpacked(batch.column(1), unpack), strict=True):
+                    names.append(name)
+                    sizes.append(len(ids))
+                    held.append(ids)
+                    n += len(ids)
+                    if n >= block:
+                        yield coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32))
+                        names, sizes, held, n = [], [], [], 0
+            if names:
+                yield coder.block(names, np.array(sizes), np.concatenate(held).astype(np.uint32))
+
+        yield from common.files_of(blocks(), lambda k: coder.header(part, k), RECORD_END, size)
+
+    parts = -(-common.size_of(spark, held_at) // PART_BYTES)
+    rows = table.where("ids is not null").select("doc_id", "ids")
+    ranged = rows.repartitionByRange(parts, "doc_id") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange("doc_id")
+    common.write_blobs(common.map_arrow(ranged.sortWithinPartitions("doc_id"), coded, "data binary"), "data", path, RECORD_END)
+    common.remove(spark, held_at)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -269,19 +276,20 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     def read(batches):
         tokens.release()
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for content in batch.column(1):
                 at, k = 0, 0
-                for doc_ids, sizes, ids in read_file(content.as_buffer()):
+                for file, doc_ids, sizes, ids in read_file(content.as_buffer()):
                     ends = np.cumsum(sizes)
                     begins = ends - sizes
                     checks = [tokens.crc32(ids[a:b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                    columns = [[name] * len(doc_ids), range(k, k + len(doc_ids)), doc_ids, at + begins, sizes, checks]
-                    kinds = [pa.string(), *[pa.int64()] * 5]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["file", "k", "doc_id", "at", "n_tokens", "ids_crc32"])
-                    at, k = at + int(sizes.sum()), k + len(doc_ids)
-
-    rows = common.saved(common.map_arrow(common.read_blobs(spark, path), read, "file string, k long, doc_id long, at long, n_tokens long, ids_crc32 long"), "index")
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min_by(F.struct("doc_id"), "k").alias("first"))
-    # one row per file, so the running sum over files is small
-    base = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy(F.col("first.doc_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    return rows.join(base, "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+                    n = len(doc_ids)
+                    columns = [np.full(n, file[0]), np.full(n, file[1]), np.arange(k, k + n), doc_ids, at + begins, sizes, checks]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["part", "number", "k", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    at, k = at + int(sizes.sum()), k + n
+
+    rows = common.saved(common.map_arrow(common.read_blobs(spark, path), read, "part long, number long, k long, doc_id long, at long, n_tokens long, ids_crc32 long"), "index")
+    files = rows.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
+    # one row per file of FILE_BYTES, so the running sum over files is small
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
+    base = files.select("part", "number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    return rows.join(base, ["part", "number"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

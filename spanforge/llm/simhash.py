@@ -24,7 +24,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanforge.llm import common
@@ -155,14 +155,19 @@ def forest(group: np.ndarray, prints: np.ndarray, most: int = MOST) -> tuple[np.
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, th): the fingerprint and the XXH64 of the whole text (null: null) as signed longs."""
 
     def made(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            prints = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), batch.column(2)], ["doc_id", "fp", "th"])
 
-    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), made, "doc_id long, fp long")
+    return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash(F.col("text"))), made, "doc_id long, fp long, th long")
+
+
+def text_hash(text: Column) -> Column:
+    return F.when(text.isNotNull(), F.xxhash64(text.cast("string"))).alias("th")
 
 
 def linked(prints: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
@@ -179,7 +184,7 @@ def linked(prints: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFra
     spark = prints.sparkSession
     keyed_rows = common.map_arrow(prints.select("fp"), keyed, "key long, fp long")
     heavy = keyed_rows.groupBy("key").count().where(F.col("count") > bucket).select("key", F.ceil(F.col("count") / bucket).cast("int").alias("n"))
-    heavy = common.cut(heavy)
+    heavy = common.saved(heavy, "heavy")
     rows = keyed_rows.join(heavy, "key", "left") if not heavy.isEmpty() else keyed_rows.withColumn("n", F.lit(None).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
     blocks = F.when(F.col("n").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.xxhash64(F.least(mine, j), F.greatest(mine, j))))
@@ -206,22 +211,43 @@ def linked(prints: DataFrame, most: int = MOST, bucket: int = BUCKET) -> DataFra
     return tasks.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(compared, "a long, b long")
 
 
+def _components(rows: DataFrame, most: int) -> DataFrame:
+    """(fp, c, component_id) of each distinct fingerprint of rows (doc_id, fp): c names its group, component_id is its smallest doc_id."""
+    prints = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
+    value = F.struct(F.col("least").isNull().alias("none"), "least", "fp")
+    names = common.component_names(linked(prints, most), prints.select(F.col("fp").alias("node"), value.alias("value")))
+    own = prints.join(names, prints["fp"] == names["node"], "left")
+    return own.select("fp", F.coalesce("name.fp", "fp").alias("c"), F.when(F.col("node").isNotNull(), F.col("name.least")).otherwise(F.col("least")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, most: int = MOST, words: int = WORDS) -> DataFrame:
     """(doc_id, fingerprint, component_id, fp): component_id is the smallest doc_id reachable by links."""
     rows = common.saved(fingerprints(docs, words), "fingerprints")  # each text is hashed once
-    prints = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
-    roots = common.connected_components(linked(prints, most))
-    rooted = prints.join(roots, prints["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    return rows.join(_components(rows, most), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def deduplicated(docs: DataFrame, most: int = MOST, words: int = WORDS) -> DataFrame:
-    """One document of each group, that with the smallest doc_id, with all columns.
+    """One document of each group with all its columns: that with the smallest doc_id, null last, then the smallest hash of its text.
 
-    Rows without a doc_id cannot be told apart and stay; of rows that share a doc_id one stays.
+    What goes is told by doc_id, so texts meet a table of the ids that go, and are shuffled only if that is large.
+    Rows whose doc_id is null or repeated are told by doc_id and text; of rows equal in both, one stays.
     """
-    keep = near_duplicates(docs, most, words).where("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    known = docs.where(docs["doc_id"].isNotNull())
-    kept = known.join(keep, known["doc_id"].cast("long") == keep["keep"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(docs["doc_id"].isNull()))
+    rows = common.saved(fingerprints(docs, words), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "fp")
+    grouped = common.saved(rows.join(_components(rows, most).select("fp", "c"), "fp"), "grouped")
+    first = grouped.groupBy("c").agg(F.min(place).alias("first"))
+    shared = common.saved(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("s_id")), "shared")
+    gone = grouped.where("doc_id is not null").join(shared, grouped["doc_id"] == shared["s_id"], "left_anti").join(first, "c").where(place != F.col("first"))
+    gone = common.saved(gone.select(F.col("doc_id").alias("g_id")), "gone")
+    odd = not shared.isEmpty()
+    out = docs.where(docs["doc_id"].isNotNull()) if odd else docs
+    out = out.join(gone, out["doc_id"].cast("long") == gone["g_id"], "left_anti")
+    if not odd:
+        return out
+    out = out.join(shared, out["doc_id"].cast("long") == shared["s_id"], "left_anti")
+    win = first.select(F.col("first.doc_id").alias("w_id"), F.col("first.th").alias("w_th"))
+    wins = win.join(shared, win["w_id"].eqNullSafe(shared["s_id"]), "left_semi").distinct()
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    mine = docs.select(row, docs["doc_id"].cast("long").alias("w_id"), text_hash(docs["text"]).alias("w_th")).alias("m")
+    mine = mine.join(wins.alias("w"), F.col("m.w_id").eqNullSafe(F.col("w.w_id")) & F.col("m.w_th").eqNullSafe(F.col("w.w_th")), "left_semi")
+    return out.unionByName(mine.dropDuplicates(["w_id", "w_th"]).select("row.*"))
