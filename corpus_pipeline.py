@@ -1,11 +1,21 @@
-"""The corpus pipeline: quality rules, near-duplicates, pseudonyms, source mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, pseudonyms, source mixing, packing.
+
+Edge cases, by stage: quality rules drop null, empty and short texts; near duplicates keep one of equal
+or near texts also where their ids are null or repeated; pseudonyms keep every row; the mix may take a
+document up to three times or not at all, so rows with one doc_id follow; packing gives a piece its
+document's id, null where it has none. An empty table stays empty. Columns of any name pass through all
+stages but the last, which returns its own. Null languages and sources are groups of their own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import common, mixing, packing, pii, quality, simhash
+from spanforge.llm import common, mixing, packing, pii, quality, queries, simhash
+
+#: The setting that holds the key of the pseudonyms; without it, a key for tests that everybody knows.
+KEY = "spark.spanforge.key"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal numbers, dates and addresses under pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, spark.conf.get(KEY, None).encode() if spark.conf.get(KEY, None) else queries.TEST_KEY)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -43,11 +53,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`; each one's result is written as Parquet and read again."""
     common.ready(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
+        since = common.mark()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = common.new_path(spark, f"stage{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            common.release(spark, since, keep=(path,))
+            if before:
+                common.remove(spark, before)  # what this stage has read
+            before = path
     return docs
