@@ -45,7 +45,7 @@ NUMBERS = re.compile(
     r"(?<![\w@])(?:"
     rf"(?P<ip>\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}})(?!\.?\d){_END}"
     rf"|(?P<date>\d{{4}}(?P<d1>[-/.])\d{{2}}(?P=d1)\d{{2}}|\d{{1,2}}(?P<d2>[-/.])\d{{1,2}}(?P=d2)\d{{4}})(?![-/.]?\d)(?:(?=T\d)|{_END})"
-    rf"|(?P<phone>(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|\+\d{{8,15}}|\+\d{{1,5}}(?:[ .-](?:\(\d{{1,4}}\) ?)?\d{{1,4}}){{1,5}})(?![-./]?\d)(?:(?=(?i:x|ext)\.?\d)|{_END})"
+    rf"|(?P<phone>(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}|\+\d{{8,15}}|\+\d{{1,5}}(?:[ .-](?:\(\d{{1,4}}\) ?)?\d{{1,10}}){{1,5}})(?![-./]?\d)(?:(?=(?i:x|ext)\.?\d)|{_END})"
     rf"|(?P<ssn>\d{{3}}-\d{{2}}-\d{{4}})(?![-.]?\d){_END}"
     rf"|(?P<card>\d{{13,19}}|\d{{4}}(?P<c1>[ -])\d{{4}}(?P=c1)\d{{4}}(?P=c1)\d{{1,7}}|\d{{4}}(?P<c2>[ -])\d{{6}}(?P=c2)\d{{5}})(?![-.]?\d){_END}"
     r")|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"

@@ -36,7 +36,7 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Share of a group that its estimate rests on, steps at most, change of the determinant's logarithm, less in small groups, under
 #: which they end, documents that a parent group's estimate weighs,
 #: the ridge as a share of the mean variance, bins per unit of log(1 + distance).
-SHARE, STEPS, SETTLED, PRIOR, RIDGE, BINS = 0.75, 10, 0.05, 60, 1e-2, 64
+SHARE, STEPS, SETTLED, PRIOR, RIDGE, BINS = 0.75, 10, 0.05, 60, 1e-2, 16
 #: Chi-square tail beyond which a document is an outlier. Shares of short texts have heavier tails than the
 #: normal law, so it is far out: 99.9 % of clean documents lie within a distance that the law gives 1e-10.
 TAIL = 1e-12

@@ -875,8 +875,8 @@ def brute_find(text):
             out.append("phone")
         elif re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", w):
             out += ["ssn"] * (w[:3] not in ("000", "666") and w[0] != "9" and w[4:6] != "00" and w[7:] != "0000")
-        elif digits == w and 13 <= len(w) <= 19 and int(w):
-            out += ["card"] * (sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(w))) % 10 == 0)
+        elif digits == w.lstrip("+") and 13 <= len(digits) <= 19 and int(digits):
+            out += ["card"] * (sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0)
     return Counter(out)
 
 
