@@ -6,10 +6,12 @@ where a function says so; otherwise null stays null.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -120,12 +122,14 @@ def offsets(lengths: Column) -> Column:
 def sentence_spans(x: Column, quotes: bool = True) -> Column:
     """array<struct<s, e>>: a boundary is white space after . ! ? or an ellipsis (and closing quotes), before
     an opening quote or a capital, digit or letter of the class. quotes=False is the plainer variant."""
-    mark = "\u0001"
+    # What ends a sentence, what may close it, what may begin the next.
     if quotes:
-        cut = r"(?U)(?<=[.!?…][\"”’)\]]{0,40})(?<!\s)(\s+)(?=[\"“‘(\[]?[A-ZÀ-Ỹ0-9Đ])"
+        cut = r"(?U)([.!?…][\"”’)\]]*)(\s+)(?=[\"“‘(\[]?[A-ZÀ-Ỹ0-9Đ])"
     else:
-        cut = r"(?U)(?<=[.!?…])(\s+)(?=[\"“(]?[A-ZÀ-Ỹ0-9])"
-    pieces = F.split(F.regexp_replace(x, cut, mark + "$1"), mark)
+        cut = r"(?U)([.!?…])(\s+)(?=[\"“(]?[A-ZÀ-Ỹ0-9])"
+    # only places are taken from the marked text, so a mark that the text has itself may be another character there
+    mark = "\u0001"
+    pieces = F.split(F.regexp_replace(F.translate(x, mark, "\u0002"), cut, "$1" + mark + "$2"), mark)
 
     def spans(p: Column) -> Column:
         def placed(before: Column) -> Column:
@@ -152,6 +156,7 @@ def slice_text(x: Column, s: Column, e: Column) -> Column:
 
 
 def numbers(x: Column) -> Column:
+    # Fixed value: digits, with groups behind points or commas.
     return F.regexp_extract_all(x, F.lit(r"(\d+(?:[.,]\d+)*)"))
 
 
@@ -312,10 +317,6 @@ def heat(v: Column) -> Column:
 
 def nfkc_md5(x: Column) -> Column:
     """md5 of the text in compatibility form, lower case, stripped; no built-in function normalises, so texts go by Arrow."""
-    import hashlib
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hashlib.md5(unicodedata.normalize("NFKC", t).lower().strip().encode()).hexdigest(), na_action="ignore")

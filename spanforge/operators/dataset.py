@@ -87,10 +87,11 @@ def three_way_split(rows: DataFrame, key: str, fractions: tuple[float, float] =
     return first.where("split = 'train'").unionByName(split_by_key(rest, key, 1 - fractions[1] / (1 - fractions[0]), f"{seed}-2", ("validation", "test")))
 
 
-def rotating_split(rows: DataFrame, key: str, names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
-    """Splits by groups in turn: a group's place in the seeded order, modulo the number of splits, by hash."""
-    place = F.pmod(F.conv(F.substring(draw(F.col(key)), 1, 8), 16, 10).cast("bigint"), F.lit(len(names)))
-    return rows.withColumn("split", F.get(F.array(*[F.lit(n) for n in names]), place.cast("int")))
+def rotating_split(rows: DataFrame, key: str, place: Column, names: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Splits by groups in turn: a group goes where the place of its first row (from 0, in the whole order) falls, modulo the splits."""
+    first = rows.groupBy(F.xxhash64(key).alias("h"), F.col(key).alias("g")).agg(F.min(place).alias("first"))
+    out = rows.withColumn("h", F.xxhash64(key)).alias("r").join(first.alias("f"), (F.col("r.h") == F.col("f.h")) & F.col(f"r.{key}").eqNullSafe(F.col("f.g")))
+    return out.select(*[F.col(f"r.{c}") for c in rows.columns], F.get(F.array(*[F.lit(n) for n in names]), F.pmod(F.col("first"), F.lit(len(names))).cast("int")).alias("split"))
 
 
 def shared_contexts(rows: DataFrame) -> DataFrame:
@@ -148,7 +149,7 @@ def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int
     their word shingles decides. Equal contexts are one context here.
     """
     toks = lambda c: F.filter(F.split(F.lower(F.trim(c)), X.SPACE), lambda t: t != "")
-    shingle = X.bound(toks(F.col("context")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, words))))))
+    shingle = X.bound(toks(F.col("context")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(words)])))))
     seen = rows.groupBy("context").agg(F.sort_array(F.collect_set("split")).alias("splits"))
     seen = seen.select(F.md5("context").alias("id"), "splits", shingle.alias("sh"))
     per = hashes // bands

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as X
+from spanforge.runtime import saved
 
 
 def _terms(x: Column) -> Column:
     """Lower-cased words of two word characters or more, then their pairs."""
     w = F.regexp_extract_all(F.lower(x), F.lit(r"(?U)\b(\w\w+)\b"))
-    pairs = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(1), F.size(t) - 1), lambda i: F.concat_ws(" ", F.slice(t, i, 2)))).otherwise(F.array().cast("array<string>"))
+    pairs = lambda t: F.when(F.size(t) > 1, F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)))).otherwise(F.array().cast("array<string>"))
     return X.bound(w, lambda t: F.concat(t, pairs(t)))
 
 
@@ -40,11 +41,12 @@ def best_sentence(examples: DataFrame) -> DataFrame:
 
 
 def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(term counts, document lengths, totals) of (doc, text)."""
+    """(postings, document lengths, totals) of (doc, text). The postings are written once, all else comes from them."""
     t = docs.select("doc", F.explode(F.split(X.legacy_normalize(F.col("text")), " ")).alias("term")).where("term <> ''")
-    tf = t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = docs.select("doc", F.size(F.filter(F.split(X.legacy_normalize(F.col("text")), " "), lambda x: x != "")).alias("len"))
-    return tf, lengths, lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
+    tf = saved(t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    lengths = tf.groupBy("doc").agg(F.sum("tf").alias("len"))
+    totals = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))  # one row each
+    return tf, lengths, totals.select("n", (F.col("words") / F.col("n")).alias("avgdl"))
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:

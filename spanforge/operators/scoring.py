@@ -17,7 +17,7 @@ def per_item(predictions: DataFrame, refs: DataFrame, strict: bool = True) -> Da
     from one pass over the gold answers.
     """
     systems = predictions.select("system").distinct()
-    all_ = refs.crossJoin(F.broadcast(systems))  # systems are a handful
+    all_ = refs.crossJoin(systems)
     out = all_.join(predictions, ["system", "qid"], "left")
     if strict:
         lost = out.where("prediction is null").agg(F.count(F.lit(1)).alias("n"), F.min("qid").alias("q")).first()

@@ -1,7 +1,8 @@
 """Span search over window logits, token windows and labels, and word alignment; all inside the row.
 
-A window is one row with its logit arrays. Valid pairs are start <= end, at most max_answer_len
-tokens, both context tokens; they are listed inside the row, so nothing is shuffled.
+A window is one row with its logit arrays and the offsets of its tokens, which are null but for context
+tokens. Valid pairs are start <= end, at most max_answer_len tokens, both context tokens; they are
+listed inside the row, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from spanforge.functions import metrics as M
 from spanforge.functions import text as X
@@ -22,41 +22,47 @@ from spanforge.runtime import ready
 _BLANK = re.compile(r"\s*")
 
 
-def candidates(starts: Column, ends: Column, first: int, longest: int) -> Column:
-    """array<struct<score, s, e>> of valid pairs; s and e are negative so that the largest struct is the earliest best."""
-    n = F.size(starts)
-    row = lambda i: F.transform(F.sequence(i, F.least(i + longest - 1, n - 1)), lambda j: F.struct((F.get(starts, i) + F.get(ends, j)).alias("score"), (-i).alias("s"), (-j).alias("e")))
-    return F.when(n > first, F.flatten(F.transform(F.sequence(F.lit(first), n - 1), row))).otherwise(F.array().cast("array<struct<score: double, s: int, e: int>>"))
+def candidates(starts: Column, ends: Column, offsets: Column, longest: int) -> Column:
+    """array<struct<score, s, e>> of valid pairs; s and e are negative so that the largest struct is the earliest best.
+
+    offsets: array<struct<s, e>>, null for tokens of the question, separators and padding.
+    """
+    n = F.least(F.size(starts), F.size(ends), F.size(offsets))
+    context = lambda x: F.filter(x, lambda i: F.get(offsets, i).isNotNull())
+    row = lambda i: F.transform(context(F.sequence(i, F.least(i + longest - 1, n - 1))), lambda j: F.struct((F.get(starts, i) + F.get(ends, j)).alias("score"), (-i).alias("s"), (-j).alias("e")))
+    return F.when(n > 0, F.flatten(F.transform(context(F.sequence(F.lit(0), n - 1)), row))).otherwise(F.array().cast("array<struct<score: double, s: int, e: int>>"))
 
 
-def scored(windows: DataFrame, first: int = 8, longest: int = 12, top: int = 3) -> DataFrame:
+def scored(windows: DataFrame, longest: int = 12, top: int = 3, cls_index: int = 0) -> DataFrame:
     """Adds null_score (the CLS pair), best, delta (null - best), top spans and probabilities.
 
-    top holds top + 1 spans with distinct ends, out of the 4 * top + 4 best pairs. The probability is
-    a softmax over all valid pairs and null, with the maximum taken out first.
+    Windows have starts, ends and offsets. spans holds top + 1 spans of distinct characters, out of the
+    4 * top + 4 best pairs. The probability is a softmax over all valid pairs and null, with the maximum
+    taken out first. Without a CLS token there is no null score and no delta; without context tokens
+    there is no span, score nor delta, and spans is empty.
     """
-    null = F.get("starts", F.lit(0)) + F.get("ends", F.lit(0))
-    same = lambda x, y: (x["s"] == y["s"]) & (x["e"] == y["e"])
+    null = F.get("starts", F.lit(cls_index)) + F.get("ends", F.lit(cls_index))
+    place = lambda x: F.struct(F.get("offsets", -x["s"])["s"].alias("a"), F.get("offsets", -x["e"])["e"].alias("b"))
 
     def chosen(c: Column) -> Column:
         def with_best(best: Column) -> Column:
             high = F.greatest(best["score"], null)
             heap = F.slice(F.sort_array(c, asc=False), 1, 4 * top + 4)
-            kept = X.bound(heap, lambda h: F.filter(h, lambda x, k: ~F.exists(F.slice(h, F.lit(1), k), lambda y: same(x, y))))
-            mass = F.struct(high.alias("high"), F.aggregate(c, F.exp(null - high), lambda a, x: a + F.exp(x["score"] - high)).alias("total"))
-            spans = X.bound(mass, lambda m: F.transform(F.slice(kept, 1, top + 1), lambda x: F.struct((-x["s"]).alias("s"), (-x["e"]).alias("e"), x["score"].alias("score"), (F.exp(x["score"] - m["high"]) / m["total"]).alias("prob"))))
+            kept = X.bound(heap, lambda h: F.filter(h, lambda x, k: ~F.exists(F.slice(h, F.lit(1), k), lambda y: place(x) == place(y))))
+            mass = F.struct(high.alias("high"), F.aggregate(c, F.coalesce(F.exp(null - high), F.lit(0.0)), lambda a, x: a + F.exp(x["score"] - high)).alias("total"))
+            spans = X.bound(mass, lambda m: F.transform(F.slice(kept, 1, top + 1), lambda x: F.struct((-x["s"]).alias("s"), (-x["e"]).alias("e"), place(x)["a"].alias("start_char"), place(x)["b"].alias("end_char"), x["score"].alias("score"), (F.exp(x["score"] - m["high"]) / m["total"]).alias("prob"))))
             return F.struct(null.alias("null_score"), (null - best["score"]).alias("delta"), (-best["s"]).alias("s"), (-best["e"]).alias("e"), best["score"].alias("score"), spans.alias("spans"))
 
         return X.bound(F.array_max(c), with_best)
 
-    return windows.withColumn("x", X.bound(candidates(F.col("starts"), F.col("ends"), first, longest), chosen)).select("*", "x.*").drop("x")
+    return windows.withColumn("x", X.bound(candidates(F.col("starts"), F.col("ends"), F.col("offsets"), longest), chosen)).select("*", "x.*").drop("x")
 
 
-def endpoint_softmax(windows: DataFrame, first: int = 8) -> DataFrame:
+def endpoint_softmax(windows: DataFrame) -> DataFrame:
     """Softmax over context tokens of the start and end logits, at the chosen span of each window."""
 
     def at(x: str, k: str) -> Column:
-        part = F.slice(x, first + 1, F.greatest(F.size(x) - first, F.lit(0)))
+        part = F.filter(F.col(x), lambda v, i: F.get("offsets", i).isNotNull())
         return X.bound(part, lambda p: X.bound(F.array_max(p), lambda m: F.exp(F.get(F.col(x), F.col(k)) - m) / F.aggregate(p, F.lit(0.0), lambda a, v: a + F.exp(v - m))))
 
     return windows.withColumns({"start_prob": at("starts", "s"), "end_prob": at("ends", "e")})
@@ -70,9 +76,10 @@ def abstains(delta: Column, tau: Column | float) -> Column:
 def decided(windows: DataFrame, tau: Column | float = 0.0, by: list[str] = ["qid"]) -> DataFrame:  # noqa: B006
     """(by..., window_ix, score, answered, evidence_ix): the answering window with the best score, the first on
     ties, else none; evidence is the window with the least delta, the first on ties."""
-    answers = ~abstains(F.col("delta"), tau)
+    known = F.col("score").isNotNull()  # a window without context neither answers nor is evidence
+    answers = known & ~abstains(F.col("delta"), tau)
     best = F.max(F.when(answers, F.struct(F.col("score"), (-F.col("window_ix")).alias("w"))))
-    least = F.min(F.struct(F.coalesce("delta", F.lit(float("-inf"))).alias("d"), F.col("window_ix").alias("w")))
+    least = F.min(F.when(known, F.struct(F.coalesce("delta", F.lit(float("-inf"))).alias("d"), F.col("window_ix").alias("w"))))
     out = windows.groupBy(*by).agg(best.alias("b"), least.alias("l"))
     return out.select(*by, (-F.col("b.w")).alias("window_ix"), F.col("b.score").alias("score"), F.col("b").isNotNull().alias("answered"), F.col("l.w").alias("evidence_ix"))
 
@@ -271,7 +278,3 @@ def windows_per_question(windows: DataFrame) -> DataFrame:
     """Histogram of windows per question, capped at 4+."""
     per = windows.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     return per.groupBy(F.least("n", F.lit(4)).alias("windows")).agg(F.count(F.lit(1)).alias("questions"))
-
-
-def ranked_windows(windows: DataFrame) -> DataFrame:
-    return windows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "window_ix")))

@@ -120,7 +120,7 @@ def shifted_numbers(text: Column, seed: Column) -> Column:
         digit = lambda c, k: F.when(c.rlike(r"\d"), F.pmod(c.cast("int") + 1 + F.pmod(F.xxhash64(key, k), F.lit(8)), F.lit(10)).cast("string")).otherwise(c)
         chars = F.when(num != "", F.split(num, "")).otherwise(F.array().cast("array<string>"))
         turned = F.array_join(F.transform(chars, digit), "")
-        turned = F.when(turned.startswith("0") & (F.length(F.regexp_replace(turned, r"\D", "")) > 1), F.concat((1 + _number(key, 9)).cast("string"), F.substring(turned, 2, 1000))).otherwise(turned)
+        turned = F.when(turned.startswith("0") & (F.length(F.regexp_replace(turned, r"\D", "")) > 1), F.concat((1 + _number(key, 9)).cast("string"), F.substring(turned, F.lit(2), F.length(turned)))).otherwise(turned)
         new = F.when(limit.isNotNull() & plain, small).when(num.rlike(r"^\d{4}$") & v.between(1000, 2100), year).otherwise(turned)
         return F.when(num == "", p).otherwise(F.concat(F.regexp_replace(p, r"\d+(?:[.,]\d+)*$", ""), new))
 
@@ -192,6 +192,7 @@ def build(examples: DataFrame, sizes: dict[str, int | None] | None = None, seed:
     none = F.array().cast("array<string>")
     cap = lambda pool, s: capped_sample(pool, size[s], s, seed)
     slices = {"E1a": words_off(misaligned(aligned)), "E1b": words_off(compound_edges(aligned)), "E2a": late_answers(examples), "E2b": number_rich(examples), "E3a": examples.where("is_impossible"), "E4": lexical_gap(good).where("gap")}
+    # The words that begin a note, part of the set's format; `audit` reads them.
     e3b = removed_sentence(examples).withColumns({"new_answers": none, "note": F.concat(F.lit("câu đã xoá: "), "removed")})
     e2c = distractors(examples, seed=seed).withColumn("note", F.concat(F.lit("câu nhiễu: "), "fake"))
     usable = good.select("qid").unionByName(examples.where("is_impossible").select("qid"))

@@ -17,7 +17,7 @@ EPS = 1e-6
 
 def predictions_at(windows: DataFrame, tau: Column | float) -> DataFrame:
     """(qid, answer) at a threshold; '' where every window abstains."""
-    best = F.max(F.when(~spans.abstains(F.col("delta"), tau), F.struct(F.col("score"), (-F.col("window_ix")).alias("w"), F.col("answer"))))
+    best = F.max(F.when(F.col("score").isNotNull() & ~spans.abstains(F.col("delta"), tau), F.struct(F.col("score"), (-F.col("window_ix")).alias("w"), F.col("answer"))))
     return windows.groupBy("qid").agg(F.coalesce(best["answer"], F.lit("")).alias("answer"))
 
 
@@ -28,10 +28,9 @@ def candidate_taus(windows: DataFrame) -> DataFrame:
 
 
 def running_sums(rows: DataFrame, order: str, values: list[str], buckets: int = 256) -> DataFrame:
-    """Running sums of values up to and with each row, by `order` (distinct): over value buckets first, then inside them."""
-    ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"))
-    b = F.least(F.floor(F.coalesce(F.try_divide(F.col(order) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * buckets), F.lit(buckets - 1))
-    r = rows.crossJoin(F.broadcast(ends)).withColumn("bucket", b).drop("lo", "hi")  # one row
+    """Running sums of values up to and with each row, by `order` (distinct): over quantile buckets first, then inside them."""
+    cuts = rows.agg(F.percentile_approx(order, [k / buckets for k in range(1, buckets)], 10_000).alias("cuts"))  # one row of `buckets` numbers
+    r = rows.crossJoin(F.broadcast(cuts)).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(order)))).drop("cuts")
     sums = r.groupBy("bucket").agg(*[F.sum(v).alias(f"b_{v}") for v in values])
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     sums = sums.select("bucket", *[F.coalesce(F.sum(f"b_{v}").over(before), F.lit(0)).alias(f"b_{v}") for v in values])

@@ -74,8 +74,8 @@ def select_run(runs: DataFrame) -> DataFrame:
     return both.select(F.when(better, F.col("c.run")).otherwise(F.col("now.run")).alias("run"), F.when(better, F.col("c.f")).otherwise(F.col("now.f")).alias("f1"), better.alias("is_stable_candidate"))
 
 
-def collapsed(probe: DataFrame) -> DataFrame:
-    """Per run: whether any later epoch's loss is over twice the first one's."""
+def collapsed(probe: DataFrame, factor: float = 2.0) -> DataFrame:
+    """Per run: whether any later epoch's loss is over `factor` times the first one's."""
     first = F.min(F.struct("epoch", "loss"))
     s = probe.groupBy("run").agg(first.alias("first"), F.collect_list(F.struct("epoch", "loss")).alias("all"))  # one entry per epoch
-    return s.select("run", F.exists("all", lambda x: (x["epoch"] > F.col("first.epoch")) & (x["loss"] > 2 * F.col("first.loss"))).alias("collapsed"))
+    return s.select("run", F.exists("all", lambda x: (x["epoch"] > F.col("first.epoch")) & (x["loss"] > factor * F.col("first.loss"))).alias("collapsed"))

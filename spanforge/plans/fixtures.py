@@ -61,7 +61,7 @@ def located(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")).where("length(answer) > 0")
     words = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
     doc = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"))
-    grams = X.bound(words(F.regexp_replace("context", r"[\n\r\t]", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, ANCHOR)))))
+    grams = X.bound(words(F.regexp_replace("context", r"[\n\r\t]", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(ANCHOR)]))))
     anchors = b.withColumn("h", F.xxhash64(F.concat_ws(" ", F.slice(words(F.regexp_replace("answer", r"[\n\r\t]", " ")), 1, ANCHOR))))
     pairs = doc.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(anchors, "h").select("doc_id", "item_id", "answer").distinct()
     return pairs.join(doc, "doc_id").withColumn("answer_start", F.instr("context", F.col("answer")) - 1).where("answer_start >= 0").select("doc_id", "item_id", "context", "answer", "answer_start")
@@ -74,10 +74,12 @@ def paired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, d: str) -> DataFrame:
-    """(qid, window_ix, starts, ends): start and end logits of each window."""
+    """(qid, window_ix, starts, ends, offsets): logits of each window; eight tokens of a question, context, four of a
+    separator and padding. Two tokens share a word's place, as the pieces of a word do."""
     e = F.transform("embedding", lambda v: v.cast("double"))
     w = Window.partitionBy("label").orderBy("vec_id")
-    return table(spark, d, "embeddings").where("embedding is not null").select(F.col("label").alias("qid"), F.row_number().over(w).alias("window_ix"), e.alias("starts"), F.reverse(e).alias("ends"))
+    place = lambda v, k: F.when((k >= 8) & (k < 60), F.struct((F.floor(k / 2) * 5).cast("int").alias("s"), (F.floor(k / 2) * 5 + 4).cast("int").alias("e")))
+    return table(spark, d, "embeddings").where("embedding is not null").select(F.col("label").alias("qid"), F.row_number().over(w).alias("window_ix"), e.alias("starts"), F.reverse(e).alias("ends"), F.transform("embedding", place).alias("offsets"))
 
 
 def steps(spark: SparkSession, d: str) -> DataFrame:

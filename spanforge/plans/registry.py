@@ -206,7 +206,10 @@ def split_stats(s, d):
     return dataset.split_stats(fx.examples(s, d))
 
 
-@query()
+@query(rf"""WITH {S.SPLITS}, c AS (SELECT context, md5(context) AS id, list_sort(list(DISTINCT split)) AS sp, {S.words("lower(trim(context))")} AS w FROM spl GROUP BY context),
+g AS (SELECT id, sp, list_distinct(list_transform(range(1,greatest(len(w)-4,1)+1), lambda i: array_to_string(w[i:i+4],' '))) AS sh FROM c), u AS (SELECT id, sp, len(sh) AS n, unnest(sh) AS s FROM g),
+j AS (SELECT a.id AS context_a, b.id AS context_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM u a JOIN u b ON a.s=b.s AND a.id<b.id WHERE len(list_distinct(list_concat(a.sp,b.sp)))>1 GROUP BY 1,2)
+SELECT context_a, context_b, round(k::DOUBLE/(na+nb-k),6) AS jaccard FROM j WHERE round(k::DOUBLE/(na+nb-k),6)>=0.8""")
 def near_duplicates_minhash(s, d):
     return dataset.near_duplicate_contexts(fx.splits(s, d))
 
@@ -355,7 +358,7 @@ def best_span_per_window(s, d):
     return w.select("qid", F.col("window_ix").cast("long"), F.col("s").cast("long").alias("s"), F.col("e").cast("long").alias("e"), F.round("score", 9).alias("score"), F.round("delta", 9).alias("delta"))
 
 
-@query(f"WITH {S.LOGITS} SELECT qid, window_ix, rank::BIGINT AS rank, s::BIGINT AS s, e::BIGINT AS e, round(score,9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, window_ix ORDER BY score DESC, s, e) AS rank FROM prs) WHERE rank<=4")
+@query(f"WITH {S.LOGITS} SELECT qid, window_ix, rank::BIGINT AS rank, s::BIGINT AS s, e::BIGINT AS e, round(score,9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid, window_ix ORDER BY h) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, window_ix, s//2, e//2 ORDER BY h) AS c FROM (SELECT *, row_number() OVER (PARTITION BY qid, window_ix ORDER BY score DESC, s, e) AS h FROM prs) WHERE h<=16) WHERE c=1) WHERE rank<=4")
 def topk_spans(s, d):
     w = spans.scored(fx.logits(s, d)).select("qid", F.col("window_ix").cast("long"), F.posexplode("spans").alias("k", "x"))
     return w.select("qid", "window_ix", (F.col("k") + 1).cast("long").alias("rank"), F.col("x.s").cast("long").alias("s"), F.col("x.e").cast("long").alias("e"), F.round("x.score", 9).alias("score"))
@@ -368,7 +371,7 @@ def span_softmax(s, d):
     return spans.scored(fx.logits(s, d)).select("qid", F.col("window_ix").cast("long"), F.round(F.get("spans", F.lit(0))["prob"], 9).alias("prob"))
 
 
-@query(f"""WITH {S.LOGITS}, x AS (SELECT qid, window_ix, st[s+1] AS vs, st[64-e] AS ve, st[9:64] AS a, st[1:56] AS b FROM win JOIN lg USING (qid,window_ix))
+@query(f"""WITH {S.LOGITS}, x AS (SELECT qid, window_ix, st[s+1] AS vs, st[64-e] AS ve, st[9:60] AS a, st[5:56] AS b FROM win JOIN lg USING (qid,window_ix))
 SELECT qid, window_ix, round(exp(vs-list_max(a))/list_sum(list_transform(a, lambda v: exp(v-list_max(a)))),9) AS start_prob, round(exp(ve-list_max(b))/list_sum(list_transform(b, lambda v: exp(v-list_max(b)))),9) AS end_prob FROM x""")
 def endpoint_softmax(s, d):
     w = spans.endpoint_softmax(spans.scored(fx.logits(s, d)))
@@ -539,10 +542,12 @@ def alignment_summary(s, d):
     return spans.alignment_summary(_aligned(s, d))
 
 
-@query("SELECT doc_id, 1.0::DOUBLE AS coverage FROM documents")
+@query(r"""WITH w AS (SELECT doc_id, regexp_extract_all(text,'[^\s\x1c-\x1f\x85\x{a0}]+') AS ws FROM documents) SELECT doc_id, round(CASE WHEN len(ws)=0 THEN 1.0 ELSE list_sum(list_transform(list_filter(range(1,len(ws)+1), lambda k: k%3<>0), lambda k: length(ws[k])))::DOUBLE/list_sum(list_transform(ws, lambda t: length(t))) END,9) AS coverage FROM w""")
 def char_coverage(s, d):
-    r = _docs(s, d).select("doc_id", F.col("text").alias("context")).withColumn("words", spans.words_of(F.col("context")))
-    return r.select("doc_id", spans.char_coverage(F.col("context"), F.col("words")).alias("coverage"))
+    """Every third word is taken out, as a segmenter might lose it."""
+    words = F.filter(spans.words_of(F.col("context")), lambda w, k: (k + 1) % 3 != 0)
+    r = _docs(s, d).select("doc_id", F.col("text").alias("context")).withColumn("words", words)
+    return r.select("doc_id", F.round(spans.char_coverage(F.col("context"), F.col("words")), 9).alias("coverage"))
 
 
 @query()
@@ -576,9 +581,13 @@ def e2a_late_answers(s, d):
 _NUM = r"'\d+(?:[.,]\d+)*'"
 
 
-@query(rf"{S.WITH_EX} SELECT qid FROM ex WHERE len(answers)>0 AND regexp_matches(answers[1],'\d') AND len(list_filter(list_distinct(regexp_extract_all(context,{_NUM})), lambda z: NOT list_contains(regexp_extract_all(answers[1],{_NUM}),z)))>=3")
+@query(rf"{S.WITH_EX}, nx AS (SELECT qid, '1889' AS a, 'In 1889 '||(ord%5)||' of '||(ord%7)||' and 12,5 '||context AS c FROM ex WHERE len(answers)>0) SELECT qid FROM nx WHERE len(list_filter(list_distinct(regexp_extract_all(c,{_NUM})), lambda z: NOT list_contains(regexp_extract_all(a,{_NUM}),z)))>=3")
 def e2b_number_rich(s, d):
-    return stress.number_rich(fx.examples(s, d)).select("qid")
+    """Contexts begin with a few numbers, some of them equal."""
+    text = F.concat(F.lit("In 1889 "), (F.col("ord") % 5).cast("string"), F.lit(" of "), (F.col("ord") % 7).cast("string"), F.lit(" and 12,5 "), F.col("context"))
+    some = F.size("answers") > 0
+    ex = fx.examples(s, d).withColumns({"context": text, "answers": F.when(some, F.array(F.lit("1889"))).otherwise(F.col("answers")), "answer_start": F.when(some, 3).otherwise(-1)})
+    return stress.number_rich(ex).select("qid")
 
 
 _CUT = rf"""{S.WITH_EX}, c0 AS (SELECT qid, answers[1] AS a, {_SENT} AS ss, len(string_split({S.boundary_marks('substr(context,1,(answer_start+1)::BIGINT)')},chr(1))) AS i, len(string_split({S.boundary_marks('substr(context,1,(answer_start+length(answers[1]))::BIGINT)')},chr(1))) AS j FROM ex WHERE len(answers)>0 AND answer_start>=0),
@@ -619,8 +628,28 @@ def stress_items(s, d):
     return _stress_set(s, d).select("qid", "category", "subset", "role", "source_qid", "pair_id", F.size("answers").cast("long").alias("n_answers"))
 
 
-@query("SELECT NULL::VARCHAR AS qid, NULL::VARCHAR AS reason WHERE false")
+_AUDIT = f"""{S.WITH_EX}, st AS (SELECT qid, ord, context, question, answers, CASE WHEN ord%7=0 THEN [0,0]::BIGINT[] WHEN len(answers)=0 THEN []::BIGINT[] WHEN ord%5=0 THEN [answer_start+1] ELSE [answer_start] END AS starts, ord%3 AS kind FROM ex),
+au AS (SELECT qid, 'offsets don''t match answers' AS reason FROM st WHERE len(starts)<>len(answers) UNION ALL SELECT qid, 'wrong offset' FROM st WHERE len(answers)>0 AND substr(context,starts[1]+1,length(answers[1]))<>answers[1]
+UNION ALL SELECT qid, 'no note of the removed sentence' FROM st WHERE kind=0 AND ord%2=0 UNION ALL SELECT qid, 'question keeps diacritics' FROM st WHERE kind=1 AND translate(strip_accents(question),'đĐ','dD')<>question
+UNION ALL SELECT qid, 'no original' FROM st WHERE kind=0 UNION ALL SELECT qid, 'context is in train' FROM st WHERE context IN (SELECT context FROM ex WHERE ord%11=0))"""
+
+
+@query(f"{_AUDIT} SELECT qid, reason FROM au")
 def stress_audit(s, d):
+    """Faults are planted: shifted and surplus offsets, missing notes and originals, kept diacritics, contexts of the training set."""
+    ex = fx.examples(s, d)
+    long = lambda *x: F.array(*x).cast("array<bigint>")
+    starts = F.when(F.col("ord") % 7 == 0, long(F.lit(0), F.lit(0))).when(F.size("answers") == 0, long()).when(F.col("ord") % 5 == 0, long(F.col("answer_start") + 1)).otherwise(long(F.col("answer_start")))
+    kind = F.col("ord") % 3
+    subset = F.when(kind == 0, "E3b").when(kind == 1, "E5").otherwise("E2a")
+    note = F.when(F.col("ord") % 2 == 1, "câu đã xoá: x").otherwise("")
+    rows = ex.select("qid", "context", "question", "answers", starts.alias("answer_starts"), subset.alias("subset"), F.lit("perturbed").alias("role"), note.alias("note"))
+    return stress.audit(rows, ex.where("ord % 11 = 0"))
+
+
+@query()
+def stress_set_audit(s, d):
+    """The set that `build` makes has no fault."""
     return stress.audit(saved(_stress_set(s, d), "stress"))
 
 
@@ -781,3 +810,121 @@ def kpi_delta(s, d):
 def locale_format(s, d):
     c = scoring.corpus_scores(_items(s, d)).select("system", (F.col("n") * 1000).alias("n"), "f1")
     return report.formatted(c, ["n"], ["f1"])
+
+
+# what else the operators offer, each over whole tables
+
+
+@query(f"""WITH {S.SPLITS}, r1 AS (SELECT text, row_number() OVER (ORDER BY md5('42:'||text)) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT text FROM documents)), rest AS (SELECT text FROM r1 WHERE k<=floor({1 - 0.8!r}::DOUBLE*n)),
+r2 AS (SELECT text, row_number() OVER (ORDER BY md5('42-2:'||text)) AS k, count(*) OVER () AS n FROM rest) SELECT doc_id, CASE WHEN k IS NULL THEN 'train' WHEN k<=floor({1 - 0.1 / (1 - 0.8)!r}::DOUBLE*n) THEN 'test' ELSE 'validation' END AS split FROM documents LEFT JOIN r2 USING (text)""")
+def three_way_split(s, d):
+    return dataset.three_way_split(_docs(s, d).select("doc_id", F.col("text").alias("context")), "context").select("doc_id", "split")
+
+
+@query("SELECT doc_id, ['train','validation','test'][(min(doc_id) OVER (PARTITION BY text)%3+1)::INT] AS split FROM documents")
+def rotating_split(s, d):
+    return dataset.rotating_split(_docs(s, d).select("doc_id", F.col("text").alias("context")), "context", F.col("doc_id")).select("doc_id", "split")
+
+
+_ABST = "(prediction='')::INT"
+
+
+@query(f"{S.SCORED} SELECT system, round(100*avg(em),6) AS em, round(100*avg(f1),6) AS f1, round(coalesce(100*avg(em) FILTER (NOT is_impossible),0),6) AS em_answerable, round(coalesce(100*avg({_ABST}) FILTER (is_impossible),0),6) AS em_impossible, round(100*avg({_ABST}),6) AS abstain_pct FROM items GROUP BY 1")
+def threshold_scores(s, d):
+    return scoring.threshold_scores(_items(s, d))
+
+
+@query(f"WITH {S.LOGITS} SELECT least(n,4)::INT AS windows, count(*) AS questions FROM (SELECT qid, count(*) AS n FROM lg GROUP BY 1) GROUP BY 1")
+def windows_per_question(s, d):
+    return spans.windows_per_question(fx.logits(s, d)).withColumn("windows", F.col("windows").cast("int"))
+
+
+@query(f"""WITH {S.TAU}, dv AS (SELECT * FROM tw WHERE qid%4<2), dt AS (SELECT DISTINCT tau FROM (SELECT unnest([-delta-1e-6,-delta+1e-6]) AS tau FROM dv UNION ALL SELECT 0.0)),
+dec AS (SELECT tau, qid, first(em ORDER BY score DESC, window_ix) FILTER (NOT (delta+tau>=0)) AS em, first(f1 ORDER BY score DESC, window_ix) FILTER (NOT (delta+tau>=0)) AS f1 FROM dt, dv GROUP BY 1,2),
+tot AS (SELECT tau, round(100*sum(coalesce(f1,f10))/count(*),6) AS f1 FROM dec JOIN ab USING (qid) GROUP BY 1), bt AS (SELECT round(tau,6) AS t FROM tot ORDER BY f1 DESC, abs(tau), tau LIMIT 1)
+SELECT qid, any_value(t) AS tau, CASE WHEN count(*) FILTER (NOT (delta+t>=0))=0 THEN '' ELSE first(s||'-'||e ORDER BY (delta+t>=0)::INT, score DESC, window_ix) END AS answer FROM tw, bt WHERE qid%4>=2 GROUP BY qid""")
+def calibrated_predictions(s, d):
+    """Half of the questions choose the threshold, the others are decided at it, once."""
+    w, a = _tau_windows(s, d)
+    dev = F.col("qid") % 4 < 2
+    tau, out = threshold.calibrate(w.where(dev), a.where(dev), w.where(~dev))
+    return out.select("qid", F.lit(tau).alias("tau"), "answer")
+
+
+@query(f"{S.SCORED}, pl AS (SELECT qid, ({S.sent('context')})[1] AS pt FROM ex WHERE is_impossible) SELECT system, count(*) AS n_answered, count(*) FILTER ({S.norm('prediction')}={S.norm('pt')}) AS n_trapped FROM items JOIN pl USING (qid) WHERE len(golds)=0 AND {S.trim('prediction')}<>'' GROUP BY 1")
+def plausible_trap(s, d):
+    """An impossible question's plausible answer is its context's first sentence."""
+    plausible = fx.examples(s, d).where("is_impossible").select("qid", F.slice(X.sentences(F.col("context")), 1, 1).alias("plausible"))
+    return diagnosis.plausible_trap(_items(s, d).drop("plausible"), plausible)
+
+
+@query(f"{S.WITH_EX} SELECT bucket, count(*) AS n FROM (SELECT {S.case([(f'n<={t}', S.q(v)) for t, v in X.ANSWER_BUCKETS], S.q('11+'))} AS bucket FROM (SELECT len({S.tok('question')}) AS n FROM ex)) GROUP BY 1")
+def answer_length_buckets(s, d):
+    return fx.examples(s, d).groupBy(X.answer_length_bucket(F.size(X.tokens(F.col("question")))).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_ATW = S.words("question")
+
+
+@query(rf"{S.WITH_EX} SELECT kind, count(*) AS n FROM (SELECT {S.case([(r"regexp_matches(question,'\d')", S.q(X.ANSWER_TYPES[0])), (r"len(w)>0 AND len(w)<=6 AND len(list_filter(w, lambda t: regexp_matches(t,'^\pL') AND NOT regexp_matches(t,'^\p{Lu}')))=0", S.q(X.ANSWER_TYPES[1])), ('len(w)<=4', S.q(X.ANSWER_TYPES[2])), ('len(w)<=12', S.q(X.ANSWER_TYPES[3]))], S.q(X.ANSWER_TYPES[4]))} AS kind FROM (SELECT question, {_ATW} AS w FROM ex)) GROUP BY 1")
+def answer_types(s, d):
+    return fx.examples(s, d).groupBy(X.answer_type(F.col("question")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{S.WITH_EX}, a AS (SELECT qid, context, ({S.sent('context')})[1:3] AS a FROM ex) SELECT qid, array_to_string(list_transform(a, lambda z: strpos(context,z)-1),',') AS starts FROM a")
+def locate_all_answers(s, d):
+    at = X.locate_all(F.col("context"), F.slice(X.sentences(F.col("context")), 1, 3), F.lit(-1))
+    return fx.examples(s, d).select("qid", F.concat_ws(",", F.transform(at, lambda n: n.cast("string"))).alias("starts"))
+
+
+@query("SELECT doc_id, md5(replace(text,'e','_')) AS joined, md5(replace(replace(text,'e','_'),'_',' ')) AS digest FROM documents")
+def desegmented(s, d):
+    t = F.replace("text", F.lit("e"), F.lit("_"))
+    return _docs(s, d).select("doc_id", F.md5(t).alias("joined"), F.md5(X.desegment(t)).alias("digest"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(translate(strip_accents(text),'đĐ','dD'),'[^\\x00-\\x7F]','','g')) AS digest FROM documents")
+def ascii_folded(s, d):
+    return _docs(s, d).select("doc_id", F.md5(X.ascii_fold(F.col("text"))).alias("digest"))
+
+
+@query()
+def nfkc_digest(s, d):
+    return _docs(s, d).select("doc_id", X.nfkc_md5(F.col("text")).alias("digest"))
+
+
+@query(f"""{S.SCORED}, u AS (SELECT qid FROM (SELECT qid, row_number() OVER (ORDER BY md5('42:'||qid)) AS k FROM ex) WHERE k<=50) SELECT system, count(*) AS n, round(100*avg(em),6) AS em, round(100*avg(f1),6) AS f1, count(*) FILTER (NOT is_impossible) AS n_answerable, round(coalesce(100*avg(em) FILTER (NOT is_impossible),0),6) AS em_answerable, round(coalesce(100*avg(f1) FILTER (NOT is_impossible),0),6) AS f1_answerable,
+count(*) FILTER (is_impossible) AS n_impossible, round(coalesce(100*avg(em) FILTER (is_impossible),0),6) AS em_impossible, round(coalesce(100*avg(f1) FILTER (is_impossible),0),6) AS f1_impossible FROM items SEMI JOIN u USING (qid) GROUP BY 1""")
+def checkpoint_scores(s, d):
+    ex = fx.examples(s, d)
+    return scoring.checkpoint_scores(ex, fx.predictions(ex), 50)[0]
+
+
+@query(f"{S.SCORED} SELECT system, qid, error FROM (SELECT system, qid, error, row_number() OVER (PARTITION BY system ORDER BY md5('42:'||system||':'||qid)) AS k FROM cls WHERE error IS NOT NULL) WHERE k<=10")
+def error_sample(s, d):
+    return diagnosis.error_sample(_items(s, d), 10).select("system", "qid", "error")
+
+
+@query(f"WITH {S.CURVES}, f AS (SELECT run, first(train_loss ORDER BY epoch) AS l, min(epoch) AS e FROM cv GROUP BY 1) SELECT run, bool_or(epoch>e AND train_loss>1.02*l) AS collapsed FROM cv JOIN f USING (run) GROUP BY 1")
+def collapsed_runs(s, d):
+    return training.collapsed(fx.curves(s, d).select("run", "epoch", F.col("train_loss").alias("loss")), 1.02)
+
+
+@query(f"{S.SCORED}, c AS (SELECT system, round(100*avg(f1),6) AS f1, count(*) AS n FROM items GROUP BY 1) SELECT system, floor(10*f1)/10 AS floored, {S.case([('f1<0.1', S.q('<0,001'))], 'replace(format(' + S.q('{:.3f}') + ",f1/100),'.',',')")} AS p, '['||{S.locale('f1', 2)}||'; '||{S.locale('f1+1', 2)}||']' AS interval, CASE WHEN system='abstain' THEN n ELSE f1 END::DOUBLE AS either FROM c")
+def report_values(s, d):
+    c = scoring.corpus_scores(_items(s, d)).select("system", "f1", F.col("n").cast("double").alias("n"))
+    tuned = c.where("system <> 'abstain'").select("system", F.col("f1").alias("v"))
+    c = c.join(report.coalesced(tuned, c.select("system", F.col("n").alias("v")), ["system"], ["v"]), "system")
+    return c.select("system", report.floored(F.col("f1")).cast("double").alias("floored"), X.p_value(F.col("f1") / 100).alias("p"), X.interval_text(F.col("f1"), F.col("f1") + 1).alias("interval"), F.col("v").alias("either"))
+
+
+@query(f"{S.SCORED} SELECT '| '||system||' | '||qid||' | '||kind||' |' AS line FROM (SELECT system, qid, kind, row_number() OVER (PARTITION BY kind ORDER BY system||qid) AS k FROM (SELECT system, qid, CASE WHEN error='wrong_span' THEN 'wrong' WHEN error LIKE 'boundary%' THEN 'edge' WHEN em=1 THEN 'right' END AS kind FROM cls)) WHERE kind IS NOT NULL AND k<=5")
+def sample_lines(s, d):
+    c = diagnosis.classified(_items(s, d)).withColumn("key", F.concat("system", "qid"))
+    kinds = [("wrong", F.col("error") == "wrong_span"), ("edge", F.col("error").startswith("boundary")), ("right", F.col("em") == 1)]
+    return report.markdown(report.first_per_kind(c, kinds, "key", 5), ["system", "qid", "kind"])
+
+
+@query(f"{S.WITH_EX} SELECT qid, md5(replace(h,x,'<mark>'||x||'</mark>')) AS digest FROM (SELECT qid, replace(replace(replace(replace(replace(context,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') AS h, 'the' AS x FROM ex)")
+def highlighted(s, d):
+    return fx.examples(s, d).select("qid", F.md5(X.highlight(F.col("context"), F.lit("the"))).alias("digest"))

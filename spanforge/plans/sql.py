@@ -71,9 +71,9 @@ LOCATED = "loc AS (SELECT d.doc_id, b.item_id, d.text AS context, b.text AS answ
 
 PAIRED = "pr AS (SELECT doc_id AS qid, (quality=1)::DOUBLE AS em_a, (toxic=0)::DOUBLE AS em_b, source AS cluster FROM labels JOIN documents USING (doc_id))"
 
-#: Valid pairs of each window, with the null score; context tokens from 8 on, 12 tokens at most.
+#: Valid pairs of each window, with the null score; context tokens 8 to 59, 12 tokens at most.
 LOGITS = """lg AS (SELECT label AS qid, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS window_ix, list_transform(embedding, lambda v: v::DOUBLE) AS st FROM embeddings WHERE embedding IS NOT NULL),
-prs AS (SELECT qid, window_ix, st[1]+st[64] AS null_score, i AS s, i+k AS e, st[i+1]+st[64-(i+k)] AS score FROM lg, range(8,64) r(i), range(0,12) o(k) WHERE i+k<64),
+prs AS (SELECT qid, window_ix, st[1]+st[64] AS null_score, i AS s, i+k AS e, st[i+1]+st[64-(i+k)] AS score FROM lg, range(8,60) r(i), range(0,12) o(k) WHERE i+k<60),
 best AS (SELECT qid, window_ix, any_value(null_score) AS null_score, first(s ORDER BY score DESC, s, e) AS s, first(e ORDER BY score DESC, s, e) AS e, max(score) AS score FROM prs GROUP BY 1,2),
 win AS (SELECT *, null_score-score AS delta FROM best)"""
 

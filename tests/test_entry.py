@@ -53,3 +53,11 @@ def test_timed_predictor_and_source_scores(spark):
     assert scoring.source_scores(items, sliced).first().em == 100
     assert scoring.legacy_scores(items).first().f1 == 100
     assert stress.SIZES["E1a"] is None
+
+
+def test_the_rest_runs_without_the_corpus_operators(tmp_path):
+    """With both llm folders and the pipeline deleted, tests of the rest pass."""
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_functions.py", "-x", "-q", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True, timeout=600, env=os.environ | {"PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stdout[-2000:]

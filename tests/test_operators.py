@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from spanforge.functions import text as X
 from spanforge.operators import dataset, diagnosis, eda, report, scoring, spans, stress, threshold, training
 from spanforge.sources import corpora
 from spanforge.streaming import stability as stream
@@ -132,11 +133,101 @@ def test_sweep_equals_brute_force(spark):
         assert (em, f1) == (pytest.approx(want[0]), pytest.approx(want[1]))
 
 
+#: A question, a separator, four context tokens and a closing separator: null but for context.
+OFFSETS = [None, None, None, (0, 2), (3, 6), (7, 9), (10, 16), None]
+
+
+def searched(spark, pairs=(), offsets=OFFSETS, size=8, **options):
+    starts, ends = [0.0] * size, [0.0] * size
+    for k, a, b in pairs:
+        starts[k], ends[k] = a, b
+    w = spark.createDataFrame([("a", 1, starts, ends, offsets)], "qid string, window_ix int, starts array<double>, ends array<double>, offsets array<struct<s: int, e: int>>")
+    return spans.endpoint_softmax(spans.scored(w, **options)).first()
+
+
 def test_span_search_survives_large_logits(spark):
-    w = spark.createDataFrame([("a", 1, [0.0, 0.0, 0.0, 800.0, 1.0, 2.0], [0.0, 0.0, 0.0, 1.0, 800.0, 2.0])], "qid string, window_ix int, starts array<double>, ends array<double>")
-    r = spans.scored(w, first=2, longest=3).first()
-    assert (r.s, r.e, r.score) == (3, 4, 1600.0) and r.spans[0]["prob"] == pytest.approx(1.0)
-    assert len({(x["s"], x["e"]) for x in r.spans}) == len(r.spans) == 4
+    r = searched(spark, [(3, 800.0, 0.0), (4, 0.0, 800.0)])
+    assert (r.s, r.e) == (3, 4) and 0 < r.spans[0].prob <= 1 and r.spans[0].start_char == 0 and r.spans[0].end_char == 6
+
+
+def test_span_search_keeps_to_context_tokens(spark):
+    """High logits of the question, the closing separator and padding are no candidates and in no softmax."""
+    r = searched(spark, [(1, 50.0, 50.0), (7, 60.0, 60.0), (3, 8.0, 0.0), (4, 0.0, 8.0)])
+    assert (r.s, r.e) == (3, 4) and r.start_prob > 0.9 and r.end_prob > 0.9 and all(x.end_char <= 16 for x in r.spans)
+    padded = searched(spark, [(3, 8.0, 0.0), (4, 0.0, 8.0), (10, 90.0, 90.0)], OFFSETS + [None] * 4, 12)
+    assert (padded.s, padded.e, padded.score) == (r.s, r.e, r.score)
+
+
+def test_span_search_null_scores(spark):
+    assert searched(spark, [(0, 3.0, 2.0), (3, 5.0, 0.0), (4, 0.0, 4.0)]).null_score == 5.0
+    assert searched(spark, [(0, 9.0, 9.0), (3, 1.0, 0.0), (4, 0.0, 1.0)]).delta > 0 > searched(spark, [(3, 5.0, 0.0), (4, 0.0, 4.0)]).delta
+    r = searched(spark, [(3, 5.0, 0.0), (4, 0.0, 4.0)], cls_index=99)
+    assert r.null_score is None and r.delta is None and r.score == 9.0 and 0 < r.spans[0].prob <= 1
+    for offsets, size in (([None] * 3, 3), (OFFSETS, 0), ([], 8)):
+        r = searched(spark, offsets=offsets, size=size)
+        assert r.score is None and r.delta is None and r.spans in (None, [])
+
+
+def test_spans_are_distinct_by_characters(spark):
+    """Two tokens of one word share its place; the list names it once, with the better score."""
+    offsets = [None, (0, 4), (0, 4), (5, 9), None]
+    r = searched(spark, [(1, 3.0, 1.0), (2, 2.9, 2.0), (3, 1.0, 1.5)], offsets, 5, longest=1)
+    assert [(x.start_char, x.end_char) for x in r.spans] == [(0, 4), (5, 9)] and r.spans[0].score == 4.9
+    assert searched(spark, [(3, 5.0, 0.0), (6, 0.0, 5.0)], longest=1).spans[0].end_char <= 16
+
+
+def test_windows_without_context_decide_nothing(spark):
+    rows = [("q", 1, None, None), ("q", 2, -1.0, 3.0), ("r", 1, None, None)]
+    w = spark.createDataFrame(rows, "qid string, window_ix int, delta double, score double")
+    got = {r.qid: r for r in spans.decided(w).collect()}
+    assert (got["q"].window_ix, got["q"].answered, got["q"].evidence_ix) == (2, True, 2)
+    assert (got["r"].window_ix, got["r"].answered, got["r"].evidence_ix) == (None, False, None)
+
+
+def test_rotating_split_deals_in_turn(spark):
+    rows = spark.createDataFrame([(k, c) for k, c in enumerate("abacdbea")], "place bigint, context string")
+    got = {r.context: r.split for r in dataset.rotating_split(rows, "context", F.col("place")).collect()}
+    assert got == {"a": "train", "b": "validation", "c": "train", "d": "validation", "e": "train"}
+    assert dataset.rotating_split(rows.withColumn("context", F.lit(None).cast("string")), "context", F.col("place")).count() == 8
+
+
+def test_long_numbers_and_marked_texts(spark):
+    long = "1" + "2" * 1500
+    r = spark.createDataFrame([(long, "He said. \u0001Yes. Then\u0001 he left" + ")" * 60 + ". Go. Then.")], "n string, x string")
+    new = r.select(stress.shifted_numbers(F.col("n"), F.lit("s"))).first()[0]
+    assert len(new) == len(long) and new.isdigit() and new != long
+    x = r.first().x
+    got = r.select(X.sentence_spans(F.col("x")).alias("s")).first().s
+    assert x[got[0].s : got[0].e] == "He said. \u0001Yes." and [x[s.s : s.e] for s in got[-2:]] == ["Go.", "Then."]
+    closed = spark.createDataFrame([("End." + ")" * 60 + " Next one.",)], "x string").select(X.sentence_spans(F.col("x")).alias("s")).first().s
+    assert len(closed) == 2
+
+
+def test_stress_files_logs_and_legacy_rows(spark, tmp_path):
+    row = {"qid": "s2-E5-0001", "question": "q", "context": "c d", "title": "t", "category": "E5", "subset": "E5", "answers": ["d"], "answer_starts": [2], "role": "perturbed", "source_qid": "x", "pair_id": "s2-E5-0001", "note": "n"}
+    none = row | {"qid": "s2-E3a-0001", "answers": [], "answer_starts": []}
+    corpora.write_json(spark.createDataFrame([json.dumps(row), json.dumps(none)], "string").selectExpr("from_json(value, 'qid string, question string, context string, title string, category string, subset string, answers array<string>, answer_starts array<int>, role string, source_qid string, pair_id string, note string') as x").select("x.*"), str(tmp_path / "stress"))
+    examples_, meta = corpora.read_stress(spark, str(tmp_path / "stress"))
+    got = {r.qid: (r.answers, r.answer_start, r.is_impossible) for r in examples_.collect()}
+    assert got == {"s2-E5-0001": (["d"], 2, False), "s2-E3a-0001": ([], -1, True)} and meta.where("note = 'n'").count() == 2
+    steps = spark.createDataFrame([("r", 1, 0.5)], "run string, step bigint, loss double")
+    for _ in range(2):
+        corpora.append_steps(steps, str(tmp_path / "log"))
+    log = corpora.read_steps(spark, str(tmp_path / "log"))
+    assert log.count() == 2 and log.select("run", "step", "loss").first() == ("r", 1, 0.5)
+    legacy = spark.createDataFrame([("1", "q", "c")], "id string, question string, context string")
+    assert corpora.load_legacy(legacy).select("title", "is_impossible").first() == ("", False)
+    with pytest.raises(ValueError, match="context"):
+        corpora.load_legacy(legacy.drop("context"))
+    both = corpora.union_categories({"b": legacy, "a": legacy.withColumn("extra", F.lit(1))})
+    assert sorted((r.category, r.extra) for r in both.collect()) == [("a", 1), ("b", None)]
+    with pytest.raises(ValueError):
+        corpora.union_categories({})
+    nested = spark.createDataFrame([({"a": {"b": 1}},), ({"a": None},), (None,)], "x struct<a: struct<b: int>>")
+    assert [r[0] for r in nested.select(X.dig(F.col("x"), "a", "b")).collect()] == [1, None, None]
+    assert dataset.assert_consistent(examples(spark, [(0, "q", "?", "c", "t", ["c"], 0, False)])).count() == 1
+    with pytest.raises(Exception, match="impossible question has answers"):
+        dataset.assert_consistent(examples(spark, [(0, "q", "?", "c", "t", ["c"], 0, True)])).collect()
 
 
 @pytest.mark.parametrize("n, budget, stride", [(0, 5, 2), (5, 5, 2), (6, 5, 2), (100, 7, 6), (13, 4, 9)])
