@@ -235,7 +235,7 @@ def deduplicated(docs: DataFrame, most: int = MOST, words: int = WORDS) -> DataF
     rows = common.saved(fingerprints(docs, words), "fingerprints")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "fp")
     grouped = common.saved(rows.join(_components(rows, most).select("fp", "c"), "fp"), "grouped")
-    first = grouped.groupBy("c").agg(F.min(place).alias("first"))
+    first = common.saved(grouped.groupBy("c").agg(F.min(place).alias("first")), "first")  # of known size, so a small one is broadcast past hot groups
     shared = common.saved(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("s_id")), "shared")
     gone = grouped.where("doc_id is not null").join(shared, grouped["doc_id"] == shared["s_id"], "left_anti").join(first, "c").where(place != F.col("first"))
     gone = common.saved(gone.select(F.col("doc_id").alias("g_id")), "gone")
