@@ -193,7 +193,8 @@ def _starts(rows: DataFrame) -> DataFrame:
     both = off.selectExpr("*", f"sqrt({length}) as r").selectExpr("g", f"inline(array(struct(1 as start, {squashed}), struct(2 as start, {signs})))")
     scatter = _sums(both, ["g", "start"]).selectExpr("g", "start", "n", *_covariances(1.0))
     plain = medians.selectExpr("g", "0 as start", "0L as n", *[f"{float(i == j)}D as c{i}{j}" for i, j in _PAIRS])
-    return common.saved(_factored(scatter.unionByName(plain).join(medians, "g"), ["g", "start"], 0.01), "estimate")
+    # few files: many small ones look too large to be broadcast, and documents would be shuffled by group
+    return common.saved(_factored(scatter.unionByName(plain).join(medians, "g"), ["g", "start"], 0.01).coalesce(32), "estimate")
 
 
 def fit(stats: DataFrame) -> tuple[list[tuple[float, float]], DataFrame]:
