@@ -127,7 +127,7 @@ ROWS = "id long, tag long, source string, size long, source_size long, target do
 
 def _numbered(rows: DataFrame, block: int) -> DataFrame:
     """Adds k, 0 to n - 1 over n equal rows. They are counted and made again, so a hot one needs no sort; many come from several tasks."""
-    n = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+    n = common.saved(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "sizes")  # a whole scan made them
     parts = n.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / block))))
     parts = parts.where("n <= 1").unionByName(parts.where("n > 1").repartition(F.xxhash64(*parts.columns)))
     last = F.least(F.col("n") - F.col("part") * block, F.lit(block)) - 1
@@ -141,7 +141,7 @@ def balanced_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: floa
     """
     tag = F.col("tag") if "tag" in rows.columns else F.lit(None)
     rows = rows.select(F.col("id").cast("long").alias("id"), tag.cast("long").alias("tag"), F.col("source").cast("string").alias("source"), F.col("size").cast("long").alias("size"))
-    rows = common.saved(_numbered(rows, block), "sizes")  # a whole scan made them
+    rows = _numbered(rows, block)
     targets = common.saved(source_targets(rows, weights, most), "targets")
     t = targets.withColumnRenamed("source", "s")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
