@@ -180,9 +180,14 @@ def balanced_mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: floa
     return out.select("id", "tag", "source", "size", "source_size", "target", (F.col("whole") + F.col("p").cast("long")).alias("copies"))
 
 
+def _text_tag() -> Column:
+    return F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken): words that the mix takes of each document, repeats counted."""
-    rows = docs.select(F.col("doc_id").alias("id"), "source", n_words(F.col("text").cast("string")).alias("size"))
+    # the text's hash, as in `mixed`, so that both draw alike
+    rows = docs.select(F.col("doc_id").alias("id"), _text_tag().alias("tag"), "source", n_words(F.col("text").cast("string")).alias("size"))
     return balanced_mix(rows, weights, most).select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
@@ -193,7 +198,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: float = MOS
     table is large. Of rows equal in both, source and size, one stands for all, and is repeated as often as they were taken together.
     """
     size = n_words(F.col("text").cast("string"))
-    text = F.when(F.col("text").isNotNull(), F.xxhash64(F.col("text").cast("string")))
+    text = _text_tag()
     fate = balanced_mix(docs.select(F.col("doc_id").alias("id"), text.alias("tag"), "source", size.alias("size")), weights, most)
     fate = fate.groupBy("id", "tag", "source", "size").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).where("copies > 0")
     fate = common.saved(fate, "fate").withColumnsRenamed({"id": "f_id", "tag": "f_tag", "source": "f_source", "size": "f_size"})
