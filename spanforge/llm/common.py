@@ -93,3 +93,22 @@ def component_names(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     valued = saved(roots.join(nodes, "node").select("node", "root", "value"), "rooted")
     least = saved(valued.groupBy("root").agg(F.min("value").alias("name")), "names")
     return valued.join(least, "root").select("node", "name")
+
+
+#: A key with more than one in so many of the rows is hot; there are fewer hot keys than that.
+HOT_SHARE = 256
+
+
+def join_unique(rows: DataFrame, unique: DataFrame, on: str, total: int, how: str = "inner") -> DataFrame:
+    """Joins rows with a table that has each value of `on` once and, as n, how often rows have it; n is dropped.
+
+    A key with more than total / 256 of the rows is dealt over as many shares as it needs, and its row
+    of the unique table goes to each of them. The hot keys are fewer than 256 whatever the tables' sizes, so
+    they are broadcast; every other key has too few rows to burden a task.
+    """
+    shares = F.greatest(F.lit(1), F.ceil(F.col("n") * HOT_SHARE / F.lit(max(1, total)))).cast("int")
+    hot = unique.where(F.col("n") * HOT_SHARE > total).select(on, shares.alias("__shares"))
+    dealt = rows.withColumn("__row", F.monotonically_increasing_id()).join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__share", F.when(F.col("__shares").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("__row"), F.col("__shares")).cast("int"))).drop("__row", "__shares")
+    spread = unique.withColumn("__share", F.explode(F.when(F.col("n") * HOT_SHARE > total, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(F.lit(0))))).drop("n")
+    return dealt.join(spread, [on, "__share"], how).drop("__share")
