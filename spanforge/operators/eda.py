@@ -30,16 +30,6 @@ def histogram(rows: DataFrame, value: str, edges: list[int]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(label(*b)).alias("bin"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bins)])))
 
 
-def best_siblings(examples: DataFrame, keep_zero: bool = False) -> DataFrame:
-    """(qid, sibling_qid, jaccard, question, sibling): for each impossible question the most similar answerable one of its group."""
-    imp = examples.where("is_impossible").select("title", "qid", "question", F.array_distinct(X.tokens(F.col("question"))).alias("t"))
-    ans = examples.where("not is_impossible").select("title", F.col("qid").alias("sibling_qid"), F.col("question").alias("sibling"), F.col("ord").alias("o"), F.array_distinct(X.tokens(F.col("question"))).alias("u"))
-    pairs = imp.join(ans, "title").withColumn("jaccard", F.round(X.jaccard(F.col("t"), F.col("u")), 9))
-    best = pairs.groupBy("qid").agg(F.max(F.struct("jaccard", (-F.col("o")).alias("o"), "sibling_qid", "question", "sibling")).alias("b"))
-    out = best.select("qid", "b.sibling_qid", "b.jaccard", "b.question", "b.sibling")
-    return out if keep_zero else out.where("jaccard > 0")
-
-
 def edit_types(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("edit", X.edit_type(F.col("question"), F.col("sibling"))).groupBy("edit").agg(F.count(F.lit(1)).alias("n"))
 

@@ -147,10 +147,6 @@ def feature_scan(features: DataFrame, budget: int) -> DataFrame:
         F.count_if(~cls & (F.instr(text, F.col("answer")) == 0)).alias("n_mismatch"), F.count_if(cls).alias("n_cls"), F.round(F.avg(cls.cast("double")), 6).alias("cls_share"))
 
 
-def padded(x: Column, length: int, pad: Column) -> Column:
-    return F.concat(x, F.array_repeat(pad, F.greatest(F.lit(length) - F.size(x), F.lit(0))))
-
-
 def boundary_alignment(rows: DataFrame) -> DataFrame:
     """Per row with context, words and answers (array<struct<text, s>>, located): aligned, cuts, oracle span and EM.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import metrics as M
 from spanforge.functions import text as X
-from spanforge.operators import dataset, diagnosis, eda, report, retrieval, scoring, spans, stress, threshold, training
+from spanforge.operators import dataset, diagnosis, eda, features, report, retrieval, scoring, siblings, spans, stress, threshold, training
 from spanforge.plans import fixtures as fx
 from spanforge.plans import sql as S
 from spanforge.runtime import saved
@@ -521,6 +521,72 @@ def feature_scan(s, d):
     return spans.feature_scan(f, 128)
 
 
+#: Pairs of 128 ids that share 24 context tokens, with two separators between question and context.
+_LAYOUT = features.Layout(max_length=128, stride=24, between=2)
+
+
+def _word_id(w):
+    """A vocabulary of 1,000 words, as a hash; 3 is unknown."""
+    h = F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int")
+    return F.when(h % 61 == 0, F.lit(3)).otherwise(5 + h % 995)
+
+
+def _pair_features(s, d):
+    """Windows of user turns and their replies over white-space words; questions that fill a window have none."""
+    tokens = F.transform(spans.words_of(F.col("context")), lambda w: F.struct(_word_id(w["tok"]).alias("id"), w["s"].cast("int").alias("s"), w["e"].cast("int").alias("e")))
+    ids = F.transform(F.filter(F.split("question", X.SPACE), lambda t: t != ""), _word_id)
+    rows = fx.examples(s, d).withColumns({"tokens": tokens, "question_ids": ids}).where(F.size("question_ids") < 124)
+    return features.labelled(features.windows(rows, _LAYOUT))
+
+
+_ID = "(CASE WHEN ('0x'||substr(md5({w}),1,6))::INT%61=0 THEN 3 ELSE 5+('0x'||substr(md5({w}),1,6))::INT%995 END)"
+_PF = f"""{S.WITH_EX}, f0 AS (SELECT ord, qid, context, answers, answer_start, is_impossible, list_transform({S.words('question')}, lambda w: {_ID.format(w='w')}) AS qi, regexp_extract_all(context,'\\S+|\\s+') AS pc FROM ex),
+f1 AS (SELECT * EXCLUDE (pc), list_filter(list_transform(pc, lambda w, k: {{'id':{_ID.format(w='w')},'s':coalesce(list_sum(list_transform(pc[1:k-1], lambda y: length(y))),0)::INT,'e':coalesce(list_sum(list_transform(pc[1:k], lambda y: length(y))),0)::INT,'w':regexp_matches(w,'^\\S')}}), lambda z: z.w) AS tk FROM f0),
+f2 AS (SELECT *, 124-len(qi) AS room, greatest(1,100-len(qi)) AS step FROM f1 WHERE len(tk)>0 AND len(qi)<124),
+f3 AS (SELECT *, unnest(range(0,(1+greatest(0,ceil((len(tk)-room)/step::DOUBLE)))::BIGINT))::INT AS window_ix FROM f2),
+f4 AS (SELECT *, tk[window_ix*step+1:window_ix*step+room] AS part, len(qi)+3 AS lead FROM f3),
+f5 AS (SELECT *, list_concat([0],qi,[2,2],list_transform(part, lambda t: t.id),[2]) AS ids, part[1].s AS char_start, part[len(part)].e AS char_end, answer_start+length(answers[1]) AS ae FROM f4),
+f6 AS (SELECT *, len(ids) AS n_real, list_concat(ids, list_transform(range(len(ids),128), lambda i: 1)) AS input_ids, len(answers)>0 AND answer_start>=0 AND char_start<=answer_start AND char_end>=ae AS hit FROM f5),
+f7 AS (SELECT *, CASE WHEN hit THEN lead+list_filter(range(1,len(part)+1), lambda i: part[i].e>answer_start)[1]-1 ELSE 0 END AS sp, CASE WHEN hit THEN lead+list_filter(range(1,len(part)+1), lambda i: part[i].s<ae)[-1]-1 ELSE 0 END AS ep FROM f6)"""
+
+
+@query(f"""{_PF} SELECT qid, window_ix::BIGINT AS window_ix, n_real::BIGINT AS n_real, char_start::BIGINT AS char_start, char_end::BIGINT AS char_end, sp::BIGINT AS start_position, ep::BIGINT AS end_position, md5(array_to_string(input_ids,',')) AS ids,
+md5(array_to_string(list_concat(list_transform(range(0,lead), lambda i: '-'),list_transform(part, lambda t: t.s||':'||t.e),list_transform(range(lead+len(part),128), lambda i: '-')),',')) AS offsets,
+md5(array_to_string(list_concat(['-'],list_transform(qi, lambda i: '0'),['-','-'],list_transform(part, lambda i: '1'),list_transform(range(lead+len(part),128), lambda i: '-')),',')) AS sequence_ids FROM f7""")
+def pair_features(s, d):
+    f = _pair_features(s, d)
+    joined = lambda c, text: F.md5(F.concat_ws(",", F.transform(c, lambda x: F.coalesce(text(x), F.lit("-"))))).alias(c)
+    long = [F.col(c).cast("long").alias(c) for c in ("window_ix", "char_start", "char_end", "start_position", "end_position")]
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long")
+    return f.select("qid", real.alias("n_real"), *long, F.md5(F.concat_ws(",", F.col("input_ids").cast("array<string>"))).alias("ids"), joined("offsets", lambda o: F.concat(o["s"], F.lit(":"), o["e"])), joined("sequence_ids", lambda x: x.cast("string")))
+
+
+def _faulty_features(s, d):
+    """Features with a fault in seven of eleven windows: a foreign id, padding, CLS or labels that don't fit."""
+    f = _pair_features(s, d).withColumn("k", (F.col("ord") + 5 * F.col("window_ix")) % 11)
+    real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    at = lambda i, x: F.concat(F.slice("input_ids", 1, i), F.array(F.lit(x)), F.slice("input_ids", i + 2, 128))
+    ids = F.when(F.col("k") == 1, at(4, 5000)).when(F.col("k") == 2, at(127, 7)).when(F.col("k") == 6, at(0, 9)).otherwise(F.col("input_ids"))
+    lead = F.size("question_ids") + 3
+    label = lambda c: F.when(F.col("k") == 3, real).when(F.col("k").isin(4, 7), F.lit(1)).when(F.col("k") == 5, lead).otherwise(F.col(c))
+    return f.withColumns({"start_position": label("start_position"), "end_position": label("end_position"), "input_ids": ids})
+
+
+@query(f"""{_PF}, g AS (SELECT *, (ord+5*window_ix)%11 AS k FROM f7),
+h AS (SELECT *, CASE k WHEN 1 THEN list_concat(input_ids[1:4],[5000],input_ids[6:]) WHEN 2 THEN list_concat(input_ids[1:127],[7]) WHEN 6 THEN list_concat([9],input_ids[2:]) ELSE input_ids END AS x, CASE WHEN k=3 THEN n_real WHEN k IN (4,7) THEN 1 WHEN k=5 THEN lead ELSE sp END AS s, CASE WHEN k=3 THEN n_real WHEN k IN (4,7) THEN 1 WHEN k=5 THEN lead ELSE ep END AS e FROM g),
+c AS (SELECT *, coalesce(list_position(x,0),0)-1 AS cls FROM h), sp AS (SELECT *, s=cls AND e=cls AS at_cls, s>0 AND s<=e AND e<n_real AS valid, s>=lead AND s<lead+len(part) AND e>=lead AND e<lead+len(part) AS inside FROM c),
+m AS (SELECT *, {S.norm('substr(context,part[s-lead+1].s+1,part[e-lead+1].e-part[s-lead+1].s)')}={S.norm('answers[1]')} AS same FROM sp)
+SELECT count(*) AS n_features, count(*) FILTER (list_max(x[1:n_real])>=1000) AS id_out_of_vocab, count(*) FILTER (n_real>110) AS too_long, count(*) FILTER (n_real+1>=120) AS position_out_of_range, count(*) FILTER (n_real<128 AND list_bool_or(list_transform(x[n_real+1:], lambda t: t<>1))) AS mask_mismatch, count(*) FILTER (cls<>0) AS cls_not_at_0,
+count(*) FILTER (is_impossible AND NOT at_cls) AS impossible_not_cls, count(*) FILTER (is_impossible) AS n_impossible, count(*) FILTER (NOT is_impossible AND at_cls) AS answer_outside_window, count(*) FILTER (NOT is_impossible AND NOT at_cls) AS n_span, count(*) FILTER (NOT is_impossible AND NOT at_cls AND NOT valid) AS span_index_invalid,
+count(*) FILTER (NOT is_impossible AND NOT at_cls AND valid AND NOT inside) AS span_on_non_context_token, count(*) FILTER (NOT is_impossible AND NOT at_cls AND valid AND inside AND NOT same) AS span_text_mismatch,
+round(100*(sum(len(list_filter(x[1:n_real], lambda t: t=3)))/greatest(sum(n_real),1)),4)::DOUBLE AS unk_rate_pct, round((count(*) FILTER (is_impossible)+count(*) FILTER (NOT is_impossible AND at_cls))/greatest(count(*),1),4)::DOUBLE AS cls_label_fraction,
+round(100*(count(*) FILTER (NOT is_impossible AND NOT at_cls AND valid AND inside AND NOT same)/greatest(count(*) FILTER (NOT is_impossible AND NOT at_cls),1)),4)::DOUBLE AS span_text_mismatch_pct FROM m""")
+def encoded_feature_scan(s, d):
+    from dataclasses import replace
+
+    return features.scan(_faulty_features(s, d), replace(_LAYOUT, max_length=110), 1000, 120, 2, unknown=3)
+
+
 _AL = f"""{_WORDS}, jw AS (SELECT *, list_transform(list_filter(range(1,len(ws)+1), lambda k: k%2=1), lambda k: {{'s':ws[k].s,'e':coalesce(ws[k+1].s+length(ws[k+1].tok),ws[k].s+length(ws[k].tok))}}) AS w, answer_start AS a, answer_start+length(answer) AS b FROM wd),
 al AS (SELECT doc_id, item_id, context, answer, a, w, len(list_filter(w, lambda z: z.s<a AND a<z.e))>0 AS start_cut, len(list_filter(w, lambda z: z.s<b AND b<z.e))>0 AS end_cut, list_min(list_transform(list_filter(w, lambda z: z.s<b AND z.e>a), lambda z: z.s)) AS os, list_max(list_transform(list_filter(w, lambda z: z.s<b AND z.e>a), lambda z: z.e)) AS oe FROM jw),
 am AS (SELECT *, ({S.norm('substr(context,os+1,oe-os)')}={S.norm('answer')})::DOUBLE AS oem FROM al)"""
@@ -749,23 +815,50 @@ def top_tokens(s, d):
     return t.orderBy(F.desc("n"), "token").limit(25)  # a top-25 report
 
 
-def _paired_questions(s, d):
-    """Every second turn of a conversation stands as impossible, so that groups have both kinds."""
-    return fx.examples(s, d).withColumn("is_impossible", F.col("turn") % 4 == 0)
+#: Edits that make an impossible question out of an answerable one: a negation, a number, an antonym, a name, none, and another order of words.
+_EDITS = (f" {X.EDIT_NEGATIONS[0]}", " 1889", f" {X.ANTONYMS[0][1]}", " Paris")
 
 
-_SIB = f"""{S.WITH_EX}, i AS (SELECT title, qid, question, list_distinct({S.tok('question')}) AS t FROM ex WHERE turn%4=0), a AS (SELECT title, qid AS sq, question AS sibling, ord, list_distinct({S.tok('question')}) AS u FROM ex WHERE turn%4<>0),
-p AS (SELECT i.qid, sq, ord, i.question, sibling, round(CASE WHEN len(list_distinct(list_concat(t,u)))=0 THEN 0 ELSE len(list_intersect(t,u))::DOUBLE/len(list_distinct(list_concat(t,u))) END,9) AS j FROM i JOIN a USING (title)),
+def _edited_questions(s, d, large=False):
+    """Each user turn as an answerable question and as an impossible one made of it; paragraphs are parts of conversations, or three large ones."""
+    ex = fx.examples(s, d)
+    kind = F.floor(F.col("ord") / 2) % 6
+    edited = F.when(kind == 5, F.regexp_replace("question", r"(?s)^(\S+)\s+(.*)$", "$2 $1")).when(kind == 4, F.col("question"))
+    for k, x in enumerate(_EDITS):
+        edited = F.when(kind == k, F.concat("question", F.lit(x))).otherwise(edited)
+    plain = F.when(kind == 2, F.concat("question", F.lit(f" {X.ANTONYMS[0][0]}"))).otherwise(F.col("question"))
+    place = {"title": F.lit("t"), "context": (F.floor(F.col("ord") / 1000) % 3).cast("string")} if large else {"context": F.floor(F.col("turn") / 4).cast("string")}
+    both = F.array(F.struct(F.lit("a").alias("k"), plain.alias("question"), F.lit(False).alias("imp")), F.struct(F.lit("i").alias("k"), edited.alias("question"), F.lit(True).alias("imp")))
+    rows = ex.withColumns(place).select("title", "context", "qid", "ord", F.posexplode(both).alias("n", "x"))
+    return rows.select("title", "context", F.concat("qid", "x.k").alias("qid"), (2 * F.col("ord") + F.col("n")).alias("ord"), "x.question", F.col("x.imp").alias("is_impossible"))
+
+
+def _sib(group: str) -> str:
+    """All pairs of the questions above."""
+    edits = " ".join(f"WHEN {k} THEN question||'{x}'" for k, x in enumerate(_EDITS))
+    return rf"""{S.WITH_EX}, qs AS (SELECT {group} AS g, qid||'i' AS qid, ord*2+1 AS ord, true AS imp, CASE (ord//2)%6 {edits} WHEN 4 THEN question ELSE regexp_replace(question,'(?s)^(\S+)\s+(.*)$','\2 \1') END AS question FROM ex
+UNION ALL SELECT {group}, qid||'a', ord*2, false, question||CASE WHEN (ord//2)%6=2 THEN ' {X.ANTONYMS[0][0]}' ELSE '' END FROM ex),
+ts AS (SELECT *, list_distinct({S.tok('question')}) AS t FROM qs), i AS (SELECT * FROM ts WHERE imp), a AS (SELECT g, qid AS sq, question AS sibling, ord, t AS u FROM ts WHERE NOT imp),
+p AS (SELECT i.qid, sq, a.ord, i.question, sibling, round(len(list_intersect(t,u))::DOUBLE/len(list_distinct(list_concat(t,u))),9) AS j FROM i JOIN a USING (g) WHERE list_has_any(t,u)),
 sb AS (SELECT qid, first(sq ORDER BY j DESC, ord) AS sibling_qid, max(j) AS jaccard, first(question ORDER BY j DESC, ord) AS question, first(sibling ORDER BY j DESC, ord) AS sibling FROM p GROUP BY 1)"""
 
 
-@query(f"{_SIB} SELECT qid, sibling_qid, jaccard FROM sb WHERE jaccard>0")
+_SIB = _sib("title||'-'||(turn//4)")
+
+
+@query(f"{_SIB} SELECT qid, sibling_qid, jaccard FROM sb")
 def sibling_similarity(s, d):
-    return eda.best_siblings(_paired_questions(s, d)).select("qid", "sibling_qid", "jaccard")
+    return siblings.best_siblings(_edited_questions(s, d)).select("qid", "sibling_qid", "jaccard")
+
+
+@query(f"{_sib('(ord//1000)%3')} SELECT qid, sibling_qid, jaccard FROM sb")
+def sibling_search(s, d):
+    """Three paragraphs with all questions, which are searched by prefixes."""
+    return siblings.best_siblings(_edited_questions(s, d, large=True)).select("qid", "sibling_qid", "jaccard")
 
 
 _MINUS = "list_filter(list_distinct({a}), lambda v: len(list_filter({a}, lambda y: y=v))>len(list_filter({b}, lambda y: y=v)))"
-_ED = f"""{_SIB}, e0 AS (SELECT qid, {S.tok('sibling')} AS a, {S.tok('question')} AS b, list_transform(list_filter({S.words("question||' '||sibling")}, lambda w: regexp_matches(w,'^\\p{{Lu}}')), lambda w: regexp_replace(lower(w),'^[?,.]+|[?,.]+$','','g')) AS caps FROM sb),
+_ED = f"""{_SIB}, e0 AS (SELECT qid, jaccard, {S.tok('sibling')} AS a, {S.tok('question')} AS b, list_transform(list_filter({S.words("question||' '||sibling")}, lambda w: regexp_matches(w,'^\\p{{Lu}}')), lambda w: regexp_replace(lower(w),'^[?,.]+|[?,.]+$','','g')) AS caps FROM sb),
 e1 AS (SELECT *, {_MINUS.format(a='b', b='a')} AS ad, {_MINUS.format(a='a', b='b')} AS re FROM e0), e2 AS (SELECT *, list_concat(ad,re) AS bo FROM e1)"""
 _SWAP = " OR ".join(f"(list_contains(ad,{S.q(u)}) AND list_contains(re,{S.q(v)})) OR (list_contains(ad,{S.q(v)}) AND list_contains(re,{S.q(u)}))" for u, v in X.ANTONYMS)
 _EDIT = S.case([("len(bo)=0 AND a<>b", S.q(X.EDIT_TYPES[0])), ("len(bo)=0", S.q(X.EDIT_TYPES[1])), (f"list_has_any(bo,[{','.join(map(S.q, X.EDIT_NEGATIONS))}])", S.q(X.EDIT_TYPES[2])), ("len(list_filter(bo, lambda t: regexp_matches(t,'\\d')))>0", S.q(X.EDIT_TYPES[3])), (f"({_SWAP})", S.q(X.EDIT_TYPES[4])), ("list_has_any(bo,caps)", S.q(X.EDIT_TYPES[5]))], S.q(X.EDIT_TYPES[6]))
@@ -773,12 +866,12 @@ _EDIT = S.case([("len(bo)=0 AND a<>b", S.q(X.EDIT_TYPES[0])), ("len(bo)=0", S.q(
 
 @query(f"{_ED} SELECT {_EDIT} AS edit, count(*) AS n FROM e2 GROUP BY 1")
 def edit_types(s, d):
-    return eda.edit_types(eda.best_siblings(_paired_questions(s, d), keep_zero=True))
+    return eda.edit_types(siblings.best_siblings(_edited_questions(s, d)))
 
 
-@query(f"{_ED}, l AS (SELECT 'added' AS kind, unnest(ad) AS token FROM e2 UNION ALL SELECT 'removed', unnest(re) FROM e2), c AS (SELECT kind, token, count(*) AS n FROM l GROUP BY 1,2) SELECT kind, token, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS k FROM c) WHERE k<=25")
+@query(f"{_ED}, l AS (SELECT 'added' AS kind, unnest(ad) AS token FROM e2 WHERE jaccard>=0.5 UNION ALL SELECT 'removed', unnest(re) FROM e2 WHERE jaccard>=0.5), c AS (SELECT kind, token, count(*) AS n FROM l GROUP BY 1,2) SELECT kind, token, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, token) AS k FROM c) WHERE k<=25")
 def token_changes(s, d):
-    return eda.token_changes(eda.best_siblings(_paired_questions(s, d), keep_zero=True), least=0.0)
+    return eda.token_changes(siblings.best_siblings(_edited_questions(s, d)))
 
 
 @query()
