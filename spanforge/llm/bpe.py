@@ -26,10 +26,12 @@ import hashlib
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +43,13 @@ BYTE_BPE = "byte_bpe_50k.json"
 #: Bits of the hash that are zero at a cut, least and largest bytes of a chunk, and bytes that are hashed at once.
 BITS, LEAST, MOST, BLOCK = 10, 256, 8192, 1 << 20
 #: Bytes of the dictionary's texts, with those that an entry counts for itself; text bytes that a worker remembers, and takes at once.
-DICTIONARY, ENTRY, KEEP, TAKE = 16 << 20, 64, 16 << 20, 2 << 20
+DICTIONARY, ENTRY, KEEP, TAKE = 16 << 20, 64, 8 << 20, 1 << 20
+#: Distinct units that a worker keeps.
+UNITS = 250_000
 #: Bytes to the right of a cut that a window has at first.
 REACH = 48
+#: Texts of these characters alone are cut into units here: letters of European alphabets, and no separators on which libraries differ.
+_PLAIN, _UNIT = regex.compile(r"[\t\n\r -~¡-\u036f\u0400-\u052f]*"), regex.compile(public_tokenizers.PATTERN)
 _GEAR = np.random.default_rng(13).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -126,6 +132,52 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class _Index(dict):
+    """Numbers keys as they come; new: those since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, key):
+        value = self[key] = len(self)
+        self.new.append(key)
+        return value
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n elements, twice as many at least where it grows."""
+    return x if n <= len(x) else np.concatenate((x, np.empty(max(n, 2 * len(x)) - len(x), x.dtype)))
+
+
+class Units:
+    """Ids of distinct units, each encoded once by the library as long as they are kept."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.index, self.used = _Index(), 0
+        self.flat, self.size, self.start = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, how many each unit has)."""
+        if len(self.index) > UNITS:
+            self.__init__(self.tokenizer)
+        known = len(self.index)
+        code = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        if self.index.new:
+            new = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new, add_special_tokens=False)]
+            self.index.new = []
+            size = np.array([len(x) for x in new], np.int64)
+            end = self.used + int(size.sum())
+            self.flat, self.size, self.start = (_grown(x, n) for x, n in ((self.flat, end), (self.size, len(self.index)), (self.start, len(self.index))))
+            self.size[known : len(self.index)], self.start[known : len(self.index)] = size, self.used + np.cumsum(size) - size
+            self.flat[self.used : end] = np.fromiter(chain.from_iterable(new), np.uint32, end - self.used)
+            self.used = end
+        size = self.size[code]
+        at = np.repeat(self.start[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.flat[at], size
+
+
 class ChunkEncoder:
     """A byte-level BPE tokenizer file, with the bytes of each id and encoded chunks that it remembers."""
 
@@ -145,17 +197,29 @@ class ChunkEncoder:
             self.pieces[i] = bytes(byte_of[c] for c in token) if i not in special else special[i].encode()
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         self.back = max([len(s.encode()) for s in special.values()], default=0) + 3
+        self.special = list(special.values())
+        self.units = Units(t)
         self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
 
     def encode(self, chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(ids, which of them begin a unit) of each chunk by itself."""
-        out = []
-        for e in self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False):
+        """(ids, which of them begin a unit) of each chunk by itself: its units are looked up, or the library encodes it as a whole."""
+        texts = [c.decode() for c in chunks]
+        plain = [self.tokenizer.pre_tokenizer.use_regex and _PLAIN.fullmatch(x) is not None and not any(s in x for s in self.special) for x in texts]
+        out: list = [None] * len(texts)
+        cut = [_UNIT.findall(x) for x, p in zip(texts, plain, strict=True) if p]
+        ids, size = self.units.ids(list(chain.from_iterable(cut)))
+        heads = np.zeros(len(ids), bool)
+        heads[np.cumsum(size) - size] = True
+        n = np.concatenate(([0], np.cumsum(size)))[np.cumsum([0, *map(len, cut)])].tolist()
+        for k, a, b in zip((k for k, p in enumerate(plain) if p), n, n[1:], strict=False):
+            out[k] = (ids[a:b], heads[a:b])
+        others = [k for k, p in enumerate(plain) if not p]
+        for k, e in zip(others, self.tokenizer.encode_batch([texts[k] for k in others], add_special_tokens=False), strict=True):
             unit = np.array(e.word_ids, np.int64)
-            heads = np.ones(len(unit), bool)
-            heads[1:] = unit[1:] != unit[:-1]
-            out.append((np.array(e.ids, np.uint32), heads))
+            first = np.ones(len(unit), bool)
+            first[1:] = unit[1:] != unit[:-1]
+            out[k] = (np.array(e.ids, np.uint32), first)
         return out
 
     def lookup(self, chunks: list[bytes], dictionary: dict) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -168,7 +232,7 @@ class ChunkEncoder:
         if self.held > KEEP:
             fresh = {k: self.known[k] for k in keys if k in self.known}
             self.known, self.held = fresh, 0
-        self.known.update(zip(new, self.encode(list(new.values())), strict=True))
+        self.known.update((k, (i.copy(), h.copy())) for k, (i, h) in zip(new, self.encode(list(new.values())), strict=True))
         self.held += sum(map(len, new.values()))
         return [self.known[k] if k in self.known else unpacked(dictionary[k]) for k in keys]
 
@@ -185,12 +249,14 @@ class ChunkEncoder:
                 while stop < end and text[stop] & 0xC0 == 0x80:
                     stop += 1
                 (ids, heads), = self.encode([text[left:stop]])
-                sure = heads & (self._starts(left, ids) <= (stop if stop == len(text) else stop - self.back))
-                at = self._starts(join, right[0])
-                common_place, w, r = np.intersect1d(np.where(sure, self._starts(left, ids), -1), np.where(right[1], at, -2), return_indices=True)
-                if len(common_place):
-                    self._close(done, keep, left, ids[: w[0]], heads[: w[0]])
-                    done.append((int(common_place[0]), right[0][r[0] :], right[1][r[0] :]))
+                mine, theirs = self._starts(left, ids), self._starts(join, right[0])
+                w = np.flatnonzero(heads & (mine >= join) & (mine <= (stop if stop == len(text) else stop - self.back)))
+                r = np.minimum(np.searchsorted(theirs, mine[w]), len(theirs) - 1)
+                same = np.flatnonzero((theirs[r] == mine[w]) & right[1][r])
+                if len(same):
+                    w, r = int(w[same[0]]), int(r[same[0]])
+                    self._close(done, keep, left, ids[:w], heads[:w])
+                    done.append((int(theirs[r]), right[0][r:], right[1][r:]))
                     break
                 if stop == end:
                     self._close(done, keep, left, ids, heads)
@@ -347,8 +413,10 @@ def decode(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def run(batches):
         pieces = encoder(path).pieces
+        n = len(pieces)
         for batch in batches:
-            texts = [b"".join([pieces[i] for i in x if 0 <= i < len(pieces)]).decode("utf-8", "replace") for x in (batch.column(batch.num_columns - 1)[k].as_py() or [] for k in range(batch.num_rows))]
+            rows = (batch.column(batch.num_columns - 1)[k].as_py() or [] for k in range(batch.num_rows))
+            texts = [b"".join([pieces[i] for i in x if i is not None and 0 <= i < n]).decode("utf-8", "replace") for x in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], schema.names)
 
     return common.map_arrow(rows.select(*others, "ids"), run, schema)

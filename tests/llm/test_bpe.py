@@ -36,6 +36,23 @@ def test_joined_chunks_equal_the_library_whatever_the_cuts(library):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, (t, ends)
 
 
+def test_characters_that_are_cut_into_units_here(library):
+    """Every plain character, alone, doubled, and between letters, digits, marks and spaces, is cut as the library cuts it."""
+    enc = bpe.ChunkEncoder(bpe.default_path())
+    plain = [c for c in map(chr, range(0x600)) if bpe._PLAIN.fullmatch(c)]
+    assert len(plain) > 1_100 and not set("\x1c\x85\xa0\x0b\x0c") & set(plain)
+    texts = [t for c in plain for t in (c, c + c, f"a{c}b {c} 1{c}2 !{c}?  {c}{c}  '{c}\n{c}a")]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids.tolist() for ids, _ in enc.encode([t.encode() for t in texts])] == want
+
+
+def test_units_start_anew_beyond_their_bound(library, monkeypatch):
+    monkeypatch.setattr(bpe, "UNITS", 3)
+    enc = bpe.ChunkEncoder(bpe.default_path())
+    for t in ("a bc d e", "bc f", "g h i j bc", "", "k"):
+        assert enc.encode([t.encode()])[0][0].tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_chunks_cover_texts_and_follow_their_content():
     rng = random.Random(5)
     prose = " ".join("".join(rng.choices("etaoinshr", k=rng.randrange(1, 9))) for _ in range(20_000))
