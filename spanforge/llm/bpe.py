@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -31,7 +32,6 @@ from itertools import chain
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +44,14 @@ BYTE_BPE = "byte_bpe_50k.json"
 BITS, LEAST, MOST, BLOCK = 10, 256, 8192, 1 << 20
 #: Bytes of the dictionary's texts, with those that an entry counts for itself; text bytes that a worker remembers, and takes at once.
 DICTIONARY, ENTRY, KEEP, TAKE = 16 << 20, 64, 8 << 20, 1 << 20
-#: Distinct units that a worker keeps.
-UNITS = 250_000
+#: Distinct units that a worker keeps, and words that are encoded in one string.
+UNITS, LINES = 250_000, 128
 #: Bytes to the right of a cut that a window has at first.
 REACH = 48
 #: Texts of these characters alone are cut into units here: letters of European alphabets, and no separators on which libraries differ.
-_PLAIN, _UNIT = regex.compile(r"[\t\n\r -~¡-\u036f\u0400-\u052f]*"), regex.compile(public_tokenizers.PATTERN)
+_PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-\u036f\u0400-\u052f]*")
+#: The public tokenizers' pattern in the terms of `re`: among those characters, letters are what is a word but neither a digit nor _.
+_UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _GEAR = np.random.default_rng(13).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -151,28 +153,65 @@ def _grown(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Units:
-    """Ids of distinct units, each encoded once by the library as long as they are kept."""
+    """Ids of distinct units, each encoded once by the library as long as they are kept.
 
-    def __init__(self, tokenizer):
-        self.tokenizer = tokenizer
+    Words are encoded in groups, a line each, by a copy of the tokenizer that only cuts at line ends; other units one by one.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.each, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.lines.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for t in (self.each, self.lines):
+            t.no_truncation()
+            t.no_padding()
+            if hasattr(t.model, "_resize_cache"):
+                t.model._resize_cache(0)  # the index takes its place
+        end = self.each.encode("\n", add_special_tokens=False).ids
+        self.end = end[0] if len(end) == 1 else None
+        self._clear()
+
+    def _clear(self) -> None:
         self.index, self.used = _Index(), 0
         self.flat, self.size, self.start = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
+    def _encoded(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [e.ids for e in self.each.encode_batch_fast(units, add_special_tokens=False)]
+        size = np.array([len(x) for x in made], np.int64)
+        return np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum())), size
+
+    def _words(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self.lines.encode_batch_fast(["".join([u + "\n" for u in units[k : k + LINES]]) for k in range(0, len(units), LINES)], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in made])
+        size = np.diff(np.flatnonzero(ids == self.end), prepend=-1) - 1
+        return ids[ids != self.end], size
+
+    def _learn(self, known: int) -> None:
+        new, self.index.new = self.index.new, []
+        word = np.fromiter((self.end is not None and u.strip(" ").isalpha() for u in new), bool, len(new))
+        size, flat = np.zeros(len(new), np.int64), []
+        start, at = np.zeros(len(new), np.int64), self.used
+        for which, encode in ((word, self._words), (~word, self._encoded)):
+            order = np.flatnonzero(which)
+            if len(order):
+                ids, n = encode([new[k] for k in order])
+                flat.append(ids)
+                size[order], start[order] = n, at + np.cumsum(n) - n
+                at += len(ids)
+        self.flat, self.size, self.start = (_grown(x, n) for x, n in ((self.flat, at), (self.size, len(self.index)), (self.start, len(self.index))))
+        self.size[known : len(self.index)], self.start[known : len(self.index)] = size, start
+        self.flat[self.used : at] = np.concatenate(flat)
+        self.used = at
+
     def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, how many each unit has)."""
         if len(self.index) > UNITS:
-            self.__init__(self.tokenizer)
+            self._clear()
         known = len(self.index)
         code = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
         if self.index.new:
-            new = [e.ids for e in self.tokenizer.encode_batch_fast(self.index.new, add_special_tokens=False)]
-            self.index.new = []
-            size = np.array([len(x) for x in new], np.int64)
-            end = self.used + int(size.sum())
-            self.flat, self.size, self.start = (_grown(x, n) for x, n in ((self.flat, end), (self.size, len(self.index)), (self.start, len(self.index))))
-            self.size[known : len(self.index)], self.start[known : len(self.index)] = size, self.used + np.cumsum(size) - size
-            self.flat[self.used : end] = np.fromiter(chain.from_iterable(new), np.uint32, end - self.used)
-            self.used = end
+            self._learn(known)
         size = self.size[code]
         at = np.repeat(self.start[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
         return self.flat[at], size
@@ -198,7 +237,7 @@ class ChunkEncoder:
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
         self.back = max([len(s.encode()) for s in special.values()], default=0) + 3
         self.special = list(special.values())
-        self.units = Units(t)
+        self.units = Units(path)
         self.known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
         self.held = 0
 
@@ -236,8 +275,34 @@ class ChunkEncoder:
         self.held += sum(map(len, new.values()))
         return [self.known[k] if k in self.known else unpacked(dictionary[k]) for k in keys]
 
-    def joined(self, text: bytes, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """The ids of a text out of those of its chunks."""
+    def texts(self, held: list[tuple[bytes, list[int]]], dictionary: dict) -> list[np.ndarray]:
+        """The ids of texts with the ends of their chunks. The windows that the joins most likely need are encoded together."""
+        each = iter(self.lookup([c for text, ends in held for c in chunks_of(text, ends)], dictionary))
+        parts = [[next(each) for _ in ends] for _, ends in held]
+        places = [self._likely(*h, p) for h, p in zip(held, parts, strict=True)]
+        made = iter(self.encode([text[a:b] for (text, _), spans in zip(held, places, strict=True) for a, b in spans]))
+        return [self.joined(text, ends, p, {x: next(made) for x in spans}) for (text, ends), p, spans in zip(held, parts, places, strict=True)]
+
+    def _likely(self, text: bytes, ends: list[int], parts: list) -> list[tuple[int, int]]:
+        """Windows at the joins as they are if the last unit far enough before a join lies in the chunk before it."""
+        out, start = [], 0
+        for join, end, (ids, heads) in zip(ends, ends[1:], parts, strict=False):
+            at = self._starts(start, ids)
+            fit = np.flatnonzero(heads[: np.searchsorted(at, join - self.back, "right")])
+            if len(fit):
+                out.append((int(at[fit[-1]]), self._stop(text, join + REACH, end)))
+            start = join
+        return list(dict.fromkeys(out))
+
+    @staticmethod
+    def _stop(text: bytes, stop: int, end: int) -> int:
+        stop = min(stop, end)
+        while stop < end and text[stop] & 0xC0 == 0x80:
+            stop += 1
+        return stop
+
+    def joined(self, text: bytes, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]], made: dict | None = None) -> np.ndarray:
+        """The ids of a text out of those of its chunks; made: windows (first byte, end) that are encoded already."""
         if len(parts) < 2:
             return parts[0][0] if parts else np.empty(0, np.uint32)
         done = [(0, *parts[0])]  # (first byte, ids, heads) of what is right, but for units near its end
@@ -245,10 +310,8 @@ class ChunkEncoder:
             left, keep = self._anchor(done, join)
             reach = REACH
             while True:
-                stop = min(join + reach, end)
-                while stop < end and text[stop] & 0xC0 == 0x80:
-                    stop += 1
-                (ids, heads), = self.encode([text[left:stop]])
+                stop = self._stop(text, join + reach, end)
+                ids, heads = (made or {}).get((left, stop)) or self.encode([text[left:stop]])[0]
                 mine, theirs = self._starts(left, ids), self._starts(join, right[0])
                 w = np.flatnonzero(heads & (mine >= join) & (mine <= (stop if stop == len(text) else stop - self.back)))
                 r = np.minimum(np.searchsorted(theirs, mine[w]), len(theirs) - 1)
@@ -273,7 +336,7 @@ class ChunkEncoder:
         while True:
             first, ids, heads = done[-1]
             starts = self._starts(first, ids)
-            fit = np.flatnonzero(heads & (starts <= join - self.back))
+            fit = np.flatnonzero(heads[: np.searchsorted(starts, join - self.back, "right")])
             if len(fit):
                 return int(starts[fit[-1]]), int(fit[-1])
             if len(done) == 1:
@@ -385,8 +448,7 @@ def encode(docs: DataFrame, tokenizer: str | None = None, most: int = DICTIONARY
         enc = encoder(path)
 
         def rows(batch, first, held):
-            parts = iter(enc.lookup([c for text, ends in held for c in chunks_of(text, ends)], shared.value))
-            ids = [enc.joined(text, ends, [next(parts) for _ in ends]) for text, ends in held]
+            ids = enc.texts(held, shared.value)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else [], pa.int32())
             return pa.RecordBatch.from_arrays([*(c.slice(first, len(held)) for c in batch.columns[:-1]), pa.ListArray.from_arrays(offsets, values)], schema.names)

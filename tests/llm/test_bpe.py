@@ -32,15 +32,16 @@ def test_joined_chunks_equal_the_library_whatever_the_cuts(library):
         raw = t.encode()
         places = [k for k in range(1, len(raw)) if raw[k] & 0xC0 != 0x80]
         ends = sorted(rng.sample(places, min(len(places), rng.randrange(9)))) + [len(raw)]
-        ids = enc.joined(raw, ends, enc.encode(bpe.chunks_of(raw, ends)))
-        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, (t, ends)
+        want = library.encode(t, add_special_tokens=False).ids
+        assert enc.joined(raw, ends, enc.encode(bpe.chunks_of(raw, ends))).tolist() == want, (t, ends)
+        assert [x.tolist() for x in enc.texts([(b"", []), (raw, ends), (raw, [len(raw)])], {})] == [[], want, want], (t, ends)
 
 
 def test_characters_that_are_cut_into_units_here(library):
     """Every plain character, alone, doubled, and between letters, digits, marks and spaces, is cut as the library cuts it."""
     enc = bpe.ChunkEncoder(bpe.default_path())
     plain = [c for c in map(chr, range(0x600)) if bpe._PLAIN.fullmatch(c)]
-    assert len(plain) > 1_100 and not set("\x1c\x85\xa0\x0b\x0c") & set(plain)
+    assert len(plain) > 1_080 and not set("\x1c\x85\xa0\x0b\x0c") & set(plain)
     texts = [t for c in plain for t in (c, c + c, f"a{c}b {c} 1{c}2 !{c}?  {c}{c}  '{c}\n{c}a")]
     want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [ids.tolist() for ids, _ in enc.encode([t.encode() for t in texts])] == want
