@@ -291,10 +291,25 @@ def html_escape(x: Column) -> Column:
     return x
 
 
-def highlight(x: Column, marked: Column, open_: str = "<mark>", close: str = "</mark>") -> Column:
-    """Escaped text with every occurrence of a phrase marked; no marks for an empty phrase."""
-    safe, phrase = html_escape(x), html_escape(marked)
-    return F.when(F.coalesce(phrase, F.lit("")) == "", safe).otherwise(F.replace(safe, phrase, F.concat(F.lit(open_), phrase, F.lit(close))))
+def highlight(x: Column, marks: list[tuple[Column, str]], missing: str = "??") -> Column:
+    """Escaped text in which phrases are wrapped in <mark class='...'>; marks: (phrase, class), earlier ones first.
+
+    Phrases are looked for in the text as it is, from the left, and only where no earlier phrase is
+    marked, so marks never overlap nor nest, and pieces are escaped last. Null or empty phrases mark
+    nothing; a null or empty text is `missing`.
+    """
+    part = lambda text, kind: F.struct(text.alias("text"), F.lit(kind).cast("string").alias("kind"))
+
+    def cut(phrase: Column, kind: str):
+        literal = F.concat(F.lit("\\Q"), F.replace(phrase, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+        between = lambda p: F.transform(F.split(p["text"], literal), lambda t, i: F.when(i == 0, F.array(part(t, None))).otherwise(F.array(part(phrase, kind), part(t, None))))
+        return lambda p: F.when(p["kind"].isNotNull(), F.array(p)).otherwise(F.flatten(between(p)))
+
+    parts = F.array(part(x, None))
+    for phrase, kind in marks:
+        parts = F.when(F.coalesce(phrase, F.lit("")) == "", parts).otherwise(F.flatten(F.transform(parts, cut(phrase, kind))))
+    shown = F.transform(parts, lambda p: F.when(p["kind"].isNull(), html_escape(p["text"])).otherwise(F.concat(F.lit("<mark class='"), p["kind"], F.lit("'>"), html_escape(p["text"]), F.lit("</mark>"))))
+    return F.when(F.coalesce(x, F.lit("")) == "", F.lit(missing)).otherwise(F.array_join(shown, ""))
 
 
 def locale_number(x: Column, digits: int = 2, missing: str = "??") -> Column:

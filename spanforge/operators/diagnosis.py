@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,46 +45,6 @@ def paired_table(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
     return pairs.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.count_if(a & b).alias("n_both"), F.count_if(a & ~b).alias("n_only_a"), F.count_if(~a & b).alias("n_only_b"), F.count_if(~a & ~b).alias("n_neither"), F.round(100 * (F.avg("em_a") - F.avg("em_b")), 6).alias("diff"))
 
 
-def mcnemar_exact(b: int, c: int) -> float:
-    """Exact two-sided p-value from the two discordant counts; 1 without any."""
-    n, k = b + c, min(b, c)
-    if n == 0:
-        return 1.0
-    return min(1.0, float(2 * sum(comb(n, i) for i in range(k + 1)) * 10**40 // 2**n) / 1e40 if n > 1000 else 2 * sum(comb(n, i) for i in range(k + 1)) / 2**n)
-
-
-def bootstrap_ci(cells: DataFrame, resamples: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """(mean, low, high) of sum(s) / sum(c) when cells (cell, s, c) are drawn with replacement.
-
-    Each cell's weight in a resample is a Poisson(1) count drawn from a hash of (seed, resample,
-    cell): the distributed form of the bootstrap, one partial sum per resample and task, so nothing
-    but the resamples' sums is gathered. Cells are items, or clusters for the clustered interval.
-    """
-    import numpy as np
-
-    tail = np.cumsum(np.exp(-1) / np.concatenate(([1], np.cumprod(np.arange(1, 12)))))
-
-    def summed(batches):
-        s, c = np.zeros(resamples), np.zeros(resamples)
-        every = np.arange(resamples, dtype=np.uint64)
-        for batch in batches:
-            for h, x, n in zip(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)), strict=True):
-                v = np.uint64(int(h) & 0xFFFFFFFFFFFFFFFF) ^ (every * np.uint64(0x9E3779B97F4A7C15))
-                for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-                    v = (v ^ (v >> np.uint64(33))) * np.uint64(m)
-                w = np.searchsorted(tail, (v >> np.uint64(11)) * 2.0**-53)
-                s += w * x
-                c += w * n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(s), pa.array(c)], ["b", "s", "c"])
-
-    rows = cells.select(F.xxhash64("cell", F.lit(seed)).alias("h"), F.col("s").cast("double"), F.col("c").cast("double"))
-    sums = rows.mapInArrow(summed, "b long, s double, c double").groupBy("b").agg((F.sum("s") / F.sum("c")).alias("m"))
-    low, high = int((1 - level) / 2 * resamples), int((1 + level) / 2 * resamples) - 1
-    ends = sums.where("m is not null").agg(F.sort_array(F.collect_list("m")).alias("m"))  # as long as there are resamples
-    mean = cells.agg((F.sum("s") / F.sum("c")).alias("mean"))
-    return mean.crossJoin(ends).select("mean", F.get("m", F.least(F.lit(low), F.size("m") - 1)).alias("low"), F.get("m", F.least(F.lit(high), F.size("m") - 1)).alias("high"))
-
-
 def cluster_cells(pairs: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cell, s, c): summed EM differences and sizes of clusters; what the clustered bootstrap resamples."""
     return pairs.groupBy(F.col(cluster).alias("cell")).agg(F.sum(F.col("em_a") - F.col("em_b")).alias("s"), F.count(F.lit(1)).alias("c"))

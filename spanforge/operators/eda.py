@@ -109,12 +109,13 @@ def edit_examples(pairs: DataFrame, order: DataFrame, most: int = 3, least: floa
 
 
 def plausible_golds(examples: DataFrame) -> DataFrame:
-    """(qid, is_gold): impossible questions with plausible answers, and whether the first one, normalised, is
-    an answer of an answerable question on the same context of the same title."""
+    """(qid, is_gold, offset_ok): impossible questions with plausible answers, whether the first one, normalised, is
+    an answer of an answerable question on the same context of the same title, and whether it stands at its offset."""
     norm = lambda a: F.concat_ws(" ", X.tokens(a))
-    mine = examples.where(F.col("is_impossible") & (F.size("plausible") > 0)).select("qid", "title", "context", norm(F.get("plausible", F.lit(0))).alias("p"))
+    first, at = F.get("plausible", F.lit(0)), F.get("plausible_start", F.lit(0))
+    mine = examples.where(F.col("is_impossible") & (F.size("plausible") > 0)).select("qid", "title", "context", norm(first).alias("p"), F.coalesce(F.substring("context", at + 1, F.length(first)) == first, F.lit(False)).alias("offset_ok"))
     gold = examples.where(~F.col("is_impossible")).select("title", "context", F.explode("answers").alias("a")).select("title", "context", norm(F.col("a")).alias("p")).where("p <> ''").distinct().withColumn("is_gold", F.lit(True))
-    return mine.join(gold, ["title", "context", "p"], "left").select("qid", F.coalesce("is_gold", F.lit(False)).alias("is_gold"))
+    return mine.join(gold, ["title", "context", "p"], "left").select("qid", F.coalesce("is_gold", F.lit(False)).alias("is_gold"), "offset_ok")
 
 
 def value_counts(rows: DataFrame, value: Column, name: str) -> DataFrame:

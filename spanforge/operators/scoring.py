@@ -102,10 +102,42 @@ def checkpoint_scores(examples: DataFrame, predictions: DataFrame, n: int | None
     return corpus_scores(items), used.select("qid")
 
 
-def legacy_scores(items: DataFrame) -> DataFrame:
-    """The older means: two empty sides have F1 0, and rows without gold stay in the denominator."""
-    empty = (F.size("golds") <= 0) & M.abstained(F.col("prediction"))
-    return items.groupBy("system").agg(F.count(F.lit(1)).alias("n"), percent(F.when(empty, 0.0).otherwise(F.col("em"))).alias("em"), percent(F.when(empty, 0.0).otherwise(F.col("f1"))).alias("f1"))
+def _legacy(prediction: Column, golds: Column) -> Column:
+    """struct<em, f1>: the best over golds by the older normaliser; without a common token F1 is 0, also of two empty sides."""
+    words = lambda t: F.filter(F.split(X.legacy_normalize(F.coalesce(t, F.lit(""))), " "), lambda w: w != "")
+
+    def one(p: Column, g: Column) -> Column:
+        return X.bound(F.struct(p.alias("p"), words(g).alias("g")), lambda x: F.struct((x["p"] == x["g"]).cast("double").alias("em"), F.when(F.size(x["p"]) == 0, F.lit(0.0)).otherwise(M.f1_of_tokens(x["p"], x["g"])).alias("f1")))
+
+    each = X.bound(words(prediction), lambda p: F.transform(golds, lambda g: one(p, g)))
+    return X.bound(each, lambda e: F.struct(F.array_max(F.transform(e, lambda m: m["em"])).alias("em"), F.array_max(F.transform(e, lambda m: m["f1"])).alias("f1")))
+
+
+def legacy_scores(rows: DataFrame) -> DataFrame:
+    """(system, n, em, f1) of rows with system, prediction and golds, by the older evaluation: without golds a row scores 0, and counts."""
+    s = rows.withColumn("x", F.when(F.size("golds") > 0, _legacy(F.col("prediction"), F.col("golds"))))
+    return s.groupBy("system").agg(F.count(F.lit(1)).alias("n"), percent(F.coalesce("x.em", F.lit(0.0))).alias("em"), percent(F.coalesce("x.f1", F.lit(0.0))).alias("f1"))
+
+
+def legacy_span_metrics(rows: DataFrame, word_level: bool = False) -> DataFrame:
+    """(system, exact_match, f1, total) of rows with system, prediction and golds, null where a prediction has no reference: such rows don't count.
+
+    Without golds a question is unanswerable, and only a blank prediction is right. word_level takes the _ out of segmented words first.
+    """
+    text = X.desegment(F.coalesce("prediction", F.lit(""))) if word_level else F.coalesce("prediction", F.lit(""))
+    blank = (X.strip(text) == "").cast("double")
+    s = rows.where(F.col("golds").isNotNull()).withColumn("x", F.when(F.size("golds") > 0, _legacy(text, F.col("golds"))).otherwise(F.struct(blank.alias("em"), blank.alias("f1"))))
+    counted = s.groupBy("system").agg(percent(F.col("x.em"), 4).alias("exact_match"), percent(F.col("x.f1"), 4).alias("f1"), F.count(F.lit(1)).alias("total"))
+    systems = rows.select("system").distinct()
+    return systems.join(counted, "system", "left").na.fill(0)
+
+
+def legacy_lengths(rows: DataFrame) -> DataFrame:
+    """(system, pred_avg_length, gt_avg_length): mean words of predictions and first golds, of rows with golds; 0 without any."""
+    n = lambda c: F.size(F.filter(F.split(X.legacy_normalize(F.coalesce(c, F.lit(""))), " "), lambda w: w != ""))
+    some = F.size("golds") > 0
+    mean = lambda c: F.coalesce(F.avg(F.when(some, n(c))), F.lit(0.0))
+    return rows.groupBy("system").agg(mean(F.col("prediction")).alias("pred_avg_length"), mean(F.get("golds", F.lit(0))).alias("gt_avg_length"))
 
 
 def source_scores(items: DataFrame, stress: DataFrame) -> DataFrame:

@@ -229,11 +229,35 @@ def audit(stress: DataFrame, train: DataFrame | None = None) -> DataFrame:
     return found
 
 
-def subset_stats(stress: DataFrame) -> DataFrame:
-    main = F.col("role") != "original"
-    per = stress.where(main).groupBy("subset", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("subset").agg(F.max("c").alias("max_per_context"), F.count(F.lit(1)).alias("n_contexts"))
-    s = stress.groupBy("subset").agg(F.count_if(main).alias("n_items"), F.count_if(~main).alias("n_twins"), F.count_if(main & (F.size("answers") > 0)).alias("n_answerable"), F.countDistinct(F.when(main, F.col("title"))).alias("n_titles"))
-    return s.join(per, "subset", "left")
+def subset_stats(stress: DataFrame, by: str = "subset") -> DataFrame:
+    """Counts per subset: items without originals, their answers, and distinct contexts, titles and questions; max_per_context is the largest number on one context."""
+    main, none = F.col("role") != "original", F.size("answers") <= 0
+    per = stress.where(main).groupBy(by, F.md5("context").alias("context")).agg(F.count(F.lit(1)).alias("c")).groupBy(by).agg(F.max("c").alias("max_per_context"), F.count(F.lit(1)).alias("n_contexts"))
+    s = stress.groupBy(by).agg(F.count_if(main).alias("n_items"), F.count_if(~main).alias("n_twins"), F.count_if(main & ~none).alias("n_answerable"), F.count_if(main & none).alias("n_impossible"), F.countDistinct(F.when(main, F.col("title"))).alias("n_titles"), F.countDistinct(F.when(main, F.col("question"))).alias("n_questions"))
+    return s.join(per, by, "left")
+
+
+def category_stats(stress: DataFrame) -> DataFrame:
+    """Per category, without originals: items, answers, and the score of a system that always abstains, null without items."""
+    main, none = F.col("role") != "original", F.size("answers") <= 0
+    c = stress.groupBy("category").agg(F.count_if(main).alias("n_items"), F.count_if(~main).alias("n_twins"), F.count_if(main & ~none).alias("n_answerable"), F.count_if(main & none).alias("n_impossible"))
+    return c.withColumn("always_abstain_em", F.round(F.try_divide(100.0 * F.col("n_impossible"), F.col("n_items")), 2))
+
+
+def audit_totals(stress: DataFrame, violations: DataFrame, most: int = 50) -> DataFrame:
+    """One row: items (originals included), answers, distinct contexts and source questions, violations and the first of them by question and reason."""
+    none = F.size("answers") <= 0
+    t = stress.agg(F.count(F.lit(1)).alias("n_items"), F.count_if(~none).alias("n_answerable"), F.count_if(none).alias("n_impossible"), F.countDistinct(F.md5("context")).alias("n_contexts"), F.countDistinct("source_qid").alias("n_source_questions"))
+    line = F.concat_ws(": ", "qid", "reason")
+    first = violations.orderBy("qid", "reason").limit(most).agg(F.array_sort(F.collect_list(line)).alias("violations"))  # a report of the first ones
+    return t.crossJoin(violations.agg(F.count(F.lit(1)).alias("n_violations"))).crossJoin(first)  # one row each
+
+
+def ordered(stress: DataFrame) -> DataFrame:
+    """Adds ord: by subset, number and original, as their ids say."""
+    place = F.array_position(F.array(*map(F.lit, SIZES)), F.col("subset"))
+    number = F.regexp_extract("qid", r"^s2-\w+-(\d+)", 1).cast("bigint")
+    return stress.withColumn("ord", (place * 10**12 + number * 2 + (F.col("role") == "original").cast("bigint")).cast("bigint"))
 
 
 def pair_report(scored: DataFrame) -> DataFrame:

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from spanforge.functions import metrics as M
 from spanforge.functions import text as X
-from spanforge.operators import dataset, diagnosis, eda, features, report, retrieval, scoring, siblings, spans, stress, threshold, training
+from spanforge.operators import dataset, diagnosis, eda, features, report, resampling, retrieval, scoring, siblings, spans, stress, threshold, training
 from spanforge.plans import fixtures as fx
 from spanforge.plans import sql as S
-from spanforge.runtime import saved
+from spanforge.runtime import new_path, saved
 from spanforge.sources import corpora
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,14 +131,29 @@ def answer_sentence_index(s, d):
 
 @query(f"{S.WITH_EX} SELECT qid, title, md5(context) AS context_md5, len(answers)::BIGINT AS n_answers, CASE WHEN len(answers)>0 THEN answer_start ELSE -1 END::BIGINT AS answer_start, is_impossible FROM ex")
 def flatten_nested(s, d):
-    flat = corpora.flatten(corpora.nest(fx.examples(s, d)))
+    """Through the pieces of a written document."""
+    path = new_path(s, "nested")
+    corpora.write_nested(fx.examples(s, d), path)
+    flat = corpora.flatten(corpora.read_pieces(s, path)[0])
     return flat.select("qid", "title", F.md5("context").alias("context_md5"), F.size("answers").cast("long").alias("n_answers"), F.col("answer_start").cast("long").alias("answer_start"), "is_impossible")
 
 
-@query(f"{S.WITH_EX} SELECT title, count(DISTINCT context) AS n_paragraphs, count(*) AS n_questions, rank() OVER (ORDER BY min(ord)) AS place FROM ex GROUP BY title")
+@query(f"{S.WITH_EX} SELECT title, count(DISTINCT context) AS n_paragraphs, count(*) AS n_questions, min(ord) AS first_ord FROM ex GROUP BY title")
 def renest_corpus(s, d):
-    a = corpora.nest(fx.examples(s, d)).select(F.posexplode("data").alias("k", "a"))
-    return a.select("a.title", F.size("a.paragraphs").cast("long").alias("n_paragraphs"), F.aggregate("a.paragraphs", F.lit(0).cast("long"), lambda x, p: x + F.size(p["qas"])).alias("n_questions"), (F.col("k") + 1).cast("long").alias("place"))
+    a = corpora.nested_articles(fx.examples(s, d))
+    return a.select("article.title", F.size("article.paragraphs").cast("long").alias("n_paragraphs"), F.aggregate("article.paragraphs", F.lit(0).cast("long"), lambda x, p: x + F.size(p["qas"])).alias("n_questions"), "first_ord")
+
+
+@query(f"""{S.WITH_EX} SELECT qid, md5(question) AS question_md5, md5(context) AS context_md5, title, 2*len(answers)::BIGINT AS n_answers, CASE WHEN len(answers)>0 THEN answer_start||','||answer_start ELSE '' END AS starts, is_impossible, 'E'||(ord%5) AS category,
+CASE WHEN ord%3=0 THEN 'original' ELSE 'slice' END AS role, CASE WHEN ord%2=0 THEN qid END AS pair_id, 'note "'||turn||'"' AS note FROM ex""")
+def nested_stress_set(s, d):
+    """A stress set with two answers a question, written as the pieces of a nested document and read back with its notes."""
+    ex, path = fx.examples(s, d), new_path(s, "nested")
+    at = F.transform("answers", lambda a: F.col("answer_start"))
+    items = ex.select("ord", "qid", "question", "context", "title", F.concat("answers", "answers").alias("answers"), F.concat(at, at).alias("answer_starts"), F.format_string("E%d", F.col("ord") % 5).alias("category"), F.lit("E").alias("subset"), F.when(F.col("ord") % 3 == 0, "original").otherwise("slice").alias("role"), F.col("qid").alias("source_qid"), F.when(F.col("ord") % 2 == 0, F.col("qid")).alias("pair_id"), F.format_string('note "%d"', "turn").alias("note"))
+    corpora.write_nested(items, path, {"version": "stress", "categories": {"E1": "one"}})
+    read, meta = corpora.stress_examples(corpora.read_pieces(s, path)[0])
+    return read.join(meta, "qid").select("qid", F.md5("question").alias("question_md5"), F.md5("context").alias("context_md5"), "title", F.size("answers").cast("long").alias("n_answers"), F.concat_ws(",", F.col("answer_starts").cast("array<string>")).alias("starts"), "is_impossible", "category", "role", "pair_id", "note")
 
 
 @query(f"{S.WITH_EX} SELECT count(*) AS n, count(*) FILTER (len(answers)>0 OR is_impossible) AS n_gradeable, count(*) FILTER (is_impossible AND len(answers)>0) AS n_inconsistent FROM ex")
@@ -319,21 +334,38 @@ def mcnemar_inputs(s, d):
     return diagnosis.paired_table(fx.paired(s, d))
 
 
-@query()
+_MCNEMAR = "CASE WHEN n_only_a+n_only_b=0 THEN 1.0 ELSE least(1.0, 2*list_sum(list_transform(range(0,least(n_only_a,n_only_b)+1), lambda i: exp(lgamma(n_only_a+n_only_b+1)-lgamma(i+1)-lgamma(n_only_a+n_only_b-i+1)-(n_only_a+n_only_b)*ln(2.0::DOUBLE))))) END"
+
+
+@query(f"WITH {S.PAIRED}, t AS (SELECT {_PT} FROM pr) SELECT n_only_a, n_only_b, round({_MCNEMAR},9)::DOUBLE AS p_value FROM t")
 def mcnemar_p_value(s, d):
-    row = diagnosis.paired_table(fx.paired(s, d)).first()  # one row of counts
-    return s.createDataFrame([(row["n_only_a"], row["n_only_b"], diagnosis.mcnemar_exact(row["n_only_a"], row["n_only_b"]))], "n_only_a bigint, n_only_b bigint, p_value double")
+    return resampling.paired_tests(diagnosis.paired_table(fx.paired(s, d))).select("n_only_a", "n_only_b", F.round("p_value", 9).alias("p_value"))
+
+
+@query(f"WITH {S.PAIRED}, t AS (SELECT cluster, {_PT} FROM pr GROUP BY 1) SELECT cluster, n_only_a, n_only_b, round({_MCNEMAR},9)::DOUBLE AS p_value FROM t")
+def mcnemar_by_slice(s, d):
+    return resampling.paired_tests(diagnosis.paired_table(fx.paired(s, d), ["cluster"])).select("cluster", "n_only_a", "n_only_b", F.round("p_value", 9).alias("p_value"))
+
+
+def _paired_cells(s, d):
+    return fx.paired(s, d).select((F.col("em_a") - F.col("em_b")).alias("s"), F.lit(1).alias("c"))
 
 
 @query()
 def bootstrap_ci(s, d):
-    p = fx.paired(s, d)
-    return diagnosis.bootstrap_ci(p.select(F.col("qid").cast("string").alias("cell"), (F.col("em_a") - F.col("em_b")).alias("s"), F.lit(1).alias("c")))
+    return resampling.bootstrap_ci(_paired_cells(s, d))
 
 
 @query()
 def cluster_bootstrap_ci(s, d):
-    return diagnosis.bootstrap_ci(diagnosis.cluster_cells(fx.paired(s, d)))
+    return resampling.bootstrap_ci(diagnosis.cluster_cells(fx.paired(s, d)))
+
+
+@query(f"WITH {S.PAIRED} SELECT b::INT AS b, (SELECT count(*) FROM pr) AS n_items, (SELECT count(DISTINCT cluster) FROM pr) AS n_clusters FROM range(0,2000) r(b)")
+def bootstrap_draws(s, d):
+    """How many items and clusters each resample draws: as many as there are."""
+    items = resampling.resampled(_paired_cells(s, d)).select("b", F.col("n").alias("n_items"))
+    return items.join(resampling.resampled(diagnosis.cluster_cells(fx.paired(s, d))).select("b", F.col("n").alias("n_clusters")), "b")
 
 
 @query(f"WITH {S.PAIRED} SELECT cluster AS cell, sum(em_a-em_b) AS s, count(*) AS c FROM pr GROUP BY 1")
@@ -724,6 +756,35 @@ def stress_subsets(s, d):
     return stress.subset_stats(saved(_stress_set(s, d), "stress"))
 
 
+def _stress_like(s, d):
+    """Examples with the fields of stress items; every third one is an original."""
+    kind = F.col("ord") % 3
+    return fx.examples(s, d).select("qid", "context", "question", "title", "answers", F.when(kind == 2, "E2").otherwise("E3").alias("category"), F.get(F.array(F.lit("E3a"), F.lit("E3b"), F.lit("E2a")), kind.cast("int")).alias("subset"), F.when(F.col("turn") % 3 == 1, "original").otherwise("slice").alias("role"), F.col("title").alias("source_qid"))
+
+
+_LIKE = f"{S.WITH_EX}, sl AS (SELECT *, CASE WHEN ord%3=2 THEN 'E2' ELSE 'E3' END AS category, ['E3a','E3b','E2a'][ord%3+1] AS subset, turn%3<>1 AS main, len(answers)=0 AS none FROM ex)"
+
+
+@query(f"""{_LIKE}, p AS (SELECT subset, max(c) AS max_per_context, count(*) AS n_contexts FROM (SELECT subset, context, count(*) AS c FROM sl WHERE main GROUP BY 1,2) GROUP BY 1)
+SELECT subset, count(*) FILTER (main) AS n_items, count(*) FILTER (NOT main) AS n_twins, count(*) FILTER (main AND NOT none) AS n_answerable, count(*) FILTER (main AND none) AS n_impossible, count(DISTINCT title) FILTER (main) AS n_titles,
+count(DISTINCT question) FILTER (main) AS n_questions, max(max_per_context) AS max_per_context, max(n_contexts) AS n_contexts FROM sl LEFT JOIN p USING (subset) GROUP BY 1""")
+def stress_subset_stats(s, d):
+    return stress.subset_stats(_stress_like(s, d))
+
+
+@query(f"{_LIKE} SELECT category, count(*) FILTER (main) AS n_items, count(*) FILTER (NOT main) AS n_twins, count(*) FILTER (main AND NOT none) AS n_answerable, count(*) FILTER (main AND none) AS n_impossible, round(100.0*count(*) FILTER (main AND none)/nullif(count(*) FILTER (main),0),2)::DOUBLE AS always_abstain_em FROM sl GROUP BY 1")
+def stress_category_stats(s, d):
+    return stress.category_stats(_stress_like(s, d))
+
+
+@query(f"""{_LIKE}, v AS (SELECT qid||': '||reason AS line, qid, reason FROM (SELECT qid, unnest(['a','b']) AS reason FROM sl WHERE ord%4=0))
+SELECT count(*) AS n_items, count(*) FILTER (NOT none) AS n_answerable, count(*) FILTER (none) AS n_impossible, count(DISTINCT context) AS n_contexts, count(DISTINCT title) AS n_source_questions, (SELECT count(*) FROM v) AS n_violations,
+(SELECT array_to_string(list_sort(list(line)),'|') FROM (SELECT line FROM v ORDER BY qid, reason LIMIT 50)) AS violations FROM sl""")
+def stress_audit_totals(s, d):
+    violations = fx.examples(s, d).where("ord % 4 = 0").select("qid", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("reason"))
+    return stress.audit_totals(_stress_like(s, d), violations).withColumn("violations", F.concat_ws("|", "violations"))
+
+
 @query(f"""{S.SCORED}, t AS (SELECT system, qid, em, f1, 'pair'||(ord//1000) AS pair_id, turn, row_number() OVER (PARTITION BY system, ord//1000 ORDER BY turn) AS k FROM items),
 m AS (SELECT * FROM t WHERE k=2), o AS (SELECT * FROM t WHERE k=1), p AS (SELECT m.system, count(*) FILTER (o.em=1 AND m.em=1) AS both_correct, count(*) FILTER (o.em=1 AND m.em=0) AS broken, count(*) FILTER (o.em=0 AND m.em=1) AS fixed FROM m JOIN o USING (system,pair_id) GROUP BY 1)
 SELECT system, 'E5' AS subset, n, em, f1, both_correct, broken, fixed, round(100.0*broken/nullif(both_correct+broken,0),2)::DOUBLE AS broken_pct FROM (SELECT system, count(*) AS n, round(100*avg(em),2) AS em, round(100*avg(f1),2) AS f1 FROM m GROUP BY 1) LEFT JOIN p USING (system)""")
@@ -1018,6 +1079,43 @@ def sample_lines(s, d):
     return report.markdown(report.first_per_kind(c, kinds, "key", 5), ["system", "qid", "kind"])
 
 
-@query(f"{S.WITH_EX} SELECT qid, md5(replace(h,x,'<mark>'||x||'</mark>')) AS digest FROM (SELECT qid, replace(replace(replace(replace(replace(context,'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;') AS h, 'the' AS x FROM ex)")
+_ESC = "replace(replace(replace(replace(replace({x},'&','&amp;'),'<','&lt;'),'>','&gt;'),'\"','&quot;'),'''','&#x27;')"
+
+
+@query(f"""SELECT page_id, CASE WHEN coalesce(html,'')='' THEN '??' ELSE md5(array_to_string(list_transform(string_split(html,'<p'), lambda p: array_to_string(list_transform(string_split(p,'p>'), lambda r: array_to_string(list_transform(string_split(r,'a'), lambda z: {_ESC.format(x='z')}),'<mark class=''c''>a</mark>')),'<mark class=''pred''>p&gt;</mark>')),'<mark class=''gold''>&lt;p</mark>')) END AS digest FROM pages""")
 def highlighted(s, d):
-    return fx.examples(s, d).select("qid", F.md5(X.highlight(F.col("context"), F.lit("the"))).alias("digest"))
+    """Phrases that overlap, need escaping, or stand in one another: what an earlier one marks is not marked again."""
+    marked = X.highlight(F.col("html"), [(F.lit("<p"), "gold"), (F.lit(""), "none"), (F.lit("p>"), "pred"), (F.lit("a"), "c")])
+    return fx.table(s, d, "pages").select("page_id", F.when(marked == "??", marked).otherwise(F.md5(marked)).alias("digest"))
+
+
+# the older evaluation
+
+
+def _legacy_sql(prediction: str) -> str:
+    words = lambda x: f"list_filter(string_split({S.legacy_norm(x)},' '), lambda w: w<>'')"
+    return f"""{S.WITH_EX}, {S.PRED}, raw AS (SELECT system, qid, CASE WHEN ex.turn%3=0 THEN prediction||'$ ' ELSE replace(prediction,' ','_') END AS prediction, answers, ex.turn FROM pred JOIN ex USING (qid)),
+sides AS (SELECT *, {words(prediction)} AS p, {words("coalesce(answers[1],'')")} AS g FROM raw), ls AS (SELECT *, (p=g)::DOUBLE AS em, CASE WHEN {S.common('p', 'g')}=0 THEN 0.0::DOUBLE ELSE {S.f1('p', 'g')} END AS f1, ({S.trim('prediction')}='')::INT AS blank FROM sides)"""
+
+
+def _legacy_rows(s, d):
+    """Predictions with a mark of currency, or with words joined by _, as segmented models have them."""
+    ex = fx.examples(s, d)
+    rows = fx.predictions(ex).join(ex.select("qid", "turn", F.col("answers").alias("golds")), "qid")
+    return rows.withColumn("prediction", F.when(F.col("turn") % 3 == 0, F.concat("prediction", F.lit("$ "))).otherwise(F.replace("prediction", F.lit(" "), F.lit("_"))))
+
+
+@query(_legacy_sql("prediction") + " SELECT system, count(*) AS n, round(100*avg(CASE WHEN len(answers)>0 THEN em ELSE 0 END),6) AS em, round(100*avg(CASE WHEN len(answers)>0 THEN f1 ELSE 0 END),6) AS f1 FROM ls GROUP BY 1")
+def legacy_scores(s, d):
+    return scoring.legacy_scores(_legacy_rows(s, d))
+
+
+@query(_legacy_sql("replace(prediction,'_',' ')") + " SELECT system, round(100*avg(CASE WHEN len(answers)>0 THEN em ELSE blank END),4) AS exact_match, round(100*avg(CASE WHEN len(answers)>0 THEN f1 ELSE blank END),4) AS f1, count(*) AS total FROM ls WHERE turn%4=0 GROUP BY 1")
+def legacy_span_metrics(s, d):
+    """Predictions of some turns have no reference."""
+    return scoring.legacy_span_metrics(_legacy_rows(s, d).withColumn("golds", F.when(F.col("turn") % 4 == 0, F.col("golds"))), word_level=True)
+
+
+@query(_legacy_sql("prediction") + " SELECT system, coalesce(avg(len(p)) FILTER (len(answers)>0),0) AS pred_avg_length, coalesce(avg(len(g)) FILTER (len(answers)>0),0) AS gt_avg_length FROM ls GROUP BY 1")
+def legacy_lengths(s, d):
+    return scoring.legacy_lengths(_legacy_rows(s, d))

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 _ANSWERS = T.StructType([T.StructField("text", T.ArrayType(T.StringType())), T.StructField("answer_start", T.ArrayType(T.IntegerType()))])
-_QA = T.StructType([T.StructField("id", T.StringType()), T.StructField("question", T.StringType()), T.StructField("is_impossible", T.BooleanType()), T.StructField("answers", _ANSWERS), T.StructField("plausible_answers", _ANSWERS)])
+_NOTES = T.StructType([T.StructField(n, T.StringType()) for n in ("category", "subset", "role", "source_qid", "pair_id", "note")])
+#: ord and first_ord are written by `corpora.write_nested`, so that order outlives pieces; other files lack them.
+_QA = T.StructType([T.StructField("ord", T.LongType()), T.StructField("id", T.StringType()), T.StructField("question", T.StringType()), T.StructField("is_impossible", T.BooleanType()), T.StructField("answers", _ANSWERS), T.StructField("plausible_answers", _ANSWERS), T.StructField("stress", _NOTES)])
 _PARAGRAPH = T.StructType([T.StructField("context", T.StringType()), T.StructField("qas", T.ArrayType(_QA))])
-_ARTICLE = T.StructType([T.StructField("title", T.StringType()), T.StructField("paragraphs", T.ArrayType(_PARAGRAPH))])
-NESTED = T.StructType([T.StructField("version", T.StringType()), T.StructField("data", T.ArrayType(_ARTICLE))])
+ARTICLE = T.StructType([T.StructField("first_ord", T.LongType()), T.StructField("title", T.StringType()), T.StructField("paragraphs", T.ArrayType(_PARAGRAPH))])
+NESTED = T.StructType([T.StructField("version", T.StringType()), T.StructField("data", T.ArrayType(ARTICLE))])
 
 #: Flat examples; ord carries the input's order, which decides ties.
 EXAMPLES = "ord bigint, qid string, question string, context string, title string, answers array<string>, answer_start int, is_impossible boolean"

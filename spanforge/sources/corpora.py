@@ -14,35 +14,96 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.NESTED).option("multiLine", True).json(path)
 
 
-def flatten(nested: DataFrame) -> DataFrame:
-    """One row per question, in input order as ord; missing parts are empty.
+def articles_of(nested: DataFrame) -> DataFrame:
+    """(a_ix, article) of documents that were read as a whole."""
+    return nested.select(F.posexplode("data").alias("a_ix", "article"))
+
+
+def _questions(articles: DataFrame) -> DataFrame:
+    """One row (ord, title, context, q) per question; its own ord, or else its place."""
+    p = articles.select("a_ix", F.coalesce("article.title", F.lit("")).alias("title"), F.posexplode("article.paragraphs").alias("p_ix", "p"))
+    q = p.select("a_ix", "p_ix", "title", F.coalesce("p.context", F.lit("")).alias("context"), F.posexplode("p.qas").alias("q_ix", "q"))
+    order = F.when(F.col("q.ord").isNull(), (F.col("a_ix").cast("bigint") * 1_000_000 + F.col("p_ix")) * 1_000_000 + F.col("q_ix")).otherwise(F.col("q.ord"))
+    return q.select(order.alias("ord"), "title", "context", "q")
+
+
+def flatten(articles: DataFrame) -> DataFrame:
+    """One row per question, in input order as ord, of articles or of whole documents; missing parts are empty.
 
     Empty gold texts are dropped; the offset is the first given one, even if its text was dropped, as
     specified; impossible questions have no answers. plausible is never gold.
     """
-    a = nested.select(F.posexplode(F.col("data")).alias("a_ix", "article"))
-    p = a.select("a_ix", F.coalesce("article.title", F.lit("")).alias("title"), F.posexplode("article.paragraphs").alias("p_ix", "p"))
-    q = p.select("a_ix", "p_ix", "title", F.coalesce("p.context", F.lit("")).alias("context"), F.posexplode("p.qas").alias("q_ix", "q"))
+    q = _questions(articles if "article" in articles.columns else articles_of(articles))
     impossible = F.coalesce("q.is_impossible", F.lit(False))
     none = F.array().cast("array<string>")
     given = F.coalesce(F.filter("q.answers.text", lambda t: t != ""), none)
     gold = F.when(impossible, none).otherwise(given)
     start = F.when(~impossible & (F.size(gold) > 0), F.coalesce(F.get("q.answers.answer_start", F.lit(0)), F.lit(-1))).otherwise(-1)
-    order = (F.col("a_ix").cast("bigint") * 1_000_000 + F.col("p_ix")) * 1_000_000 + F.col("q_ix")
-    return q.select(order.alias("ord"), F.col("q.id").alias("qid"), F.col("q.question").alias("question"), "context", "title", gold.alias("answers"), start.alias("answer_start"), impossible.alias("is_impossible"), F.coalesce("q.plausible_answers.text", none).alias("plausible"))
+    return q.select("ord", F.col("q.id").alias("qid"), F.col("q.question").alias("question"), "context", "title", gold.alias("answers"), start.alias("answer_start"), impossible.alias("is_impossible"),
+                    F.coalesce("q.plausible_answers.text", none).alias("plausible"), F.coalesce("q.plausible_answers.answer_start", F.array().cast("array<int>")).alias("plausible_start"))
+
 
+def nested_articles(examples: DataFrame) -> DataFrame:
+    """(first_ord, article) with one row per article: paragraphs and questions in the order of their first question.
 
-def nest(examples: DataFrame, version: str = "1.0") -> DataFrame:
-    """One row (version, data): articles and contexts in the order of their first question."""
+    Examples bring answer_start, or answer_starts with one offset per answer; stress items also bring their
+    category, subset, role, source_qid, pair_id and note, which become each question's `stress`. Only answers,
+    plausible answers and notes that are there are written.
+    """
+    have = set(examples.columns)
     n = F.size("answers")
-    found = F.struct(F.col("answers").alias("text"), F.when(n > 0, F.array_repeat(F.col("answer_start").cast("int"), n)).otherwise(F.array().cast("array<int>")).alias("answer_start"))
-    # an absent list of plausible answers stays absent
-    plausible = F.when(F.size("plausible") > 0, F.struct(F.col("plausible").alias("text"), F.array().cast("array<int>").alias("answer_start"))) if "plausible" in examples.columns else F.lit(None).cast("struct<text: array<string>, answer_start: array<int>>")
-    qa = F.struct("ord", F.struct(F.col("qid").alias("id"), "question", "is_impossible", found.alias("answers"), plausible.alias("plausible_answers")).alias("qa"))
+    one = F.when(n > 0, F.array_repeat(F.col("answer_start").cast("int"), n)).otherwise(F.array().cast("array<int>")) if "answer_start" in have else None
+    starts = F.transform("answer_starts", lambda x: x.cast("int")) if "answer_starts" in have else one
+    impossible = F.col("is_impossible") if "is_impossible" in have else n <= 0
+    parts = [F.col("ord").cast("bigint").alias("ord"), F.col("qid").alias("id"), "question", impossible.alias("is_impossible"), F.struct(F.col("answers").alias("text"), starts.alias("answer_start")).alias("answers")]
+    if "plausible" in have:
+        at = F.col("plausible_start") if "plausible_start" in have else F.array().cast("array<int>")
+        parts.append(F.when(F.size("plausible") > 0, F.struct(F.col("plausible").alias("text"), at.alias("answer_start"))).alias("plausible_answers"))
+    notes = [c for c in ("category", "subset", "role", "source_qid", "pair_id", "note") if c in have]
+    if "role" in have:
+        parts.append(F.struct(*notes).alias("stress"))
     inner = lambda x, f: F.transform(F.array_sort(x), lambda e: e[f])
-    paragraphs = examples.groupBy("title", "context").agg(F.min("ord").alias("ord"), inner(F.collect_list(qa), "qa").alias("qas"))
-    articles = paragraphs.groupBy("title").agg(F.min("ord").alias("ord"), inner(F.collect_list(F.struct("ord", F.struct("context", "qas").alias("p"))), "p").alias("paragraphs"))
-    return articles.agg(F.lit(version).alias("version"), inner(F.collect_list(F.struct("ord", F.struct("title", "paragraphs").alias("article"))), "article").alias("data"))
+    paragraphs = examples.groupBy("title", "context").agg(F.min("ord").alias("ord"), inner(F.collect_list(F.struct("ord", "qid", F.struct(*parts).alias("qa"))), "qa").alias("qas"))
+    articles = paragraphs.groupBy("title").agg(F.min("ord").cast("bigint").alias("first_ord"), inner(F.collect_list(F.struct("ord", "context", F.struct("context", "qas").alias("p"))), "p").alias("paragraphs"))
+    return articles.select("first_ord", F.struct("first_ord", "title", "paragraphs").alias("article"))
+
+
+def write_nested(examples: DataFrame, path: str, header: dict | None = None) -> None:
+    """Writes one JSON document as the pieces of a folder: a line with the header, one line per article, a closing line.
+
+    Articles are ranged by their first question, so the files in the order of their names, put together,
+    are the document; no row holds more than one article. Sets of any size are written in parallel.
+    """
+    import json
+
+    spark = examples.sparkSession
+    first = examples.agg(F.min("ord")).first()[0]
+    lines = nested_articles(examples).select(F.lit(1).alias("part"), "first_ord", F.concat(F.when(F.col("first_ord") == F.lit(first), "").otherwise(","), F.to_json("article")).alias("value"))
+    begin = json.dumps(header or {"version": "1.0"}, ensure_ascii=False)[:-1]
+    edge = lambda k, text: spark.range(1).select(F.lit(k).alias("part"), F.lit(0).cast("bigint").alias("first_ord"), F.lit(text).alias("value"))
+    ends = edge(0, begin + (", " if len(begin) > 1 else "") + '"data": [').unionByName(edge(2, "]}"))
+    lines.unionByName(ends).orderBy("part", "first_ord").select("value").write.text(path)
+
+
+def read_pieces(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """((a_ix, article), header) of a folder that write_nested made, an article at a time; a_ix is null, the questions have their order."""
+    import json
+
+    lines = spark.read.text(path)
+    heads = lines.where(F.col("value").startswith("{") & F.col("value").endswith('"data": [')).first()
+    articles = lines.where(F.col("value").rlike(r'^,?\{"first_ord"')).select(F.lit(None).cast("int").alias("a_ix"), F.from_json(F.regexp_replace("value", "^,", ""), schemas.ARTICLE).alias("article"))
+    header = json.loads(heads[0] + "]}") if heads else {}
+    header.pop("data", None)
+    return articles, header
+
+
+def stress_examples(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(examples, meta) of a nested stress set: answers as they are given, and each question's `stress`."""
+    q = _questions(articles if "article" in articles.columns else articles_of(articles))
+    answers = F.coalesce("q.answers.text", F.array().cast("array<string>"))
+    starts = F.coalesce("q.answers.answer_start", F.array().cast("array<int>"))
+    examples = q.select("ord", F.col("q.id").alias("qid"), F.col("q.question").alias("question"), "context", "title", answers.alias("answers"), F.when(F.size(answers) > 0, F.get(starts, F.lit(0))).otherwise(-1).alias("answer_start"), F.coalesce("q.is_impossible", F.lit(False)).alias("is_impossible"), starts.alias("answer_starts"))
+    return examples, q.select(F.col("q.id").alias("qid"), "q.stress.*")
 
 
 def read_stress(spark: SparkSession, path: str, schema=None) -> tuple[DataFrame, DataFrame]:

@@ -1,10 +1,13 @@
 import json
+import math
+from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spanforge.functions import text as X
-from spanforge.operators import dataset, diagnosis, eda, report, scoring, spans, stress, threshold, training
+from spanforge.operators import dataset, diagnosis, eda, report, resampling, scoring, spans, stress, threshold, training
 from spanforge.sources import corpora
 from spanforge.streaming import stability as stream
 
@@ -23,8 +26,12 @@ def small(spark):
 
 
 def test_nested_round_trip(spark, small, tmp_path):
-    nested = corpora.nest(small)
-    (tmp_path / "x.json").write_text(json.dumps(json.loads(nested.toJSON().first()), indent=1))
+    corpora.write_nested(small, str(tmp_path / "pieces"), {"version": "1.0", "note": 'a "b"'})
+    document = json.loads("\n".join(p.read_text() for p in sorted((tmp_path / "pieces").glob("part-*"))))
+    assert (document["version"], document["note"], [a["title"] for a in document["data"]]) == ("1.0", 'a "b"', ["VN", "FR"])
+    (tmp_path / "x.json").write_text(json.dumps(document, indent=1))
+    pieces, header = corpora.read_pieces(spark, str(tmp_path / "pieces"))
+    assert header == {"version": "1.0", "note": 'a "b"'} and corpora.flatten(pieces).exceptAll(corpora.flatten(corpora.read_nested(spark, str(tmp_path / "x.json")))).isEmpty()
     flat = corpora.flatten(corpora.read_nested(spark, str(tmp_path / "x.json"))).orderBy("ord")
     assert [(r.qid, r.answers, r.answer_start, r.is_impossible) for r in flat.collect()] == [("q1", ["Hà Nội"], 0, False), ("q2", [], -1, True), ("q3", ["Paris"], 0, False)]
 
@@ -84,23 +91,111 @@ def test_evaluate_and_abstention(spark, small):
     assert (a.tp, a.fp, a.fn, a.tn) == (1, 2, 0, 0) and a.precision == pytest.approx(33.33)
 
 
-def test_mcnemar():
-    assert diagnosis.mcnemar_exact(0, 0) == 1
-    assert diagnosis.mcnemar_exact(1, 8) == pytest.approx(0.0390625)
-    assert diagnosis.mcnemar_exact(628, 406) == pytest.approx(5.243833718397512e-12, rel=1e-9)
-    assert diagnosis.mcnemar_exact(5, 9) == diagnosis.mcnemar_exact(9, 5)
+def test_mcnemar(spark):
+    """Against exact fractions, and for a million pairs against logarithms of integers."""
+    cases = [(0, 0), (1, 8), (628, 406), (5, 9), (9, 5), (0, 1), (0, 40), (7, 7), (8, 7), (15, 1), (16, 15), (300, 100), (1000, 1000), (1500, 1300), (2000, 1500), (50_200, 49_700), (10, 500)]
+    got = {(r.b, r.c): r.p for r in spark.createDataFrame(cases, "b int, c int").select("b", "c", resampling.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()}
+    for b, c in cases:
+        n, k = b + c, min(b, c)
+        total, term = 0, 1
+        for i in range(k + 1):
+            total, term = total + term, term * (n - i) // (i + 1)
+        assert got[b, c] == pytest.approx(float(min(Fraction(1), Fraction(2 * total, 2**n))), rel=1e-12, abs=0), (b, c)
+    far = spark.createDataFrame([(500_000, 499_000), (700_000, 300_000)], "b int, c int").select(resampling.log_mcnemar(F.col("b"), F.col("c")).alias("l"), resampling.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()
+    for (b, c), r in zip([(500_000, 499_000), (700_000, 300_000)], far, strict=True):
+        n, k = b + c, min(b, c)
+        tail = term = 1.0
+        for i in range(1, 30_000):
+            term *= (k - i + 1) / (n - k + i)
+            tail += term
+        log_last = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+        assert r.l == pytest.approx(math.log(2) + log_last + math.log(tail), abs=1e-6) and r.p == pytest.approx(math.exp(r.l), rel=1e-12, abs=0)
 
 
 def test_cluster_interval_is_wider(spark):
     rows = [(f"{c}-{i}", 1.0 if c < 4 else 0.0, 0.0, f"c{c}") for c in range(20) for i in range(10)]
     p = spark.createDataFrame(rows, "qid string, em_a double, em_b double, cluster string")
-    item = diagnosis.bootstrap_ci(p.select(F.col("qid").alias("cell"), (F.col("em_a") - F.col("em_b")).alias("s"), F.lit(1).alias("c"))).first()
-    group = diagnosis.bootstrap_ci(diagnosis.cluster_cells(p)).first()
+    item = resampling.bootstrap_ci(p.select((F.col("em_a") - F.col("em_b")).alias("s"), F.lit(1).alias("c"))).first()
+    group = resampling.bootstrap_ci(diagnosis.cluster_cells(p)).first()
     assert item.mean == group.mean == pytest.approx(0.2)
     assert group.high - group.low > 1.5 * (item.high - item.low)
     assert item.low < 0.2 < item.high
 
 
+def test_resamples_draw_exactly_n_and_follow_the_multinomial(spark, monkeypatch):
+    rows = [(float(k % 5), 1.0) for k in range(400)] + [(7.5, 2.0)] * 40
+    cells = spark.createDataFrame(rows, "s double, c double")
+    plain = resampling.resampled(cells, 3000, seed=3).orderBy("b").collect()
+    assert {r.n for r in plain} == {440} and len(plain) == 3000
+    monkeypatch.setattr(resampling, "BUCKET", 1)  # eight buckets: a tree of three levels
+    deep = resampling.resampled(cells.repartition(7), 3000, seed=3).orderBy("b").collect()
+    assert {r.n for r in deep} == {440} and deep == resampling.resampled(cells, 3000, seed=3).orderBy("b").collect()
+    s, c = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    for got in (plain, deep):
+        x, y = np.array([r.s for r in got]), np.array([r.c for r in got])
+        assert abs(x.mean() - s.sum()) < 4 * (440 * s.var() / 3000) ** 0.5 and abs(x.var() / (440 * s.var()) - 1) < 0.12
+        assert abs(np.cov(x, y)[0, 1] / (440 * np.cov(s, c, bias=True)[0, 1]) - 1) < 0.25
+    ci = resampling.bootstrap_ci(cells, 3000).first()
+    rng = np.random.default_rng(1)
+    ratio = np.sort([s[i].sum() / c[i].sum() for i in (rng.choice(440, 440) for _ in range(2000))])
+    assert ci.low == pytest.approx(ratio[50], abs=0.05) and ci.high == pytest.approx(ratio[1949], abs=0.05)
+    none = resampling.bootstrap_ci(cells.limit(0)).first()
+    assert none.mean is None and none.low is None and none.high is None
+    one = resampling.bootstrap_ci(spark.createDataFrame([(1.0, 2.0)], "s double, c double")).first()
+    assert (one.mean, one.low, one.high) == (0.5, 0.5, 0.5)
+
+
+def test_marks_dont_overlap_and_are_escaped_last(spark):
+    def shown(text, *marks):
+        row = spark.createDataFrame([(text,)], "x string").select(X.highlight(F.col("x"), [(F.lit(p), c) for p, c in marks]).alias("y"))
+        return row.first().y
+
+    assert shown("a & amp b", ("amp", "g")) == "a &amp; <mark class='g'>amp</mark> b"
+    assert shown("x<b>&", ("<b>", "g")) == "x<mark class='g'>&lt;b&gt;</mark>&amp;"
+    assert shown("Hà Nội đẹp, Hà Nội", ("Hà Nội", "g"), ("Nội", "p")) == "<mark class='g'>Hà Nội</mark> đẹp, <mark class='g'>Hà Nội</mark>"
+    assert shown("abcabc", ("bc", "g"), ("ab", "p"), ("a", "q")) == "<mark class='q'>a</mark><mark class='g'>bc</mark><mark class='q'>a</mark><mark class='g'>bc</mark>"
+    assert shown("aaa", ("aa", "g")) == "<mark class='g'>aa</mark>a"
+    assert shown("mark class", ("mark", "g"), ("class", "p")) == "<mark class='g'>mark</mark> <mark class='p'>class</mark>"
+    assert shown("1.5 \\E $1", (".", "g"), ("\\E", "p"), ("$1", "q")) == "1<mark class='g'>.</mark>5 <mark class='p'>\\E</mark> <mark class='q'>$1</mark>"
+    assert shown("x", ("", "g"), ("y", "p")) == "x" and shown("", ("x", "g")) == "??" and shown(None, ("x", "g")) == "??"
+    assert shown("x", (None, "g"), ("x", "p")) == "<mark class='p'>x</mark>"
+
+
+def test_older_scores(spark):
+    rows = spark.createDataFrame([
+        ("s", "10$", ["10"]), ("s", "", []), ("s", "x", []), ("s", "the cat", ["cat", "the cat!"]), ("s", "?", ["!"]), ("s", " Hà_Nội ", ["hà nội"]), ("s", "x", None), ("t", "x", None),
+    ], "system string, prediction string, golds array<string>")
+    s = {r.system: r for r in scoring.legacy_scores(rows).collect()}["s"]
+    assert (s.n, s.em, s.f1) == (7, pytest.approx(100 * 3 / 7, abs=1e-5), pytest.approx(100 * 2 / 7, abs=1e-5))
+    got = {r.system: (r.exact_match, r.f1, r.total) for r in scoring.legacy_span_metrics(rows).collect()}
+    assert got == {"s": (66.6667, 50.0, 6), "t": (0.0, 0.0, 0)}
+    got = {r.system: (r.exact_match, r.f1) for r in scoring.legacy_span_metrics(rows, word_level=True).collect()}
+    assert got["s"] == (83.3333, 66.6667)
+    n = {r.system: (r.pred_avg_length, r.gt_avg_length) for r in scoring.legacy_lengths(rows).collect()}
+    assert n == {"s": (1.0, 1.0), "t": (0.0, 0.0)}
+
+
+def test_stress_set_survives_its_nested_file(spark, tmp_path):
+    items = [("s2-E5-0000", "q", "c d c", "t", "E5", "E5", ["c", "c"], [0, 4], "perturbed", "x", "s2-E5-0000", 'n "1"'), ("s2-E5-0000-orig", "Q", "c d c", "t", "E5", "E5", ["c"], [0], "original", "x", "s2-E5-0000", ""), ("s2-E3a-0000", "r", "e", "u", "E3", "E3a", [], [], "slice", "y", None, "")]
+    rows = spark.createDataFrame(items, "qid string, question string, context string, title string, category string, subset string, answers array<string>, answer_starts array<int>, role string, source_qid string, pair_id string, note string")
+    header = {"version": "stress-v2", "categories": {"E3": "đ"}}
+    corpora.write_nested(stress.ordered(rows), str(tmp_path / "p"), header)
+    text = "\n".join(p.read_text() for p in sorted((tmp_path / "p").glob("part-*")))
+    (tmp_path / "x.json").write_text(text)
+    document = json.loads(text)
+    assert {k: document[k] for k in header} == header and [a["title"] for a in document["data"]] == ["u", "t"]
+    assert [q["stress"]["role"] for q in document["data"][1]["paragraphs"][0]["qas"]] == ["perturbed", "original"]
+    pieces, read = corpora.read_pieces(spark, str(tmp_path / "p"))
+    assert read == header
+    for articles in (pieces, corpora.read_nested(spark, str(tmp_path / "x.json"))):
+        examples_, meta = corpora.stress_examples(articles)
+        back = {r.qid: r for r in examples_.join(meta, "qid").collect()}
+        for qid, question, context, title, category, subset, answers, starts, role, source, pair, note in items:
+            r = back[qid]
+            assert (r.question, r.context, r.title, r.category, r.subset, r.answers, r.answer_starts, r.role, r.source_qid, r.pair_id, r.note) == (question, context, title, category, subset, answers, starts, role, source, pair, note)
+            assert r.answer_start == (starts[0] if starts else -1) and r.is_impossible == (not answers)
+
+
 def windows(spark, rows):
     return spark.createDataFrame(rows, "qid string, window_ix int, delta double, score double, answer string, em double, f1 double")
 
@@ -278,8 +373,10 @@ def test_profile_of_answers(spark):
 
 def test_plausible_answers_that_are_siblings_golds(spark):
     ex = examples(spark, [(0, "a", "?", "c", "t", ["Hà Nội.", "!"], 0, False), (1, "b", "?", "c", "t", [], -1, True), (2, "c", "?", "other", "t", [], -1, True), (3, "d", "?", "c", "t", [], -1, True)])
-    p = spark.createDataFrame([("b", ["hà nội", "x"]), ("c", ["Hà Nội"]), ("d", ["!"])], "qid string, plausible array<string>")
-    assert {(r.qid, r.is_gold) for r in eda.plausible_golds(ex.join(p, "qid", "left")).collect()} == {("b", True), ("c", False), ("d", False)}
+    p = spark.createDataFrame([("b", ["hà nội", "x"]), ("c", ["Hà Nội"]), ("d", ["!"])], "qid string, plausible array<string>").withColumn("plausible_start", F.array().cast("array<int>"))
+    assert {(r.qid, r.is_gold, r.offset_ok) for r in eda.plausible_golds(ex.join(p, "qid", "left")).collect()} == {("b", True, False), ("c", False, False), ("d", False, False)}
+    q = examples(spark, [(4, "e", "?", "ab cd", "t", [], -1, True), (5, "f", "?", "ab cd", "t", [], -1, True), (6, "g", "?", "ab cd", "t", [], -1, True)]).join(spark.createDataFrame([("e", ["cd"], [3]), ("f", ["cd"], [2]), ("g", ["cd"], [])], "qid string, plausible array<string>, plausible_start array<int>"), "qid")
+    assert {(r.qid, r.offset_ok) for r in eda.plausible_golds(q).collect()} == {("e", True), ("f", False), ("g", False)}
 
 
 def test_build_takes_misaligned_answers_and_compound_edges(spark):
