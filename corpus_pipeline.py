@@ -9,13 +9,22 @@ stages but the last, which returns its own. Null languages and sources are group
 
 from __future__ import annotations
 
+import secrets
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.llm import common, mixing, packing, pii, quality, queries, simhash
+from spanforge.llm import common, mixing, packing, pii, quality, simhash
+
+#: The setting that holds the key of the pseudonyms; Spark keeps settings with "secret" in their names out of its logs.
+KEY = "spark.spanforge.secret"
+
 
-#: The setting that holds the key of the pseudonyms; without it, a key for tests that everybody knows.
-KEY = "spark.spanforge.key"
+@lru_cache
+def _random_key(application: str) -> bytes:
+    """A key of this application alone, where none is set: its runs agree, and nobody can undo the pseudonyms later."""
+    return secrets.token_bytes(32)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal numbers, dates and addresses under pseudonyms; n_chars follows the text."""
-    out = pii.pseudonymise(docs, spark.conf.get(KEY, None).encode() if spark.conf.get(KEY, None) else queries.TEST_KEY)
+    key = spark.conf.get(KEY, None)
+    out = pii.pseudonymise(docs, key.encode() if key else _random_key(spark.sparkContext.applicationId))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
