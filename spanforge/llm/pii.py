@@ -9,8 +9,9 @@ is as clearly no month (above 12 or not), so every notation can express the imag
 before @ in mail addresses (capitals fall where they were, so spellings of a name stay linked) and
 hexadecimal secrets are permuted as digits of their alphabet. The key is an argument; nothing here has one.
 
-Edge cases: a null text stays null; numbers that fail their check stay as they are; an IBAN that
-swallowed the words after it is tried without them; texts, names and secrets of any length are read
+Edge cases: a null text stays null; numbers that fail their check stay as they are, and what they hold is
+looked at by itself; an IBAN that swallowed the words after it is tried without them, and a telephone number in groups
+ends where its country's numbers do or another value begins; longer dotted numbers hold no address; texts, names and secrets of any length are read
 whole; of overlapping finds the one that begins first wins, then the first kind in KINDS order; repeated
 rows change alike; an empty table gives no rows; all other columns pass through, whatever their names.
 """
@@ -36,6 +37,12 @@ FIRST_YEAR, LAST_YEAR = 1900, 2099
 ONE_DIGIT = ("1", "7")
 TWO_DIGITS = ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
               "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98")
+#: Digits of national numbers (without trunk 0) by country code, least and most; codes that are not listed may have any length.
+NATIONAL = {"1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (8, 11), "40": (9, 9), "41": (9, 9),
+            "43": (7, 13), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (7, 11), "51": (8, 9), "52": (10, 10), "54": (10, 11), "55": (10, 11), "56": (9, 9), "57": (10, 10),
+            "60": (8, 10), "61": (9, 9), "62": (8, 12), "63": (8, 10), "64": (8, 10), "65": (8, 8), "66": (8, 9), "81": (9, 10), "82": (8, 10), "84": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10), "92": (9, 10),
+            "351": (9, 9), "352": (6, 9), "353": (7, 9), "354": (7, 7), "358": (6, 10), "359": (8, 9), "370": (8, 8), "371": (8, 8), "372": (7, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8),
+            "420": (9, 9), "421": (9, 9), "852": (8, 8), "853": (8, 8), "886": (8, 9), "966": (9, 9), "971": (8, 9), "972": (8, 9)}
 #: Characters of a name or secret that are permuted together.
 PART = 64
 _LETTERS, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
@@ -52,7 +59,7 @@ NUMBERS = re.compile(
 )
 _KIND = {NUMBERS.groupindex[k]: k for k in KINDS if k in NUMBERS.groupindex}
 SECRET = re.compile(r"(?i)(?:token|secret|key|password|passwd)[\"']?\s*[:=]\s*[\"']?(?P<v>[0-9a-f]{16,})(?![0-9a-z])")
-_DIGIT = re.compile(r"\d")
+_DIGIT, _GAP = re.compile(r"\d"), re.compile(r"(?<=\d) (?=\d)")
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
 
@@ -126,7 +133,7 @@ def _phone(s: str, key: bytes) -> str | None:
     d = _only_digits(s.replace("(0)", "", 1))
     if not s.startswith("+") or not 8 <= len(d) <= 15:
         return None
-    code = 1 if d[0] in ONE_DIGIT else 2 if d[:2] in TWO_DIGITS else 3
+    code = len(_country(d))
     own = d[:code] + _walk(d[code:], key, f"phone+{d[:code]}", lambda x: True)
     if not trunk:
         return _refill(s, own)
@@ -135,6 +142,32 @@ def _phone(s: str, key: bytes) -> str | None:
     return _refill(s[:at], own[:before]) + "(0)" + _refill(s[at + 3 :], own[before:])
 
 
+def _country(digits: str) -> str:
+    """The country code at the beginning of an international number."""
+    return digits[: 1 if digits[0] in ONE_DIGIT else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
+def _own_part(text: str, start: int, end: int, key: bytes) -> str:
+    """An international number in groups without what only follows it.
+
+    It may end where a space follows, at a length that its country has, or where there is no such place, at any
+    valid length: at the first of these places where another valid value begins, else at the last.
+    """
+    value = text[start:end]
+    cuts = [m.start() for m in _GAP.finditer(value)] + [len(value)]
+    digits = {c: _only_digits(value[:c].replace("(0)", "", 1)) for c in cuts}
+    fit = [c for c in cuts if 8 <= len(digits[c]) <= 15]
+    low, high = NATIONAL.get(_country(digits[cuts[-1]]), (0, 15))
+    known = [c for c in fit if low <= len(digits[c]) - len(_country(digits[c])) <= high]
+    places = known or fit or cuts
+    return value[: next((c for c in places if c < len(value) and _begins_other(text, start + c + 1, key)), places[-1])]
+
+
+def _begins_other(text: str, at: int, key: bytes) -> bool:
+    m = NUMBERS.match(text, at)
+    return m is not None and (kind := _kind(m)) != "phone" and pseudonym(kind, m[kind], key) is not None
+
+
 def _ssn(s: str, key: bytes) -> str | None:
     valid = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
     d = _only_digits(s)
@@ -267,20 +300,26 @@ def _mails(text: str):
         at = text.find("@", at + 1)
 
 
+def _kind(m: re.Match) -> str:
+    return _KIND[m.lastindex] if m.lastindex in _KIND else next(k for k in KINDS if m.groupdict().get(k))
+
+
 def _numbers(text: str, key: bytes):
+    """Valid values; the search goes on behind what is taken, and inside what is not."""
     m = NUMBERS.search(text)
     while m:
-        kind = _KIND[m.lastindex] if m.lastindex in _KIND else next(k for k in KINDS if m.groupdict().get(k))
+        kind = _kind(m)
         start, end = m.span(kind)
-        value = text[start:end]
-        new = pseudonym(kind, value, key)
+        value = _own_part(text, start, end, key) if kind == "phone" and text[start] == "+" else text[start:end]
+        # a longer dotted number, such as a version, holds no address or date
+        dotted = kind in ("ip", "date") and "." in value and start > 1 and text[start - 1] == "." and (text[start - 2].isalnum() or text[start - 2] == "_")
+        new = None if dotted else pseudonym(kind, value, key)
         while kind == "iban" and new is None and " " in value:
             value = value[: value.rindex(" ")]
             new = pseudonym(kind, value, key)
         if new is not None:
-            end = start + len(value)
-            yield start, end, kind, new
-        m = NUMBERS.search(text, end)
+            yield start, start + len(value), kind, new
+        m = NUMBERS.search(text, start + (1 if new is None else len(value)))
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:

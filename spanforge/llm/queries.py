@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanforge.llm import bpe, centroids, common, embeddings, filter_audit, langid, mixing, packing, pii, quality, rans, simhash, token_counts, warc
 
 
-#: The key of the registered query and, where spark.spanforge.key is unset, of the pipeline; not for use on real data.
+#: The key of the registered query op9_pii, so that its results can be compared; not for use on real data.
 TEST_KEY = b"a key for tests"
 
 
