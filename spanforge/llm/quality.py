@@ -12,7 +12,8 @@ SHARE of documents with the least distance and takes their mean and covariance a
 aggregation with partial sums over (group, start, distance bin), so a hot source costs no more than its
 share of a scan. Equal vectors of a group (exact copies) count once, so that copies can't be the bulk.
 A source's estimate is drawn towards its language's with the weight of PRIOR documents, and that towards
-the whole table's, so small groups need no rule of their own. RIDGE adds a share of the group's own mean
+the whole table's; its covariance with fewer, none at all from small groups, which an outlier of
+their own would stretch: there the language's covariance stands around the source's drawn mean. RIDGE adds a share of the group's own mean
 variance; there is no absolute floor.
 
 Edge cases: a null or empty text has no words and fails the base rules; null languages and sources are
@@ -70,14 +71,19 @@ def base_statistics(text: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_bound(s, positions))
 
     def varied(h: Column) -> Column:
-        """Mean share of distinct words in runs of RUN words; the last run ends with the text. Elements are got one by one, since a slice copies all."""
-        starts = F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)), F.lit(RUN)), lambda i: F.least(i, F.greatest(F.size(h) - RUN, F.lit(0))))
-        distinct = F.transform(starts, lambda i: F.size(F.array_distinct(F.transform(F.sequence(i, i + (RUN - 1)), lambda j: F.get(h, j)))))
-        return _bound(distinct, lambda d: F.aggregate(d, F.lit(0), lambda a, x: a + x) / (RUN * F.size(d)))
+        """Mean share of distinct words in runs of RUN words; the last run ends with the text. A word's hash and its run are one number, so whole runs are counted at once."""
+        n = F.size(h)
+        whole = F.floor(n / RUN).cast("int")
+        marked = F.transform(F.slice(h, F.lit(1), whole * RUN), lambda x, i: x.bitwiseXOR(F.shiftleft(F.floor(i / RUN).cast("long"), 20)))
+        last = F.when(n == whole * RUN, F.lit(0)).otherwise(F.size(F.array_distinct(F.slice(h, F.greatest(n - (RUN - 1), F.lit(1)), F.lit(RUN)))))
+        return (F.size(F.array_distinct(marked)) + last) / (RUN * F.greatest(F.ceil(n / RUN), F.lit(1)))
 
     def of_words(w: Column) -> Column:
-        grams = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long").alias("n_short"), _bound(F.transform(w, lambda x: F.xxhash64(x)), varied).alias("variety"), _bound(grams, repeated).cast("long").alias("n_repeat_words"))
+        def hashed(h: Column) -> Column:
+            grams = F.when(F.size(h) >= 3, F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - 3, F.lit(0))), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+            return F.struct(varied(h).alias("variety"), _bound(grams, repeated).cast("long").alias("n_repeat_words"))
+
+        return _bound(F.transform(w, lambda x: F.xxhash64(x)), lambda h: _bound(hashed(h), lambda x: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long").alias("n_short"), x["variety"].alias("variety"), x["n_repeat_words"].alias("n_repeat_words"))))
 
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(f"[^{common.WORD_SPACE}]"))
     of_lines = _bound(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
@@ -227,7 +233,11 @@ def _standard(unit: list[tuple[float, float]], y: list[Column]) -> list[Column]:
 
 
 def _shrunk(est: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(g, means, factor) of each source, drawn towards its language and that towards the whole table."""
+    """(g, means, factor) of each source, drawn towards its language and that towards the whole table.
+
+    Of a group's covariance only the documents beyond 2 * (P + 1) count, among those that its estimate rests on: a
+    few documents can't tell their scatter from an outlier among them.
+    """
     sizes = vectors.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("k"))
     keys = group_keys(F.col("lang"), F.col("source"))
     sizes = sizes.select(*[x.alias(f"g{i}") for i, x in enumerate(keys)], "k", F.sum("k").over(Window.partitionBy(keys[1])).alias("k1"))
@@ -237,7 +247,10 @@ def _shrunk(est: DataFrame, vectors: DataFrame) -> DataFrame:
 
     x = sizes.join(level(0), "g0").join(level(1), "g1").join(level(2), "g2")
     drawn = lambda own, k, parent: f"({own} * {k} + {parent} * {PRIOR}) / ({k} + {PRIOR})"
-    return _factored(x.selectExpr("g0 as g", "k as n", *[drawn(f"{c}_0", "k", drawn(f"{c}_1", "k1", f"{c}_2")) + f" as {c}" for c in (*_M, *_C)]), ["g"])
+    spare = lambda k: f"greatest({SHARE} * {k} - {2 * (P + 1)}, 0)"
+    centre = [drawn(f"{c}_0", "k", drawn(f"{c}_1", "k1", f"{c}_2")) + f" as {c}" for c in _M]
+    scatter = [drawn(f"{c}_0", spare("k"), drawn(f"{c}_1", spare("k1"), f"{c}_2")) + f" as {c}" for c in _C]
+    return _factored(x.selectExpr("g0 as g", "k as n", *centre, *scatter), ["g"])
 
 
 def verdicts(stats: DataFrame, model: tuple[list[tuple[float, float]], DataFrame]) -> DataFrame:

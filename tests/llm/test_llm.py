@@ -490,12 +490,37 @@ def test_outliers_go_and_clean_documents_stay(spark):
     bad = [" ".join(w + rng.choice(["###", "$$$"]) for w in prose(rng, 200).split()) for _ in range(20)] + [prose(rng, 90).replace(" ", "qwertyuiopas ") for _ in range(10)]
     df = documents(spark, good + bad, sources=["s1"] * 120 + [None] * 40 + ["s1"] * 20 + ["tiny"] * 10)
     kept = {r.doc_id for r in quality.screen(df).collect()}
-    assert kept >= set(range(160)) and not kept & set(range(160, 180))
+    assert kept >= set(range(160)) and not kept & set(range(160, 190))
     out = quality.screen(df)
     assert out.columns == df.columns and out.schema == df.schema
     assert quality.screen(df.limit(0)).count() == 0 and quality.rate(documents(spark, [None])).first().kept is False
 
 
+def test_small_sources_dont_hide_their_outliers(spark):
+    """One and two junk documents in sources of 3, 6 and 12, among large clean sources; junk of two kinds."""
+    rng = random.Random(21)
+    texts, sources, bad = [prose(rng, rng.randint(60, 900)) for _ in range(200)], ["s1"] * 100 + ["s2"] * 100, set()
+    junk = [lambda: " ".join(w + rng.choice(["###", "$$$"]) for w in prose(rng, 150).split()), lambda: prose(rng, 90).replace(" ", "qwertyuiopas ")]
+    for size in (3, 6, 12):
+        for n in (1, 2):
+            for kind, make in enumerate(junk):
+                bad |= set(range(len(texts), len(texts) + n))
+                texts += [make() for _ in range(n)] + [prose(rng, rng.randint(60, 900)) for _ in range(size - n)]
+                sources += [f"small{size}-{n}-{kind}"] * size
+    kept = {r.doc_id for r in quality.screen(documents(spark, texts, sources=sources)).collect()}
+    assert not kept & bad and len(set(range(len(texts))) - bad - kept) <= 2
+
+
+def test_variety_is_that_of_runs(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(k)}" for _ in range(n)) for n in (50, 51, 99, 100, 101, 777) for k in (3, 40, 500)]
+    got = [r.v for r in documents(spark, texts).orderBy("doc_id").select(quality.base_statistics(F.col("text"))["variety"].alias("v")).collect()]
+    for t, v in zip(texts, got, strict=True):
+        w = t.split()
+        starts = [min(k, len(w) - 50) for k in range(0, len(w), 50)]
+        assert v == pytest.approx(sum(len(set(w[k : k + 50])) for k in starts) / (50 * len(starts)))
+
+
 def lines_of(words, n=12):
     return "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
 
