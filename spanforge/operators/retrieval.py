@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as X
-from spanforge.runtime import saved
+from spanforge.runtime import new_path, saved, size_of
 
 
 def _terms(x: Column) -> Column:
@@ -59,20 +59,116 @@ def _top(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Postings of a block on average, impact levels of a term, seed postings of a query, and how much of its
+#: postings a query may spare at least to be worth the bounds.
+BLOCK, LEVELS, SEEDS, WORTH = 1024, 16, 64, 2
+#: Scores are rounded to six digits before they are ranked, so bounds keep that much slack.
+SLACK = 1e-5
+#: Bytes of a weighted index that is broadcast to the queries in place of a shuffle of their scores.
+SMALL = 32 << 20
+
+
+class _Weighted:
+    """An index of (term, d, part): what a term adds to a document's score; d numbers the documents, bounds are per term."""
+
+    def __init__(self, docs: DataFrame, k1: float, b: float):
+        spark = docs.sparkSession
+        words = F.filter(F.split(X.legacy_normalize(F.col("text")), " "), lambda t: t != "")
+        self.docs = saved(docs.select("doc", words.alias("words")).withColumn("d", F.monotonically_increasing_id()), "documents")
+        tf = self.docs.select("d", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tf = saved(tf, "postings")
+        total = self.docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("words"))
+        total = total.select("n", F.try_divide("words", "n").alias("avgdl"))
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+        part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+        path = new_path(spark, "weighted")
+        tf.join(df, "term").crossJoin(F.broadcast(total)).select("term", "d", part.alias("part")).write.parquet(path)  # one row
+        self.rows = spark.read.schema("term string, d bigint, part double").parquet(path)
+        self.small = size_of(spark, path) <= SMALL
+        self.bounds = saved(self.rows.groupBy("term").agg(F.max("part").alias("top"), F.count(F.lit(1)).alias("df")), "bounds")
+
+    def blocks(self) -> DataFrame:
+        """(term, best, postings): a term's postings by level of their part, in pieces of a bounded size, with the largest part of each."""
+        share = F.when(F.col("top") > 0, F.least(F.lit(LEVELS - 1), F.floor(F.greatest(F.col("part"), F.lit(0.0)) / F.col("top") * LEVELS))).otherwise(F.lit(0))
+        piece = F.pmod(F.xxhash64("d"), F.greatest(F.lit(1), F.ceil(F.col("df") / BLOCK)))
+        rows = self.rows.join(self.bounds, "term").select("term", share.alias("level"), piece.alias("piece"), "d", "part")
+        return rows.groupBy("term", "level", "piece").agg(F.max("part").alias("best"), F.collect_list(F.struct("d", "part")).alias("postings")).select("term", "best", "postings")
+
+    def exact(self, pairs: DataFrame, terms: DataFrame) -> DataFrame:
+        """(q, d, score): what the terms (q, term, qtf) add to the score of each pair."""
+        return pairs.join(terms.select("q", "term", "qtf"), "q").join(self.rows, ["term", "d"]).groupBy("q", "d").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+
+    def all_scores(self, terms: DataFrame) -> DataFrame:
+        """(q, d, score) of every document that shares a term with a query."""
+        if self.small:  # scores of a query then stay in its partition
+            hits = terms.repartition("q").join(F.broadcast(self.rows), "term")
+        else:
+            hits = terms.join(self.rows, "term")
+        return hits.groupBy("q", "d").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+
+
+def _thresholds(index: _Weighted, terms: DataFrame, k: int) -> DataFrame:
+    """(q, theta): the k-th best exact score among documents with the query's rarest terms; no row where there are too few."""
+    rarest = Window.partitionBy("q").orderBy("df", "term")
+    seeds = terms.withColumn("before", F.coalesce(F.sum("df").over(rarest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where((F.col("before") + F.col("df") <= SEEDS) | ((F.col("before") == 0) & (F.col("df") <= BLOCK)))
+    partial = seeds.join(index.rows, "term").groupBy("q", "d").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
+    likely = partial.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).where(F.col("r") <= 2 * k).select("q", "d")
+    ranked = index.exact(likely, terms).withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"))))
+    return ranked.where(F.col("r") == k).select("q", F.col("score").alias("theta"))
+
+
+def _bounded(terms: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """The terms with bound (the most one adds), all bounds' sum, whether a document needs the term or a rarer kind to reach
+    theta (essential), the bounds' sum of those it doesn't need, and whether the query is worth it (pruned).
+
+    Terms rise by their bounds; those whose bounds add up to less than theta can't bring a document there by
+    themselves. A negative term adds 0 at most, where it is missing.
+    """
+    rising, whole = Window.partitionBy("q").orderBy("bound", "term"), Window.partitionBy("q")
+    t = terms.join(thresholds, "q", "left").withColumn("bound", F.greatest(F.lit(0.0), F.col("top") * F.col("qtf")))
+    t = t.withColumns({"total": F.sum("bound").over(whole), "reach": F.sum("bound").over(rising)})
+    t = t.withColumn("essential", F.coalesce(F.col("reach") >= F.col("theta") - SLACK, F.lit(True)))
+    needed = F.sum(F.when(F.col("essential"), F.col("df")).otherwise(0)).over(whole)
+    others = F.sum(F.when(F.col("essential"), 0).otherwise(1)).over(whole)
+    rest = F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))).over(whole), F.lit(0.0))
+    return t.withColumns({"rest": rest, "pruned": F.col("theta").isNotNull() & (WORTH * needed * (1 + others) < F.sum("df").over(whole))})
+
+
+def _pruned_scores(index: _Weighted, terms: DataFrame) -> DataFrame:
+    """(q, d, score): exact for every document that can be among the best; others may be missing."""
+    at_least = F.col("theta") - SLACK
+    essential = terms.where("essential").select("q", "term", "qtf", "bound", "total", "rest", "theta")
+    blocks = essential.join(index.blocks(), "term").where(F.col("best") * F.col("qtf") + F.col("total") - F.col("bound") >= at_least)
+    hits = blocks.select("q", "qtf", "rest", "theta", F.inline("postings"))
+    partial = hits.groupBy("q", "d", "rest", "theta").agg(F.sum(F.col("part") * F.col("qtf")).alias("s")).where(F.col("s") + F.col("rest") >= at_least)
+    partial = saved(partial.select("q", "d", "s"), "survivors")
+    more = index.exact(partial, terms.where("not essential"))
+    return partial.join(more, ["q", "d"], "left").select("q", "d", (F.col("s") + F.coalesce("score", F.lit(0.0))).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query, doc, score, rank): idf ln(N - df + .5) - ln(df + .5), which may be negative; repeated query terms count.
 
-    Documents that share no term with a query would score 0 and are not listed.
+    Documents that share no term with a query would score 0 and are not listed. The result is that of scoring
+    everything, but a query whose common terms can't decide alone looks only at blocks of its other terms'
+    postings whose largest part may still reach the k-th best score found so far; common terms are looked
+    up for the documents that are left. Queries that would spare less than half are scored in full.
     """
-    tf, lengths, totals = _index(docs)
-    q = _query_terms(queries)
-    wanted = tf.join(q.select("term").distinct(), "term", "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = wanted.join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(totals))  # one row
-    idf = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    part = idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    weighted = rows.select("term", "doc", part.alias("part"))
-    return _top(weighted.join(q, "term").groupBy("query", "doc").agg(F.round(F.sum(F.col("part") * F.col("qtf")), 6).alias("score")), k)
+    index = _Weighted(docs, k1, b)
+    asked = saved(queries.select("query", "text").withColumn("q", F.monotonically_increasing_id()), "queries")
+    terms = asked.select("q", F.explode(F.split(X.legacy_normalize(F.col("text")), " ")).alias("term")).where("term <> ''").groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    terms = saved(terms.join(index.bounds, "term"), "terms")
+    bounded = saved(_bounded(terms, _thresholds(index, terms, k)), "bounded")
+    scores = index.all_scores(bounded.where("not pruned"))
+    some = bounded.where("pruned")
+    if not some.isEmpty():
+        scores = scores.unionByName(_pruned_scores(index, some))
+    scores = scores.withColumn("score", F.round("score", 6))
+    # first by number, so that names are joined to few rows; all that tie with the last place stay until then
+    best = scores.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
+    named = best.join(index.docs.select("d", "doc"), "d").join(asked.select("q", "query"), "q").select("query", "doc", "score")
+    return _top(named, k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanforge.runtime import saved
+
 COLLAPSE = 0.5
 
 
@@ -31,17 +33,38 @@ def curve_diagnosis(curves: DataFrame) -> DataFrame:
     return s.select("run", best.alias("best_epoch"), (declined & ~rising).alias("overfitting"), rising.alias("train_loss_rising"), improving.alias("still_improving"), "degenerate", verdict.alias("verdict"))
 
 
-def stability(steps: DataFrame, window: int = 200, tolerance: float = 0.2) -> DataFrame:
-    """Per run: stable, max_rise and the first step (from 0) whose moving mean is over the least so far by more than tolerance."""
+def _numbered(steps: DataFrame, block: int) -> DataFrame:
+    """(run, i, loss): i is a step's place in its run, from 0. Steps are counted by ranges of their numbers first, so no task sorts a run."""
+    s = steps.select("run", "step", F.col("loss").cast("double").alias("loss")).withColumn("p", F.floor(F.col("step") / block))
+    before = Window.partitionBy("run").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    sizes = s.groupBy("run", "p").agg(F.count(F.lit(1)).alias("n")).select("run", "p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("run", "p").orderBy("step", "loss"))
+    return s.withColumn("k", inside).join(sizes, ["run", "p"]).select("run", (F.col("before") + F.col("k") - 1).alias("i"), "loss")
+
+
+def stability(steps: DataFrame, window: int = 200, tolerance: float = 0.2, block: int = 1 << 16) -> DataFrame:
+    """Per run: stable, max_rise and the first step (from 0) whose moving mean is over the least so far by more than tolerance.
+
+    A run is cut into blocks of its steps. Each block also gets the last window - 1 steps of the one before, so its
+    moving means are whole; the least means of the blocks are scanned first, a row per block, and then the
+    steps inside each block go on from there. A run of any length is spread over many tasks.
+    """
     if window <= 0:
         raise ValueError("the window must be positive")
-    by = Window.partitionBy("run").orderBy("step")
-    recent = by.rowsBetween(1 - window, 0)
-    s = steps.withColumns({"i": F.row_number().over(by) - 1, "smooth": F.avg("loss").over(recent)})
-    full = s.where(F.col("i") >= window - 1)
-    rise = F.col("smooth") - F.min("smooth").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    r = full.withColumn("rise", F.round(rise, 9))
-    out = steps.select("run").distinct().join(r.groupBy("run").agg(F.max("rise").alias("m"), F.min(F.when(F.col("rise") > tolerance, F.col("i"))).alias("f")), "run", "left")
+    block = max(block, window)
+    i = F.col("i")
+    mine = F.floor(i / block)
+    places = F.when(F.pmod(i, F.lit(block)) >= block - (window - 1), F.array(mine, mine + 1)).otherwise(F.array(mine))
+    by = Window.partitionBy("run", "at").orderBy("i")
+    s = _numbered(steps, block).select("run", "i", "loss", F.explode(places).alias("at"))
+    smooth = s.withColumn("smooth", F.avg("loss").over(by.rowsBetween(1 - window, 0)))
+    full = saved(smooth.where((F.col("at") == mine) & (i >= window - 1)).select("run", "at", "i", "smooth"), "smooth")
+    earlier = Window.partitionBy("run").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    least = full.groupBy("run", "at").agg(F.min("smooth").alias("own")).select("run", "at", F.min("own").over(earlier).alias("before"))
+    running = F.least(F.min("smooth").over(by.rowsBetween(Window.unboundedPreceding, 0)), F.col("before"))
+    r = full.join(least, ["run", "at"]).withColumn("rise", F.round(F.col("smooth") - running, 9))
+    found = r.groupBy("run").agg(F.max("rise").alias("m"), F.min(F.when(F.col("rise") > tolerance, i)).alias("f"))
+    out = steps.select("run").distinct().join(found, "run", "left")
     return out.select("run", F.col("f").isNull().alias("stable"), F.round(F.coalesce("m", F.lit(0.0)), 6).alias("max_rise"), F.col("f").cast("bigint").alias("first_violation"))
 
 

@@ -1,5 +1,6 @@
 import json
 import math
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -446,6 +447,24 @@ def test_stability_batch_and_stream_agree(spark):
     assert live == batch
 
 
+@pytest.mark.parametrize("block", [5, 7, 64, 1 << 16])
+def test_stability_by_blocks_equals_the_loop(spark, block):
+    """Runs with gaps between their steps, shorter than the window, longer than many blocks, and rises that only earlier blocks explain."""
+    rng = random.Random(block)
+    runs = {f"r{k}": [rng.random() + (2 if rng.random() < 0.05 else 0) + j * d for j in range(n)] for k, (n, d) in enumerate([(1, 0), (4, 0), (5, 0), (40, 0.0), (333, 0.002), (200, -0.01)])}
+    rows = [(r, 3 * j - 50 if r == "r3" else j, x) for r, v in runs.items() for j, x in enumerate(v)]
+    got = {r.run: r for r in training.stability(spark.createDataFrame(rows, "run string, step bigint, loss double").repartition(3), 5, 0.4, block).collect()}
+    for run, v in runs.items():
+        least, rise, first = float("inf"), 0.0, None
+        for j in range(4, len(v)):
+            mean = sum(v[j - 4 : j + 1]) / 5
+            least = min(least, mean)
+            rise = max(rise, mean - least)
+            if mean - least > 0.4 and first is None:
+                first = j
+        assert (got[run].stable, got[run].first_violation) == (first is None, first) and got[run].max_rise == pytest.approx(rise, abs=1e-6)
+
+
 def test_run_selection_rule(spark):
     cols = "run string, dev_f1 double, curve_f1 double, stable boolean, is_candidate boolean, has_predictions boolean"
     pick = lambda rows: training.select_run(spark.createDataFrame(rows, cols)).first().run
