@@ -164,6 +164,16 @@ def group_keys(lang: Column, source: Column) -> list[Column]:
     return [F.concat(F.lit("s"), part(lang), part(source)), F.concat(F.lit("l"), part(lang)), F.lit("a")]
 
 
+#: Bytes of estimates that are broadcast to the documents; more are joined by group, and adaptive execution splits large groups.
+SMALL = 8 << 20
+
+
+def _by_group(rows: DataFrame, table: DataFrame, on: str = "g", how: str = "inner") -> DataFrame:
+    """Joins documents with a written table by group, whose size is checked; a source may have any share of the documents."""
+    small = table.count() * 8 * len(table.columns) <= SMALL
+    return rows.join(F.broadcast(table) if small else table, on, how)
+
+
 _SUMS = [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i, j in _PAIRS]
 #: Sums over y0.., and means and covariances out of them.
 _ADD = [f"sum(y{i}) as s{i}" for i in range(P)] + [f"sum(y{i} * y{j}) as q{i}{j}" for i, j in _PAIRS]
@@ -181,7 +191,7 @@ def _covariances(factor: float) -> list[str]:
 def _concentrated(rows: DataFrame, est: DataFrame) -> DataFrame:
     """One concentration step of every (g, start) of est."""
     keys = ["g", "start"]
-    near = _with_distance(rows.join(est.select(*keys, *_M, *_L), "g"), [*keys, *_Y])
+    near = _with_distance(_by_group(rows, est.select(*keys, *_M, *_L)), [*keys, *_Y])
     bins = _sums(near.selectExpr(*keys, *_Y, f"floor({BINS} * log1p(distance)) as bin"), [*keys, "bin"])
     group = "over (partition by g, start"
     used = bins.selectExpr("*", f"coalesce(sum(n) {group} order by bin rows between unbounded preceding and 1 preceding), 0) < {SHARE} * sum(n) {group}) as used").where("used")
@@ -192,15 +202,14 @@ def _concentrated(rows: DataFrame, est: DataFrame) -> DataFrame:
 def _starts(rows: DataFrame) -> DataFrame:
     """(g, start, means, factor): coordinate medians, with three first guesses of the scatter."""
     medians = common.saved(rows.groupBy("g").agg(*[F.expr(f"percentile_approx(y{i}, 0.5, 1000) as m{i}") for i in range(P)]), "medians")
-    off = rows.join(medians, "g").selectExpr("g", *[f"y{i} - m{i} as d{i}" for i in range(P)])
+    off = _by_group(rows, medians).selectExpr("g", *[f"y{i} - m{i} as d{i}" for i in range(P)])
     length = " + ".join(f"d{i} * d{i}" for i in range(P))
     squashed = ", ".join(f"tanh(d{i}) as y{i}" for i in range(P))
     signs = ", ".join(f"if(r > 0, d{i} / r, 0D) as y{i}" for i in range(P))
     both = off.selectExpr("*", f"sqrt({length}) as r").selectExpr("g", f"inline(array(struct(1 as start, {squashed}), struct(2 as start, {signs})))")
     scatter = _sums(both, ["g", "start"]).selectExpr("g", "start", "n", *_covariances(1.0))
     plain = medians.selectExpr("g", "0 as start", "0L as n", *[f"{float(i == j)}D as c{i}{j}" for i, j in _PAIRS])
-    # few files: many small ones look too large to be broadcast, and documents would be shuffled by group
-    return common.saved(_factored(scatter.unionByName(plain).join(medians, "g"), ["g", "start"], 0.01).coalesce(32), "estimate")
+    return common.saved(_factored(scatter.unionByName(plain).join(medians, "g"), ["g", "start"], 0.01), "estimate")
 
 
 def fit(stats: DataFrame) -> tuple[list[tuple[float, float]], DataFrame]:
@@ -259,7 +268,7 @@ def verdicts(stats: DataFrame, model: tuple[list[tuple[float, float]], DataFrame
     given = stats.columns
     own = est.select(F.col("g").alias("e_key"), *_M, *_L)
     rows = stats.select(F.struct(*given).alias("given"), F.col("q.base_failed").alias("failed"), group_keys(F.col("lang"), F.col("source"))[0].alias("e_key"), *_standard(unit, transformed(F.col("q"))))
-    rows = _with_distance(rows.join(own, "e_key", "left"), ["given", "failed"]).selectExpr("given.*", "if(failed, null, distance) as distance")
+    rows = _with_distance(_by_group(rows, own, "e_key", "left"), ["given", "failed"]).selectExpr("given.*", "if(failed, null, distance) as distance")
     kept = ~F.col("q.base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))
     return rows.select(*given, "distance", kept.alias("kept"))
 
