@@ -512,7 +512,16 @@ def legacy_tfidf_rank(s, d):
     return retrieval.tfidf(ex.select(F.col("qid").alias("doc"), F.col("context").alias("text")), ex.select(F.col("qid").alias("query"), F.col("question").alias("text")))
 
 
-@query()
+_BA = rf"""{S.WITH_EX}, sn AS (SELECT qid, question, list_filter(list_transform(string_split_regex(context,'[.!?]+|\n'), lambda z: {S.trim('z')}), lambda z: length(z)>5) AS ss FROM ex),
+u AS (SELECT qid, unnest(range(0,len(ss))) AS ix, unnest(ss) AS text, len(ss) AS n FROM sn), tm AS (SELECT qid, ix, n, unnest({S.words(S.legacy_norm('text'))}) AS term FROM u), tf AS (SELECT qid, ix, n, term, count(*) AS tf FROM tm GROUP BY 1,2,3,4),
+v AS (SELECT *, count(*) OVER (PARTITION BY qid,term) AS df, sum(tf) OVER (PARTITION BY qid,ix) AS len, sum(tf) OVER (PARTITION BY qid)/n::DOUBLE AS avgdl FROM tf), qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest({S.words(S.legacy_norm('question'))}) AS term FROM ex) GROUP BY 1,2),
+sc AS (SELECT qid, ix, sum((ln(n-df+0.5)-ln(df+0.5))*tf*2.5/(tf+1.5*(0.25+0.75*len/avgdl))*qtf) AS bm, sum(tf::DOUBLE/len*(ln((n+1)::DOUBLE/(df+1))+1)*qtf) AS ti FROM v JOIN qt USING (qid,term) GROUP BY 1,2),
+bs AS (SELECT qid, max(bm) AS bm, first(ix ORDER BY bm DESC, ix) AS b, first(ix ORDER BY ti DESC, ix) AS t FROM sc GROUP BY 1),
+pk AS (SELECT qid, question, list_filter(string_split(ss[coalesce(CASE WHEN bm>=0.01 THEN b ELSE t END,0)+1],' '), lambda t: t<>'') AS w FROM sn LEFT JOIN bs USING (qid)), ky AS (SELECT *, string_split({S.legacy_norm('question')},' ') AS keys FROM pk),
+wa AS (SELECT qid, w, list_filter(range(1,len(w)+1), lambda i: list_contains(keys, {S.legacy_norm('w[i]')})) AS hit FROM ky)"""
+
+
+@query(f"{_BA} SELECT qid, coalesce(array_to_string(CASE WHEN len(hit)=0 THEN w[1:10] ELSE w[greatest(list_min(hit)-3,1):list_max(hit)+5] END,' '),'') AS prediction FROM wa")
 def bm25_answers(s, d):
     return retrieval.bm25_answers(fx.examples(s, d))
 
@@ -648,10 +657,12 @@ def char_coverage(s, d):
     return r.select("doc_id", F.round(spans.char_coverage(F.col("context"), F.col("words")), 9).alias("coverage"))
 
 
-@query()
+@query(f"WITH {_AL} SELECT doc_id, item_id, len(w)::BIGINT AS n_pieces, md5(array_to_string(list_transform(w, lambda z: z.s||':'||z.e),',')) AS places FROM jw")
 def segment_offsets(s, d):
+    """Words joined in pairs are found where they were."""
     r = fx.located(s, d).withColumn("pieces", F.transform(spans.joined_words(spans.words_of(F.col("context"))), lambda w: w["tok"]))
-    return spans.segment_offsets(r).select("doc_id", "item_id", F.size("pieces").cast("long").alias("n_pieces"), F.size("words").cast("long").alias("n_placed"))
+    places = F.concat_ws(",", F.transform("words", lambda w: F.concat(w["s"], F.lit(":"), w["e"])))
+    return spans.segment_offsets(r).select("doc_id", "item_id", F.size("pieces").cast("long").alias("n_pieces"), F.md5(places).alias("places"))
 
 
 # stress
@@ -935,14 +946,31 @@ def token_changes(s, d):
     return eda.token_changes(siblings.best_siblings(_edited_questions(s, d)))
 
 
-@query()
+_QT, _CT, _AT = S.tok("question"), S.tok("context"), S.tok("answers[1]")
+
+
+@query(f"""{S.WITH_EX}, m AS (SELECT *, {_QT} AS q, list_distinct({_CT}) AS c, {_AT} AS a, len({S.words('question')}) AS nq, len({S.words('context')}) AS nc, NOT is_impossible AND len(answers)>0 AS has, answer_start/greatest(length(context),1)::DOUBLE AS rel,
+len(string_split({S.boundary_marks('context')},chr(1))) AS ns, len(string_split({S.boundary_marks('substr(context,1,(answer_start+1)::BIGINT)')},chr(1)))-1 AS si FROM ex),
+o AS (SELECT *, len(list_filter(q, lambda t: list_contains(c,t)))/greatest(len(q),1)::DOUBLE AS ov, len(a)>0 AND 2*len(list_filter(a, lambda t: list_contains(q,t)))>=len(a) AS mostly FROM m),
+r AS (SELECT rel, row_number() OVER (ORDER BY rel)-1 AS i, count(*) OVER () AS n FROM o WHERE has)
+SELECT count(*) AS n_questions, count(DISTINCT context) AS n_contexts, count(DISTINCT title) AS n_titles, count(*) FILTER (is_impossible) AS n_impossible, round(avg(nq),4) AS mean_question_words, round(avg(nc),4) AS mean_context_words, round(100*avg(ov) FILTER (NOT is_impossible),4) AS overlap_answerable, round(100*avg(ov) FILTER (is_impossible),4) AS overlap_impossible,
+round(100.0*count(*) FILTER (has AND mostly)/nullif(count(*) FILTER (has),0),2)::DOUBLE AS answer_mostly_in_question_pct, array_to_string([count(*) FILTER (has AND least(9,floor(10*rel))=0),{','.join(f'count(*) FILTER (has AND least(9,floor(10*rel))={k})' for k in range(1, 10))}],',') AS answer_deciles,
+array_to_string([{','.join(f'count(*) FILTER (has AND ns>1 AND least(6,si)={k})' for k in range(7))}],',') AS answer_sentence_index, (SELECT round(max(rel) FILTER (i=least(n-1,floor(n*0.25::DOUBLE))),2) FROM r) AS answer_q1, (SELECT round(max(rel) FILTER (i=least(n-1,floor(n*0.5::DOUBLE))),2) FROM r) AS answer_median, (SELECT round(max(rel) FILTER (i=least(n-1,floor(n*0.75::DOUBLE))),2) FROM r) AS answer_q3 FROM o""")
 def split_profile(s, d):
-    return eda.split_profile(fx.examples(s, d))
+    p = eda.split_profile(fx.examples(s, d))
+    return p.withColumns({c: F.concat_ws(",", F.col(c).cast("array<string>")) for c in ("answer_deciles", "answer_sentence_index")})
 
 
-@query()
+@query(rf"""{S.WITH_EX}, l0 AS (SELECT context, answers[1] AS a, answer_start AS s, (ord//2)%5 AS k FROM ex WHERE len(answers)>0), l1 AS (SELECT context, CASE k WHEN 1 THEN substr(a,2) WHEN 2 THEN substr(a,1,length(a)-2) ELSE a END AS a, CASE WHEN k IN (1,3) THEN s+1 ELSE s END AS s FROM l0),
+l2 AS (SELECT *, substr(context,(s+1)::BIGINT,length(a))=a AS fits, regexp_matches(substr(context,s::BIGINT,1),'^\pL$') AND s>0 AND regexp_matches(substr(a,1,1),'^\pL$') AS cs, regexp_matches(substr(context,(s+length(a)+1)::BIGINT,1),'^\pL$') AND regexp_matches(substr(a,length(a),1),'^\pL$') AS ce FROM l1)
+SELECT count(*) AS n, count(*) FILTER (NOT fits) AS offset_mismatch, count(*) FILTER (fits AND cs) AS cut_start, count(*) FILTER (fits AND ce) AS cut_end, round(100.0*(count(*) FILTER (fits AND cs)+count(*) FILTER (fits AND ce))/nullif(count(*),0),2)::DOUBLE AS cut_any_pct FROM l2""")
 def label_noise(s, d):
-    return eda.label_noise(fx.examples(s, d))
+    """Some answers lose their first character or their last two, and some offsets are off by one."""
+    k, a = F.floor(F.col("ord") / 2) % 5, F.get("answers", F.lit(0))
+    cut = F.when(k == 1, F.substring(a, F.lit(2), F.length(a))).when(k == 2, F.substring(a, F.lit(1), F.length(a) - 2)).otherwise(a)
+    some = F.size("answers") > 0
+    noisy = {"answers": F.when(some, F.array(cut)).otherwise(F.col("answers")), "answer_start": F.when(some & k.isin(1, 3), F.col("answer_start") + 1).otherwise(F.col("answer_start"))}
+    return eda.label_noise(fx.examples(s, d).withColumns(noisy))
 
 
 _ORDER = ["<100", "100-200", "200-300", "300+"]
