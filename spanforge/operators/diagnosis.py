@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanforge.functions import metrics as M
+from spanforge.functions import text as X
 
 
 def classified(items: DataFrame) -> DataFrame:
@@ -59,6 +59,14 @@ def disagreements(items: DataFrame, a: str, b: str, fold: bool = True) -> DataFr
     return rows.select("qid", F.when(F.col("em_a") > F.col("em_b"), a).otherwise(b).alias("winner"), (F.when(kind.startswith("boundary"), "boundary").otherwise(kind) if fold else kind).alias("kind"), F.col("prediction_a"), F.col("prediction_b"))
 
 
+def disagreement_page(items: DataFrame, a: str, b: str, kind: str = "all", most: int = 24) -> DataFrame:
+    """The first disagreements by question with an error of that kind on either side, boundary kinds as one, and the total of them all."""
+    rows = disagreements(items, a, b)
+    rows = rows if kind == "all" else rows.where(F.col("kind") == kind)
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    return rows.orderBy("qid").limit(most).crossJoin(total)  # one row
+
+
 def both_answered(items: DataFrame) -> DataFrame:
     """(system_a, system_b, n, em_a, em_b) over answerable questions that both systems answer, for all pairs of systems."""
     r = items.where(~F.col("is_impossible") & ~M.abstained(F.col("prediction"), "raw")).select("system", "qid", "em")
@@ -75,19 +83,34 @@ def plausible_trap(items: DataFrame, plausible: DataFrame) -> DataFrame:
     return rows.groupBy("system").agg(F.count(F.lit(1)).alias("n_answered"), F.count_if(hit).alias("n_trapped"))
 
 
+def _legacy_classified(items: DataFrame) -> DataFrame:
+    """Wrong predictions with their class x; right are equal normalised texts, and no answer to an impossible question."""
+    gold = F.coalesce(F.get("golds", F.lit(0)), F.lit(""))
+    prediction = F.coalesce("prediction", F.lit(""))
+    right = (X.spaced_normalize(gold) == X.spaced_normalize(prediction)) | (F.col("is_impossible") & (prediction == ""))
+    return items.where(~right).withColumn("x", M.legacy_error_class(F.col("question"), F.col("context"), gold, prediction, F.col("is_impossible")))
+
+
 def legacy_errors(items: DataFrame) -> DataFrame:
     """(system, category, subtype, n, ratio) of wrong predictions, from rows with question and context."""
-    gold = F.coalesce(F.get("golds", F.lit(0)), F.lit(""))
-    rows = items.where("em = 0").withColumn("x", M.legacy_error_class(F.col("question"), F.col("context"), gold, F.col("prediction"), F.col("is_impossible")))
+    rows = _legacy_classified(items)
     n = rows.groupBy("system", "x.category", "x.subtype").agg(F.count(F.lit(1)).alias("n"))
     total = rows.groupBy("system").agg(F.count(F.lit(1)).alias("t"))
     return n.join(total, "system").select("system", "category", "subtype", "n", F.round(F.col("n") / F.col("t"), 6).alias("ratio"))
 
 
+def legacy_case_studies(items: DataFrame, most: int = 10) -> DataFrame:
+    """(system, category, k, qid, subtype, confidence, ratio): of each of the five classes the most / 5 errors with the most confidence, the first by question on ties, and the share of the class."""
+    rows = _legacy_classified(items).select("system", "x.category", "x.subtype", "qid", "confidence")
+    k = F.row_number().over(Window.partitionBy("system", "category").orderBy(F.desc("confidence"), "qid"))
+    n = rows.groupBy("system", "category").agg(F.count(F.lit(1)).alias("n"))
+    total = rows.groupBy("system").agg(F.count(F.lit(1)).alias("t"))
+    best = rows.withColumn("k", k).where(F.col("k") <= most // 5)
+    return best.join(n, ["system", "category"]).join(total, "system").select("system", "category", "k", "qid", "subtype", "confidence", F.round(F.col("n") / F.col("t"), 4).alias("ratio"))
+
+
 def error_sample(items: DataFrame, n: int = 100, seed: int = 42) -> DataFrame:
     """Up to n errors of each system, the first in a seeded order."""
-    from pyspark.sql.window import Window
-
     from spanforge.operators.dataset import draw
 
     w = Window.partitionBy("system").orderBy(draw(F.concat("system", F.lit(":"), "qid"), seed))

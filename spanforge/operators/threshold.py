@@ -95,3 +95,30 @@ def calibrate(dev: DataFrame, dev_abstain: DataFrame, test: DataFrame) -> tuple[
     """(tau chosen on dev, predictions of test at it); one number reaches the driver."""
     tau = best_threshold(dev, dev_abstain).first()["tau"]
     return tau, predictions_at(test, tau)
+
+
+def stored_predictions(windows: DataFrame, taus: DataFrame) -> DataFrame:
+    """(system, qid, prediction) of each system at its own stored threshold (system, tau); systems without one, or without windows, are left out."""
+    w = windows.join(taus.where("tau is not null").select("system", "tau"), "system")
+    best = F.max(F.when(F.col("score").isNotNull() & ~spans.abstains(F.col("delta"), F.col("tau")), F.struct(F.col("score"), (-F.col("window_ix")).alias("w"), F.col("answer"))))
+    return w.groupBy("system", "qid").agg(F.coalesce(best["answer"], F.lit("")).alias("prediction"))
+
+
+def stored_scores(windows: DataFrame, taus: DataFrame, refs: DataFrame) -> DataFrame:
+    """Scores of stored thresholds: n, em and f1 in all, of answerable and of impossible questions, and the share of abstentions."""
+    from spanforge.operators import scoring
+
+    items = scoring.per_item(stored_predictions(windows, taus), refs, strict=False)
+    none = F.col("is_impossible")
+    mean = lambda c, keep=None: F.round(100 * F.avg(F.when(keep, F.col(c)) if keep is not None else F.col(c)), 4)
+    return items.groupBy("system").agg(
+        F.count(F.lit(1)).alias("n"), mean("em").alias("em"), mean("f1").alias("f1"), F.count_if(~none).alias("n_answerable"), mean("em", ~none).alias("em_answerable"), mean("f1", ~none).alias("f1_answerable"),
+        F.count_if(none).alias("n_impossible"), mean("em", none).alias("em_impossible"), F.round(100 * F.avg((F.col("prediction") == "").cast("double")), 4).alias("abstain_rate"))
+
+
+def self_check(windows: DataFrame, refs: DataFrame, direct: DataFrame, most: float = 0.01) -> DataFrame:
+    """(system, em, f1, em_direct, f1_direct, agrees): scores rebuilt from windows at threshold 0 against those (system, em, f1) that a system got directly."""
+    zero = windows.select("system").distinct().withColumn("tau", F.lit(0.0))
+    got = stored_scores(windows, zero, refs).select("system", "em", "f1")
+    both = got.join(direct.select("system", F.col("em").alias("em_direct"), F.col("f1").alias("f1_direct")), "system")
+    return both.withColumn("agrees", (F.abs(F.col("em") - F.col("em_direct")) < most) & (F.abs(F.col("f1") - F.col("f1_direct")) < most))

@@ -48,23 +48,45 @@ def predictions(ex: DataFrame) -> DataFrame:
     return ex.select("qid", F.explode(rows).alias("x")).select("x.system", "qid", "x.prediction")
 
 
-#: Words of a passage that anchor it in documents.
-ANCHOR = 5
+#: Inner words of a passage that anchor it in documents, and anchors that are looked for inside the row.
+ANCHOR, IN_ROW = 5, 4096
 
 
 def located(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, item_id, context, answer, answer_start) of each benchmark passage in each document.
 
-    A passage's first words, hashed, meet the documents' windows of as many words in an equi-join;
-    the places that match are then verified, so no document meets every passage.
+    A passage's first and last word may be glued to something in a document; the words between them
+    can't. The first few of these, hashed, are compared with the documents' windows of as many words, inside the row
+    if the anchors are few, else by an equi-join; places that match are then verified. Passages without an inner
+    word have no anchor: these are looked for as they are.
     """
     b = table(spark, d, "benchmark").select("item_id", F.col("text").alias("answer")).where("length(answer) > 0")
-    words = lambda x: F.filter(F.split(x, " "), lambda t: t != "")
-    doc = table(spark, d, "documents").select("doc_id", F.col("text").alias("context"))
-    grams = X.bound(words(F.regexp_replace("context", r"[\n\r\t]", " ")), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - ANCHOR + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(ANCHOR)]))))
-    anchors = b.withColumn("h", F.xxhash64(F.concat_ws(" ", F.slice(words(F.regexp_replace("answer", r"[\n\r\t]", " ")), 1, ANCHOR))))
-    pairs = doc.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(anchors, "h").select("doc_id", "item_id", "answer").distinct()
-    return pairs.join(doc, "doc_id").withColumn("answer_start", F.instr("context", F.col("answer")) - 1).where("answer_start >= 0").select("doc_id", "item_id", "context", "answer", "answer_start")
+    words = lambda x: F.filter(F.split(x, r"[ \n\r\t]+"), lambda t: t != "")
+    doc = table(spark, d, "documents").select("doc_id", F.col("text").alias("context")).where("context is not null")
+    joined = lambda w: F.xxhash64(F.concat_ws(" ", w))
+    b = b.withColumn("inner", words(F.col("answer"))).withColumn("n", F.least(F.lit(ANCHOR), F.greatest(F.size("inner") - 2, F.lit(0))))
+    anchors = b.where("n > 0").select("item_id", "answer", "n", joined(F.slice("inner", F.lit(2), F.col("n"))).alias("h"))
+    sizes = [r.n for r in anchors.select("n").distinct().collect()]  # ANCHOR numbers at most
+    found = []
+    if sizes:
+        window = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(n)])))
+        grams = X.bound(words(F.col("context")), lambda w: F.array_distinct(F.concat(*[window(w, n) for n in sizes])))
+        if anchors.count() <= IN_ROW:
+            wanted = anchors.agg(F.collect_set("h").alias("wanted"))  # one row of at most IN_ROW numbers
+            hits = doc.crossJoin(F.broadcast(wanted)).select("doc_id", "context", F.array_intersect(grams, "wanted").alias("h")).where("size(h) > 0")
+        else:
+            hits = doc.select("doc_id", "context", grams.alias("h"))
+        pairs = hits.select("doc_id", F.explode("h").alias("h")).join(anchors, "h").select("doc_id", "item_id", "answer").distinct()
+        found.append(pairs.join(doc, "doc_id"))
+    short = b.where("n = 0").select("item_id", "answer")
+    if not short.isEmpty():
+        found.append(doc.join(short, F.col("context").contains(F.col("answer"))))
+    if not found:
+        return doc.select("doc_id", F.lit(None).cast("bigint").alias("item_id"), "context", F.lit("").alias("answer"), F.lit(0).alias("answer_start")).where("false")
+    out = found[0].select("doc_id", "item_id", "context", "answer")
+    for more in found[1:]:
+        out = out.unionByName(more.select("doc_id", "item_id", "context", "answer"))
+    return out.withColumn("answer_start", F.instr("context", F.col("answer")) - 1).where("answer_start >= 0")
 
 
 def paired(spark: SparkSession, d: str) -> DataFrame:

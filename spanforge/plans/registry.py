@@ -376,11 +376,32 @@ def cluster_cells(s, d):
 _GOLD = "coalesce(golds[1],'')"
 
 
-@query()
+_LR = lambda x: rf"regexp_replace(regexp_replace({S.trim(f'lower({x})')},'[^\pL\pM\pN_\s]',' ','g'),'\s+',' ','g')"
+_LW = lambda x: f"list_filter(string_split({x},' '), lambda t: t<>'')"
+_LE = f"""{S.SCORED}, e0 AS (SELECT system, qid, ord, question, context, is_impossible, coalesce(golds[1],'') AS gold, prediction AS p, {_LR("coalesce(golds[1],'')")} AS gr, {_LR('prediction')} AS qr, trim(gr) AS g, trim(qr) AS q, len({S.words('context')}) AS nc FROM items),
+e1 AS (SELECT *, {_LW('g')} AS gw, {_LW('q')} AS qw FROM e0 WHERE NOT (gr=qr OR (is_impossible AND p=''))),
+e2 AS (SELECT *, len(list_intersect(gw,qw)) AS sh, len(list_distinct(gw)) AS dg, len(list_distinct(qw)) AS dq, g<>'' AND q<>'' AND ((g<>q AND (strpos(q,g)>0 OR strpos(g,q)>0)) OR (len(gw)>1 AND len(qw)>1 AND (gw[1]=qw[1])<>(gw[-1]=qw[-1]))) AS bd FROM e1),
+ec AS (SELECT *, CASE WHEN gold<>p AND len(gw)>0 AND sh::DOUBLE/dg>0.8 THEN 'E5|ambiguous_ground_truth' WHEN NOT is_impossible AND {S.any_of('question', X.NEGATIONS)} THEN 'E3|negative_trap_failure' WHEN is_impossible THEN 'E3|unanswerable_misclassified' WHEN bd AND len(gw)>0 AND NOT starts_with(q,gw[1]) THEN 'E1|boundary_prefix_missing'
+WHEN bd AND len(gw)>0 AND NOT ends_with(q,gw[-1]) THEN 'E1|boundary_suffix_missing' WHEN bd THEN 'E1|boundary_partial' WHEN nc>256 THEN 'E2|context_overhead' WHEN {S.any_of('question', X.MULTI_HOP)} THEN 'E4|multi_hop_reasoning_failure' WHEN len(gw)>0 AND len(qw)>0 AND sh::DOUBLE/greatest(dg,dq)>0.3 THEN 'E2|partial_span_extraction' WHEN nc>200 THEN 'E2|long_context_error' ELSE 'E4|unknown_reasoning_error' END AS x FROM e2),
+lc AS (SELECT *, split_part(x,'|',1) AS category, split_part(x,'|',2) AS subtype, count(*) OVER (PARTITION BY system) AS t, (ord*7919)%101/101.0::DOUBLE AS confidence FROM ec)"""
+
+
+@query(f"{_LE} SELECT system, category, subtype, count(*) AS n, round(count(*)/any_value(t)::DOUBLE,6) AS ratio FROM lc GROUP BY 1,2,3")
 def legacy_error_classes(s, d):
     return diagnosis.legacy_errors(_items(s, d))
 
 
+@query(f"{_LE}, ck AS (SELECT *, count(*) OVER (PARTITION BY system, category) AS n, row_number() OVER (PARTITION BY system, category ORDER BY confidence DESC, qid) AS k FROM lc) SELECT system, category, k::INT AS k, qid, subtype, confidence, round(n/t::DOUBLE,4) AS ratio FROM ck WHERE k<=2")
+def legacy_case_studies(s, d):
+    items = _items(s, d).join(fx.examples(s, d).select("qid", "ord"), "qid")
+    return diagnosis.legacy_case_studies(items.withColumn("confidence", F.col("ord") * 7919 % 101 / 101))
+
+
+@query(f"{S.SCORED}, dd AS (SELECT a.qid, CASE WHEN a.em>b.em THEN 'first3' ELSE 'two_sentences' END AS winner, CASE WHEN coalesce(a.error,b.error) LIKE 'boundary%' THEN 'boundary' ELSE coalesce(a.error,b.error) END AS kind, a.prediction AS prediction_a, b.prediction AS prediction_b FROM cls a JOIN cls b USING (qid) WHERE a.system='first3' AND b.system='two_sentences' AND a.em<>b.em) SELECT *, (SELECT count(*) FROM dd WHERE kind='boundary') AS total FROM dd WHERE kind='boundary' ORDER BY qid LIMIT 24")
+def disagreement_page(s, d):
+    return diagnosis.disagreement_page(_items(s, d), "first3", "two_sentences", "boundary")
+
+
 # spans and thresholds
 
 
@@ -438,6 +459,39 @@ def _tau_windows(s, d):
     return w, a
 
 
+def _systems(s, d):
+    """(windows, refs): a second system has the opposite deltas, a third has no threshold; a question's gold is its first window's answer."""
+    w, _ = _tau_windows(s, d)
+    text = w.select(F.col("qid").cast("string").alias("qid"), "window_ix", "score", "delta", F.concat_ws(" ", "s", "e").alias("answer"))
+    one = lambda name, delta: text.select(F.lit(name).alias("system"), "qid", "window_ix", "score", delta.alias("delta"), "answer")
+    windows = one("a", F.col("delta")).unionByName(one("b", -F.col("delta"))).unionByName(one("c", F.col("delta")))
+    gold = text.where("window_ix = 1").select("qid", F.when(F.col("qid").cast("int") % 2 == 1, F.array().cast("array<string>")).otherwise(F.array("answer")).alias("golds"))
+    return windows, gold
+
+
+_SYS = f"""WITH {S.TAU}, sy AS (SELECT * FROM (VALUES ('a',1.5::DOUBLE),('b',-0.25::DOUBLE)) t(system,tau)), sw AS (SELECT system, tau, qid, window_ix, score, CASE WHEN system='b' THEN -delta ELSE delta END AS delta, s||' '||e AS answer FROM win, {{systems}}),
+dc AS (SELECT system, qid, coalesce(first(answer ORDER BY score DESC, window_ix) FILTER (NOT (delta+tau>=0)),'') AS prediction FROM sw GROUP BY 1,2),
+gd AS (SELECT qid, CASE WHEN qid%2=1 THEN [] ELSE [s||' '||e] END AS golds FROM win WHERE window_ix=1), sc0 AS (SELECT *, {S.tok('prediction')} AS p, {S.tok("coalesce(golds[1],'')")} AS g, len(golds)=0 AS none FROM dc JOIN gd USING (qid)),
+sc AS (SELECT *, (array_to_string(p,' ')=array_to_string(g,' '))::DOUBLE AS em, {S.f1('p', 'g')} AS f1 FROM sc0)"""
+
+
+@query(_SYS.format(systems="sy") + """ SELECT system, count(*) AS n, round(100*avg(em),4) AS em, round(100*avg(f1),4) AS f1, count(*) FILTER (NOT none) AS n_answerable, round(100*avg(em) FILTER (NOT none),4) AS em_answerable, round(100*avg(f1) FILTER (NOT none),4) AS f1_answerable,
+count(*) FILTER (none) AS n_impossible, round(100*avg(em) FILTER (none),4) AS em_impossible, round(100*avg((prediction='')::INT),4) AS abstain_rate FROM sc GROUP BY 1""")
+def stored_threshold_scores(s, d):
+    windows, refs = _systems(s, d)
+    taus = s.sql("select * from values ('a', 1.5D), ('b', -0.25D), ('c', null), ('d', 0D) as t(system, tau)")
+    return threshold.stored_scores(windows, taus, refs)
+
+
+@query(_SYS.format(systems="(SELECT system, 0.0::DOUBLE AS tau FROM (VALUES ('a'),('b'),('c')) t(system))") + ", ov AS (SELECT system, round(100*avg(em),4) AS em, round(100*avg(f1),4) AS f1 FROM sc GROUP BY 1) SELECT system, em, f1, CASE WHEN system='b' THEN em+1 ELSE em END AS em_direct, f1 AS f1_direct, system<>'b' AS agrees FROM ov")
+def threshold_self_check(s, d):
+    """Direct scores are those of the decisions at 0; those of one system are falsified."""
+    windows, refs = _systems(s, d)
+    zero = threshold.stored_scores(windows, windows.select("system").distinct().withColumn("tau", F.lit(0.0)), refs)
+    direct = zero.select("system", F.when(F.col("system") == "b", F.col("em") + 1).otherwise(F.col("em")).alias("em"), "f1")
+    return threshold.self_check(windows, refs, direct)
+
+
 @query(f"WITH {S.TAU}, med AS (SELECT quantile_disc(-delta,0.5) AS tau FROM win) SELECT qid, CASE WHEN count(*) FILTER (NOT (delta+tau>=0))=0 THEN '' ELSE first(s||'-'||e ORDER BY (delta+tau>=0)::INT, score DESC, window_ix) END AS answer FROM win, med GROUP BY qid")
 def predictions_at_tau(s, d):
     w, _ = _tau_windows(s, d)
