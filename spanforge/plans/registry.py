@@ -895,8 +895,11 @@ def run_selection(s, d):
     return training.select_run(runs)
 
 
-@query(f"""WITH {S.STEPS}, a AS (SELECT run, step-1 AS i, avg(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sm FROM sp), b AS (SELECT run, i, round(sm-min(sm) OVER (PARTITION BY run ORDER BY i ROWS UNBOUNDED PRECEDING),9) AS rise FROM a WHERE i>=49)
-SELECT run, min(i) FILTER (rise>5) IS NULL AS stable, round(max(rise),6) AS max_rise, (min(i) FILTER (rise>5))::BIGINT AS first_violation FROM b GROUP BY 1""")
+_STABLE = f"""WITH {S.STEPS}, a AS (SELECT run, step-1 AS i, avg(loss) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS sm FROM sp), b AS (SELECT run, i, round(sm-min(sm) OVER (PARTITION BY run ORDER BY i ROWS UNBOUNDED PRECEDING),9) AS rise FROM a WHERE i>=49)
+SELECT run, min(i) FILTER (rise>5) IS NULL AS stable, round(max(rise),6) AS max_rise, (min(i) FILTER (rise>5))::BIGINT AS first_violation FROM b GROUP BY 1"""
+
+
+@query(_STABLE)
 def stability_report(s, d):
     return training.stability(fx.steps(s, d), 50, 5.0)
 
@@ -912,12 +915,14 @@ def schedule(s, d):
     return n.select("run", training.schedule(F.col("n"), 8, 2, 3, 0.1).alias("x")).select("run", "x.*")
 
 
-@query()
+@query(_STABLE)
 def stability_stream(s, d):
-    """The streaming form of stability_report over the same steps, as a file stream run to its end."""
+    """The streaming form of stability_report over the same steps, out of order in eight files, one a trigger."""
     from spanforge.streaming import stability as st
 
-    return st.run_to_end(fx.steps(s, d), 50, 5.0)
+    steps = fx.steps(s, d).repartition(8, F.xxhash64("run", "step"))
+    out = st.run_to_end(steps, 50, 5.0, first_step=1, patience=1_000_000, files_per_trigger=1)
+    return out.select("run", (F.col("first_violation") < 0).alias("stable"), "max_rise", F.when(F.col("first_violation") >= 0, F.col("first_violation")).alias("first_violation"))
 
 
 # exploration and reports

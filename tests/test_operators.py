@@ -447,6 +447,21 @@ def test_stability_batch_and_stream_agree(spark):
     assert live == batch
 
 
+def test_stream_takes_steps_in_their_order_over_triggers(spark):
+    """Steps of every run are scattered over seven triggers; a missing one is given up once too many wait."""
+    rng = random.Random(3)
+    rows = [(f"r{r}", k, rng.random() + (1 if rng.random() < 0.1 else 0)) for r in range(4) for k in range(120)]
+    s = spark.createDataFrame(rows, "run string, step bigint, loss double").repartition(7, F.xxhash64("run", "step"))
+    batch = {r.run: (r.max_rise, r.first_violation) for r in training.stability(s, 6, 0.3).collect()}
+    live = stream.run_to_end(s, 6, 0.3, files_per_trigger=1).collect()
+    assert {r.run: (r.max_rise, None if r.first_violation < 0 else r.first_violation) for r in live} == batch
+    assert all((r.n_steps, r.n_waiting, r.n_late) == (120, 0, 0) for r in live)
+    gap = spark.createDataFrame([("g", k, 1.0) for k in range(50) if k not in (10, 30)] + [("g", 3, 9.0)], "run string, step bigint, loss double").coalesce(1)
+    few, many = stream.run_to_end(gap, 5, 0.3, patience=15).first(), stream.run_to_end(gap, 5, 0.3).first()
+    assert (few.n_steps + few.n_waiting, few.n_late, few.max_rise) == (48, 1, 0.0) and few.n_steps >= 29
+    assert (many.n_steps, many.n_waiting, many.n_late) == (10, 38, 1)
+
+
 @pytest.mark.parametrize("block", [5, 7, 64, 1 << 16])
 def test_stability_by_blocks_equals_the_loop(spark, block):
     """Runs with gaps between their steps, shorter than the window, longer than many blocks, and rises that only earlier blocks explain."""
