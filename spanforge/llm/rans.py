@@ -12,6 +12,11 @@ File layout (all integers little-endian; each record is followed by RECORD_END):
 A file ends after about FILE_BYTES, so that readers can hold one. All blocks share the frequency table. A block's ids go round robin to its lanes, which write to one
 word stream. Each segment's checkpoint has the lanes' states and the place in the stream, so any
 segment of any block can be decoded by itself, and its checksum proves it.
+
+Edge cases: a null or empty text has the end id alone; rows with a null doc_id come first; rows that share
+a doc_id follow one another in the order of a hash of their ids, so that runs agree and a hot doc_id is dealt over many
+parts, and rows that are equal in both have equal entries; very long texts are blocks of their own; an empty table gives
+no documents; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -264,9 +269,10 @@ def write(docs: DataFrame, path: str, end_id: int = 2, tokenizer: str | None = N
         yield from common.files_of(blocks(), lambda k: coder.header(part, k), RECORD_END, size)
 
     parts = -(-common.size_of(spark, held_at) // PART_BYTES)
-    rows = table.where("ids is not null").select("doc_id", "ids")
-    ranged = rows.repartitionByRange(parts, "doc_id") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange("doc_id")
-    common.write_blobs(common.map_arrow(ranged.sortWithinPartitions("doc_id"), coded, "data binary"), "data", path, RECORD_END)
+    rows = table.where("ids is not null").select("doc_id", "ids", F.xxhash64("ids").alias("h"))
+    order = ["doc_id", "h"]
+    ranged = rows.repartitionByRange(parts, *order) if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartitionByRange(*order)
+    common.write_blobs(common.map_arrow(ranged.sortWithinPartitions(*order), coded, "data binary"), "data", path, RECORD_END)
     common.remove(spark, held_at)
 
 

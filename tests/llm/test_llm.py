@@ -655,6 +655,19 @@ def test_rans_files_round_trip(spark, corpus, tokenizer):
         start += len(ids)
 
 
+def test_rans_orders_rows_that_share_an_id(spark):
+    """Nine of ten rows have one id or none: two runs over other partitions agree, and their texts are dealt over several parts."""
+    rng = random.Random(4)
+    rows = [(5 if k % 10 < 6 else None if k % 10 < 9 else k, prose(rng, 30)) for k in range(400)] + [(5, "same"), (5, "same"), (None, None)]
+    seen = []
+    for n in (2, 7):
+        path = common.new_path(spark, "rans")
+        rans.write(documents(spark, [t for _, t in rows], ids=[i for i, _ in rows]).repartition(n), path, block=500)
+        seen.append([tuple(r) for r in rans.read_index(spark, path).orderBy("start").collect()])
+    assert seen[0] == seen[1] and len(seen[0]) == len(rows)
+    assert [r[0] for r in seen[0]] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+
+
 def test_rans_rolls_files(spark, corpus):
     """A bound of 100 kB makes many files of a task; the result is the same."""
     paths = [common.new_path(spark, "rans") for _ in range(2)]
