@@ -20,3 +20,5 @@ STRESS = "qid string, question string, context string, title string, answers arr
 REVIEW = "qid string, subset string, cau_hoi string, dap_an_goc string, thay_doi string, context_moi string, tieu_chi string, nguoi_1 string, nguoi_2 string, ghi_chu string"
 CURVES = "run string, epoch int, train_loss double, val_em double, val_f1 double, seconds double"
 STEPS = "run string, step bigint, epoch int, loss double, cls_loss double, span_loss double, grad_norm double, lr double"
+LEGACY_PREDICTIONS = "id string, prediction_text string, confidence double"
+LEGACY_REFERENCES = "id string, question string, context string, is_impossible boolean, answers struct<text: array<string>, answer_start: array<int>>"

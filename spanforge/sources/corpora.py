@@ -169,11 +169,37 @@ def keep_first(examples: DataFrame) -> DataFrame:
     return examples.withColumn("k", F.row_number().over(key)).where("k = 1").drop("k")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_result(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
+    """A JSON result table by its path, None where there is none; `text.dig` reads its nested fields."""
+    if not _exists(spark, path):
+        return None
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def read_legacy_predictions(spark: SparkSession, predictions: str, references: str, contexts: DataFrame | None = None) -> DataFrame:
+    """(qid, prediction, confidence, golds, is_impossible, question, context) of the older JSON lists of predictions and
+    references, for questions that both have; contexts (qid, context) go before those of the references. What is missing is empty, false or 0."""
+    p = spark.read.schema(schemas.LEGACY_PREDICTIONS).option("multiLine", True).json(predictions)
+    r = spark.read.schema(schemas.LEGACY_REFERENCES).option("multiLine", True).json(references)
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    p = p.select(F.col("id").alias("qid"), text("prediction_text").alias("prediction"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    r = r.select(F.col("id").alias("qid"), F.coalesce("answers.text", F.array().cast("array<string>")).alias("golds"), F.coalesce("is_impossible", F.lit(False)).alias("is_impossible"), text("question").alias("question"), text("context").alias("context"))
+    out = p.join(r, "qid")
+    if contexts is None:
+        return out
+    given = contexts.select("qid", F.col("context").alias("given"))
+    return out.join(given, "qid", "left").withColumn("context", F.coalesce("given", "context")).drop("given")
+
+
 def read_config(spark: SparkSession, path: str) -> dict:
     """A small JSON document beside a model; {} where there is none."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not _exists(spark, path):
         return {}
     import json
 

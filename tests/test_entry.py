@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import __spark_entry__ as entry
+from spanforge.functions import text as X
 from spanforge.operators import diagnosis, scoring, spans, stress
 from spanforge.sources import corpora
 from pyspark.sql import functions as F
@@ -36,6 +37,18 @@ def test_config_and_review_sheets(spark, tmp_path):
     assert [r.qid for r in diagnosis.rejected(orig, corpora.read_reviews(spark, str(tmp_path / "r.csv"))).collect()] == ["b"]
 
 
+def test_result_files_and_older_predictions(spark, tmp_path):
+    assert corpora.read_result(spark, str(tmp_path / "none.json")) is None
+    (tmp_path / "r.json").write_text('{"a": {"b": {"em": 3.5}}}')
+    row = corpora.read_result(spark, str(tmp_path / "r.json"), "a struct<b: struct<em: double, f1: double>>")
+    assert row.select(X.dig(F.col("a"), "b", "em").alias("x"), X.dig(F.col("a"), "b", "f1").alias("y")).first() == (3.5, None)
+    (tmp_path / "p.json").write_text('[{"id": "1", "prediction_text": "x", "confidence": 0.5}, {"id": "2"}, {"id": "9", "prediction_text": "z"}]')
+    (tmp_path / "q.json").write_text('[{"id": "1", "question": "?", "answers": {"text": ["x", "y"], "answer_start": [0, 1]}}, {"id": "2", "context": "own", "is_impossible": true, "answers": {"text": [], "answer_start": []}}, {"id": "3", "answers": {"text": ["w"]}}]')
+    contexts = spark.createDataFrame([("1", "x y")], "qid string, context string")
+    got = corpora.read_legacy_predictions(spark, str(tmp_path / "p.json"), str(tmp_path / "q.json"), contexts).orderBy("qid").collect()
+    assert [tuple(r) for r in got] == [("1", "x", 0.5, ["x", "y"], False, "?", "x y"), ("2", "", 0.0, [], True, "", "own")]
+
+
 def test_pairs_are_encoded_and_cut(spark):
     rows = spark.createDataFrame([("q", "a b", [("x", 0, 1), ("y", 2, 3), ("z", 4, 5)])], "qid string, question string, words array<struct<tok: string, s: int, e: int>>")
     r = spans.encode_pairs(rows, lambda t: [ord(t), 9], max_length=12).first()
@@ -56,8 +69,11 @@ def test_timed_predictor_and_source_scores(spark):
 
 
 def test_the_rest_runs_without_the_corpus_operators(tmp_path):
-    """With both llm folders and the pipeline deleted, tests of the rest pass."""
+    """With both llm folders and the pipeline deleted all other tests can be collected, and those of the functions and of this module's first queries pass."""
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    done = subprocess.run([sys.executable, "-m", "pytest", "tests/test_functions.py", "-x", "-q", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True, timeout=600, env=os.environ | {"PYTHONPATH": str(copy)})
+    run = lambda *args: subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", *args], cwd=copy, capture_output=True, text=True, timeout=900, env=os.environ | {"PYTHONPATH": str(copy)})
+    found = run("tests", "--collect-only")
+    assert found.returncode == 0 and "test_oracle" in found.stdout and "llm" not in found.stdout, found.stdout[-2000:]
+    done = run("tests/test_functions.py", "tests/test_located.py", "tests/test_entry.py::test_entry_gives_rows", "tests/test_oracle.py::test_same_rows[corpus_scores]", "tests/test_oracle.py::test_same_rows[sibling_similarity]", "-x")
     assert done.returncode == 0, done.stdout[-2000:]
