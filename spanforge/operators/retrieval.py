@@ -1,16 +1,23 @@
 """Lexical retrieval: sentences inside a context by TF-IDF, and collections by BM25 and TF-IDF.
 
-Scores are joins and aggregates over exploded terms; a query only meets documents that share a term.
+Sentences are scored by joins and aggregates over exploded terms. A table of queries meets a collection in
+cells: a bounded block of documents and one of queries are multiplied inside a task, and only a query's best
+documents of a cell leave it, so no row is shuffled for a shared term.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as X
-from spanforge.runtime import new_path, saved, size_of
+from spanforge.runtime import new_path, ready, saved, size_of
 
 
 def _terms(x: Column) -> Column:
@@ -40,20 +47,6 @@ def best_sentence(examples: DataFrame) -> DataFrame:
     return s.join(best, "qid", "left").select("qid", ix.alias("sent_ix"), F.coalesce(F.get("sents", ix), F.lit("")).alias("prediction"))
 
 
-def _index(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(postings, document lengths, totals) of (doc, text). The postings are written once, all else comes from them."""
-    t = docs.select("doc", F.explode(F.split(X.legacy_normalize(F.col("text")), " ")).alias("term")).where("term <> ''")
-    tf = saved(t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    lengths = tf.groupBy("doc").agg(F.sum("tf").alias("len"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n")).crossJoin(tf.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("words")))  # one row each
-    return tf, lengths, totals.select("n", (F.col("words") / F.col("n")).alias("avgdl"))
-
-
-def _query_terms(queries: DataFrame) -> DataFrame:
-    t = queries.select("query", F.explode(F.split(X.legacy_normalize(F.col("text")), " ")).alias("term")).where("term <> ''")
-    return t.groupBy("query", "term").agg(F.count(F.lit(1)).alias("qtf"))
-
-
 def _top(scores: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -147,14 +140,8 @@ def _pruned_scores(index: _Weighted, terms: DataFrame) -> DataFrame:
     return partial.join(more, ["q", "d"], "left").select("q", "d", (F.col("s") + F.coalesce("score", F.lit(0.0))).alias("score"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query, doc, score, rank): idf ln(N - df + .5) - ln(df + .5), which may be negative; repeated query terms count.
-
-    Documents that share no term with a query would score 0 and are not listed. The result is that of scoring
-    everything, but a query whose common terms can't decide alone looks only at blocks of its other terms'
-    postings whose largest part may still reach the k-th best score found so far; common terms are looked
-    up for the documents that are left. Queries that would spare less than half are scored in full.
-    """
+def _bounded_search(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """(query, doc, score) of a few queries: common terms' postings are only read where the bounds leave a choice."""
     index = _Weighted(docs, k1, b)
     asked = saved(queries.select("query", "text").withColumn("q", F.monotonically_increasing_id()), "queries")
     terms = asked.select("q", F.explode(F.split(X.legacy_normalize(F.col("text")), " ")).alias("term")).where("term <> ''").groupBy("q", "term").agg(F.count(F.lit(1)).alias("qtf"))
@@ -167,22 +154,150 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     scores = scores.withColumn("score", F.round("score", 6))
     # first by number, so that names are joined to few rows; all that tie with the last place stay until then
     best = scores.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
-    named = best.join(index.docs.select("d", "doc"), "d").join(asked.select("q", "query"), "q").select("query", "doc", "score")
-    return _top(named, k)
+    return best.join(index.docs.select("d", "doc"), "d").join(asked.select("q", "query"), "q").select("query", "doc", "score")
+
+
+#: Queries up to which a search goes by bounds over blocks of postings.
+FEW = 64
+#: Documents or queries and terms of a cell's side on average, cells to aim at, and terms that a cell multiplies as a dense matrix.
+SIDE, SIDE_TERMS, CELLS, DENSE = 16384, 4 << 20, 32, 512
+#: Scores and postings that are worked on at once inside a cell.
+AT_ONCE = 1 << 18
+
+
+def _postings(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(entry, posting) numbers of entries with n postings each from their starts on, a bounded number at once."""
+    before = np.cumsum(n) - n
+    for part in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(before // AT_ONCE)) + 1):
+        if len(part):
+            e = np.repeat(part, n[part])
+            yield e, starts[e] + np.arange(len(e)) - np.repeat(before[part] - before[part[0]], n[part])
+
+
+def _best_of_cell(k: int, cosine: bool):
+    """The function of a cell: rows of documents and queries with their terms (distinct numbers) and weights to (query, doc, score)."""
+
+    def side(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, v = rows["t"].combine_chunks(), rows["v"].combine_chunks()
+        return np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False)), t.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+
+    def best(rows: pa.Table) -> pa.Table:
+        docs, queries = rows.filter(rows["doc"].is_valid()), rows.filter(rows["query"].is_valid())
+        schema = pa.schema([rows.schema.field("query"), rows.schema.field("doc"), ("score", pa.float64())])
+        out: list[pa.Table] = []
+        if not docs.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        docs = docs.sort_by("doc")  # of documents that tie the first are kept
+        n, m = docs.num_rows, queries.num_rows
+        (d, dt, dv), (q, qt, qv) = side(docs), side(queries)
+        terms, qt = np.unique(qt, return_inverse=True)
+        at = np.minimum(np.searchsorted(terms, dt), len(terms) - 1)
+        both = terms[at] == dt
+        order = np.argsort(at[both], kind="stable")  # postings by term
+        d, dt, dv = d[both][order], at[both][order], dv[both][order]
+        df = np.bincount(dt, minlength=len(terms))
+        start = np.cumsum(df) - df
+        work = df * np.bincount(qt, minlength=len(terms))
+        often = np.argsort(-work, kind="stable")[:DENSE]
+        often = often[work[often] * 128 > n * m]
+        place = np.full(len(terms), -1)
+        place[often] = np.arange(len(often))
+        matrix, held = np.zeros((len(often), n)), np.zeros((len(often), n))
+        common = place[dt] >= 0
+        matrix[place[dt[common]], d[common]], held[place[dt[common]], d[common]] = dv[common], 1
+        positive = not len(dv) or dv.min() > 0
+        step = max(1, AT_ONCE // n)
+        for low in range(0, m, step):
+            size = min(step, m - low)
+            a, b = np.searchsorted(q, [low, low + size])
+            row, term, w = q[a:b] - low, qt[a:b], qv[a:b]
+            big = place[term] >= 0
+            dense = np.zeros((size, len(often)))
+            dense[row[big], place[term[big]]] = w[big]
+            row, term, w = row[~big], term[~big], w[~big]
+            score = dense @ matrix
+            met = (dense * dense if cosine else (dense != 0).astype(float)) @ held if cosine or not positive else None
+            for e, p in _postings(row, start[term], df[term]):
+                cell = row[e] * n + d[p]
+                score += np.bincount(cell, w[e] * dv[p], size * n).reshape(size, n)
+                if met is not None:
+                    met += np.bincount(cell, w[e] * w[e] if cosine else None, size * n).reshape(size, n)
+            hit = score > 0 if met is None else met > 0
+            if cosine:
+                score /= np.sqrt(np.where(hit, met, 1.0), out=met)
+            if not positive:
+                score[~hit] = -np.inf
+            last = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(size, -np.inf)
+            r, c = np.nonzero(hit & (score >= last[:, None] - SLACK))
+            s = score[r, c]
+            if len(r) > 8 * k * size:  # many tie: of equal scores the first k documents do
+                near = np.round(s, 9)
+                o = np.lexsort((c, near, r))
+                new = np.r_[True, (np.diff(r[o]) != 0) | (np.diff(near[o]) != 0)]
+                o = o[np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
+                r, c, s = r[o], c[o], s[o]
+            out.append(pa.table([queries["query"].take(pa.array(r + low)), docs["doc"].take(pa.array(c)), pa.array(s)], schema=schema))
+        return pa.concat_tables(out)
+
+    return best
+
+
+def _best_in_cells(docs: DataFrame, queries: DataFrame, k: int, part: Column, weight: Column, cosine: bool = False) -> DataFrame:
+    """(query, doc, score) of each query's best documents, k or more, where it has them: sums of part * weight over shared terms.
+
+    part: of tf, len, df, n (documents) and avgdl; weight: of qtf, words (the query's), df and n. cosine divides by the
+    norm of the document's parts and by that of the query's weights of shared terms. Of documents with the same
+    words only the first k are scored, since no other can be among the best.
+    """
+    ready(docs.sparkSession)
+    words = F.filter(F.split(X.legacy_normalize(F.col("text")), " "), lambda t: t != "")
+    numbered = lambda x, key: saved(x.select(key, words.alias("words")).withColumn("d", F.monotonically_increasing_id()), "words")
+    d, q = numbered(docs, "doc"), numbered(queries, "query")
+    total = d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("all")).select("n", F.try_divide("all", "n").alias("avgdl"))
+    asked = q.select(F.explode("words").alias("term")).distinct().withColumn("asked", F.lit(True))
+    df = d.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    terms = saved(df.join(asked, "term", "left").crossJoin(F.broadcast(total)).withColumn("t", F.monotonically_increasing_id()), "terms")  # total is one row
+    first = Window.partitionBy(F.sha2(F.concat_ws(" ", F.array_sort("words")), 256)).orderBy("doc")
+    kept = d.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k)
+    tf = kept.select("d", "doc", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("d", "doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    vector = lambda rows, *keys: rows.groupBy(*keys).agg(F.collect_list(F.when(F.col("asked"), F.struct("t", "v"))).alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    dv = vector(tf.join(terms, "term").withColumn("v", part), "d", "doc").where("size(x) > 0")
+    dv = saved(dv.select("doc", F.col("x.t").alias("t"), (F.transform("x.v", lambda v: v / F.col("norm")) if cosine else F.col("x.v")).alias("v")), "vectors")
+    qt = q.select("d", "query", F.size("words").alias("words"), F.explode("words").alias("term")).groupBy("d", "query", "words", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    qv = saved(vector(qt.join(terms, "term").withColumn("v", weight), "d", "query").select("query", F.col("x.t").alias("t"), F.col("x.v").alias("v")), "vectors")
+
+    n, m = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("terms")).first() for x in (dv, qv)]
+    down = max(1, math.ceil(n.n / SIDE), math.ceil(n.terms / SIDE_TERMS))
+    across = max(1, math.ceil(m.n / SIDE), math.ceil(m.terms / SIDE_TERMS), min(math.ceil(CELLS / down), math.ceil(m.n / FEW)))
+    block = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    none = lambda x, key: F.lit(None).cast(x.schema[key].dataType).alias(key)
+    sides = dv.select(block("doc", down).alias("i"), each(across).alias("j"), "doc", none(qv, "query"), "t", "v")
+    sides = sides.unionByName(qv.select(each(down).alias("i"), block("query", across).alias("j"), none(dv, "doc"), "query", "t", "v"))
+    kind = {c: x.schema[c].dataType.simpleString() for x, c in ((qv, "query"), (dv, "doc"))}
+    schema = ", ".join(f"{c} {t}" for c, t in kind.items()) + ", score double"
+    cells = sides.repartition(min(4 * down * across, 4000), "i", "j").groupBy("i", "j")  # a number that is given is not coalesced: cells are work, not bytes
+    return cells.applyInArrow(_best_of_cell(k, cosine), schema)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query, doc, score, rank): idf ln(N - df + .5) - ln(df + .5), which may be negative; repeated query terms count.
+
+    Documents that share no term with a query would score 0 and are not listed. The result is that of scoring
+    everything. A table of queries does so in cells. For a few queries one whose common terms can't decide alone looks
+    only at blocks of its other terms' postings whose largest part may still reach the k-th best score found so far.
+    """
+    if queries.limit(FEW + 1).count() <= FEW:
+        return _top(_bounded_search(docs, queries, k, k1, b), k)
+    part = (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    return _top(_best_in_cells(docs, queries, k, part, F.col("qtf").cast("double")).withColumn("score", F.round("score", 6)), k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, doc, score, rank): tf / length, idf ln((N + 1) / (df + 1)) + 1; the query's norm only counts terms of the document."""
-    tf, lengths, totals = _index(docs)
-    q, size = _query_terms(queries), Window.partitionBy("query")
-    q = q.withColumn("qw", F.col("qtf") / F.sum("qtf").over(size))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    v = tf.join(df, "term").join(lengths, "doc").crossJoin(F.broadcast(totals))  # one row
-    v = v.select("term", "doc", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"), (F.col("tf") / F.col("len") * (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1)).alias("v"))
-    norms = v.groupBy("doc").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    hits = v.join(q, "term").withColumn("x", F.col("qw") * F.col("idf"))
-    s = hits.groupBy("query", "doc").agg(F.sum(F.col("x") * F.col("v")).alias("dot"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("qn")).join(norms, "doc")
-    return _top(s.select("query", "doc", F.round(F.col("dot") / (F.col("qn") * F.col("norm")), 6).alias("score")), k)
+    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+    best = _best_in_cells(docs, queries, k, F.col("tf") / F.col("len") * idf, F.col("qtf") / F.col("words") * idf, cosine=True)
+    return _top(best.withColumn("score", F.round("score", 6)), k)
 
 
 def span_around_keywords(sentence: Column, question: Column, before: int = 3, after: int = 5, without: int = 10) -> Column:

@@ -76,3 +76,24 @@ def test_nothing_to_search(spark):
     none = rows(spark, docs, "doc").limit(0)
     assert retrieval.bm25(none, rows(spark, queries, "query")).collect() == []
     assert retrieval.bm25(rows(spark, docs, "doc"), rows(spark, queries, "query").limit(0)).collect() == []
+
+
+def in_small_cells(monkeypatch, at_once):
+    for name, value in (("FEW", 1), ("SIDE", 50), ("DENSE", 4), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(retrieval, name, value)
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 18])
+def test_bm25_in_cells_equals_scoring_everything(spark, monkeypatch, at_once):
+    """Cells smaller than the collection, many copies of a document and of a query, negative terms, and no row but the best leaves a cell."""
+    in_small_cells(monkeypatch, at_once)
+    docs, queries = case(5)
+    docs += [(f"z{k:03d}", docs[7][1]) for k in range(150)] + [(f"y{k:03d}", "the only") for k in range(90)]
+    got = {}
+    for r in retrieval.bm25(rows(spark, docs, "doc"), rows(spark, queries, "query"), 4).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.doc, r.score))
+    want = {q: v for q, v in brute(docs, queries, 4).items() if v}
+    assert {q: [d for d, _ in v] for q, v in got.items()} == {q: [d for d, _ in v] for q, v in want.items()}
+    assert all(a[1] == pytest.approx(b[1], abs=2e-6) for q in want for a, b in zip(got[q], want[q], strict=True))
+    left = retrieval._best_in_cells(rows(spark, docs, "doc"), rows(spark, queries, "query"), 4, F.lit(1.0), F.lit(1.0)).groupBy("query").count().agg(F.max("count")).first()[0]
+    assert left < len(docs)
