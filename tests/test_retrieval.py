@@ -97,3 +97,26 @@ def test_bm25_in_cells_equals_scoring_everything(spark, monkeypatch, at_once):
     assert all(a[1] == pytest.approx(b[1], abs=2e-6) for q in want for a, b in zip(got[q], want[q], strict=True))
     left = retrieval._best_in_cells(rows(spark, docs, "doc"), rows(spark, queries, "query"), 4, F.lit(1.0), F.lit(1.0)).groupBy("query").count().agg(F.max("count")).first()[0]
     assert left < len(docs)
+
+
+@pytest.mark.parametrize("at_once", [64, 1 << 18])
+def test_tfidf_in_cells_equals_scoring_everything(spark, monkeypatch, at_once):
+    in_small_cells(monkeypatch, at_once)
+    docs, queries = case(6)
+    docs += [(f"z{k:03d}", docs[7][1]) for k in range(150)]
+    bags = {d: Counter(t.split()) for d, t in docs}
+    df = Counter(t for c in bags.values() for t in c)
+    idf = {t: math.log((len(docs) + 1) / (n + 1)) + 1 for t, n in df.items()}
+    want = {}
+    for q, text in queries:
+        c, scores = Counter(text.split()), []
+        for d, b in bags.items():
+            both = [t for t in c if t in b]
+            if both:
+                v, w = {t: n / sum(b.values()) * idf[t] for t, n in b.items()}, {t: c[t] / sum(c.values()) * idf[t] for t in both}
+                scores.append((-round(sum(w[t] * v[t] for t in both) / math.sqrt(sum(x * x for x in w.values()) * sum(x * x for x in v.values())), 6), d))
+        want |= {q: sorted(scores)[:3]} if scores else {}
+    got = {}
+    for r in retrieval.tfidf(rows(spark, docs, "doc"), rows(spark, queries, "query"), 3).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((-r.score, r.doc))
+    assert {q: [d for _, d in v] for q, v in got.items()} == {q: [d for _, d in v] for q, v in want.items()}
