@@ -138,10 +138,11 @@ def flatten_nested(s, d):
     return flat.select("qid", "title", F.md5("context").alias("context_md5"), F.size("answers").cast("long").alias("n_answers"), F.col("answer_start").cast("long").alias("answer_start"), "is_impossible")
 
 
-@query(f"{S.WITH_EX} SELECT title, count(DISTINCT context) AS n_paragraphs, count(*) AS n_questions, min(ord) AS first_ord FROM ex GROUP BY title")
+@query(f"{S.WITH_EX} SELECT title, count(DISTINCT context) AS n_paragraphs, count(*) AS n_questions, rank() OVER (ORDER BY min(ord)) AS place FROM ex GROUP BY title")
 def renest_corpus(s, d):
     a = corpora.nested_articles(fx.examples(s, d))
-    return a.select("article.title", F.size("article.paragraphs").cast("long").alias("n_paragraphs"), F.aggregate("article.paragraphs", F.lit(0).cast("long"), lambda x, p: x + F.size(p["qas"])).alias("n_questions"), "first_ord")
+    a = a.select("article.title", F.size("article.paragraphs").cast("long").alias("n_paragraphs"), F.aggregate("article.paragraphs", F.lit(0).cast("long"), lambda x, p: x + F.size(p["qas"])).alias("n_questions"), "first_ord")
+    return corpora.placed(saved(a, "articles")).drop("first_ord")
 
 
 @query(f"""{S.WITH_EX} SELECT qid, md5(question) AS question_md5, md5(context) AS context_md5, title, 2*len(answers)::BIGINT AS n_answers, CASE WHEN len(answers)>0 THEN answer_start||','||answer_start ELSE '' END AS starts, is_impossible, 'E'||(ord%5) AS category,

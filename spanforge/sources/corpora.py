@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge import schemas
+from spanforge.operators import threshold
 
 
 def read_nested(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +69,13 @@ def nested_articles(examples: DataFrame) -> DataFrame:
     return articles.select("first_ord", F.struct("first_ord", "title", "paragraphs").alias("article"))
 
 
+def placed(articles: DataFrame) -> DataFrame:
+    """Adds place: the rank of an article by its first_ord, 1 for the first; counted over quantile buckets, then inside them."""
+    at = articles.groupBy("first_ord").agg(F.count(F.lit(1)).alias("n"))
+    at = threshold.running_sums(at.withColumn("place", F.col("n")), "first_ord", ["place"])
+    return articles.join(at.select("first_ord", (F.col("place") - F.col("n") + 1).alias("place")), "first_ord")
+
+
 def write_nested(examples: DataFrame, path: str, header: dict | None = None) -> None:
     """Writes one JSON document as the pieces of a folder: a line with the header, one line per article, a closing line.
 

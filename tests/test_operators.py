@@ -176,6 +176,19 @@ def test_older_scores(spark):
     assert n == {"s": (1.0, 1.0), "t": (0.0, 0.0)}
 
 
+def test_articles_are_placed_by_their_first_question(spark):
+    """As rank() over first_ord: from 1, ties share a place and leave the next ones out."""
+    a = spark.createDataFrame([(f"t{k}", o) for k, o in enumerate([30, 10, 20, 20, 5, 40])], "title string, first_ord bigint")
+    assert {r.title: r.place for r in corpora.placed(a).collect()} == {"t4": 1, "t1": 2, "t2": 3, "t3": 3, "t0": 5, "t5": 6}
+
+
+def test_renest_corpus_has_the_place_of_a_title(spark, sf):
+    import __spark_entry__ as entry
+
+    got = sorted(entry.queries()["renest_corpus"](spark, sf).select("place").collect())
+    assert [r.place for r in got] == list(range(1, len(got) + 1))
+
+
 def test_stress_set_survives_its_nested_file(spark, tmp_path):
     items = [("s2-E5-0000", "q", "c d c", "t", "E5", "E5", ["c", "c"], [0, 4], "perturbed", "x", "s2-E5-0000", 'n "1"'), ("s2-E5-0000-orig", "Q", "c d c", "t", "E5", "E5", ["c"], [0], "original", "x", "s2-E5-0000", ""), ("s2-E3a-0000", "r", "e", "u", "E3", "E3a", [], [], "slice", "y", None, "")]
     rows = spark.createDataFrame(items, "qid string, question string, context string, title string, category string, subset string, answers array<string>, answer_starts array<int>, role string, source_qid string, pair_id string, note string")
