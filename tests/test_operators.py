@@ -475,6 +475,18 @@ def test_stream_takes_steps_in_their_order_over_triggers(spark):
     assert (many.n_steps, many.n_waiting, many.n_late) == (10, 38, 1)
 
 
+def test_replay_keeps_what_waits_below_the_patience(spark):
+    """Runs of far more steps than the patience; scattered over all triggers most of their steps would wait and some be given up."""
+    rng = random.Random(4)
+    rows = [(f"r{r}", k, rng.random() + (1 if rng.random() < 0.01 else 0)) for r in range(2) for k in range(1, 3001)]
+    s = spark.createDataFrame(rows, "run string, step bigint, loss double").repartition(3)
+    batch = {r.run: (r.max_rise, r.first_violation) for r in training.stability(s, 6, 0.3).collect()}
+    late = stream.delayed(s, late=200)
+    assert late.where("trigger > 0").count() and late.agg(F.max("trigger")).first()[0] == 7
+    live = stream.run_to_end(late, 6, 0.3, first_step=1, patience=300, files_per_trigger=1).collect()
+    assert {r.run: (r.max_rise, r.first_violation) for r in live} == batch and all((r.n_steps, r.n_waiting, r.n_late) == (3000, 0, 0) for r in live)
+
+
 @pytest.mark.parametrize("block", [5, 7, 64, 1 << 16])
 def test_stability_by_blocks_equals_the_loop(spark, block):
     """Runs with gaps between their steps, shorter than the window, longer than many blocks, and rises that only earlier blocks explain."""
