@@ -101,18 +101,18 @@ def legacy_sentences(x: Column) -> Column:
     return F.filter(F.transform(F.split(x, r"[.!?]+|\n"), strip), lambda s: F.length(s) > 5)
 
 
-#: Elements in a block of the two-level prefix sums of array lengths.
-_BLOCK = 128
+#: Elements in a block of the prefix sums of array lengths, and levels of blocks.
+_BLOCK, _LEVELS = 16, 3
 
 
-def offsets(lengths: Column) -> Column:
-    """Sum of the lengths before each element; by blocks, so that long arrays don't cost the square of their size."""
+def offsets(lengths: Column, levels: int = _LEVELS) -> Column:
+    """Sum of the lengths before each element; by blocks of blocks, so that an element costs a few additions however long the array is."""
     add = lambda a, y: a + y
     total = lambda x: F.aggregate(x, F.lit(0), add)
 
     def placed(n: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(n, b * _BLOCK + 1, F.lit(_BLOCK))))
-        before = bound(blocks, lambda s: F.transform(s, lambda y, b: total(F.slice(s, F.lit(1), b))))
+        before = offsets(blocks, levels - 1) if levels > 1 else bound(blocks, lambda s: F.transform(s, lambda y, b: total(F.slice(s, F.lit(1), b))))
         block = lambda k: F.floor(k / _BLOCK).cast("int")
         return bound(before, lambda s: F.transform(n, lambda y, k: F.get(s, block(k)) + total(F.slice(n, block(k) * _BLOCK + 1, k % _BLOCK))))
 

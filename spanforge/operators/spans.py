@@ -178,9 +178,13 @@ def alignment_summary(aligned: DataFrame) -> DataFrame:
 
 
 def char_coverage(context: Column, words: Column) -> Column:
-    """Share of the characters that aren't white space which lie in words; 1 for a blank context."""
+    """Share of the characters that aren't white space which lie in words; 1 for a blank context.
+
+    The context is cut into characters once: a substring for each word would scan the text up to that word.
+    """
     solid = lambda x: F.length(F.regexp_replace(x, r"(?U)\s+", ""))
-    inside = F.aggregate(words, F.lit(0), lambda a, w: a + solid(F.substring(context, w["s"] + 1, w["e"] - w["s"])))
+    text = lambda chars, w: F.array_join(F.slice(chars, F.greatest(w["s"], F.lit(0)) + 1, F.greatest(w["e"] - w["s"], F.lit(0))), "")
+    inside = X.bound(F.split(context, ""), lambda chars: F.aggregate(words, F.lit(0), lambda a, w: a + solid(text(chars, w))))
     return F.when(solid(context) == 0, F.lit(1.0)).otherwise(inside / solid(context))
 
 

@@ -88,3 +88,26 @@ def test_offsets_are_prefix_sums(spark, lengths):
 def test_em_is_at_most_f1(spark, p, g):
     em, f1 = one(spark, F.struct(M.exact_match(C("p"), C("g")), M.token_f1(C("p"), C("g"))), p=p, g=g)
     assert em <= f1 <= 1
+
+
+def test_char_coverage_of_a_long_text_is_linear(spark):
+    """300,000 words: a substring for each, which scans the text up to it, takes minutes. Places may be anywhere."""
+    import time
+
+    from spanforge.operators import spans
+
+    df = spark.range(1).select(F.repeat(F.lit("ệbcde "), 300_000).alias("c"), F.transform(F.sequence(F.lit(0), F.lit(299_999)), lambda k: F.struct((k * 6).cast("int").alias("s"), (k * 6 + 3).cast("int").alias("e"))).alias("w"))
+    began = time.time()
+    assert df.select(spans.char_coverage(F.col("c"), F.col("w")).alias("x")).first().x == 0.6 and time.time() - began < 45
+    odd = spark.sql("select ' a\U0001f600 b ' c, array(named_struct('s', 1, 'e', 4), named_struct('s', 4, 'e', 99), named_struct('s', 3, 'e', 3)) w")
+    assert odd.select(spans.char_coverage(F.col("c"), F.col("w")).alias("x")).first().x == 1.0
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 4096, 70_001])
+def test_offsets_by_blocks_of_blocks(spark, n):
+    lengths = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: (k % 7).cast("int")) if n else F.array().cast("array<int>")
+    want, total = [], 0
+    for k in range(1, n + 1):
+        want.append(total)
+        total += k % 7
+    assert spark.range(1).select(X.offsets(lengths).alias("x")).first().x == want
