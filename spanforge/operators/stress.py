@@ -42,14 +42,17 @@ def removed_sentence(examples: DataFrame) -> DataFrame:
 
     Safe: three sentences or more, the first answer inside one, and no answer in what is left.
     """
-    a = F.get("answers", F.lit(0))
-    r = answerable(examples).withColumn("spans", X.sentence_spans(F.col("context"))).where(F.size("spans") >= 3)
-    r = r.withColumns({"i": X.sentence_index(F.col("spans"), F.col("answer_start")), "j": X.sentence_index(F.col("spans"), F.col("answer_start") + F.length(a) - 1)}).where("i is not null and i = j")
-    s, e = F.get("spans", F.col("i"))["s"], F.get("spans", F.col("i"))["e"]
-    rest = F.regexp_replace(F.substring("context", e + 1, F.length("context")), r"(?U)^[\s\x1c-\x1f]+", "")
-    new = X.strip(F.concat(F.substring("context", F.lit(1), s), rest))
-    r = r.withColumns({"new_context": new, "removed": F.substring("context", s + 1, e - s)})
-    return r.where(~_remains(F.col("new_context"), F.col("answers"))).drop("spans", "i", "j")
+    c, start = F.col("context"), F.col("answer_start")
+    last = start + F.length(F.get("answers", F.lit(0))) - 1
+
+    def cut(sp: Column) -> Column:
+        rest = lambda x: F.regexp_replace(F.substring(c, x["e"] + 1, F.length(c)), r"(?U)^[\s\x1c-\x1f]+", "")
+        one = lambda x: F.struct(X.strip(F.concat(F.substring(c, F.lit(1), x["s"]), rest(x))).alias("new_context"), F.substring(c, x["s"] + 1, x["e"] - x["s"]).alias("removed"))
+        around = F.filter(sp, lambda x: (x["s"] <= start) & (start < x["e"]) & (x["s"] <= last) & (last < x["e"]))
+        return F.transform(F.when(F.size(sp) >= 3, F.slice(around, 1, 1)), one)
+
+    # a generator is computed once a row; filters would repeat the sentences' long expression
+    return answerable(examples).select("*", F.inline(F.filter(X.bound(X.sentence_spans(c), cut), lambda x: ~_remains(x["new_context"], F.col("answers")))))
 
 
 def lexical_gap(examples: DataFrame) -> DataFrame:

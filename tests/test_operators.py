@@ -539,3 +539,11 @@ def test_pivot_marks_small_groups(spark):
     s = spark.createDataFrame([("s1", "<100", 50, 12.5), ("s2", "<100", 3, 1.0)], "system string, b string, n int, f1 double")
     r = report.pivot(s, "b", ["<100", "300+"], ["s1", "s2", "s3"]).collect()
     assert [(x.place, x.s1, x.s2, x.s3) for x in r] == [(1, "12.50", "1.00†", "")]
+
+
+def test_removed_sentences_cut_a_context_once(spark):
+    """The plan holds the sentences' expression once; filters above it used to repeat it."""
+    ex = spark.createDataFrame([("q", "One 1. Two 2. Three 3.", ["Two"], 7, False)], "qid string, context string, answers array<string>, answer_start int, is_impossible boolean").repartition(1)
+    r = stress.removed_sentence(ex)
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("À-Ỹ") == 1
+    assert [(x.removed, x.new_context) for x in r.collect()] == [("Two 2.", "One 1. Three 3.")]
