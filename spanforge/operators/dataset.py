@@ -153,10 +153,13 @@ def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int
     seen = rows.groupBy("context").agg(F.sort_array(F.collect_set("split")).alias("splits"))
     seen = seen.select(F.md5("context").alias("id"), "splits", shingle.alias("sh"))
     per = hashes // bands
-    band = F.array(*[F.xxhash64(F.lit(b), *[F.array_min(F.transform("sh", lambda s, k=b * per + i: F.xxhash64(s, F.lit(k)))) for i in range(per)]) for b in range(bands)])
-    keyed = seen.select("id", "splits", F.posexplode(band).alias("band", "key"))
+    salted = lambda k: lambda s: F.xxhash64(s, F.lit(k))  # noqa: E731  one parameter: a second one would be the element's index
+    band = F.array(*[F.xxhash64(F.lit(b), *[F.array_min(F.transform("sh", salted(b * per + i))) for i in range(per)]) for b in range(bands)])
+    keyed = seen.select("id", "splits", F.size("sh").alias("n"), F.posexplode(band).alias("band", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
+    least = threshold - 1e-6  # similarities are rounded; one of two sets can't be smaller than this share of the other
+    pairs = pairs.where((F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")))
     pairs = pairs.where(F.size(F.array_union("a.splits", "b.splits")) > 1).select(F.col("a.id").alias("context_a"), F.col("b.id").alias("context_b")).distinct()
     s = seen.select("id", "sh")
     out = pairs.join(s.withColumnsRenamed({"id": "context_a", "sh": "sa"}), "context_a").join(s.withColumnsRenamed({"id": "context_b", "sh": "sb"}), "context_b")

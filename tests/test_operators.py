@@ -1,3 +1,5 @@
+import hashlib
+import itertools
 import json
 import math
 import random
@@ -547,3 +549,21 @@ def test_removed_sentences_cut_a_context_once(spark):
     r = stress.removed_sentence(ex)
     assert r._jdf.queryExecution().optimizedPlan().toString().count("À-Ỹ") == 1
     assert [(x.removed, x.new_context) for x in r.collect()] == [("Two 2.", "One 1. Three 3.")]
+
+
+def test_near_duplicates_find_every_pair_at_the_threshold(spark):
+    """Copies that begin with other words: each hash needs a salt of its own, not the shingle's place."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(80):
+        w = [f"{k}-{rng.randrange(10_000)}" for _ in range(100)]
+        texts += [w, [f"x{k}", *w[rng.randrange(1, 8):]], [*w[:50], f"y{k}", *w[50 + rng.randrange(1, 4):]]]
+    rows = [(" ".join(w), ("train", "validation")[n % 2]) for n, w in enumerate(texts)]
+    sets = [(hashlib.md5(c.encode()).hexdigest(), s, {tuple(w[i:i + 5]) for i in range(len(w) - 4)}) for (c, s), w in zip(rows, texts)]
+    want = {}
+    for x, y in itertools.combinations(sorted(sets, key=lambda r: r[0]), 2):
+        j = round(len(x[2] & y[2]) / len(x[2] | y[2]), 6)
+        if x[1] != y[1] and j >= 0.8:
+            want[x[0], y[0]] = j
+    got = {(r.context_a, r.context_b): r.jaccard for r in dataset.near_duplicate_contexts(spark.createDataFrame(rows, "context string, split string")).collect()}
+    assert len(want) > 100 and got == want
