@@ -159,8 +159,8 @@ def _bounded_search(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: f
 
 #: Queries up to which a search goes by bounds over blocks of postings.
 FEW = 64
-#: Documents or queries and terms of a cell's side on average, cells to aim at, and terms that a cell multiplies as a dense matrix.
-SIDE, SIDE_TERMS, CELLS, DENSE = 16384, 4 << 20, 32, 512
+#: Documents, queries (these are short) and terms of a cell's side on average, cells to aim at, and terms that a cell multiplies as a dense matrix.
+SIDE, QUERIES, SIDE_TERMS, CELLS, DENSE = 16384, 131072, 4 << 20, 32, 512
 #: Scores and postings that are worked on at once inside a cell.
 AT_ONCE = 1 << 18
 
@@ -242,6 +242,12 @@ def _best_of_cell(k: int, cosine: bool):
     return best
 
 
+def _cells(n: int, terms: int, m: int, query_terms: int) -> tuple[int, int]:
+    """Blocks of n documents and of m queries. Each document is shuffled to every block of queries, so these are as few as memory and cores allow."""
+    down = max(1, math.ceil(n / SIDE), math.ceil(terms / SIDE_TERMS))
+    return down, max(1, math.ceil(m / QUERIES), math.ceil(query_terms / SIDE_TERMS), min(math.ceil(CELLS / down), math.ceil(m / FEW)))
+
+
 def _best_in_cells(docs: DataFrame, queries: DataFrame, k: int, part: Column, weight: Column, cosine: bool = False) -> DataFrame:
     """(query, doc, score) of each query's best documents, k or more, where it has them: sums of part * weight over shared terms.
 
@@ -267,8 +273,7 @@ def _best_in_cells(docs: DataFrame, queries: DataFrame, k: int, part: Column, we
     qv = saved(vector(qt.join(terms, "term").withColumn("v", weight), "d", "query").select("query", F.col("x.t").alias("t"), F.col("x.v").alias("v")), "vectors")
 
     n, m = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("terms")).first() for x in (dv, qv)]
-    down = max(1, math.ceil(n.n / SIDE), math.ceil(n.terms / SIDE_TERMS))
-    across = max(1, math.ceil(m.n / SIDE), math.ceil(m.terms / SIDE_TERMS), min(math.ceil(CELLS / down), math.ceil(m.n / FEW)))
+    down, across = _cells(n.n, n.terms, m.n, m.terms)
     block = lambda key, of: F.pmod(F.xxhash64(key), F.lit(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     none = lambda x, key: F.lit(None).cast(x.schema[key].dataType).alias(key)

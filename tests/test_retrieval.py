@@ -120,3 +120,12 @@ def test_tfidf_in_cells_equals_scoring_everything(spark, monkeypatch, at_once):
     for r in retrieval.tfidf(rows(spark, docs, "doc"), rows(spark, queries, "query"), 3).orderBy("query", "rank").collect():
         got.setdefault(r.query, []).append((-r.score, r.doc))
     assert {q: [d for _, d in v] for q, v in got.items()} == {q: [d for _, d in v] for q, v in want.items()}
+
+
+def test_documents_are_shuffled_to_few_blocks_of_queries():
+    """684,000 documents with 125 terms and as many queries with 9: the long rows go to six cells each, not to 42."""
+    n = 684_000
+    down, across = retrieval._cells(n, 125 * n, n, 9 * n)
+    assert (down, across) == (42, 6) and 125 * n * across + 9 * n * down < 1200 * n
+    assert retrieval._cells(1, 5, 1, 5) == (1, 1) and retrieval._cells(0, 0, 0, 0)[0] == 1
+    assert min(retrieval._cells(1000, 10**5, 1000, 10**4)) >= 1 and retrieval._cells(1000, 10**5, 5000, 10**4)[1] == 32
