@@ -25,10 +25,14 @@ UNITS = {"ngày": 28, "tháng": 12, "thế kỷ": 21, "thế kỉ": 21}
 LATEST_YEAR = 2024
 
 
-def answerable(examples: DataFrame) -> DataFrame:
-    """Questions whose first answer stands at its offset."""
+def is_answerable() -> Column:
+    """Whether the first answer stands at its offset."""
     a = F.get("answers", F.lit(0))
-    return examples.where(~F.col("is_impossible") & (F.size("answers") > 0) & (F.col("answer_start") >= 0) & (F.substring("context", F.col("answer_start") + 1, F.length(a)) == a))
+    return ~F.col("is_impossible") & (F.size("answers") > 0) & (F.col("answer_start") >= 0) & (F.substring("context", F.col("answer_start") + 1, F.length(a)) == a)
+
+
+def answerable(examples: DataFrame) -> DataFrame:
+    return examples.where(is_answerable())
 
 
 def _remains(text: Column, answers: Column) -> Column:
@@ -139,20 +143,27 @@ def distractors(examples: DataFrame, entities: dict[str, list[str]] | None = Non
     entities = entities or ENTITIES
     kinds = F.create_map(*[F.lit(x) for k, names in entities.items() for n in names for x in (n, k)])
     peers = F.create_map(*[x for k, names in entities.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in names]))])
-    a = F.get("answers", F.lit(0))
-    r = answerable(examples).withColumn("kind", kinds[F.col("title")]).where(F.col("kind").isNotNull() & a.rlike(r"\d") & (F.instr(a, F.col("title")) == 0) & (F.instr("question", F.col("title")) > 0))
-    r = r.withColumn("spans", X.sentence_spans(F.col("context"))).withColumn("i", X.sentence_index(F.col("spans"), F.col("answer_start"))).where("i is not null")
-    span = F.get("spans", F.col("i"))
-    r = r.withColumn("sentence", F.substring("context", span["s"] + 1, span["e"] - span["s"])).where(F.instr("sentence", F.col("title")) > 0)
-    free = F.filter(peers[F.col("kind")], lambda t: (t != F.col("title")) & (F.instr(F.col("context"), t) == 0) & (F.instr(t, F.col("title")) == 0) & (F.instr(F.col("title"), t) == 0))
-    r = r.withColumn("free", free).where(F.size("free") > 0)
-    pick = F.get("free", F.pmod(F.xxhash64("qid", F.lit(seed)), F.size("free")).cast("int"))
-    r = r.withColumn("fake", shifted_numbers(F.replace("sentence", F.col("title"), pick), F.concat(F.lit(f"{seed}:"), "qid")))
-    r = r.where((F.col("fake") != F.col("sentence")) & ~F.exists("answers", lambda x: F.instr("fake", x) > 0))
+    a, c, title, start = F.get("answers", F.lit(0)), F.col("context"), F.col("title"), F.col("answer_start")
+    able = is_answerable() & kinds[title].isNotNull() & a.rlike(r"\d") & (F.instr(a, title) == 0) & (F.instr("question", title) > 0)
+    free = F.filter(peers[kinds[title]], lambda t: (t != title) & (F.instr(c, t) == 0) & (F.instr(t, title) == 0) & (F.instr(title, t) == 0))
+    pick = X.bound(free, lambda f: F.when(F.size(f) > 0, F.get(f, F.pmod(F.xxhash64("qid", F.lit(seed)), F.size(f)).cast("int"))))
+
+    def sentence(sp: Column) -> Column:
+        around = F.slice(F.filter(sp, lambda x: (x["s"] <= start) & (start < x["e"])), 1, 1)
+        return F.filter(F.transform(around, lambda x: F.substring(c, x["s"] + 1, x["e"] - x["s"])), lambda t: F.instr(t, title) > 0)
+
+    def fakes(name: Column) -> Column:
+        fake = lambda t: F.struct(t.alias("sentence"), shifted_numbers(F.replace(t, title, name), F.concat(F.lit(f"{seed}:"), "qid")).alias("fake"))
+        made = F.transform(X.bound(X.sentence_spans(c), sentence), fake)
+        good = F.filter(made, lambda x: (x["fake"] != x["sentence"]) & ~F.exists("answers", lambda y: F.instr(x["fake"], y) > 0))
+        return F.when(able & name.isNotNull(), F.transform(good, lambda x: F.struct(x["fake"].alias("fake"), a.alias("_a"), start.alias("_at"))))
+
+    # a generator is computed once a row; filters would repeat the sentences' and the answers' long expressions
+    r = examples.select("*", F.inline(X.bound(pick, fakes)))
     after = F.pmod(F.xxhash64("qid", F.lit(seed), F.lit("side")), F.lit(2)) == 0
     tail = F.regexp_replace("context", r"(?U)[\s\x1c-\x1f]+$", "")
-    r = r.withColumns({"new_context": F.when(after, F.concat_ws(" ", tail, "fake")).otherwise(F.concat_ws(" ", "fake", "context")), "new_start": F.when(after, F.col("answer_start")).otherwise(F.col("answer_start") + F.length("fake") + 1)})
-    return r.where(F.substring("new_context", F.col("new_start") + 1, F.length(a)) == a).drop("kind", "spans", "i", "sentence", "free")
+    r = r.withColumns({"new_context": F.when(after, F.concat_ws(" ", tail, "fake")).otherwise(F.concat_ws(" ", "fake", "context")), "new_start": F.when(after, F.col("_at")).otherwise(F.col("_at") + F.length("fake") + 1)})
+    return r.where(F.substring("new_context", F.col("new_start") + 1, F.length("_a")) == F.col("_a")).drop("_a", "_at")
 
 
 def capped_sample(pool: DataFrame, n: int | None, subset: str, seed: int = 42, per_context: int = PER_CONTEXT) -> DataFrame:

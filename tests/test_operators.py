@@ -567,3 +567,14 @@ def test_near_duplicates_find_every_pair_at_the_threshold(spark):
             want[x[0], y[0]] = j
     got = {(r.context_a, r.context_b): r.jaccard for r in dataset.near_duplicate_contexts(spark.createDataFrame(rows, "context string, split string")).collect()}
     assert len(want) > 100 and got == want
+
+
+def test_distractors_cut_a_context_once(spark):
+    """The plan holds the sentences' and the answers' expressions once; filters used to repeat both."""
+    rows = [("q", "Ở Paris?", "Paris 1889 xây tháp. Sau đó nghỉ.", "Paris", ["1889"], 6, False), ("r", "Ở đâu?", "Paris 1889 xây tháp.", "Paris", ["1889"], 6, False), ("s", "Ở Paris?", "Paris 1889 xây tháp.", "Paris", [], -1, True), ("t", "Ở Paris?", "Năm 1889 xây tháp. Paris 2 lần.", "Paris", ["1889"], 4, False), ("u", "Ở Paris?", "Paris 1889.", None, ["1889"], 6, False)]
+    ex = spark.createDataFrame(rows, "qid string, question string, context string, title string, answers array<string>, answer_start int, is_impossible boolean").repartition(1)
+    r = stress.distractors(ex.withColumn("answers", F.transform("answers", lambda a: F.regexp_replace(a, "only-here", ""))))
+    plan = r._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("À-Ỹ") == 1 and plan.count("only-here") == 1
+    (x,) = r.collect()
+    assert x.qid == "q" and "1889" not in x.fake and "Paris" not in x.fake and x.fake.endswith(" xây tháp.") and x.new_context[x.new_start:x.new_start + 4] == "1889"
