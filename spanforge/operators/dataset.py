@@ -5,11 +5,16 @@ Random order is the order of md5(seed:key): the same on every partitioning and e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanforge.functions import text as X
+from spanforge.runtime import ready
 
 
 def is_gradeable() -> Column:
@@ -141,6 +146,28 @@ def distribution_shift(rows: DataFrame, flag: Column) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("n_flagged"), F.round(F.avg(flag.cast("double")), 6).alias("ratio"))
 
 
+def _band_keys(per: int, bands: int):
+    """The function of a batch of (id, splits, sh) to (id, splits, n, keys): sizes, and a key a band from the least values of sh under `per` hashes."""
+    add, factor = np.random.default_rng(42).integers(0, 1 << 64, (2, bands, per), dtype=np.uint64)
+    factor |= np.uint64(1)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            sh = x.column("sh")
+            flat, size = sh.flatten().to_numpy(zero_copy_only=False).view(np.uint64), sh.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(size):
+                continue
+            first = np.cumsum(size) - size
+            key = np.zeros((len(size), bands), np.uint64)
+            for b in range(bands):
+                for k in range(per):
+                    key[:, b] = (key[:, b] ^ np.minimum.reduceat((flat + add[b, k]) * factor[b, k], first)) * factor[b, 0]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, bands), pa.int32()), pa.array(key.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("splits"), pa.array(size, pa.int32()), lists], ["id", "splits", "n", "keys"])
+
+    return keys
+
+
 def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int = 5, hashes: int = 50, bands: int = 25) -> DataFrame:
     """(context_a, context_b, jaccard) md5 pairs of near-equal distinct contexts in different splits.
 
@@ -152,10 +179,9 @@ def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int
     shingle = X.bound(toks(F.col("context")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[F.get(w, i + (k - 1)) for k in range(words)])))))
     seen = rows.groupBy("context").agg(F.sort_array(F.collect_set("split")).alias("splits"))
     seen = seen.select(F.md5("context").alias("id"), "splits", shingle.alias("sh"))
-    per = hashes // bands
-    salted = lambda k: lambda s: F.xxhash64(s, F.lit(k))  # noqa: E731  one parameter: a second one would be the element's index
-    band = F.array(*[F.xxhash64(F.lit(b), *[F.array_min(F.transform("sh", salted(b * per + i))) for i in range(per)]) for b in range(bands)])
-    keyed = seen.select("id", "splits", F.size("sh").alias("n"), F.posexplode(band).alias("band", "key"))
+    ready(rows.sparkSession)
+    keyed = seen.where("id is not null").mapInArrow(_band_keys(hashes // bands, bands), "id string, splits array<string>, n int, keys array<long>")
+    keyed = keyed.select("id", "splits", "n", F.posexplode("keys").alias("band", "key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     least = threshold - 1e-6  # similarities are rounded; one of two sets can't be smaller than this share of the other
