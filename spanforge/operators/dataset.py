@@ -5,6 +5,7 @@ Random order is the order of md5(seed:key): the same on every partitioning and e
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -168,11 +169,20 @@ def _band_keys(per: int, bands: int):
     return keys
 
 
+def _shared_bands(p: float, bands: int, missed: float = 1e-8) -> int:
+    """The most bands, one at least, of which a pair that shares each with probability p has fewer with a probability of `missed` at most."""
+    fewer, n = (1 - p) ** bands, 1
+    while n < bands and (fewer := fewer + math.comb(bands, n) * p**n * (1 - p) ** (bands - n)) <= missed:
+        n += 1
+    return n
+
+
 def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int = 5, hashes: int = 50, bands: int = 25) -> DataFrame:
     """(context_a, context_b, jaccard) md5 pairs of near-equal distinct contexts in different splits.
 
     MinHash with one set of salts for all contexts finds candidates by bands (two hashes each at
-    the defaults, which miss a pair at the threshold once in 10^11); the exact Jaccard similarity of
+    the defaults): pairs that share three bands of 25, which a pair at the threshold fails to once
+    in 10^8 and most unlike pairs fail to; the exact Jaccard similarity of
     their word shingles decides. Equal contexts are one context here.
     """
     toks = lambda c: F.filter(F.split(F.lower(F.trim(c)), X.SPACE), lambda t: t != "")
@@ -186,7 +196,8 @@ def near_duplicate_contexts(rows: DataFrame, threshold: float = 0.8, words: int
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     least = threshold - 1e-6  # similarities are rounded; one of two sets can't be smaller than this share of the other
     pairs = pairs.where((F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n")))
-    pairs = pairs.where(F.size(F.array_union("a.splits", "b.splits")) > 1).select(F.col("a.id").alias("context_a"), F.col("b.id").alias("context_b")).distinct()
+    pairs = pairs.where(F.size(F.array_union("a.splits", "b.splits")) > 1).groupBy(F.col("a.id").alias("context_a"), F.col("b.id").alias("context_b")).agg(F.count(F.lit(1)).alias("bands"))
+    pairs = pairs.where(F.col("bands") >= _shared_bands(threshold ** (hashes // bands), bands)).drop("bands")
     s = seen.select("id", "sh")
     out = pairs.join(s.withColumnsRenamed({"id": "context_a", "sh": "sa"}), "context_a").join(s.withColumnsRenamed({"id": "context_b", "sh": "sb"}), "context_b")
     return out.select("context_a", "context_b", F.round(X.jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard")).where(F.col("jaccard") >= threshold)

@@ -578,3 +578,10 @@ def test_distractors_cut_a_context_once(spark):
     assert plan.count("À-Ỹ") == 1 and plan.count("only-here") == 1
     (x,) = r.collect()
     assert x.qid == "q" and "1889" not in x.fake and "Paris" not in x.fake and x.fake.endswith(" xây tháp.") and x.new_context[x.new_start:x.new_start + 4] == "1889"
+
+
+def test_candidates_share_as_many_bands_as_the_threshold_allows():
+    """By the exact binomial tail; few bands ask for one, as before."""
+    tail = lambda p, n, k: sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k))
+    assert dataset._shared_bands(0.64, 25) == 3 and tail(0.64, 25, 3) <= 1e-8 < tail(0.64, 25, 4)
+    assert dataset._shared_bands(0.64, 1) == dataset._shared_bands(0.64, 5) == 1
