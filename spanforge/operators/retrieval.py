@@ -161,26 +161,183 @@ def _bounded_search(docs: DataFrame, queries: DataFrame, k: int, k1: float, b: f
 FEW = 64
 #: Documents, queries (these are short) and terms of a cell's side on average, cells to aim at, and terms that a cell multiplies as a dense matrix.
 SIDE, QUERIES, SIDE_TERMS, CELLS, DENSE = 16384, 131072, 4 << 20, 32, 512
-#: Scores and postings that are worked on at once inside a cell.
-AT_ONCE = 1 << 18
+#: Scores and postings that are worked on at once inside a cell, and postings a pair from which a term is dense, as one over so many.
+AT_ONCE, OFTEN = 1 << 20, 400
+#: Groups of documents whose best scores bound a query's k-th best, and candidates a place beyond which a query is scored in doubles throughout.
+GROUPS, MANY = 256, 64
 
 
-def _postings(flat: np.ndarray, starts: np.ndarray, n: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(entry, posting) numbers of entries with n postings each from their starts on, a bounded number at once."""
+def _postings(starts: np.ndarray, n: np.ndarray, at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(entries, their numbers of postings, postings) of entries with n postings each from their starts on, a bounded number at once."""
     before = np.cumsum(n) - n
-    for part in np.split(np.arange(len(flat)), np.flatnonzero(np.diff(before // AT_ONCE)) + 1):
-        if len(part):
-            e = np.repeat(part, n[part])
-            yield e, starts[e] + np.arange(len(e)) - np.repeat(before[part] - before[part[0]], n[part])
+    cuts = np.r_[0, np.flatnonzero(np.diff(before // at_once)) + 1, len(n)]
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        if high > low:
+            part = slice(low, high)
+            at = np.repeat(starts[part] - (before[part] - before[low]), n[part])
+            at += np.arange(len(at))
+            yield part, n[part], at
+
+
+class _Cell:
+    """Documents and queries of a cell, both numbered, with their terms (numbers from 0 that a query has) and weights."""
+
+    def __init__(self, docs: pa.Table, queries: pa.Table, k: int, cosine: bool, dense: int, at_once: int):
+        def side(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            t, v = rows["t"].combine_chunks(), rows["v"].combine_chunks()
+            return np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False)), t.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
+
+        self.n, self.m, self.k, self.cosine, self.at_once = docs.num_rows, queries.num_rows, k, cosine, at_once
+        (d, dt, dv), (q, qt, qv) = side(docs), side(queries)
+        terms, qt = np.unique(qt, return_inverse=True)
+        at = np.minimum(np.searchsorted(terms, dt), len(terms) - 1)
+        both = terms[at] == dt if len(terms) else np.zeros(len(dt), bool)
+        d, dt, dv = d[both], at[both], dv[both]
+        self.n_terms = len(terms)
+        order = np.argsort(d * self.n_terms + dt, kind="stable")  # a document's terms rise
+        self.key, self.value = (d * self.n_terms + dt)[order], dv[order]
+        self.first = np.searchsorted(d, np.arange(self.n + 1))
+        order = np.argsort(dt, kind="stable")  # postings by term
+        self.d, self.v, dt = d[order], dv[order], dt[order]
+        self.df = np.bincount(dt, minlength=len(terms))
+        self.start = np.cumsum(self.df) - self.df
+        self.q, self.qt, self.qv = q, qt, qv
+        work = self.df * np.bincount(qt, minlength=len(terms))
+        often = np.argsort(-work, kind="stable")[:dense]
+        self.often = often[work[often] * OFTEN > self.n * self.m]
+        self.place = np.full(len(terms), -1)
+        self.place[self.often] = np.arange(len(self.often))
+        self.common = self.place[dt] >= 0
+        self.row = self.place[dt[self.common]]
+        self.positive = not len(dv) or bool(dv.min() > 0 and (not len(qv) or qv.min() > 0))
+        top = np.zeros(len(terms))
+        np.maximum.at(top, dt, np.abs(self.v))
+        self.size = np.bincount(q, np.abs(qv) * top[qt], self.m)  # no sum of a query is larger
+        self.n_words = np.bincount(q, minlength=self.m)
+        self.largest = np.zeros(self.m)
+        np.maximum.at(self.largest, q, np.abs(qv))
+
+    def matrices(self, kind: type, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        matrix, held = np.zeros((len(self.often), wide), kind), np.zeros((len(self.often), wide), kind)
+        matrix[self.row, self.d[self.common]], held[self.row, self.d[self.common]] = self.v[self.common], 1
+        return matrix, held
+
+    def doubles(self, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document, score) of the best of some queries, by all documents' scores in doubles."""
+        n, k = self.n, self.k
+        matrix, held = self.matrices(float, n)
+        step = max(1, self.at_once // n)
+        for low in range(0, len(rows), step):
+            some = rows[low : low + step]
+            size = len(some)
+            a, b = np.searchsorted(self.q, some), np.searchsorted(self.q, some + 1)
+            row = np.repeat(np.arange(size), b - a)
+            at = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(len(row))
+            term, w = self.qt[at], self.qv[at]
+            big = self.place[term] >= 0
+            dense, there = np.zeros((size, len(self.often))), np.zeros((size, len(self.often)))
+            dense[row[big], self.place[term[big]]] = w[big]
+            there[row[big], self.place[term[big]]] = w[big] * w[big] if self.cosine else 1
+            row, term, w = row[~big], term[~big], w[~big]
+            score, met = dense @ matrix, there @ held
+            for part, times, p in _postings(self.start[term], self.df[term], self.at_once):
+                cell = np.repeat(row[part] * n, times) + self.d[p]
+                score += np.bincount(cell, np.repeat(w[part], times) * self.v[p], size * n).reshape(size, n)
+                met += np.bincount(cell, np.repeat(w[part] * w[part], times) if self.cosine else None, size * n).reshape(size, n)
+            hit = met > 0
+            if self.cosine:
+                score /= np.sqrt(np.where(hit, met, 1.0), out=met)
+            score[~hit] = -np.inf
+            last = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(size, -np.inf)
+            r, c = np.nonzero(hit & (score >= last[:, None] - SLACK))
+            yield some[r], c, score[r, c]
+
+    def best(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document, score) of the queries' best.
+
+        All sums are taken in single precision first. A query's k-th best group of documents has k that reach its
+        best, so what lies below by more than the rounding errors can't be among the best. The others, hardly more than k,
+        are scored in doubles. A sum of 0 may be a document without a shared term or one with negative terms: where
+        these would be among the best, and where too many tie, the query is scored in doubles throughout.
+        """
+        k, cosine = self.k, self.cosine
+        if cosine and not self.positive:  # squares would hide the sign
+            yield from self.doubles(np.arange(self.m))
+            return
+        wide = -(-self.n // GROUPS) * GROUPS
+        matrix, held = self.matrices(np.float32, wide)
+        value, step, left = self.v.astype(np.float32), max(1, min(self.m, self.at_once // wide)), []
+        if cosine:  # no document has a norm of 0
+            held = np.vstack([held, np.full(wide, 1e-30, np.float32)])
+        scores, norms = np.empty((step, wide), np.float32), np.empty((step, wide), np.float32)
+        for low in range(0, self.m, step):
+            size = min(step, self.m - low)
+            a, b = np.searchsorted(self.q, [low, low + size])
+            row, term, w = self.q[a:b] - low, self.qt[a:b], self.qv[a:b].astype(np.float32)
+            if cosine:
+                w /= self.largest[low + row].astype(np.float32)  # a query's scale doesn't change its cosines
+            big = self.place[term] >= 0
+            dense = np.zeros((size, len(self.often)), np.float32)
+            dense[row[big], self.place[term[big]]] = w[big]
+            score, met = np.matmul(dense, matrix, out=scores[:size]), norms[:size]
+            if cosine:
+                np.matmul(np.hstack([dense * dense, np.ones((size, 1), np.float32)]), held, out=met)
+            row, term, w = row[~big], term[~big], w[~big]
+            for part, times, p in _postings(self.start[term], self.df[term], self.at_once):
+                cell = np.repeat(row[part] * wide, times)
+                cell += self.d[p]
+                np.add.at(score.ravel(), cell, np.repeat(w[part], times) * value[p])
+                if cosine:
+                    np.add.at(met.ravel(), cell, np.repeat(w[part] * w[part], times))
+            words = self.n_words[low : low + size]
+            if cosine:  # squares of the cosines
+                score *= score
+                score /= met
+            groups = score.reshape(size, wide // GROUPS, GROUPS).max(axis=1)
+            last = np.partition(groups, GROUPS - k, axis=1)[:, GROUPS - k].astype(float) if GROUPS >= k else np.zeros(size)
+            if cosine:
+                least = np.maximum(np.sqrt(last) - SLACK, 0) ** 2 * np.maximum(1 - (words + 8) * 2.0**-20, 0)
+            elif self.positive:
+                least = np.maximum(last * np.maximum(1 - (words + 8) * 2.0**-22, 0) - SLACK, 0)
+            else:
+                least = last - (words + 8) * 2.0**-22 * self.size[low : low + size] - SLACK
+            bar = np.nextafter(least.astype(np.float32), np.float32(-1))
+            if self.positive:
+                bar = np.maximum(bar, np.finfo(np.float32).smallest_subnormal)
+            else:
+                bar[least <= 0] = np.inf
+            r, g = np.nonzero(groups >= bar[:, None])
+            e, c = np.nonzero(score.reshape(size, -1, GROUPS)[r, :, g] >= bar[r, None])
+            r, c = r[e], c * GROUPS + g[e]
+            found = np.bincount(r, minlength=size)
+            other = (np.isinf(bar)) | (found > MANY * k)
+            if other.any():
+                left.append(low + np.flatnonzero(other))
+                r, c = r[~other[r]], c[~other[r]]
+            if len(r):
+                yield low + r, c, self.exact(low + r, c)
+        if left:
+            yield from self.doubles(np.concatenate(left))
+
+    def exact(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Scores of pairs of a query and a document that share a term."""
+        docs, c = np.unique(c, return_inverse=True)
+        n = self.first[docs + 1] - self.first[docs]
+        at = np.repeat(self.first[docs] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        key, value = self.key[at], self.value[at]
+        a, b = np.searchsorted(self.q, r), np.searchsorted(self.q, r + 1)
+        pair = np.repeat(np.arange(len(r)), b - a)
+        at = np.repeat(a - np.cumsum(b - a) + (b - a), b - a) + np.arange(len(pair))
+        wanted, w = docs[c[pair]] * self.n_terms + self.qt[at], self.qv[at]
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        w = np.where(key[at] == wanted, w, 0.0)
+        score = np.bincount(pair, w * value[at], len(r))
+        return score / np.sqrt(np.bincount(pair, w * w, len(r))) if self.cosine else score
 
 
 def _best_of_cell(k: int, cosine: bool):
     """The function of a cell: rows of documents and queries with their terms (distinct numbers) and weights to (query, doc, score)."""
 
-    def side(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        t, v = rows["t"].combine_chunks(), rows["v"].combine_chunks()
-        return np.repeat(np.arange(len(t)), t.value_lengths().to_numpy(zero_copy_only=False)), t.flatten().to_numpy(zero_copy_only=False), v.flatten().to_numpy(zero_copy_only=False)
-
     def best(rows: pa.Table) -> pa.Table:
         docs, queries = rows.filter(rows["doc"].is_valid()), rows.filter(rows["query"].is_valid())
         schema = pa.schema([rows.schema.field("query"), rows.schema.field("doc"), ("score", pa.float64())])
@@ -188,56 +345,15 @@ def _best_of_cell(k: int, cosine: bool):
         if not docs.num_rows or not queries.num_rows:
             return schema.empty_table()
         docs = docs.sort_by("doc")  # of documents that tie the first are kept
-        n, m = docs.num_rows, queries.num_rows
-        (d, dt, dv), (q, qt, qv) = side(docs), side(queries)
-        terms, qt = np.unique(qt, return_inverse=True)
-        at = np.minimum(np.searchsorted(terms, dt), len(terms) - 1)
-        both = terms[at] == dt
-        order = np.argsort(at[both], kind="stable")  # postings by term
-        d, dt, dv = d[both][order], at[both][order], dv[both][order]
-        df = np.bincount(dt, minlength=len(terms))
-        start = np.cumsum(df) - df
-        work = df * np.bincount(qt, minlength=len(terms))
-        often = np.argsort(-work, kind="stable")[:DENSE]
-        often = often[work[often] * 128 > n * m]
-        place = np.full(len(terms), -1)
-        place[often] = np.arange(len(often))
-        matrix, held = np.zeros((len(often), n)), np.zeros((len(often), n))
-        common = place[dt] >= 0
-        matrix[place[dt[common]], d[common]], held[place[dt[common]], d[common]] = dv[common], 1
-        positive = not len(dv) or dv.min() > 0
-        step = max(1, AT_ONCE // n)
-        for low in range(0, m, step):
-            size = min(step, m - low)
-            a, b = np.searchsorted(q, [low, low + size])
-            row, term, w = q[a:b] - low, qt[a:b], qv[a:b]
-            big = place[term] >= 0
-            dense = np.zeros((size, len(often)))
-            dense[row[big], place[term[big]]] = w[big]
-            row, term, w = row[~big], term[~big], w[~big]
-            score = dense @ matrix
-            met = (dense * dense if cosine else (dense != 0).astype(float)) @ held if cosine or not positive else None
-            for e, p in _postings(row, start[term], df[term]):
-                cell = row[e] * n + d[p]
-                score += np.bincount(cell, w[e] * dv[p], size * n).reshape(size, n)
-                if met is not None:
-                    met += np.bincount(cell, w[e] * w[e] if cosine else None, size * n).reshape(size, n)
-            hit = score > 0 if met is None else met > 0
-            if cosine:
-                score /= np.sqrt(np.where(hit, met, 1.0), out=met)
-            if not positive:
-                score[~hit] = -np.inf
-            last = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(size, -np.inf)
-            r, c = np.nonzero(hit & (score >= last[:, None] - SLACK))
-            s = score[r, c]
-            if len(r) > 8 * k * size:  # many tie: of equal scores the first k documents do
+        for r, c, s in _Cell(docs, queries, k, cosine, DENSE, AT_ONCE).best():
+            if len(r) > 8 * k * len(np.unique(r)):  # many tie: of equal scores the first k documents do
                 near = np.round(s, 9)
                 o = np.lexsort((c, near, r))
                 new = np.r_[True, (np.diff(r[o]) != 0) | (np.diff(near[o]) != 0)]
                 o = o[np.arange(len(o)) - np.flatnonzero(new)[np.cumsum(new) - 1] < k]
                 r, c, s = r[o], c[o], s[o]
-            out.append(pa.table([queries["query"].take(pa.array(r + low)), docs["doc"].take(pa.array(c)), pa.array(s)], schema=schema))
-        return pa.concat_tables(out)
+            out.append(pa.table([queries["query"].take(pa.array(r)), docs["doc"].take(pa.array(c)), pa.array(s)], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return best
 
@@ -252,25 +368,28 @@ def _best_in_cells(docs: DataFrame, queries: DataFrame, k: int, part: Column, we
     """(query, doc, score) of each query's best documents, k or more, where it has them: sums of part * weight over shared terms.
 
     part: of tf, len, df, n (documents) and avgdl; weight: of qtf, words (the query's), df and n. cosine divides by the
-    norm of the document's parts and by that of the query's weights of shared terms. Of documents with the same
-    words only the first k are scored, since no other can be among the best.
+    norm of the document's parts and by that of the query's weights of shared terms. Scores have six digits.
+    Documents with the same words are scored once, as are queries; of these documents the first k come back, since no
+    other can be among the best.
     """
     ready(docs.sparkSession)
     words = F.filter(F.split(X.legacy_normalize(F.col("text")), " "), lambda t: t != "")
-    numbered = lambda x, key: saved(x.select(key, words.alias("words")).withColumn("d", F.monotonically_increasing_id()), "words")
-    d, q = numbered(docs, "doc"), numbered(queries, "query")
+    bag = F.sha2(F.concat_ws(" ", F.array_sort("words")), 256)
+    d = saved(docs.select("doc", words.alias("words")).withColumn("d", F.monotonically_increasing_id()), "words")
+    named = saved(queries.select("query", words.alias("words")).where("size(words) > 0").withColumn("bag", bag), "words")
+    q = saved(named.groupBy("bag").agg(F.first("words").alias("words")).withColumn("d", F.monotonically_increasing_id()), "words")
     total = d.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("all")).select("n", F.try_divide("all", "n").alias("avgdl"))
     asked = q.select(F.explode("words").alias("term")).distinct().withColumn("asked", F.lit(True))
     df = d.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = saved(df.join(asked, "term", "left").crossJoin(F.broadcast(total)).withColumn("t", F.monotonically_increasing_id()), "terms")  # total is one row
-    first = Window.partitionBy(F.sha2(F.concat_ws(" ", F.array_sort("words")), 256)).orderBy("doc")
-    kept = d.withColumn("copy", F.row_number().over(first)).where(F.col("copy") <= k)
-    tf = kept.select("d", "doc", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("d", "doc", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    kept = d.withColumn("bag", bag).withColumn("copy", F.row_number().over(Window.partitionBy("bag").orderBy("doc"))).where(F.col("copy") <= k)
+    kept = kept.withColumn("same", F.collect_list("doc").over(Window.partitionBy("bag"))).where("copy = 1").withColumn("same", F.when(F.size("same") > 1, F.col("same")))
+    tf = kept.select("d", "doc", "same", F.size("words").alias("len"), F.explode("words").alias("term")).groupBy("d", "doc", "same", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     vector = lambda rows, *keys: rows.groupBy(*keys).agg(F.collect_list(F.when(F.col("asked"), F.struct("t", "v"))).alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dv = vector(tf.join(terms, "term").withColumn("v", part), "d", "doc").where("size(x) > 0")
-    dv = saved(dv.select("doc", F.col("x.t").alias("t"), (F.transform("x.v", lambda v: v / F.col("norm")) if cosine else F.col("x.v")).alias("v")), "vectors")
-    qt = q.select("d", "query", F.size("words").alias("words"), F.explode("words").alias("term")).groupBy("d", "query", "words", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    qv = saved(vector(qt.join(terms, "term").withColumn("v", weight), "d", "query").select("query", F.col("x.t").alias("t"), F.col("x.v").alias("v")), "vectors")
+    dv = vector(tf.join(terms, "term").withColumn("v", part), "d", "doc", "same").where("size(x) > 0")
+    dv = saved(dv.select("doc", "same", F.col("x.t").alias("t"), (F.transform("x.v", lambda v: v / F.col("norm")) if cosine else F.col("x.v")).alias("v")), "vectors")
+    qt = q.select("d", F.size("words").alias("words"), F.explode("words").alias("term")).groupBy("d", "words", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    qv = saved(vector(qt.join(terms, "term").withColumn("v", weight), "d").select(F.col("d").alias("query"), F.col("x.t").alias("t"), F.col("x.v").alias("v")), "vectors")
 
     n, m = [x.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("t")), F.lit(0)).alias("terms")).first() for x in (dv, qv)]
     down, across = _cells(n.n, n.terms, m.n, m.terms)
@@ -282,7 +401,10 @@ def _best_in_cells(docs: DataFrame, queries: DataFrame, k: int, part: Column, we
     kind = {c: x.schema[c].dataType.simpleString() for x, c in ((qv, "query"), (dv, "doc"))}
     schema = ", ".join(f"{c} {t}" for c, t in kind.items()) + ", score double"
     cells = sides.repartition(min(4 * down * across, 4000), "i", "j").groupBy("i", "j")  # a number that is given is not coalesced: cells are work, not bytes
-    return cells.applyInArrow(_best_of_cell(k, cosine), schema)
+    scores = cells.applyInArrow(_best_of_cell(k, cosine), schema).withColumn("score", F.round("score", 6))
+    best = _top(scores, k).drop("rank").join(dv.select("doc", F.explode("same").alias("copy")), "doc", "left").select("query", F.coalesce("copy", "doc").alias("doc"), "score")
+    named = named.select("query", "bag").join(q.select("bag", F.col("d").alias("number")), "bag").select("query", "number")
+    return named.join(best.withColumnRenamed("query", "number"), "number").select("query", "doc", "score")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -295,14 +417,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.5, b: fl
     if queries.limit(FEW + 1).count() <= FEW:
         return _top(_bounded_search(docs, queries, k, k1, b), k)
     part = (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)) * (F.col("tf") * (k1 + 1)) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return _top(_best_in_cells(docs, queries, k, part, F.col("qtf").cast("double")).withColumn("score", F.round("score", 6)), k)
+    return _top(_best_in_cells(docs, queries, k, part, F.col("qtf").cast("double")), k)
 
 
 def tfidf(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query, doc, score, rank): tf / length, idf ln((N + 1) / (df + 1)) + 1; the query's norm only counts terms of the document."""
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    best = _best_in_cells(docs, queries, k, F.col("tf") / F.col("len") * idf, F.col("qtf") / F.col("words") * idf, cosine=True)
-    return _top(best.withColumn("score", F.round("score", 6)), k)
+    return _top(_best_in_cells(docs, queries, k, F.col("tf") / F.col("len") * idf, F.col("qtf") / F.col("words") * idf, cosine=True), k)
 
 
 def span_around_keywords(sentence: Column, question: Column, before: int = 3, after: int = 5, without: int = 10) -> Column:

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +131,54 @@ def test_documents_are_shuffled_to_few_blocks_of_queries():
     assert (down, across) == (42, 6) and 125 * n * across + 9 * n * down < 1200 * n
     assert retrieval._cells(1, 5, 1, 5) == (1, 1) and retrieval._cells(0, 0, 0, 0)[0] == 1
     assert min(retrieval._cells(1000, 10**5, 1000, 10**4)) >= 1 and retrieval._cells(1000, 10**5, 5000, 10**4)[1] == 32
+
+
+def test_rows_with_the_same_words_are_scored_once(spark, monkeypatch):
+    """Copies of documents and of queries, in any order of their words, meet in no cell, and each has its rows."""
+    docs, queries = case(11, 60, 40)
+    docs, queries = [x for x in docs if not x[0].startswith(("copy", "empty"))], [x for x in queries if x[1]]
+    again = lambda pairs: pairs + [(f"{name}-{c}", " ".join(reversed(text.split()))) for c in range(6) for name, text in pairs]
+    sizes, cells = [], retrieval._cells
+    monkeypatch.setattr(retrieval, "_cells", lambda n, terms, m, query_terms: sizes.append((n, m)) or cells(n, terms, m, query_terms))
+    got = {}
+    for r in retrieval.bm25(rows(spark, again(docs), "doc"), rows(spark, again(queries), "query"), 4).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append(r.doc)
+    assert got == {q: [d for d, _ in v] for q, v in brute(again(docs), again(queries), 4).items() if v}
+    assert sizes[0][0] <= len(docs) and sizes[0][1] <= len(queries)
+
+
+def a_cell(seed, n, m, low):
+    rng = np.random.default_rng(seed)
+    bag = lambda size: np.unique(np.minimum(rng.zipf(1.3, size), 2000))
+    terms = [bag(rng.integers(1, 80)) for _ in range(n)], [bag(rng.integers(1, 12)) for _ in range(m)]
+    weights = [[rng.uniform(a, 3, len(t)) for t in side] for a, side in zip((low, 0.1), terms, strict=True)]
+    names = [f"d{i:05d}" for i in range(n)] + [None] * m, [None] * n + list(range(m))
+    return terms, weights, pa.table({"doc": names[0], "query": pa.array(names[1], pa.int64()), "t": terms[0] + terms[1], "v": weights[0] + weights[1]})
+
+
+@pytest.mark.parametrize(("cosine", "low", "n", "k"), [(False, 0.1, 1500, 5), (True, 0.1, 1500, 5), (False, -0.5, 1500, 5), (True, 0.1, 100, 300), (False, 0.1, 1500, 1)])
+def test_single_precision_only_rules_out(monkeypatch, cosine, low, n, k):
+    """A cell has the best of all pairs; only a small share of them is scored in doubles."""
+    terms, weights, table = a_cell(3, n, 80, low)
+    pairs, exact = [], retrieval._Cell.exact
+    monkeypatch.setattr(retrieval._Cell, "exact", lambda self, r, c: pairs.append(len(r)) or exact(self, r, c))
+    got = {}
+    for r in retrieval._best_of_cell(k, cosine)(table).to_pylist():
+        got.setdefault(r["query"], []).append((-round(r["score"], 6), r["doc"]))
+    for q in range(80):
+        w, want = dict(zip(terms[1][q], weights[1][q], strict=True)), []
+        for d in range(n):
+            both = [(w[t], v) for t, v in zip(terms[0][d], weights[0][d], strict=True) if t in w]
+            if both:
+                s = sum(a * b for a, b in both)
+                want.append((-round(s / math.sqrt(sum(a * a for a, _ in both)) if cosine else s, 6), f"d{d:05d}"))
+        assert sorted(got.get(q, []))[:k] == sorted(want)[:k]
+    if k < n:
+        assert 0 < sum(pairs) < 80 * 4 * (k + 1)
+
+
+def test_many_ties_are_cut_by_name():
+    """All documents tie: a query's first k come back from a cell, not all."""
+    table = pa.table({"doc": [f"d{i:05d}" for i in range(1200)] + [None] * 2, "query": pa.array([None] * 1200 + [0, 1], pa.int64()), "t": [[7]] * 1202, "v": [[0.5]] * 1202})
+    out = retrieval._best_of_cell(5, False)(table).to_pylist()
+    assert sorted((r["query"], r["doc"]) for r in out) == [(q, f"d{i:05d}") for q in (0, 1) for i in range(5)]
